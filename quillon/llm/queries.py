@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import jaccard_join, packing, token_counts
+from quillon.llm import ann, jaccard_join, packing, quality, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,6 +31,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 @_query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
@@ -40,6 +47,45 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+#: The rules of op8, as (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@_query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE_SQL["op8_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fitting AS (
+  SELECT c.page_id, c.host, c.path, r.rule_host || r.rule_path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC) AS nth
+  FROM cut c LEFT JOIN rules r ON (c.host = r.rule_host OR ends_with(c.host, '.' || r.rule_host)) AND starts_with(c.path, r.rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fitting WHERE nth = 1
+"""
+
+
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))

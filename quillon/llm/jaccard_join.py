@@ -39,7 +39,7 @@ SPARE = 2
 COORDINATES = 32
 LEAF = 16
 #: Shingles that a task holds at once; larger clusters are split.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 PIVOTS = 8
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,7 +102,7 @@ def routes(s: np.ndarray, num: int, den: int) -> np.ndarray:
         sent = np.bincount(group, minlength=g) > 0
         if g - sent.sum() > SPARE:
             sent[:] = True
-        out.append(_mix(content + np.arange(g, dtype=np.uint64) * _M2 + np.uint64(band) * _M3)[sent])
+        out.append(_mix(content + np.arange(g, dtype=np.uint64) * _M2 + np.array(band, np.uint64)[None] * _M3)[sent])
     return np.concatenate(out)
 
 
@@ -221,11 +221,11 @@ def components(docs: DataFrame, ngram: int = 3, num: int = 90, den: int = 100, i
     # One text for each member: by its hash; a foreign text with the same hash would be verified like any other.
     wanted = rows.withColumn("text_hash", F.xxhash64("text")).join(members.select("text_hash").distinct(), "text_hash", "left_semi")
     one_text = wanted.filter("text is not null").groupBy("text_hash").agg(F.min("text").alias("text"))
-    full = members.join(one_text, "text_hash").join(large.select("cluster", "blocks"), "cluster", "left")
+    full = _lineage.table(members.join(one_text, "text_hash").join(large.select("cluster", "blocks"), "cluster", "left"))
     small = full.filter("blocks is null").select("cluster", "node", "text", F.lit(False).alias("probe"), F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"))
     links = _compare(small, ngram, num, den)
     if not large.isEmpty():
-        links = links.union(_large(_lineage.cut(full.filter("blocks is not null").select("cluster", "node", "text", "n", "blocks")), ngram, num, den, block_shingles))
+        links = links.union(_large(full.filter("blocks is not null").select("cluster", "node", "text", "n", "blocks"), ngram, num, den, block_shingles))
     roots = _components.components(links)
 
     nodes = nodes.join(roots.select("node", "root"), "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, jaccard_join, packing, quality, token_counts, url_filter
+from quillon.llm import ann, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op1_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+@_query
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage").distinct()
+
+
 @_query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
@@ -47,6 +53,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -89,3 +100,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+@_query
+def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.array_join(F.transform("removed", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), F.sha2("text", 256).alias("kept_sha256"))

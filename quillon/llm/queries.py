@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts, url_filter
+from quillon.llm import ann, decontaminate, jaccard_join, license_scan, packing, pii, quality, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"))
@@ -107,3 +112,10 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     removed = F.array_join(F.transform("removed", lambda i: i.cast("string")), ",")
     return found.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it uses the operators of this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -100,12 +100,17 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, disclosure: float = D
     if pairs.isEmpty():
         return pairs.select("value", "term", F.lit(0.0).alias("disclosure"))
     n_value = contexts.select("value", "context").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    n_docs = docs.count()
+    # A term is in as many documents at least as it has documents among the contexts. Pairs that this
+    # bound keeps below the threshold are settled, and their (common) terms need no count.
+    near = contexts.select("doc_id", "row", F.explode(words).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.log2(F.col("n_both") * n_docs / (F.col("n_value") * F.col("n_near"))) / F.nullif(F.log2(n_docs / F.col("n_value")), F.lit(0.0))
+    pairs = _lineage.cut(pairs.join(n_value, "value").join(near, "term").filter(most >= disclosure).select("value", "term", "n_both", "n_value"))
     asked = _lineage.cut(pairs.select("term").distinct())
     side = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(side, "term")
     held = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    n_docs = docs.count()
-    both = pairs.join(n_value, "value").join(held, "term")
+    both = pairs.join(held, "term")
     pmi = F.log2(F.col("n_both") * n_docs / (F.col("n_value") * F.greatest("n_term", "n_both")))
     ic = F.log2(n_docs / F.col("n_value"))
     return both.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= disclosure).select("value", "term", "disclosure")
@@ -131,9 +136,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = docs.drop(*(c for c in docs.columns if c.lower() in (*KINDS, "term")))
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     terms = term_spans(plain, base_spans(plain)).select(F.col("doc_id").alias("_term_id"), F.col("row").alias("_term_row"), "term")
-    found = base_spans(docs, text_col)
-    joined = found.join(terms, docs[id_col].cast("bigint").eqNullSafe(F.col("_term_id")) & (F.xxhash64(docs[text_col]) == F.col("_term_row")), "left")
-    return joined.drop("_term_id", "_term_row").withColumn("term", F.coalesce("term", F.array().cast("array<struct<s:int,e:int>>")))
+    found = base_spans(docs, text_col).withColumns({"_id": F.col(id_col).cast("bigint"), "_row": F.xxhash64(text_col)})
+    joined = found.join(terms, F.col("_id").eqNullSafe(F.col("_term_id")) & (F.col("_row") == F.col("_term_row")), "left")
+    return joined.drop("_id", "_row", "_term_id", "_term_row").withColumn("term", F.coalesce("term", F.array().cast("array<struct<s:int,e:int>>")))
 
 
 def listed(kinds: list[str]) -> F.Column:

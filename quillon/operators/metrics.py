@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions import series
 from quillon.operators import stats
 
-_PATH = Window.partitionBy("sim_id").orderBy("t")
+#: Half widths and weights of the capture bands.
 BANDS = ((0.2, 5.0), (0.3, 4.0), (0.4, 3.0), (0.5, 2.0), (0.6, 1.0))
 
 
+def _path() -> WindowSpec:
+    return Window.partitionBy("sim_id").orderBy("t")
+
+
 def fan_bands(paths: DataFrame, levels: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95), by: Sequence[str] = ("t",)) -> DataFrame:
     """Mean and exact percentiles of the cross-section at each step."""
     out = paths.groupBy(*by).agg(F.avg("v").alias("mean"), F.percentile("v", F.array(*map(F.lit, levels))).alias("_q"))
@@ -33,7 +37,7 @@ def tail_risk(values: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def max_drawdown(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("_dd", series.drawdown(F.col("v"), _PATH)).groupBy("sim_id").agg(F.min("_dd").alias("mdd"))
+    return paths.withColumn("_dd", series.drawdown(F.col("v"), _path())).groupBy("sim_id").agg(F.min("_dd").alias("mdd"))
 
 
 def pit(paths: DataFrame, actual: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def wmcr(paths: DataFrame, actual: DataFrame, bands: Sequence[tuple[float, float
 def path_match(paths: DataFrame, actual: DataFrame) -> DataFrame:
     """Per path: half the sign agreement of changes, half the correlation of levels moved to 0..1."""
     rows = paths.join(actual, "t")
-    rows = rows.withColumns({"_dv": series.diff(F.col("v"), _PATH), "_da": series.diff(F.col("a"), _PATH)})
+    rows = rows.withColumns({"_dv": series.diff(F.col("v"), _path()), "_da": series.diff(F.col("a"), _path())})
     agree = F.avg(F.when(F.col("_dv").isNotNull() & F.col("_da").isNotNull(), (F.signum("_dv") == F.signum("_da")).cast("double")))
     return rows.groupBy("sim_id").agg((0.5 * agree + 0.5 * (F.corr("v", "a") + 1) / 2).alias("pmc"))
 
@@ -107,7 +111,7 @@ def jump_coincidence(paths: DataFrame, actual: DataFrame, level: float = 0.95) -
     """Per path: the share of actual jumps (absolute changes above their quantile) at which the path jumps too."""
     a = actual.withColumn("_d", F.abs(series.diff(F.col("a"), Window.partitionBy(F.lit(0)).orderBy("t"))))  # one short series
     a = a.crossJoin(F.broadcast(a.agg(F.percentile("_d", level).alias("_q")))).filter("_d > _q").select("t")
-    p = paths.withColumn("_d", F.abs(series.diff(F.col("v"), _PATH)))
+    p = paths.withColumn("_d", F.abs(series.diff(F.col("v"), _path())))
     q = p.groupBy("sim_id").agg(F.percentile("_d", level).alias("_q"))
     return p.join(a, "t").join(q, "sim_id").groupBy("sim_id").agg(F.avg((F.coalesce(F.col("_d") > F.col("_q"), F.lit(False))).cast("double")).alias("vjc"))
 
@@ -161,5 +165,5 @@ def anchored_product(nav: DataFrame, gap: DataFrame, premium: DataFrame, start:
     """nav * (1 + gap) * (1 + premium) of each path, scaled to `start` at its first step."""
     j = nav.select("sim_id", "t", F.col("v").alias("_n")).join(gap.select("sim_id", "t", F.col("v").alias("_g")), ["sim_id", "t"]).join(premium.select("sim_id", "t", F.col("v").alias("_p")), ["sim_id", "t"])
     level = F.col("_n") * (1 + F.col("_g")) * (1 + F.col("_p"))
-    first = F.first(level).over(_PATH.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(level).over(_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return j.select("sim_id", "t", (level * F.lit(start) / F.nullif(first, F.lit(0.0))).alias("v"))

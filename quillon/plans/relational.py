@@ -9,12 +9,12 @@ from quillon.functions import scalar, series
 from quillon.operators import align, stats
 from quillon.plans.base import BARS, DAILY, RETURNS, bars, daily, query, r, read
 
-W = series.ordered()
+W = series.ordered  # called where a query is built, as a window needs a session
 _OVER = "PARTITION BY s ORDER BY d"
 
 
 def _returns(spark, sf_dir) -> DataFrame:
-    return daily(spark, sf_dir).withColumn("r", series.log_return(F.col("x"), W))
+    return daily(spark, sf_dir).withColumn("r", series.log_return(F.col("x"), W()))
 
 
 def _wfn(expr: str, n: int, until: int = 0) -> str:
@@ -128,12 +128,12 @@ def _holes(spark, sf_dir):
 
 @query("ffill", f"WITH {_HOLES} SELECT s, d, last_value(v IGNORE NULLS) OVER ({_OVER} ROWS UNBOUNDED PRECEDING) AS v FROM holes")
 def ffill(spark, sf_dir):
-    return _holes(spark, sf_dir).withColumn("v", series.ffill(F.col("v"), W))
+    return _holes(spark, sf_dir).withColumn("v", series.ffill(F.col("v"), W()))
 
 
 @query("bfill", f"WITH {_HOLES} SELECT s, d, first_value(v IGNORE NULLS) OVER ({_OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM holes")
 def bfill(spark, sf_dir):
-    return _holes(spark, sf_dir).withColumn("v", series.bfill(F.col("v"), W))
+    return _holes(spark, sf_dir).withColumn("v", series.bfill(F.col("v"), W()))
 
 
 @query(
@@ -154,22 +154,22 @@ def log_return(spark, sf_dir):
 
 @query("diff_series", f"WITH {DAILY} SELECT s, d, round(x - lag(x) OVER ({_OVER}), 2) AS dx, lead(y) OVER ({_OVER}) AS next_y FROM daily")
 def diff_series(spark, sf_dir):
-    return daily(spark, sf_dir).select("s", "d", r(series.diff(F.col("x"), W), 2).alias("dx"), F.lead("y").over(W).alias("next_y"))
+    return daily(spark, sf_dir).select("s", "d", r(series.diff(F.col("x"), W()), 2).alias("dx"), F.lead("y").over(W()).alias("next_y"))
 
 
 @query("pct_change_abs", f"WITH {DAILY} SELECT s, d, round(abs(x / lag(x) OVER ({_OVER}) - 1), 6) AS c FROM daily")
 def pct_change_abs(spark, sf_dir):
-    return daily(spark, sf_dir).select("s", "d", r(F.abs(series.pct_change(F.col("x"), W))).alias("c"))
+    return daily(spark, sf_dir).select("s", "d", r(F.abs(series.pct_change(F.col("x"), W()))).alias("c"))
 
 
 @query("rv_sumsq_30", f"WITH {RETURNS} SELECT s, d, round({_full(f'sqrt({_wfn("sum(r * r)", 30)})', 'r', 30)}, 6) AS rv FROM ret")
 def rv_sumsq_30(spark, sf_dir):
-    return _returns(spark, sf_dir).select("s", "d", r(series.rolling_sumsq_vol(F.col("r"), W, 30)).alias("rv"))
+    return _returns(spark, sf_dir).select("s", "d", r(series.rolling_sumsq_vol(F.col("r"), W(), 30)).alias("rv"))
 
 
 @query("rv_annual_365", f"WITH {RETURNS} SELECT s, d, round({_full(f'{_wfn("stddev_samp(r)", 30)} * sqrt(365)', 'r', 30)}, 5) AS rv FROM ret")
 def rv_annual_365(spark, sf_dir):
-    return _returns(spark, sf_dir).select("s", "d", r(series.rolling_std(F.col("r"), W, 30, 365**0.5), 5).alias("rv"))
+    return _returns(spark, sf_dir).select("s", "d", r(series.rolling_std(F.col("r"), W(), 30, 365**0.5), 5).alias("rv"))
 
 
 @query(
@@ -177,8 +177,8 @@ def rv_annual_365(spark, sf_dir):
     f"WITH {RETURNS}, v AS (SELECT s, d, {_full(f'{_wfn("stddev_samp(r)", 20)} * sqrt(252)', 'r', 20)} AS rv FROM ret) SELECT s, d, round(coalesce(first_value(rv IGNORE NULLS) OVER ({_OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 5) AS rv FROM v",
 )
 def rv_20_filled(spark, sf_dir):
-    rows = _returns(spark, sf_dir).withColumn("rv", series.rolling_std(F.col("r"), W, 20, 252**0.5))
-    return rows.select("s", "d", r(F.coalesce(series.bfill(F.col("rv"), W), F.lit(0.0)), 5).alias("rv"))
+    rows = _returns(spark, sf_dir).withColumn("rv", series.rolling_std(F.col("r"), W(), 20, 252**0.5))
+    return rows.select("s", "d", r(F.coalesce(series.bfill(F.col("rv"), W()), F.lit(0.0)), 5).alias("rv"))
 
 
 @query(
@@ -188,14 +188,14 @@ def rv_20_filled(spark, sf_dir):
 )
 def liquidity_features(spark, sf_dir):
     rows = bars(spark, sf_dir).withColumn("dv", F.col("c") * F.col("vol"))
-    w5, w20 = series.last_rows(W, 5), series.last_rows(W, 20)
+    w5, w20 = series.last_rows(W(), 5), series.last_rows(W(), 20)
     z = (F.col("dv") - F.avg("dv").over(w20)) / (F.stddev_samp("dv").over(w20) + 1e-12)
     return rows.select("s", "d", r("dv").alias("dv"), r(F.avg("dv").over(w5)).alias("ma5"), r(F.avg("dv").over(w20)).alias("ma20"), r(z, 5).alias("z20"))
 
 
 @query("amihud", f"WITH {BARS} SELECT s, d, round(abs(c / lag(c) OVER ({_OVER}) - 1) / (c * vol + 1e-12) * 1e6, 6) AS illiq FROM bars")
 def amihud(spark, sf_dir):
-    return bars(spark, sf_dir).select("s", "d", r(series.amihud(F.col("c"), F.col("vol"), W) * 1e6).alias("illiq"))
+    return bars(spark, sf_dir).select("s", "d", r(series.amihud(F.col("c"), F.col("vol"), W()) * 1e6).alias("illiq"))
 
 
 @query(
@@ -203,7 +203,7 @@ def amihud(spark, sf_dir):
     f"WITH {BARS}, b AS (SELECT s, d, pow(ln(hi / lo), 2) AS b FROM bars), a AS (SELECT s, d, pow(sqrt(2 * b) - sqrt(b + lead(b) OVER ({_OVER})), 2) AS a FROM b) SELECT s, d, round(2 * (exp(a) - 1) / (1 + exp(a)), 5) AS spread FROM a",
 )
 def hl_spread(spark, sf_dir):
-    return bars(spark, sf_dir).select("s", "d", r(series.spread_from_range(F.col("hi"), F.col("lo"), W), 5).alias("spread"))
+    return bars(spark, sf_dir).select("s", "d", r(series.spread_from_range(F.col("hi"), F.col("lo"), W()), 5).alias("spread"))
 
 
 @query("volume_share", f"WITH {BARS}, t AS (SELECT CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT s, b.d, round(vol / (vol + q + 1e-12), 6) AS share, round(c * vol / (c * q + 1e-12), 6) AS turnover FROM bars b JOIN t ON b.d = t.d")
@@ -220,18 +220,18 @@ def premium(spark, sf_dir):
 
 @query("asvi_4", f"WITH {DAILY} SELECT s, d, round({_full(f'(y - {_wfn("avg(y)", 4, 1)}) / nullif({_wfn("stddev_samp(y)", 4, 1)}, 0)', 'y', 4, 1)}, 5) AS asvi FROM daily")
 def asvi_4(spark, sf_dir):
-    return daily(spark, sf_dir).select("s", "d", r(series.asvi(F.col("y"), W, 4), 5).alias("asvi"))
+    return daily(spark, sf_dir).select("s", "d", r(series.asvi(F.col("y"), W(), 4), 5).alias("asvi"))
 
 
 @query("har_features", f"WITH {DAILY} SELECT s, d, lag(y) OVER ({_OVER}) AS day, round({_full(_wfn('avg(y)', 5, 1), 'y', 5, 1)}, 6) AS week, round({_full(_wfn('avg(y)', 22, 1), 'y', 22, 1)}, 6) AS month FROM daily")
 def har_features(spark, sf_dir):
     y = F.col("y")
-    return daily(spark, sf_dir).select("s", "d", F.lag(y).over(W).alias("day"), r(series.rolling_mean(y, W, 5, 1)).alias("week"), r(series.rolling_mean(y, W, 22, 1)).alias("month"))
+    return daily(spark, sf_dir).select("s", "d", F.lag(y).over(W()).alias("day"), r(series.rolling_mean(y, W(), 5, 1)).alias("week"), r(series.rolling_mean(y, W(), 22, 1)).alias("month"))
 
 
 @query("rolling_corr_30", f"WITH {DAILY} SELECT s, d, round({_full(_wfn('corr(x, y)', 30), 'x', 30)}, 5) AS c FROM daily")
 def rolling_corr_30(spark, sf_dir):
-    return daily(spark, sf_dir).select("s", "d", r(series.rolling_corr(F.col("x"), F.col("y"), W, 30), 5).alias("c"))
+    return daily(spark, sf_dir).select("s", "d", r(series.rolling_corr(F.col("x"), F.col("y"), W(), 30), 5).alias("c"))
 
 
 @query(
@@ -316,5 +316,5 @@ def zscore_clip(spark, sf_dir):
 
 @query("minimum_slice", f"WITH {RETURNS}, v AS (SELECT *, {_full(f'sqrt({_wfn("sum(r * r)", 30)})', 'r', 30)} AS rv FROM ret) SELECT s, d, round(r, 6) AS r, round(rv, 6) AS rv, round({_full(_wfn('corr(r, rv)', 30), 'rv', 30)}, 4) AS c FROM v")
 def minimum_slice(spark, sf_dir):
-    rows = _returns(spark, sf_dir).withColumn("rv", series.rolling_sumsq_vol(F.col("r"), W, 30))
-    return rows.select("s", "d", r("r").alias("r"), r("rv").alias("rv"), r(series.rolling_corr(F.col("r"), F.col("rv"), W, 30), 4).alias("c"))
+    rows = _returns(spark, sf_dir).withColumn("rv", series.rolling_sumsq_vol(F.col("r"), W(), 30))
+    return rows.select("s", "d", r("r").alias("r"), r("rv").alias("rv"), r(series.rolling_corr(F.col("r"), F.col("rv"), W(), 30), 4).alias("c"))

@@ -11,7 +11,7 @@ from quillon.operators import align, estimators, metrics, paths, regime, scenari
 from quillon.plans import base
 from quillon.plans.base import BARS, DAILY, PATHS, RETURNS, bars, cells, daily, query, r
 
-W = series.ordered()
+W = series.ordered  # called where a query is built, as a window needs a session
 _OVER = "PARTITION BY s ORDER BY d"
 
 # ---- regimes and scenarios -----------------------------------------------------------------------
@@ -134,7 +134,7 @@ def scenario_diff(spark, sf_dir):
 
 
 def _returns(spark, sf_dir) -> DataFrame:
-    return daily(spark, sf_dir).withColumn("r", series.log_return(F.col("x"), W))
+    return daily(spark, sf_dir).withColumn("r", series.log_return(F.col("x"), W()))
 
 
 _PAIRS = RETURNS + f", cls AS (SELECT *, CASE WHEN abs(r) <= 0.5 THEN 0 WHEN r > 0.5 THEN 1 WHEN r < -0.5 THEN 2 END AS g FROM ret), lagged AS (SELECT s, d, r AS x1, g, lag(r) OVER ({_OVER}) AS x0, lag(g) OVER ({_OVER}) AS g0 FROM cls), prs AS (SELECT s, d, g AS regime, x0, x1 FROM lagged WHERE g = g0 AND x0 IS NOT NULL)"
@@ -182,7 +182,7 @@ def ou_ols(spark, sf_dir):
     f"WITH {DAILY}, c AS (SELECT s, d, sum(y) OVER ({_OVER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS y FROM daily), l AS (SELECT s, y, lag(y) OVER ({_OVER}) AS l FROM c), f AS (SELECT s, regr_slope(y, l) AS b, regr_intercept(y, l) AS a, regr_syy(y, l) AS syy, regr_sxy(y, l) AS sxy, count(*) AS n FROM l WHERE l IS NOT NULL GROUP BY 1) SELECT s, round(-ln(b), 6) AS kappa, round(a / (1 - b), 5) AS theta, round(sqrt(greatest(0, syy - b * sxy) / n * 2 * -ln(b) / (1 - b * b)), 6) AS sigma FROM f",
 )
 def ou_exact(spark, sf_dir):
-    rows = daily(spark, sf_dir).withColumn("y", F.sum("y").over(series.last_rows(W, 5)))
+    rows = daily(spark, sf_dir).withColumn("y", F.sum("y").over(series.last_rows(W(), 5)))
     return estimators.ou_exact(rows, "y").select("s", r("kappa").alias("kappa"), r("theta", 5).alias("theta"), r("sigma").alias("sigma"))
 
 
@@ -223,7 +223,7 @@ def threshold_bic(spark, sf_dir):
 
 @query("garch_fit")
 def garch_fit(spark, sf_dir):
-    days = _returns(spark, sf_dir).withColumn("_n", F.row_number().over(W)).filter("_n <= 250")  # a fit window of one trading year
+    days = _returns(spark, sf_dir).withColumn("_n", F.row_number().over(W())).filter("_n <= 250")  # a fit window of one trading year
     return estimators.arma_garch(days, "r")
 
 
@@ -265,7 +265,11 @@ def bootstrap_lrt(spark, sf_dir):
 # ---- paths and metrics ---------------------------------------------------------------------------
 
 _P = "PARTITION BY sim_id ORDER BY t"
-_PATH = Window.partitionBy("sim_id").orderBy("t")
+
+
+def _path():
+    return Window.partitionBy("sim_id").orderBy("t")
+
 
 
 @query("fan_bands", f"WITH {PATHS} SELECT t, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95 FROM paths GROUP BY 1")
@@ -285,13 +289,13 @@ def drawdown(spark, sf_dir):
 
 @query("compound_path", f"WITH {PATHS} SELECT sim_id, t, round(100 * exp(sum(v / 1000) OVER ({_P} ROWS UNBOUNDED PRECEDING)), 5) AS v FROM paths")
 def compound_path(spark, sf_dir):
-    return base.paths(spark, sf_dir).select("sim_id", "t", r(series.compound(F.col("v") / 1000, 100.0, _PATH), 5).alias("v"))
+    return base.paths(spark, sf_dir).select("sim_id", "t", r(series.compound(F.col("v") / 1000, 100.0, _path()), 5).alias("v"))
 
 
 @query("level_cumsum", f"WITH {PATHS} SELECT sim_id, t, round(50 + sum(v) OVER ({_P} ROWS UNBOUNDED PRECEDING), 5) AS v FROM paths UNION ALL SELECT DISTINCT sim_id, -1, 50.0 FROM paths")
 def level_cumsum(spark, sf_dir):
     p = base.paths(spark, sf_dir)
-    level = p.select("sim_id", "t", r(50 + F.sum("v").over(_PATH.rowsBetween(Window.unboundedPreceding, 0)), 5).alias("v"))
+    level = p.select("sim_id", "t", r(50 + F.sum("v").over(_path().rowsBetween(Window.unboundedPreceding, 0)), 5).alias("v"))
     return level.unionByName(p.select("sim_id").distinct().select("sim_id", F.lit(-1).alias("t"), F.lit(50.0).alias("v")))
 
 

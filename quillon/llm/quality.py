@@ -59,8 +59,11 @@ def encode(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n), length)
     kinds = _CLASS[data]
     shares = np.bincount(owner * _CLASSES + kinds, minlength=n * _CLASSES).reshape(n, _CLASSES) / length[:, None]
-    pair = _KIND[kinds[:-1]] * 4 + _KIND[kinds[1:]]
-    shape = np.bincount(owner[:-1] * 16 + pair, minlength=n * 16).reshape(n, 16) / length[:, None]
+    inside = np.ones(len(data), bool)
+    inside[doc_start + lengths - 1] = False  # the last byte of a text and the first of the next are no pair
+    inside = inside[:-1]
+    pair = (_KIND[kinds[:-1]] * 4 + _KIND[kinds[1:]])[inside]
+    shape = np.bincount(owner[:-1][inside] * 16 + pair, minlength=n * 16).reshape(n, 16) / length[:, None]
     words = 1 + shape[:, 2] * length + shape[:, 6] * length
     crcs = np.add.reduceat((data + np.uint64(1)) * ((np.arange(len(data), dtype=np.uint64) - np.repeat(start.astype(np.uint64), length)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9)), start)
     _, same, times = np.unique(np.stack([doc.astype(np.uint64), crcs]), axis=1, return_inverse=True, return_counts=True)

@@ -234,3 +234,44 @@ def heteroscedastic_ou(df: DataFrame, value: str, drivers: Sequence[str], penalt
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
     names = ["kappa", "mu", "sigma0", "loglik", *(f"delta_{c}" for c in drivers)]
     return df.select(*by, order, value, *drivers).dropna().groupBy(*by).applyInPandas(fit, keys + "".join(f", {n} double" for n in names))
+
+
+def ou_of_regime(df: DataFrame, value: str, regime: str, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+    """Mean reversion per regime on the filtered subsequence: its changes bridge the days of other regimes.
+
+    Fewer than 5 values give mean and deviation with a kappa of 0.1; a deviation of zero becomes 0.01.
+    """
+    keys = [*by, regime]
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.filter(F.col(regime).isNotNull() & F.col(value).isNotNull()).withColumn("_l", F.lag(value).over(w)).withColumn("_d", F.col(value) - F.col("_l"))
+    fit = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("_d", "_l").alias("b"), F.regr_intercept("_d", "_l").alias("a"), F.regr_syy("_d", "_l").alias("syy"), F.regr_sxy("_d", "_l").alias("sxy"), F.count("_d").alias("m"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    few = (F.col("n") < 5) | F.col("b").isNull()
+    kappa = F.when(few | (F.col("b") >= 0), 0.1).otherwise(-F.col("b"))
+    mu = F.when(few | (F.abs("b") < 1e-12), F.col("mean")).otherwise(F.col("a") / F.nullif(-F.col("b"), F.lit(0.0)))
+    sigma = F.when(few, F.col("sd")).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("b") * F.col("sxy")) / F.nullif(F.col("m"), F.lit(0))))
+    return fit.select(*keys, kappa.alias("kappa"), mu.alias("mu"), F.when(sigma > 0, sigma).otherwise(0.01).alias("sigma"), "n")
+
+
+def sigma_per_scenario(days: DataFrame, values: DataFrame, value: str, by: Sequence[str] = ("s",), order: str = "d", least: int = 5) -> DataFrame:
+    """Annual deviation of the changes of a scenario's days; with `least` changes or fewer, that of the full sample (is_full)."""
+    w = Window.partitionBy(*by, "scenario_id").orderBy(order)
+    part = days.select(*by, order, "scenario_id").join(values.select(*by, order, value), [*by, order]).withColumn("_d", F.col(value) - F.lag(value).over(w))
+    own = part.groupBy(*by, "scenario_id").agg(F.count("_d").alias("n"), F.stddev_samp("_d").alias("_s"))
+    full = _lagged(values, value, by, order).groupBy(*by).agg(F.stddev_samp("_d").alias("_f"))
+    enough = F.col("n") > least
+    return own.join(full, list(by)).select(*by, "scenario_id", "n", (F.when(enough, F.col("_s")).otherwise(F.col("_f")) * math.sqrt(252)).alias("sigma"), (~enough).alias("is_full"))
+
+
+def lognormal(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    logs = F.when(F.col(value) > 0, F.ln(value))
+    return df.groupBy(*by).agg(F.avg(logs).alias("mu"), F.stddev_pop(logs).alias("sigma"))
+
+
+def stochastic_volatility(df: DataFrame, z: str, by: Sequence[str] = ("s",), order: str = "d", window: int = 20) -> DataFrame:
+    """theta, kappa, sigma_v, rho of changes by moments of the rolling mean of their squares: kappa from its first autocorrelation, rho from its correlation with the changes."""
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = df.filter(F.col(z).isNotNull()).withColumn("_v", series.rolling_mean(F.col(z) * F.col(z), w, window))
+    rows = rows.withColumns({"_l": F.lag("_v").over(w), "_dv": F.col("_v") - F.lag("_v").over(w)})
+    one = rows.groupBy(*by).agg(F.var_pop(z).alias("theta"), F.corr("_v", "_l").alias("_ac"), F.stddev_pop("_dv").alias("sigma_v"), F.corr(z, "_v").alias("_rho"))
+    clip = lambda x, a, b: F.greatest(F.lit(a), F.least(F.lit(b), x))
+    return one.select(*by, "theta", (-F.ln(clip(F.col("_ac"), 0.01, 0.99))).alias("kappa"), "sigma_v", clip(F.col("_rho"), -0.99, 0.99).alias("rho"))

@@ -167,3 +167,75 @@ def anchored_product(nav: DataFrame, gap: DataFrame, premium: DataFrame, start:
     level = F.col("_n") * (1 + F.col("_g")) * (1 + F.col("_p"))
     first = F.first(level).over(_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return j.select("sim_id", "t", (level * F.lit(start) / F.nullif(first, F.lit(0.0))).alias("v"))
+
+
+def realised_volatility(df: DataFrame, value: str, by: Sequence[str], order: str = "t", n: int = 20, scale: float = 252**0.5) -> DataFrame:
+    """Adds rv: the rolling deviation of `value`, its first gap filled backward, zero if there is none."""
+    w = Window.partitionBy(*by).orderBy(order)
+    df = df.withColumn("_rv", series.rolling_std(F.col(value), w, n, scale))
+    return df.withColumn("rv", F.coalesce(series.bfill(F.col("_rv"), w), series.ffill(F.col("_rv"), w), F.lit(0.0))).drop("_rv")
+
+
+def volatility_regression(paths: DataFrame, actual: DataFrame, n: int = 20, least: int = 10) -> DataFrame:
+    """Per path r2, beta and |beta - 1| of the regression of actual on simulated volatility; too few steps give 0, 0, 1."""
+    a = realised_volatility(actual.withColumn("_one", F.lit(1)), "a", ["_one"], n=n).select("t", F.col("rv").alias("ra"))  # one series
+    p = realised_volatility(paths, "v", ["sim_id"], n=n).join(a, "t")
+    fit = p.groupBy("sim_id").agg(F.count("*").alias("_n"), F.regr_r2("ra", "rv").alias("r2"), F.regr_slope("ra", "rv").alias("beta"))
+    short = (F.col("_n") < least) | F.col("beta").isNull()
+    beta = F.when(short, 0.0).otherwise(F.col("beta"))
+    return fit.select("sim_id", F.when(short, 0.0).otherwise(F.coalesce("r2", F.lit(0.0))).alias("r2"), beta.alias("beta"), F.abs(beta - 1).alias("beta_gap"))
+
+
+def ljung_box(df: DataFrame, value: str, lags: int, by: Sequence[str], order: Sequence[str] = ("t",)) -> DataFrame:
+    """n and the portmanteau statistic over `lags` autocorrelations."""
+    acf = stats.autocorrelation(df, value, lags, by, order).filter("lag > 0")
+    n = df.groupBy(*by).agg(F.count(value).alias("n"))
+    return acf.join(n, list(by)).groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).alias("_q")).select(*by, "n", (F.col("n") * (F.col("n") + 2) * F.col("_q")).alias("q"))
+
+
+def scenario_risk(paths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of each scenario: terminal VaR and CVaR at 95 and 99 %, mean drawdown, mean deviation of changes, skewness, kurtosis, quantiles."""
+    w = Window.partitionBy(*by, "sim_id").orderBy("t")
+    rows = paths.withColumns({"_d": series.diff(F.col("v"), w), "_dd": (F.col("v") - (top := F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))) / (F.abs(top) + 1e-12)})
+    one = rows.groupBy(*by, "sim_id").agg(F.max_by("v", "t").alias("v"), F.min("_dd").alias("_mdd"), F.stddev_pop("_d").alias("_sd"))
+    cut = one.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)))).alias("_q"))
+    j = one.join(cut, list(by)) if by else one.crossJoin(F.broadcast(cut))  # one row
+    q = F.first("_q")
+    tail = lambda i: F.avg(F.when(F.col("v") <= F.col("_q")[i], F.col("v")))
+    return j.groupBy(*by).agg(
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), q[1].alias("var95"), tail(1).alias("cvar95"), q[0].alias("var99"), tail(0).alias("cvar99"), F.avg("_mdd").alias("mdd"), F.avg("_sd").alias("vol"),
+        F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"), q[2].alias("p25"), q[3].alias("p50"), q[4].alias("p75"), q[5].alias("p95"),
+    )
+
+
+def loss_probability(paths: DataFrame, share: float = 0.2) -> DataFrame:
+    """The share of paths that end more than `share` below their first value."""
+    ends = paths.groupBy("sim_id").agg(F.min_by("v", "t").alias("_a"), F.max_by("v", "t").alias("_z"))
+    return ends.agg(F.avg((F.col("_z") < F.col("_a") * (1 - share)).cast("double")).alias("p_loss"))
+
+
+def scaled_product(nav: DataFrame, gap: DataFrame, first_true: float) -> DataFrame:
+    """nav scaled to start at `first_true`, times (1 + gap); and its distance from the scaled nav."""
+    j = nav.select("sim_id", "t", F.col("v").alias("_n")).join(gap.select("sim_id", "t", F.col("v").alias("_g")), ["sim_id", "t"])
+    first = F.first("_n").over(_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    scaled = F.col("_n") * F.lit(first_true) / F.nullif(first, F.lit(0.0))
+    level = scaled * (1 + F.col("_g"))
+    return j.select("sim_id", "t", level.alias("v"), (level / F.nullif(scaled, F.lit(0.0)) - 1).alias("relative"))
+
+
+def delayed_product(nav: DataFrame, gap: DataFrame, start: float, gap0: float) -> DataFrame:
+    """Log changes of start (1 + gap0), nav_0 (1 + gap_0), nav_1 (1 + gap_1), ...: the level follows the simulation by one step."""
+    j = nav.select("sim_id", "t", F.col("v").alias("_n")).join(gap.select("sim_id", "t", F.col("v").alias("_g")), ["sim_id", "t"])
+    level = j.select("sim_id", (F.col("t") + 1).alias("t"), (F.col("_n") * (1 + F.col("_g"))).alias("v"))
+    level = level.unionByName(j.select("sim_id").distinct().select("sim_id", F.lit(0).alias("t"), F.lit(start * (1 + gap0)).alias("v")))
+    return level.withColumn("r", series.log_return(F.col("v"), _path()))
+
+
+def normal_quantile_points(df: DataFrame, value: str, points: int = 99) -> DataFrame:
+    """(p, theoretical, sample): normal quantiles against exact percentiles at equally spaced probabilities."""
+    from statistics import NormalDist
+
+    levels = [(i + 1) / (points + 1) for i in range(points)]
+    one = df.agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("_q"))
+    cells = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical"), F.col("_q")[i].alias("sample")) for i, p in enumerate(levels)))
+    return one.select(F.explode(cells).alias("c")).select("c.*")

@@ -165,3 +165,61 @@ def dtw(paths: DataFrame, actual: DataFrame) -> DataFrame:
         return pd.DataFrame({"sim_id": [pdf["sim_id"].iloc[0]], "dtw": [d]})
 
     return paths.join(actual, "t").groupBy("sim_id").applyInPandas(run, "sim_id bigint, dtw double")
+
+
+def ou_pair(spark: SparkSession, n: int, steps: int, x0: tuple[float, float], theta: tuple[float, float], mu: tuple[float, float], sigma: tuple[float, float], rho: float, dt: float = 1 / 252, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Two mean-reverting series with correlated shocks, as two path tables of the same simulations."""
+    rho = max(-0.9999, min(0.9999, rho))
+
+    def side(k: int) -> Callable:
+        def make(streams, steps):
+            z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
+            e = z[:, 0] if k == 0 else rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1]
+            v = np.empty_like(e)
+            v[:, 0] = x0[k]
+            for t in range(1, steps):
+                v[:, t] = v[:, t - 1] + theta[k] * (mu[k] - v[:, t - 1]) * dt + sigma[k] * np.sqrt(dt) * e[:, t]
+            return v
+
+        return make
+
+    return _generate(spark, n, steps, side(0), seed), _generate(spark, n, steps, side(1), seed)
+
+
+def state_draws(spark: SparkSession, n: int, steps: int, mu: float, sigma: float, transform: str = "none", seed: int = 42) -> DataFrame:
+    """Independent normal draws of a regime's emission, back on the scale before a log or log1p transform."""
+    back = {"none": lambda x: x, "log": np.exp, "log1p": np.expm1}[transform]
+    return _generate(spark, n, steps, lambda streams, k: back(mu + sigma * _normals(streams, k)), seed)
+
+
+def heston_changes(spark: SparkSession, n: int, steps: int, v0: float, kappa: float, theta: float, sigma_v: float, rho: float, seed: int = 42) -> DataFrame:
+    """Changes with stochastic variance per step, the variance truncated at zero."""
+
+    def make(streams, steps):
+        z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
+        out, var = np.empty((len(streams), steps)), np.full(len(streams), v0)
+        for t in range(steps):
+            pos = np.maximum(var, 0)
+            out[:, t] = np.sqrt(pos) * z[:, 0, t]
+            var = var + kappa * (theta - pos) + sigma_v * np.sqrt(pos) * (rho * z[:, 0, t] + np.sqrt(1 - rho**2) * z[:, 1, t])
+        return out
+
+    return _generate(spark, n, steps, make, seed)
+
+
+def jump_volatility(spark: SparkSession, n: int, steps: int, s0: float, garch: dict[str, float], rate: float, mu_j: float, sigma_j: float, seed: int = 42) -> DataFrame:
+    """Levels of GARCH(1,1) returns (variance in squared percent) with normal jumps at Poisson counts."""
+
+    def make(streams, steps):
+        z, j = _normals(streams, steps), _normals(streams, steps)
+        count = np.stack([r.poisson(rate, steps) for r in streams])
+        level = np.full((len(streams), steps), float(s0))
+        e = np.zeros(len(streams))
+        s2 = np.full(len(streams), garch["omega"] / max(1e-6, 1 - garch["alpha"] - garch["beta"]))
+        for t in range(1, steps):
+            s2 = garch["omega"] + garch["alpha"] * e**2 + garch["beta"] * s2
+            e = np.sqrt(s2) * z[:, t]
+            level[:, t] = level[:, t - 1] * np.exp(garch.get("mu", 0.0) + e / 100 + count[:, t] * mu_j + np.sqrt(count[:, t]) * sigma_j * j[:, t])
+        return level
+
+    return _generate(spark, n, steps, make, seed)

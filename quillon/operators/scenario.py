@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import align
+
 POSSIBLE, AMBIGUITY = "Possible", "Ambiguity"
 
 
@@ -120,3 +122,30 @@ def scenario_diff(current: DataFrame, previous: DataFrame, key: str, columns: Se
     p = previous.select(F.col(key), F.struct(*columns).alias("_p"))
     change = F.when(F.col("_p").isNull(), "added").when(F.col("_c").isNull(), "removed").when(F.col("_c") == F.col("_p"), "same").otherwise("changed")
     return c.join(p, key, "full_outer").select(key, change.alias("change"))
+
+
+def states_from_labels(rows: DataFrame, labels: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Scenario rows (scenario_id, one label column per variable) as states; rows with an unknown or missing label go.
+
+    `labels` is (variable, label, state), the label sets of the fitted state counts.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("label")) for v in variables))).alias("p")
+    found = rows.select("scenario_id", cells).select("scenario_id", "p.*").join(F.broadcast(labels), ["variable", "label"])  # a few labels a variable
+    wide_rows = found.groupBy("scenario_id").pivot("variable", list(variables)).agg(F.max("state"))
+    return wide_rows.dropna(subset=list(variables))
+
+
+def regime_calendar(calendar: DataFrame, daily_states: DataFrame, weekly_states: DataFrame, variables: Sequence[str], by: Sequence[str] = ("s",)) -> DataFrame:
+    """One state column per variable on a daily calendar: daily states by date, weekly ones as of the week before or at it."""
+    out = calendar.select(*by, "d")
+    for v in variables:
+        day = daily_states.filter(F.col("variable") == v).select(*by, "d", F.col("state").alias(v))
+        week = weekly_states.filter(F.col("variable") == v).select(*by, "d", F.col("state").alias(f"_{v}"))
+        out = out.join(day, [*by, "d"], "left").join(align.asof_backward(calendar, week, f"_{v}", by), [*by, "d"], "left")
+        out = out.withColumn(v, F.coalesce(v, f"_{v}")).drop(f"_{v}")
+    return out
+
+
+def summary_by_scenario(paths: DataFrame) -> DataFrame:
+    """Mean and population deviation of every series of every scenario."""
+    return paths.groupBy("scenario_id", "series").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))

@@ -508,3 +508,117 @@ def mc_arma_garch_t(spark, sf_dir):
 @query("dtw")
 def dtw(spark, sf_dir):
     return paths.dtw(base.paths(spark, sf_dir), base.actual(spark, sf_dir))
+
+
+# ---- more fits, risk tables and flows ------------------------------------------------------------
+
+
+@query(
+    "ou_of_regime",
+    f"WITH {RETURNS}, c AS (SELECT s, d, r, CASE WHEN abs(r) <= 0.5 THEN 0 WHEN r > 0.5 THEN 1 WHEN r < -0.5 THEN 2 END AS g FROM ret WHERE r IS NOT NULL), l AS (SELECT s, g, r, lag(r) OVER (PARTITION BY s, g ORDER BY d) AS l FROM c), f AS (SELECT s, g, count(*) AS n, regr_slope(r - l, l) AS b, regr_intercept(r - l, l) AS a, regr_syy(r - l, l) AS syy, regr_sxy(r - l, l) AS sxy, count(l) AS m FROM l GROUP BY 1, 2) SELECT s, g, round(CASE WHEN b >= 0 THEN 0.1 ELSE -b END, 5) AS kappa, round(a / -b, 5) AS mu, round(sqrt(greatest(0, syy - b * sxy) / m), 5) AS sigma, n FROM f",
+)
+def ou_of_regime(spark, sf_dir):
+    rows = _returns(spark, sf_dir).withColumn("g", scalar.threshold_regime(F.col("r"), 0.5))
+    return estimators.ou_of_regime(rows, "r", "g").select("s", "g", r("kappa", 5).alias("kappa"), r("mu", 5).alias("mu"), r("sigma", 5).alias("sigma"), "n")
+
+
+@query(
+    "sigma_per_scenario",
+    f"WITH {REGIMES}, {_WIDE}, sd AS (SELECT s, d, 'S01' AS scenario_id FROM wide WHERE vol = 0 AND y = 0 UNION ALL SELECT s, d, 'S02' FROM wide WHERE vol = 2 AND x = 2 UNION ALL SELECT s, d, 'S03' FROM wide WHERE vol = 1 AND x = 1 AND y = 1), j AS (SELECT sd.s, scenario_id, v.y - lag(v.y) OVER (PARTITION BY sd.s, scenario_id ORDER BY sd.d) AS dd FROM sd JOIN daily v ON sd.s = v.s AND sd.d = v.d), o AS (SELECT s, scenario_id, count(dd) AS n, stddev_samp(dd) AS own FROM j GROUP BY 1, 2), fu AS (SELECT s, stddev_samp(dd) AS f FROM (SELECT s, y - lag(y) OVER ({_OVER}) AS dd FROM daily) GROUP BY 1) SELECT o.s, scenario_id, n, round(CASE WHEN n > 5 THEN own ELSE f END * sqrt(252), 5) AS sigma, n <= 5 AS is_full FROM o JOIN fu ON o.s = fu.s",
+)
+def sigma_per_scenario(spark, sf_dir):
+    s = spark.createDataFrame(_SCENARIOS, "scenario_id string, vol int, x int, y int")
+    days = scenario.scenario_days(_wide(spark, sf_dir), s, _VARS)
+    return estimators.sigma_per_scenario(days, daily(spark, sf_dir), "y").select("s", "scenario_id", "n", r("sigma", 5).alias("sigma"), "is_full")
+
+
+@query("lognormal_fit", f"WITH {PATHS}, e AS (SELECT sim_id, max_by(v, t) AS v FROM paths GROUP BY 1) SELECT round(avg(ln(v)) FILTER (v > 0), 6) AS mu, round(stddev_pop(ln(v)) FILTER (v > 0), 6) AS sigma FROM e")
+def lognormal_fit(spark, sf_dir):
+    return estimators.lognormal(metrics.terminal(base.paths(spark, sf_dir)), "v").select(r("mu").alias("mu"), r("sigma").alias("sigma"))
+
+
+@query(
+    "stochastic_volatility",
+    f"WITH {RETURNS}, q AS (SELECT s, d, r, CASE WHEN count(r) OVER ({_OVER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN avg(r * r) OVER ({_OVER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS v FROM ret WHERE r IS NOT NULL), l AS (SELECT *, lag(v) OVER ({_OVER}) AS l FROM q) SELECT s, round(var_pop(r), 5) AS theta, round(-ln(greatest(0.01, least(0.99, corr(v, l)))), 5) AS kappa, round(stddev_pop(v - l), 5) AS sigma_v, round(greatest(-0.99, least(0.99, corr(r, v))), 5) AS rho FROM l GROUP BY 1",
+)
+def stochastic_volatility(spark, sf_dir):
+    return estimators.stochastic_volatility(_returns(spark, sf_dir), "r").select("s", *(r(c, 5).alias(c) for c in ("theta", "kappa", "sigma_v", "rho")))
+
+
+@query(
+    "scenario_risk",
+    f"WITH {PATHS}, w AS (SELECT sim_id, t, v, v - lag(v) OVER ({_P}) AS d, (v - max(v) OVER ({_P} ROWS UNBOUNDED PRECEDING)) / (abs(max(v) OVER ({_P} ROWS UNBOUNDED PRECEDING)) + 1e-12) AS dd FROM paths), o AS (SELECT sim_id, sim_id % 3 AS g, max_by(v, t) AS v, min(dd) AS mdd, stddev_pop(d) AS sd FROM w GROUP BY 1), c AS (SELECT g, quantile_cont(v, 0.01) AS q1, quantile_cont(v, 0.05) AS q5, quantile_cont(v, 0.5) AS q50 FROM o GROUP BY 1) SELECT o.g, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(max(q5), 6) AS var95, round(avg(v) FILTER (v <= q5), 6) AS cvar95, round(max(q1), 6) AS var99, round(avg(v) FILTER (v <= q1), 6) AS cvar99, round(avg(mdd), 6) AS mdd, round(avg(sd), 5) AS vol, round(kurtosis_pop(v), 4) AS kurt, round(max(q50), 6) AS p50 FROM o JOIN c ON o.g = c.g GROUP BY 1",
+)
+def scenario_risk(spark, sf_dir):
+    out = metrics.scenario_risk(base.paths(spark, sf_dir).withColumn("g", F.col("sim_id") % 3), ["g"])
+    return out.select("g", *(r(c).alias(c) for c in ("mean", "std", "var95", "cvar95", "var99", "cvar99", "mdd")), r("vol", 5).alias("vol"), r("kurt", 4).alias("kurt"), r("p50").alias("p50"))
+
+
+@query("loss_probability", f"WITH {PATHS}, e AS (SELECT sim_id, min_by(v, t) AS a, max_by(v, t) AS z FROM paths GROUP BY 1) SELECT round(avg(CASE WHEN z < a * 0.8 THEN 1.0 ELSE 0.0 END), 6) AS p_loss FROM e")
+def loss_probability(spark, sf_dir):
+    return metrics.loss_probability(base.paths(spark, sf_dir)).select(r("p_loss").alias("p_loss"))
+
+
+@query("scaled_product", f"WITH {PATHS}, l AS (SELECT sim_id, t, v * 50 / nullif(first_value(v) OVER ({_P}), 0) AS n, v / 1000 AS g FROM paths) SELECT sim_id, t, round(n * (1 + g), 8) AS v, round(n * (1 + g) / nullif(n, 0) - 1, 9) AS relative FROM l")
+def scaled_product(spark, sf_dir):
+    p = base.paths(spark, sf_dir)
+    return metrics.scaled_product(p, p.withColumn("v", F.col("v") / 1000), 50.0).select("sim_id", "t", r("v", 8).alias("v"), r("relative", 9).alias("relative"))
+
+
+@query(
+    "delayed_product",
+    f"WITH {PATHS}, l AS (SELECT sim_id, t + 1 AS t, v * (1 + v / 1000) AS v FROM paths UNION ALL SELECT DISTINCT sim_id, 0, 50.0 * 1.01 FROM paths), p AS (SELECT *, lag(v) OVER ({_P}) AS b FROM l) SELECT sim_id, t, round(v, 5) AS v, round(CASE WHEN v > 0 AND b > 0 THEN ln(v / b) END, 6) AS r FROM p",
+)
+def delayed_product(spark, sf_dir):
+    p = base.paths(spark, sf_dir)
+    return metrics.delayed_product(p, p.withColumn("v", F.col("v") / 1000), 50.0, 0.01).select("sim_id", "t", r("v", 5).alias("v"), r("r").alias("r"))
+
+
+@query(
+    "ljung_box",
+    f"WITH {PATHS}, c AS (SELECT sim_id, t, v - avg(v) OVER (PARTITION BY sim_id) AS c FROM paths), n AS (SELECT sim_id, count(*) AS n, sum(c * c) AS v FROM c GROUP BY 1), l AS (" + " UNION ALL ".join(f"SELECT sim_id, {k} AS lag, sum(c * l) AS s FROM (SELECT sim_id, c, lag(c, {k}) OVER ({_P}) AS l FROM c) GROUP BY 1" for k in range(1, 6)) + ") SELECT n.sim_id, max(n) AS n, round(max(n) * (max(n) + 2) * sum(pow(coalesce(s, 0) / v, 2) / (n - lag)), 4) AS q FROM n JOIN l ON n.sim_id = l.sim_id GROUP BY 1",
+)
+def ljung_box(spark, sf_dir):
+    return metrics.ljung_box(base.paths(spark, sf_dir), "v", 5, ["sim_id"]).select("sim_id", "n", r("q", 4).alias("q"))
+
+
+@query(
+    "rvr",
+    f"WITH {PATHS}, a0 AS (SELECT t, CASE WHEN count(a) OVER w = 5 THEN stddev_samp(a) OVER w * sqrt(252) END AS rv FROM actual WINDOW w AS (ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), a1 AS (SELECT t, coalesce(first_value(rv IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS ra FROM a0), p0 AS (SELECT sim_id, t, CASE WHEN count(v) OVER w = 5 THEN stddev_samp(v) OVER w * sqrt(252) END AS rv FROM paths WINDOW w AS (PARTITION BY sim_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), p1 AS (SELECT sim_id, t, coalesce(first_value(rv IGNORE NULLS) OVER ({_P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rv FROM p0), f AS (SELECT sim_id, count(*) AS n, regr_r2(ra, rv) AS r2, regr_slope(ra, rv) AS b FROM p1 JOIN a1 ON p1.t = a1.t GROUP BY 1) SELECT sim_id, round(CASE WHEN n < 10 OR b IS NULL OR isnan(b) THEN 0 ELSE r2 END, 5) AS r2, round(CASE WHEN n < 10 OR b IS NULL OR isnan(b) THEN 0 ELSE b END, 5) AS beta FROM f",
+)
+def rvr(spark, sf_dir):
+    out = metrics.volatility_regression(base.paths(spark, sf_dir), base.actual(spark, sf_dir), n=5)
+    return out.select("sim_id", r("r2", 5).alias("r2"), r("beta", 5).alias("beta"))
+
+
+@query("qq_points")
+def qq_points(spark, sf_dir):
+    return metrics.normal_quantile_points(base.paths(spark, sf_dir), "v")
+
+
+@query("har_r2")
+def har_r2(spark, sf_dir):
+    rows = daily(spark, sf_dir).withColumns({"day": F.lag("y").over(W()), "week": series.rolling_mean(F.col("y"), W(), 5, 1), "month": series.rolling_mean(F.col("y"), W(), 22, 1)})
+    return regime.har_coefficients(rows.dropna(), "y")
+
+
+@query("mc_ou_pair")
+def mc_ou_pair(spark, sf_dir):
+    a, b = paths.ou_pair(spark, 500, 60, (0.01, 0.02), (30.0, 20.0), (0.01, 0.02), (0.1, 0.2), 0.6)
+    j = a.join(b.withColumnRenamed("v", "w"), ["sim_id", "t"]).filter("t > 0")
+    return j.groupBy("t").agg(F.corr("v", "w").alias("c"), F.avg("v").alias("a"), F.avg("w").alias("b"))
+
+
+@query("mc_state_draws")
+def mc_state_draws(spark, sf_dir):
+    return _bands_of(paths.state_draws(spark, 500, 60, 1.0, 0.2, "log1p"))
+
+
+@query("mc_heston_changes")
+def mc_heston_changes(spark, sf_dir):
+    return _bands_of(paths.heston_changes(spark, 500, 60, 0.04, 0.1, 0.04, 0.05, -0.5))
+
+
+@query("mc_jump_volatility")
+def mc_jump_volatility(spark, sf_dir):
+    return _bands_of(paths.jump_volatility(spark, 500, 60, 100.0, {"omega": 0.1, "alpha": 0.1, "beta": 0.85}, 0.05, -0.02, 0.04))

@@ -53,11 +53,55 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_read(spark, sf_dir, "documents"))
 
 
+#: ASCII lower case and words between ASCII white space, in DuckDB.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op4_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w
+), flat AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sets sa ON sa.doc_id = a JOIN sets sb ON sb.doc_id = b WHERE 100 * n >= 90 * (len(sa.s) + len(sb.s) - n)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, l.b FROM reach r JOIN edges l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY 1) m ON m.a = s.doc_id
+"""
+
+
 @_query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+_TEMPLATE_ROWS = ", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in license_scan.TEMPLATES)
+_PHRASE_ROWS = ", ".join(f"('{label}', string_split('{words}', ' '))" for words, label in license_scan.PHRASES)
+
+ORACLE_SQL["op5_license_scan"] = rf"""
+WITH low AS (SELECT doc_id, {_LOWER} AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+phrases(label, p) AS (VALUES {_PHRASE_ROWS}),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS start FROM w, phrases
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY 1
+), blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(regexp_replace(low, '([.!?;])[\x20\t]+', E'\\1\n', 'g'), E'\n')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM low
+), templates(label, t) AS (VALUES {_TEMPLATE_ROWS}),
+held AS (SELECT doc_id, label, len(list_intersect(b, t)) * 1.0 / len(t) AS share FROM blocks, templates WHERE list_has_any(b, t)),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM held WHERE share >= {license_scan.CONTAINMENT} GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN found ON found.doc_id = w.doc_id
+"""
+
+
 @_query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"))
@@ -114,6 +158,28 @@ def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+_RUNS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, " + " || chr(1) || ".join(f"full_s[p + {j}].n" for j in range(k)) + f" AS run, full_s[p].i AS a, full_s[p + {k - 1}].i AS z FROM starts WHERE p + {k - 1} <= len(full_s) AND " + " + ".join(f"full_s[p + {j}].w" for j in range(k)) + f" >= {words}"
+    for k, words in substring_dedup.SPANS
+)
+
+ORACLE_SQL["op10_sentence_span_dedup"] = rf"""
+WITH cut AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([\x20\t])', E'\\1\x02\\2', 'g'), '([.!?][\x22'')\]])([\x20\t])', E'\\1\x02\\2', 'g'), '\n', E'\n\x02', 'g'), E'\x02'), lambda x: x <> '') AS s FROM documents
+), named AS (
+  SELECT doc_id, s, list_transform(s, lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS n FROM cut
+), full_rows AS (
+  SELECT doc_id, list_filter(list_transform(range(0, len(n)), lambda i: {{'n': n[i + 1], 'i': i, 'w': len(string_split(n[i + 1], ' '))}}), lambda x: x.n <> '') AS full_s FROM named
+), starts AS (SELECT doc_id, full_s, unnest(range(1, len(full_s) + 1)) AS p FROM full_rows),
+runs AS ({_RUNS}),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, a) AS nth FROM runs),
+gone AS (SELECT doc_id, list_sort(list(DISTINCT i)) AS removed FROM (SELECT doc_id, unnest(range(a, z + 1)) AS i FROM firsts WHERE nth > 1) GROUP BY 1)
+SELECT c.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(len(coalesce(removed, [])) AS BIGINT) AS n_removed, array_to_string(coalesce(removed, []), ',') AS removed,
+  sha256(array_to_string(list_transform(list_filter(range(0, len(s)), lambda i: NOT list_contains(coalesce(removed, []), i)), lambda i: s[i + 1]), '')) AS kept_sha256
+FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it uses the operators of this subpackage

@@ -314,7 +314,7 @@ def zscore_clip(spark, sf_dir):
     return daily(spark, sf_dir).select("s", "d", r(series.zscore_clip(F.col("y"), Window.partitionBy("s"), 2.0)).alias("z"))
 
 
-@query("minimum_slice", f"WITH {RETURNS}, v AS (SELECT *, {_full(f'sqrt({_wfn("sum(r * r)", 30)})', 'r', 30)} AS rv FROM ret) SELECT s, d, round(r, 6) AS r, round(rv, 6) AS rv, round({_full(_wfn('corr(r, rv)', 30), 'rv', 30)}, 4) AS c FROM v")
+@query("minimum_slice", f"WITH {RETURNS}, v AS (SELECT *, {_full(f'sqrt({_wfn("sum(r * r)", 30)})', 'r', 30)} AS rv FROM ret) SELECT s, d, round(r, 6) + 0.0 AS r, round(rv, 6) AS rv, round({_full(_wfn('corr(r, rv)', 30), 'rv', 30)}, 4) + 0.0 AS c FROM v")
 def minimum_slice(spark, sf_dir):
     rows = _returns(spark, sf_dir).withColumn("rv", series.rolling_sumsq_vol(F.col("r"), W(), 30))
     return rows.select("s", "d", r("r").alias("r"), r("rv").alias("rv"), r(series.rolling_corr(F.col("r"), F.col("rv"), W(), 30), 4).alias("c"))

@@ -6,7 +6,7 @@ import test_jaccard_join
 import test_packing
 import test_pii
 
-from quillon.llm import quality
+from quillon.llm import _lineage, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def test_stages_against_brute_force(spark):
     steps = dict(P.STAGES)
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
 
-    kept = steps["quality"](spark, docs, SF).localCheckpoint()
+    kept = _lineage.table(steps["quality"](spark, docs, SF))
     assert kept.columns == columns
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = docs.collect()
@@ -64,7 +64,7 @@ def test_run_is_the_stages_in_turn(spark):
     got = P.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in P.STAGES:
-        docs = stage(spark, docs, SF).localCheckpoint()
+        docs = _lineage.table(stage(spark, docs, SF))
     assert sorted(map(tuple, got)) == sorted(map(tuple, docs.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 

@@ -1,12 +1,17 @@
 """Repeated passages by sliding sentence spans.
 
-A text is cut into sentences, at line ends and after closing marks before white space. Every run of
-two sentences with 20 words at least, and every run of three with 12 words at least, is hashed (the
-words, A-Z lower-cased); a sentence of 40 words or more is a run by itself. Runs are joined globally by their hash; the first place of a hash, by
-document and position, stays, and the sentences that any later place covers are removed. Only
-DataFrame functions are used. Hashes are counted with partial aggregation before the shuffle, and
-only hashes seen twice are joined back, so a passage that a third of all documents share is one row
-on the small side of that join.
+A text is cut into sentences, at line ends and after closing marks before white space. Runs of
+consecutive sentences are hashed (the words, A-Z lower-cased): a sentence of 25 words or more, two
+sentences with 20 words at least, three with 12, and any number from four on with 20. As every
+sentence counted has a word, runs of more than 20 sentences hold no more than those of 20 do, so no
+number of sentences is left out. Runs are joined globally by their hash; the first place of a hash,
+by document and position, stays, and the sentences that any later place covers are removed.
+
+A run whose two parts, without its last and without its first sentence, are runs too is not hashed:
+where it repeats, both parts repeat and cover it. That leaves a few runs a sentence. Only DataFrame
+functions are used. Hashes are counted with partial aggregation before the shuffle, and only hashes
+seen twice are joined back, so a passage that a third of all documents share is one row on the small
+side of that join. A stretch that is cut inside sentences is found by the whole sentences in it only.
 """
 
 from __future__ import annotations
@@ -16,8 +21,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm import _lineage
 
-#: (sentences, least words) of the runs that are hashed.
-SPANS = ((1, 40), (2, 20), (3, 12))
+#: Least words of a run of four sentences and more.
+WORDS = 20
+#: (sentences, least words) of the runs; from WORDS sentences on, longer runs add nothing.
+SPANS = ((1, 25), (2, 20), (3, 12), *((k, WORDS) for k in range(4, WORDS + 1)))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sentence ends after closing marks before white space, or at a line end; white space belongs to what it follows.
 _END = r"(?<=[.!?][\x22')\]]?)(?=[\x20\t])|(?<=\n)"
@@ -32,20 +39,40 @@ def _normal(sentence: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
 
 
+def _reach(step: int, i: F.Column) -> F.Column:
+    """Sentences of the shortest run of WORDS words from sentence i on (step 1) or up to it (step -1); 0 if fewer than five, or if there is none."""
+    words = [F.coalesce(F.get("w", i + step * j), F.lit(0)) for j in range(4)]
+    # Words times 32 and sentences, in one number.
+    grown = F.aggregate(F.array(*map(F.lit, range(WORDS))), F.lit(0), lambda a, j: F.when(a >= 32 * WORDS, a).otherwise(a + 32 * F.coalesce(F.get("w", i + step * j), F.lit(0)) + 1))
+    return F.when(sum(words[1:], words[0]) >= WORDS, 0).otherwise(F.when(grown >= 32 * WORDS, grown % 32).otherwise(0))
+
+
 def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """hash, doc_id, row, at, n of every run of sentences that is long enough; blank sentences belong to no run."""
+    """hash, doc_id, row, at, n of the runs of sentences that cover all others; blank sentences belong to no run."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.transform(sentences(F.col(text_col)), _normal).alias("s"))
     # Positions of sentences with words; blank ones lie between them unseen.
-    full = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w"))), lambda x: x["w"] > 0)
+    full = F.filter(F.transform("s", lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w"))), lambda x: x["w"] > 0)
     rows = rows.select("doc_id", "row", full.alias("s")).filter(F.size("s") >= min(k for k, _ in SPANS))
-    rows = rows.select("doc_id", "row", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("p"))
-    runs = []
-    for k, words in SPANS:
-        at = [F.get("s", F.col("p") + i) for i in range(k)]
-        long = at[-1].isNotNull() & (sum((x["w"] for x in at[1:]), at[0]["w"]) >= words)
-        runs.append(F.when(long, F.struct(F.xxhash64(F.lit(k), *(x["x"] for x in at)).alias("hash"), at[0]["i"].alias("at"), (at[-1]["i"] - at[0]["i"] + 1).alias("n"))))
+    rows = rows.select("doc_id", "row", F.transform("s", lambda x: x["h"]).alias("h"), F.transform("s", lambda x: x["i"]).alias("i"), F.transform("s", lambda x: x["w"]).alias("w"))
+    rows = rows.select("doc_id", "row", "h", "i", "w", F.transform("w", lambda x, i: _reach(1, i)).alias("on"), F.transform("w", lambda x, i: _reach(-1, i)).alias("back"))
+    rows = rows.select("doc_id", "row", "h", "i", "w", "on", "back", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("p"))
+    p, none = F.col("p"), F.lit(0)
+    on, back = F.get("on", p), F.get("back", p)
+    # Runs of one to four sentences here, each with the words of its parts; then those of five and more.
+    w = [F.get("w", p + j) for j in range(4)]
+    least = dict(SPANS)
+    runs = [F.when(w[0] >= least[1], F.struct(p.alias("p"), F.lit(1).alias("k")))]
+    for k in range(2, 5):
+        every = sum(w[1:k], w[0])
+        parts = (every - w[k - 1] >= least[k - 1]) & (every - w[0] >= least[k - 1])
+        runs.append(F.when((every >= least[k]) & ~parts, F.struct(p.alias("p"), F.lit(k).alias("k"))))
+    runs.append(F.when(on > none, F.struct(p.alias("p"), on.alias("k"))))
+    # Up to p, unless it is the shortest from its start as well.
+    runs.append(F.when((back > none) & (F.get("on", p - back + 1) != back), F.struct((p - back + 1).alias("p"), back.alias("k"))))
     # No lambda after the first explode: rows are made and hashed inside one generated loop.
-    return rows.select("doc_id", "row", F.explode(F.array(*runs)).alias("run")).filter("run is not null").select("run.hash", "doc_id", "row", "run.at", "run.n")
+    rows = rows.select("doc_id", "row", "h", "i", F.explode(F.array(*runs)).alias("run")).filter("run is not null")
+    first, last = F.get("i", F.col("run.p")), F.get("i", F.col("run.p") + F.col("run.k") - 1)
+    return rows.select(F.xxhash64(F.slice("h", F.col("run.p") + 1, F.col("run.k"))).alias("hash"), "doc_id", "row", first.alias("at"), (last - first + 1).alias("n"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

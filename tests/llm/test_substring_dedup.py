@@ -63,3 +63,20 @@ def test_edge_rows(spark):
     got = sorted((str(x.doc_id), x.n_removed, x.text) for x in S.remove_repeats(docs).collect())
     assert got == sorted([("2", 0, text), ("4", 2, ""), ("4", 2, ""), ("5", 0, ""), ("None", 2, "")])
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_passages_of_short_lines(spark):
+    lines = "".join(f"{a}{b} dish{a}\n" for a in "abcdef" for b in "vwxyz")
+    docs = spark.createDataFrame([(i, f"Menu of house {i} today.\n{lines}Closed on day {i}.") for i in range(4)] + [(9, "x!! y!! z!! " * 54)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in S.remove_repeats(docs).collect()}
+    assert lines in got[0] and all(got[i] == f"Menu of house {i} today.\nClosed on day {i}." for i in range(1, 4))
+    assert got[9].split() == ["x!!", "y!!", "z!!"]
+
+
+def test_short_sentences_beside_long_ones(spark):
+    long = " ".join(f"word{i}" for i in range(24)) + "."
+    tails = ["One two three. Four five six. Seven eight nine. Ten. Eleven. Twelve.", "Ay. Be. Ce. De. Ef."]
+    texts = [f"Start {i} here.\n{tails[1]} {long} {tails[0]}\nEnd {i} there." for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in S.remove_repeats(docs).collect()}
+    assert got[0].text == texts[0] and [got[i].text for i in (1, 2)] == [f"Start {i} here.\nEnd {i} there." for i in (1, 2)]

@@ -147,15 +147,16 @@ def nelder_mead(f: Callable[[np.ndarray], float], x: np.ndarray, steps: int = 20
 
 
 def _garch_loss(e: np.ndarray, omega: float, alpha: float, beta: float, nu: float | None) -> float:
-    s = float(e.var()) or 1e-12
-    total = 0.0
-    for x in e.tolist():
-        if nu is None:
-            total += 0.5 * (math.log(2 * math.pi * s) + x * x / s)
-        else:
-            total -= math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2) * s) - (nu + 1) / 2 * math.log1p(x * x / (s * (nu - 2)))
-        s = omega + alpha * x * x + beta * s
-    return total
+    squares, s = e * e, float(e.var()) or 1e-12
+    var = []
+    for news in (omega + alpha * squares).tolist():
+        var.append(s)
+        s = news + beta * s
+    s = np.array(var)
+    if nu is None:
+        return float(0.5 * (np.log(2 * math.pi * s) + squares / s).sum())
+    each = 0.5 * np.log(math.pi * (nu - 2) * s) + (nu + 1) / 2 * np.log1p(squares / (s * (nu - 2)))
+    return float(each.sum()) - len(e) * (math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2))
 
 
 def garch_series(e: np.ndarray, student: bool = True) -> dict[str, float]:

@@ -223,8 +223,7 @@ def threshold_bic(spark, sf_dir):
 
 @query("garch_fit")
 def garch_fit(spark, sf_dir):
-    days = _returns(spark, sf_dir).withColumn("_n", F.row_number().over(W())).filter("_n <= 250")  # a fit window of one trading year
-    return estimators.arma_garch(days, "r")
+    return estimators.arma_garch(_returns(spark, sf_dir), "r")
 
 
 @query("ou_driven_fit")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import distributions
 from quillon.operators import estimators, metrics, paths, regime, scenario, wmcr
+from quillon.plans import simulation
 
 
 def test_distribution_tails():
@@ -40,6 +41,23 @@ def test_garch_fit(spark):
     assert 0.8 < fit["alpha"] + fit["beta"] < 1.0 and fit["alpha"] == pytest.approx(0.1, abs=0.08)
 
 
+def test_garch_query_fits_whole_series(spark):
+    sf = "/root/testdata/sf0.001"
+    days = simulation._returns(spark, sf).filter("r is not null").groupBy("s").count()
+    want = {x.s: x["count"] for x in days.collect()}
+    assert max(want.values()) > 250 and {x.s: x.n for x in simulation.garch_fit(spark, sf).collect()} == want
+
+
+def test_garch_loss_as_plain_recursion():
+    e = np.random.default_rng(7).standard_t(5, 400)
+    for nu in (None, 5.0):
+        s, total = float(e.var()), 0.0
+        for x in e.tolist():
+            total -= -0.5 * (math.log(2 * math.pi * s) + x * x / s) if nu is None else math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2) * s) - (nu + 1) / 2 * math.log1p(x * x / (s * (nu - 2)))
+            s = 0.1 + 0.1 * x * x + 0.8 * s
+        assert estimators._garch_loss(e, 0.1, 0.1, 0.8, nu) == pytest.approx(total, rel=1e-10)
+
+
 def test_dtw_as_plain_recursion():
     r = np.random.default_rng(3)
     for n, m in ((1, 1), (5, 9), (20, 13)):

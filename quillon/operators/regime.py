@@ -104,6 +104,17 @@ def _forward(density: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[
     top = density.max(1)
     b = np.exp(density - top[:, None])
     alpha, scale = np.zeros_like(b), np.zeros(len(b))
+    if b.shape[1] == 2:  # plain numbers are some times faster than arrays of two
+        (m00, m01), (m10, m11) = move.tolist()
+        rows, scales, (x0, x1) = [], [], start.tolist()
+        for t, (b0, b1) in enumerate(b.tolist()):
+            x0, x1 = ((x0 * m00 + x1 * m10) * b0, (x0 * m01 + x1 * m11) * b1) if t else (x0 * b0, x1 * b1)
+            s = x0 + x1 or 1e-300
+            x0, x1 = x0 / s, x1 / s
+            rows.append((x0, x1))
+            scales.append(s)
+        alpha, scale = np.array(rows), np.array(scales)
+        return alpha, scale, float(np.log(scale).sum() + top.sum())
     row = start * b[0]
     for t in range(len(b)):
         if t:
@@ -113,6 +124,22 @@ def _forward(density: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[
     return alpha, scale, float(np.log(scale).sum() + top.sum())
 
 
+def _backward(b: np.ndarray, scale: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Backward probabilities by the scales of the forward ones."""
+    if b.shape[1] == 2:
+        (m00, m01), (m10, m11) = move.tolist()
+        rows, x0, x1 = [(1.0, 1.0)], 1.0, 1.0
+        for (b0, b1), s in zip(b[:0:-1].tolist(), scale[:0:-1].tolist(), strict=True):
+            x0, x1 = b0 * x0 / s, b1 * x1 / s
+            x0, x1 = m00 * x0 + m01 * x1, m10 * x0 + m11 * x1
+            rows.append((x0, x1))
+        return np.array(rows[::-1])
+    beta = np.ones_like(b)
+    for t in range(len(b) - 2, -1, -1):
+        beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+    return beta
+
+
 def hmm_fit(y: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-4) -> dict:
     """Baum-Welch from one start; states in the order of their means."""
     r = np.random.default_rng(seed)
@@ -126,9 +153,7 @@ def hmm_fit(y: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e
         density = _log_density(y, mu, var)
         alpha, scale, ll = _forward(density, start, move)
         b = np.exp(density - density.max(1, keepdims=True))
-        beta = np.ones_like(alpha)
-        for t in range(len(y) - 2, -1, -1):
-            beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+        beta = _backward(b, scale, move)
         gamma = alpha * beta
         gamma /= gamma.sum(1, keepdims=True)
         pair = (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None])) * move

@@ -252,13 +252,13 @@ def jarque_bera(spark, sf_dir):
 @query("hmm_regimes")
 def hmm_regimes(spark, sf_dir):
     weeks = align.resample_monday(daily(spark, sf_dir), last=["y"]).withColumnRenamed("week", "d")
-    return regime.hmm_regimes(weeks, "y", (1, 2, 3), starts=2)
+    return regime.hmm_regimes(weeks, "y", (1, 2, 3), starts=10)
 
 
 @query("bootstrap_lrt")
 def bootstrap_lrt(spark, sf_dir):
-    weeks = align.resample_monday(daily(spark, sf_dir), last=["y"]).withColumnRenamed("week", "d").filter("s = '1-URGENT'")
-    return regime.bootstrap_lrt(weeks, "y", 1, replicates=8, starts=1)
+    weeks = align.resample_monday(daily(spark, sf_dir), last=["y"]).withColumnRenamed("week", "d")
+    return regime.bootstrap_lrt(weeks, "y", 1)
 
 
 # ---- paths and metrics ---------------------------------------------------------------------------

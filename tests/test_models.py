@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -83,6 +84,30 @@ def test_hmm_finds_two_regimes(spark):
     assert p.observed > 50 and p.p == 0
 
 
+def test_regime_queries_use_every_series_and_replicate(spark, monkeypatch):
+    seen = {}
+    for name in ("bootstrap_lrt", "hmm_regimes"):
+        monkeypatch.setattr(regime, name, lambda *a, f=getattr(regime, name), **b: seen.update({f.__name__: (a[0].select("s").distinct().count(), inspect.signature(f).bind(*a, **b))}))
+    simulation.bootstrap_lrt(spark, "/root/testdata/sf0.001")
+    simulation.hmm_regimes(spark, "/root/testdata/sf0.001")
+    assert {k: n for k, (n, _) in seen.items()} == {"bootstrap_lrt": 5, "hmm_regimes": 5}
+    for _, bound in seen.values():
+        bound.apply_defaults()
+    assert seen["bootstrap_lrt"][1].arguments["replicates"] >= 100 and seen["bootstrap_lrt"][1].arguments["starts"] >= 3
+    assert seen["hmm_regimes"][1].arguments["starts"] >= 10
+
+
+def test_two_states_as_three_with_one_unused():
+    r = np.random.default_rng(8)
+    b, start, move = r.random((40, 2)), np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.2, 0.8]])
+    wide = np.column_stack([np.log(b), np.full(40, -400.0)])
+    start3, move3 = np.append(start, 0.0), np.pad(move, ((0, 1), (0, 1)))
+    alpha, scale, ll = regime._forward(np.log(b), start, move)
+    alpha3, scale3, ll3 = regime._forward(wide, start3, move3)
+    assert ll == pytest.approx(ll3) and np.allclose(alpha, alpha3[:, :2]) and np.allclose(scale, scale3)
+    assert np.allclose(regime._backward(b, scale, move), regime._backward(np.pad(b, ((0, 0), (0, 1))), scale3, move3)[:, :2])
+
+
 def test_em_likelihood_does_not_fall():
     y = np.random.default_rng(2).normal(size=150)
     lls = [regime.hmm_fit(y, 2, 1, rounds=n, tol=-1e9)["ll"] for n in (1, 3, 10, 40)]

@@ -15,6 +15,9 @@ from quillon.operators import align
 
 POSSIBLE, AMBIGUITY = "Possible", "Ambiguity"
 
+#: At most so many scenarios are broadcast.
+BROADCAST_SCENARIOS = 10_000
+
 
 def tercile_states(df: DataFrame, value: str, variable: str, by: Sequence[str] = ("s",)) -> DataFrame:
     """States 0, 1, 2 by the terciles of each series, as long regimes."""
@@ -112,8 +115,9 @@ def scenario_days(table: DataFrame, scenarios: DataFrame, variables: Sequence[st
     for v in variables:
         one = F.col(f"_{v}").isNull() | (F.col(f"_{v}") == F.col(v))
         on = one if on is None else on & one
-    # Scenarios are a selection of some dozens at most; the wildcard makes this no equi-join.
-    return table.join(F.broadcast(s.limit(10_000)), on).select(*table.columns, "scenario_id")
+    # The wildcard makes this no equi-join. A selection is broadcast; of more scenarios, Spark plans the join.
+    few = s.limit(BROADCAST_SCENARIOS + 1).count() <= BROADCAST_SCENARIOS
+    return table.join(F.broadcast(s) if few else s, on).select(*table.columns, "scenario_id")
 
 
 def scenario_diff(current: DataFrame, previous: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -9,6 +9,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: At most so many replicates are broadcast; of more, Spark plans the join.
+BROADCAST_SHIFTS = 100_000
+
 
 def capture(y: DataFrame, bands: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """c per band: the share of steps of y (t, y) inside the band (k, t, lo, hi)."""
@@ -25,7 +28,8 @@ def calibrated(capture_rates: DataFrame, nominal: DataFrame, mode: str = "linear
 
 def circular_shifts(y: DataFrame, shifts: DataFrame, length: int) -> DataFrame:
     """(b, t, y): y rolled by each shift (b, shift)."""
-    moved = y.crossJoin(F.broadcast(shifts.limit(100_000)))  # a stated number of replicates
+    few = shifts.limit(BROADCAST_SHIFTS + 1).count() <= BROADCAST_SHIFTS
+    moved = y.crossJoin(F.broadcast(shifts) if few else shifts)
     return moved.select("b", F.pmod(F.col("t") + F.col("shift"), F.lit(length)).cast("int").alias("t"), "y")
 
 

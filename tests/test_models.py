@@ -153,3 +153,10 @@ def test_block_bootstrap_and_p_value(spark):
     null = spark.createDataFrame([(0.9,), (0.8,), (1.0,)], "wmcr double")
     assert wmcr.p_value(null, 0.85).first().p == pytest.approx(0.5)
     assert [r.verdict for r in wmcr.binomial_test(spark, 343, (0.5, 0.8, 0.95), (0.3965, 0.8163, 0.8950)).orderBy("k").collect()] == ["NOT ACCEPTABLE", "ACCEPTABLE", "NOT ACCEPTABLE"]
+
+
+def test_no_scenario_or_shift_is_dropped(spark):
+    many = spark.range(10_500).select(F.col("id").alias("scenario_id"), F.lit(1).alias("a"))
+    assert scenario.scenario_days(spark.createDataFrame([(0, 1)], "d int, a int"), many, ["a"]).count() == 10_500
+    shifts = spark.range(100_500).select(F.col("id").alias("b"), F.lit(1).alias("shift"))
+    assert wmcr.circular_shifts(spark.createDataFrame([(0, 1.0)], "t int, y double"), shifts, 1).count() == 100_500

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from quillon.llm import jaccard_join
+from quillon.llm import _components, jaccard_join
 
 
 def shingles(text, n=3):
@@ -49,11 +49,11 @@ def corpus(seed, copies=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("ngram", "num", "den", "block"), [(3, 90, 100, 3_000_000), (5, 80, 100, 3_000_000), (3, 90, 100, 2_000)])
-def test_same_components_as_brute_force(spark, ngram, num, den, block):
+@pytest.mark.parametrize(("ngram", "num", "den", "block", "bucket"), [(3, 90, 100, 3_000_000, 2_000), (5, 80, 100, 3_000_000, 2_000), (3, 90, 100, 2_000, 5), (1, 50, 100, 3_000_000, 2_000), (1, 35, 100, 2_000, 2_000)])
+def test_same_components_as_brute_force(spark, ngram, num, den, block, bucket):
     rows = corpus(ngram)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs, ngram, num, den, block_shingles=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs, ngram, num, den, block_shingles=block, bucket=bucket).collect()}
     assert got == brute(rows, ngram, num, den)
 
 
@@ -64,14 +64,46 @@ def test_edge_rows(spark):
     want = [(None, 2, 3), (3, 2, 3), (3, 2, 3), (7, 2, 3), (9, 0, 9), (None, 0, None), (4, 1, 4), (4, 1, 4), (5, 1, 4)]
     assert got == sorted((str(a), b, str(c)) for a, b, c in want)
     assert jaccard_join.components(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        jaccard_join.components(docs, num=101)
 
 
-def test_routes_meet_for_every_link():
+def test_different_texts_of_one_id_keep_their_links(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(8, long), (8, long + " z"), (9, long + " y"), (20, "p q r"), (20, "s t u"), (21, "p q r"), (22, "s t u")] + [(30 + i, "c o p y") for i in range(40)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {8: 8, 9: 8, 20: 20, 21: 20, 22: 20} | {30 + i: 30 for i in range(40)}
+
+
+def test_prefixes_meet_for_every_link():
     r = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(r.integers(1, 400))
-        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop = int(r.integers(0, max(1, n // 9) + 1))
-        b = np.unique(np.append(a[drop // 2 :], r.integers(0, 2**63, drop - drop // 2).astype(np.uint64)))
-        if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)):
-            assert set(jaccard_join.routes(a, 90, 100)) & set(jaccard_join.routes(b, 90, 100))
+    frequency = r.integers(0, 9, jaccard_join.COUNTERS).astype(np.uint32)
+    for num in (50, 90):
+        for _ in range(300):
+            n = int(r.integers(1, 400))
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            drop = int(r.integers(0, max(1, n * (100 - num) // 90) + 1))
+            b = np.unique(np.append(a[drop // 2 :], r.integers(0, 2**63, drop - drop // 2).astype(np.uint64)))
+            if 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                assert set(jaccard_join.prefix(a, frequency, num, 100)) & set(jaccard_join.prefix(b, frequency, num, 100))
+
+
+def test_tree_finds_what_the_bound_lets_through():
+    r = np.random.default_rng(6)
+    counts = r.poisson(r.choice([0.5, 4, 300], 700)[:, None], (700, jaccard_join.GROUPS)).astype(np.int32)
+    counts[300:400] = counts[299] + r.integers(0, 2, (100, jaccard_join.GROUPS))
+    sizes = counts.sum(1).astype(np.int64)
+    tree = jaccard_join.RTree(counts, sizes)
+    assert len(tree.levels) == 3 and sorted(tree.order) == list(range(700))
+    for num in (50, 80, 90):
+        got = set(zip(*(x.tolist() for x in tree.search(counts, sizes, num, 100))))
+        want = (num + 100) * np.minimum(counts[:, None], counts[None]).sum(2) >= num * (sizes[:, None] + sizes[None])
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(want))))
+
+
+def test_looked_up_with_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(_components, "HEAVY", 2)
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate([1, 1, 1, 1, 2, 3, None, None])], "i int, k long")
+    table = spark.createDataFrame([(1, 10, 4), (2, 20, 1)], "k long, v long, n long")
+    got = sorted((r.i, r.v) for r in _components.looked_up(rows, "k", table, "v", "n").collect())
+    assert got == [(0, 10), (1, 10), (2, 10), (3, 10), (4, 20), (5, None), (6, None), (7, None)]

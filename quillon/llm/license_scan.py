@@ -1,104 +1,179 @@
 """License scans by an exact set-similarity join; DataFrame functions only.
 
-Text blocks (sentences and lines) and license templates are sets of words. A block matches a
-template that it contains to the threshold. Words of the templates are ordered by how many
-documents of the corpus hold them, rarest first; a block that reaches the threshold must hold one
-of the first |T| - need + 1 words of a template, so only blocks with such a word are candidates
-(prefix filter); the words that can still follow, at either position, must suffice (positional
-filter); and the block must hold enough words at all (length filter). Candidates are verified by
-the intersection itself. No text block that meets the threshold is missed.
+Text blocks and license templates are sets of words. Blocks are windows over the words of a text, so
+that line wraps, comment marks and layout do not matter: a block of step c holds the words
+[ic, ic + 2c), and every run of c words lies inside one. Short templates (one-sentence notices) are
+met in blocks of step SHORT, long ones (whole licenses and headers) in blocks of step LONG. A block
+matches a template of whose words it holds the threshold.
+
+Words of the templates are ordered by how many documents of the corpus hold them, rarest first; a
+block that reaches the threshold must hold one of the first |T| - need + 1 words of a template, so
+only blocks with such a word are candidates (prefix filter); the words that can still follow, at
+either position, must suffice (positional filter); and the block must hold enough words at all
+(length filter). Candidates are verified by the intersection itself. No block that meets the
+threshold is missed.
+
+A text is cut into words once. What later steps need of it is written as a small table: the words
+of templates that it holds, from which the corpus counts come, and, where these suffice for a
+template (the length filter for the whole text), the template words of its blocks.
 
 On top of the join, fixed phrases are counted wherever their words stand consecutively.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLOCK = r"\n|(?<=[.!?;])[\x20\t]+"
-#: Share of a template's words that a block must hold.
-CONTAINMENT = 0.8
+_BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+#: Share of a template's words that a block must hold, in percent, and the words it must hold of short ones (or all).
+CONTAINMENT, LEAST = 80, 7
+#: Steps of the blocks in words; a template of at most SHORT words is a short one, none has more than LONG.
+SHORT, LONG = 24, 256
 #: The phrases of the base labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label and words of each license template.
+#: Label and text of each license template.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution license"),
-    ("cc0", "this work is dedicated to the public domain under creative commons zero cc0"),
-)
-
-
-def _lowered(text: F.Column) -> F.Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
-
-def _words(lowered: F.Column) -> F.Column:
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
-
-
-def _phrase_places(rows: DataFrame) -> DataFrame:
-    """The rows with n_words and places: (start, label) of every phrase; `low` and `words` must be there."""
-    hint = "|".join(_GAP.join(p.split()) for p, _ in PHRASES)
-
-    def places(phrase: str, label: str) -> F.Column:
-        parts = phrase.split()
-
-        def fits(i: F.Column) -> F.Column:
-            test = F.get("words", i) == parts[0]
-            for k, p in enumerate(parts[1:], 1):
-                test = test & (F.coalesce(F.get("words", i + k), F.lit("")) == p)
-            return test
-
-        starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
+    ("mit", "Released under the MIT License"),
+    ("mit", "Licensed under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS
+        IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License."""),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details."""),
+    ("lgpl", "under the terms of the GNU Lesser General Public License"),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely"""),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc0", "This work is dedicated to the public domain under Creative Commons Zero CC0"),
+)
+
+
+def need(n: int) -> int:
+    """Words of a template of n distinct words that a block must hold."""
+    return max(-(-n * CONTAINMENT // 100), min(n, LEAST))
+
+
+def template_sets() -> list[tuple[str, int, list[str]]]:
+    """(label, step, sorted distinct words) of every template."""
+    out = []
+    for label, text in TEMPLATES:
+        words = re.findall("[a-z0-9]+", text.lower())
+        if len(words) > LONG:
+            raise ValueError(f"a template of {len(words)} words: {text[:60]}")
+        out.append((label, SHORT if len(words) <= SHORT else LONG, sorted(set(words))))
+    return out
+
+
+def _strings(values) -> F.Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def _places(phrase: str, label: str) -> F.Column:
+    parts = phrase.split()
+
+    def fits(i: F.Column) -> F.Column:
+        test = F.get("words", i) == parts[0]
+        for k, p in enumerate(parts[1:], 1):
+            test = test & (F.coalesce(F.get("words", i + k), F.lit("")) == p)
+        return test
 
     none = F.array().cast("array<struct<start:int,label:string>>")
-    found = F.when(F.col("low").rlike(hint) & (F.size("words") > 0), F.flatten(F.array(*(places(*p) for p in PHRASES)))).otherwise(none)
-    return rows.withColumns({"n_words": F.size("words").cast("bigint"), "places": found})
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)
+    there = F.size(F.array_intersect(F.col("held"), _strings(sorted(set(parts))))) == len(set(parts))
+    return F.when(there, F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))).otherwise(none)
+
+
+def _blocks(step: int, least: int) -> F.Column:
+    """The template words of each block that holds `least` of them at least."""
+    block = lambda c: F.array_intersect(F.col("held"), F.slice("words", c * step + 1, F.lit(2 * step)))
+    every = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / step).cast("int")), block)
+    return F.filter(every, lambda b: F.size(b) >= least)
+
+
+def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, n_words, places (start, label) of the phrases, held (template words), and short and long: blocks, null if none can match."""
+    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + _BETWEEN, LOWER + " " * len(_BETWEEN))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.array_remove(F.split(low, " "), "").alias("words"))
+    vocabulary = sorted({w for _, _, t in template_sets() for w in t} | {w for p, _ in PHRASES for w in p.split()})
+    rows = rows.withColumn("held", F.array_intersect(_strings(vocabulary), F.col("words")))
+    kinds = {}
+    for _, step, words in template_sets():
+        kinds.setdefault(step, []).append(words)
+    columns = {}
+    for name, step in (("short", SHORT), ("long", LONG)):
+        able = F.exists(F.array(*(F.size(F.array_intersect(F.col("held"), _strings(t))) >= need(len(t)) for t in kinds[step])), lambda x: x)
+        columns[name] = F.when(able, _blocks(step, min(need(len(t)) for t in kinds[step])))
+    columns["places"] = F.flatten(F.array(*(_places(*p) for p in PHRASES)))
+    return rows.withColumns(columns).select("doc_id", "row", F.size("words").cast("bigint").alias("n_words"), "places", "held", "short", "long")
 
 
 def _ordered(rows: DataFrame) -> list[str]:
     """The words of the templates, rarest in the corpus first: a row per template word reaches the driver."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
-    held = rows.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("word"))
-    count = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
+    vocabulary = sorted({w for _, _, t in template_sets() for w in t})
+    count = {r["word"]: r["count"] for r in rows.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
-def similar_blocks(rows: DataFrame, order: list[str], containment: float = CONTAINMENT) -> DataFrame:
+def similar_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
     """doc_id, row, label, containment of the templates that a block of a document holds to the threshold."""
     place = {w: i for i, w in enumerate(order)}
-    templates = [(n, label, sorted(set(t.split()), key=place.get)) for n, (label, t) in enumerate(TEMPLATES)]
     prefix = []
-    for n, label, words in templates:
-        need = int(-(-containment * len(words) // 1))
-        prefix += [(w, n, label, words, i, need) for i, w in enumerate(words[: len(words) - need + 1])]
-    spark = rows.sparkSession
-    keys = spark.createDataFrame(prefix, "word string, template int, label string, tokens array<string>, i int, need int")
-    first = F.array(*map(F.lit, sorted({p[0] for p in prefix})))
-    candidates = rows.filter(F.arrays_overlap("words", first)).select("doc_id", "row", F.posexplode(F.split("low", _BLOCK)).alias("block", "part"))
-    candidates = candidates.select("doc_id", "row", "block", _words(F.col("part")).alias("part")).filter(F.arrays_overlap("part", first))
+    for n, (label, step, t) in enumerate(template_sets()):
+        words, least = sorted(t, key=place.get), need(len(t))
+        prefix += [(w, step, n, label, words, i, least) for i, w in enumerate(words[: len(words) - least + 1])]
+    keys = rows.sparkSession.createDataFrame(prefix, "word string, step int, template int, label string, tokens array<string>, i int, need int")
+    blocks = [rows.filter(F.size(c) > 0).select("doc_id", "row", F.lit(step).alias("step"), F.posexplode(c).alias("block", "part")) for c, step in (("short", SHORT), ("long", LONG))]
     # The block's template words, in the order of the corpus.
-    candidates = candidates.select("doc_id", "row", "block", F.array_intersect(F.array(*map(F.lit, order)), "part").alias("part"))
-    tried = candidates.select("doc_id", "row", "block", "part", F.posexplode("part").alias("j", "word")).join(F.broadcast(keys), "word")  # the templates are fixed
+    candidates = blocks[0].union(blocks[1]).select("doc_id", "row", "step", "block", F.array_intersect(_strings(order), F.col("part")).alias("part"))
+    tried = candidates.select("doc_id", "row", "step", "block", "part", F.posexplode("part").alias("j", "word")).join(F.broadcast(keys), ["word", "step"])  # the templates are fixed
     tried = tried.filter((F.size("part") >= F.col("need")) & (1 + F.least(F.size("tokens") - F.col("i") - 1, F.size("part") - F.col("j") - 1) >= F.col("need")))
     shared = F.size(F.array_intersect("part", "tokens"))
     return tried.filter(shared >= F.col("need")).select("doc_id", "row", "label", (shared / F.size("tokens")).alias("containment"))
@@ -113,11 +188,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     block reaches, else 0. Null and empty texts have no words. Repeated rows give a row each, a null
     id stays null, other columns are not read.
     """
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), _lowered(F.col(text_col)).alias("low"))
-    rows = plain.withColumn("words", _words(F.col("low")))
-    blocks = _lineage.cut(similar_blocks(rows, _ordered(rows)).groupBy("doc_id", "row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment")))
-    base = _phrase_places(rows).select("doc_id", "row", "n_words", "places")
-    out = base.alias("r").join(blocks.alias("b"), F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.row") == F.col("b.row")), "left")
+    rows = _lineage.table(digested(docs, id_col, text_col))
+    blocks = similar_blocks(rows, _ordered(rows)).groupBy("doc_id", "row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    out = rows.select("doc_id", "row", "n_words", "places").alias("r").join(blocks.alias("b"), F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.row") == F.col("b.row")), "left")
     labels = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     starts = F.transform("places", lambda p: p["start"].cast("bigint"))
     every = F.array_sort(F.array_union(labels, F.coalesce("found", F.array().cast("array<string>"))))

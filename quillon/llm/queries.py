@@ -78,22 +78,23 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
-_TEMPLATE_ROWS = ", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in license_scan.TEMPLATES)
+_TEMPLATE_ROWS = ", ".join(f"({n}, '{label}', {step}, {license_scan.need(len(words))}, {words})" for n, (label, step, words) in enumerate(license_scan.template_sets()))
 _PHRASE_ROWS = ", ".join(f"('{label}', string_split('{words}', ' '))" for words, label in license_scan.PHRASES)
 
 ORACLE_SQL["op5_license_scan"] = rf"""
-WITH low AS (SELECT doc_id, {_LOWER} AS low FROM documents),
-w AS (SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 phrases(label, p) AS (VALUES {_PHRASE_ROWS}),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS start FROM w, phrases
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY 1
-), blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(regexp_replace(low, '([.!?;])[\x20\t]+', E'\\1\n', 'g'), E'\n')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM low
-), templates(label, t) AS (VALUES {_TEMPLATE_ROWS}),
-held AS (SELECT doc_id, label, len(list_intersect(b, t)) * 1.0 / len(t) AS share FROM blocks, templates WHERE list_has_any(b, t)),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM held WHERE share >= {license_scan.CONTAINMENT} GROUP BY 1)
+), templates(nth, label, step, need, t) AS (VALUES {_TEMPLATE_ROWS}),
+word_of AS (SELECT nth, label, step, need, len(t) AS size, unnest(t) AS word FROM templates),
+spot AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM w),
+hit AS (SELECT doc_id, nth, label, need, size, word, i // step AS block FROM spot JOIN word_of USING (word)),
+pair AS (SELECT * FROM hit UNION ALL SELECT doc_id, nth, label, need, size, word, block - 1 FROM hit WHERE block > 0),
+held AS (SELECT doc_id, nth, label, need, size, block, count(DISTINCT word) AS n FROM pair GROUP BY ALL),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n * 1.0 / size) AS share FROM held WHERE n >= need GROUP BY 1)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,

@@ -1,16 +1,21 @@
 """Personal data and the terms that reveal it; DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers, found by patterns
-and checked (parts, digits, Luhn). On top of them comes information-theoretic sanitisation: the
-words around a protected value, over the distinct contexts of the whole corpus, estimate how much
-of the value's information a term discloses,
+and checked (parts, digits, Luhn). Added to them are secrets: values with digits of 16 characters
+and more after a word like "token" and an equals sign or colon.
 
-    disclosure(e, t) = PMI(e; t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e)),
+On top comes information-theoretic sanitisation. Protected entities are the kinds themselves and
+every normalised value. The words within CONTEXT code points of an entity are its terms, and how
+much of the entity's information a term discloses is estimated over the whole corpus:
 
-with N documents, n(e) distinct contexts of the value, n(e,t) those that hold the term, and n(t) the
-documents of the corpus that hold it. Terms that reach the threshold in enough distinct contexts
-are spans of kind "term" wherever they stand near that value. Contexts are made distinct first, so
-copies of a document count once and a value that a third of all rows hold is pre-aggregated.
+    disclosure(e, t) = log2(P(e|t) / P(e)) / log2(1 / P(e)),
+    P(e|t) = (c n(e,t) / n(t) + PRIOR P(e)) / (c + PRIOR),    P(e) = n(e) / N,
+
+with N documents, n(e) that hold the entity, n(t) that hold the term anywhere, n(e,t) that hold the
+term near the entity, and c distinct contexts that hold both: the estimate is shrunk to P(e) by the
+evidence there is, so that copies of a document are no evidence and a word seen once tells nothing.
+Terms of SUPPORT contexts that reach DISCLOSURE are spans of kind "term", wherever they stand in a
+document that holds the entity.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_SECRET_NAME = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\x22']?[\x20\t]{0,2}[:=]"
+SECRET = rf"(?<={_SECRET_NAME}{{1,2}}[\x20\t]{{0,2}}[\x22']?)(?=[A-Za-z+/_=-]{{0,64}}[0-9])[A-Za-z0-9+/_=-]{{16,}}+"
+#: All kinds that are protected, and what the method adds to the base.
+PROTECTED = (*KINDS, "secret")
 TERM = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}_'-]++"
 #: Code points looked at on either side of a value.
 CONTEXT = 60
-#: Share of a value's information from which a term discloses it, and the least distinct contexts.
-DISCLOSURE, SUPPORT = 0.8, 3
+#: Share of an entity's information from which a term discloses it, the least distinct contexts, and the weight of P(e).
+DISCLOSURE, SUPPORT, PRIOR = 0.8, 2, 3.0
 #: At most so many terms are broadcast, about 100 bytes each; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+_SPANS, _PLACES = "array<struct<s:int,e:int,m:string>>", "array<struct<s:int,e:int>>"
 
 
 def _valid(kind: str, m: F.Column) -> F.Column:
@@ -59,86 +69,98 @@ def _placed(text: F.Column, pattern: str, valid) -> F.Column:
     """Array of (s, e, m): code-point spans of the matches of a pattern that are valid, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    total = lambda lengths, n: F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x)
-    kept = F.filter(F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda x: valid(x["m"]))
-    start = lambda x: total(gaps, x["i"] + 1) + total(F.transform(found, F.length), x["i"])
-    spans = F.transform(F.transform(kept, lambda x: F.struct(x["m"].alias("m"), start(x).alias("s"))), lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(F.size(found) > 0, spans).otherwise(none)
-
-
-def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with an array of (s, e, m) for each base kind; a null text has none."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # Two steps, so that what is found is found once.
-    hint = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.contains("+")}
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return docs.withColumns({kind: F.when(hint[kind], _placed(text, pattern, lambda m, k=kind: _valid(k, m))).otherwise(none) for kind, pattern in KINDS.items()})
-
-
-def _contexts(rows: DataFrame) -> DataFrame:
-    """doc_id, row, value, at, words of both sides of every base span (at: where a side starts)."""
-    every = F.flatten(F.array(*(F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["m"]).alias("m"))) for k in KINDS)))
-    rows = rows.filter(sum((F.size(k) for k in KINDS), F.lit(0)) > 0).select("doc_id", "row", "text", F.explode(every).alias("x"))
-    # A side starts or ends at the value; a word cut by the other end of the side is left out.
+    # Where each match starts: lengths of what lies before and of the matches, summed once.
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(steps, begin, lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")), lambda a: a["starts"])
+    spans = F.zip_with(found, starts, lambda m, s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
+    return F.when(F.size(found) > 0, F.filter(spans, lambda x: valid(x["m"]))).otherwise(F.array().cast(_SPANS))
+
+
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """The rows (text not null) with an array of (s, e, m) for each protected kind."""
+    text = F.col("text")
+    hint = {
+        "email": text.contains("@"),
+        "ip": text.rlike(r"[0-9]\.[0-9]"),
+        "card": text.rlike(r"[0-9][\x20-]?[0-9]"),
+        "phone": text.contains("+"),
+        "secret": (text.contains("=") | text.contains(":")) & text.rlike(_SECRET_NAME),
+    }
+    patterns = KINDS | {"secret": SECRET}
+    return rows.withColumns({k: F.when(hint[k], _placed(text, p, lambda m, k=k: _valid(k, m))).otherwise(F.array().cast(_SPANS)) for k, p in patterns.items()})
+
+
+def _contexts(held: DataFrame) -> DataFrame:
+    """doc_id, row, kind, value, context, words around every span of the rows of `held` (doc_id, row, text, spans)."""
+    rows = held.select("doc_id", "row", "text", F.explode("spans").alias("x"))
+    # A word cut by the far end of a side is left out.
     lo = F.greatest(F.col("x.s") - CONTEXT, F.lit(0))
     left = F.substring("text", lo + 1, F.col("x.s") - lo)
-    cut = F.when(lo > 0, F.length(F.regexp_extract(left, r"^[\p{L}\p{M}\p{N}_'-]+", 0))).otherwise(0)
     right = F.substring("text", F.col("x.e") + 1, F.lit(CONTEXT))
-    right = F.when(F.length("text") > F.col("x.e") + CONTEXT, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}_'-]+$", "")).otherwise(right)
-    sides = F.array(F.struct((lo + cut).alias("at"), F.substring(left, cut + 1, F.length(left)).alias("side")), F.struct(F.col("x.e").alias("at"), right.alias("side")))
-    rows = rows.select("doc_id", "row", F.col("x.m").alias("value"), F.xxhash64(left, right).alias("context"), F.explode(sides).alias("z"))
-    return rows.select("doc_id", "row", "value", "context", "z.at", "z.side")
+    near = F.when(lo > 0, F.regexp_replace(left, r"^[\p{L}\p{M}\p{N}_'-]+", "")).otherwise(left)
+    after = F.when(F.length("text") > F.col("x.e") + CONTEXT, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}_'-]+$", "")).otherwise(right)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat(near, F.lit(" "), after)), F.lit(TERM), F.lit(0)))
+    return rows.select("doc_id", "row", "x.kind", F.lower("x.m").alias("value"), F.xxhash64(left, right).alias("context"), words.alias("words"))
 
 
 def disclosing_terms(docs: DataFrame, contexts: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """value, term, disclosure of the terms that reveal a value, counted over all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("side"), F.lit(TERM), F.lit(0)))
-    once = contexts.select("value", "context", "side").distinct()
-    pairs = once.select("value", "context", F.explode(words).alias("term")).distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
-    pairs = _lineage.cut(pairs.filter(F.col("n_both") >= support))
-    if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit(0.0).alias("disclosure"))
-    n_value = contexts.select("value", "context").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    """entity, term, disclosure of the terms that reveal an entity (kind, or kind:value), counted over all documents."""
+    flat = contexts.select("doc_id", "row", "context", "words", F.explode(F.array("kind", F.concat_ws(":", "kind", "value"))).alias("entity"))
+    terms = flat.select("entity", "doc_id", "row", "context", F.explode("words").alias("term"))
+    seen = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
+    seen = _lineage.table(seen.filter(F.col("c") >= support))
     n_docs = docs.count()
-    # A term is in as many documents at least as it has documents among the contexts. Pairs that this
-    # bound keeps below the threshold are settled, and their (common) terms need no count.
-    near = contexts.select("doc_id", "row", F.explode(words).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    most = F.log2(F.col("n_both") * n_docs / (F.col("n_value") * F.col("n_near"))) / F.nullif(F.log2(n_docs / F.col("n_value")), F.lit(0.0))
-    pairs = _lineage.cut(pairs.join(n_value, "value").join(near, "term").filter(most >= disclosure).select("value", "term", "n_both", "n_value"))
+    n_entity = flat.select("entity", "doc_id", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = terms.join(seen, ["entity", "term"]).select("entity", "term", "c", "doc_id", "row").distinct().groupBy("entity", "term", "c").agg(F.count("*").alias("n_both"))
+    before = F.least(F.col("n_entity") / n_docs, F.lit(1.0))
+
+    def reached(share: F.Column) -> F.Column:
+        given = (F.col("c") * F.least(share, F.lit(1.0)) + PRIOR * before) / (F.col("c") + PRIOR)
+        return F.when(before < 1, F.log2(given / before) / F.log2(1 / before)).otherwise(0.0)
+
+    # A term is in as many documents at least as it is near the entity in; what cannot reach the threshold needs no count.
+    pairs = _lineage.table(both.join(n_entity, "entity").filter(reached(F.lit(1.0)) >= disclosure))
     asked = _lineage.cut(pairs.select("term").distinct())
     side = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(side, "term")
     held = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    both = pairs.join(held, "term")
-    pmi = F.log2(F.col("n_both") * n_docs / (F.col("n_value") * F.greatest("n_term", "n_both")))
-    ic = F.log2(n_docs / F.col("n_value"))
-    return both.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= disclosure).select("value", "term", "disclosure")
+    both = pairs.join(held, "term").withColumn("disclosure", reached(F.col("n_both") / F.col("n_term")))
+    return both.filter(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
+
+
+def term_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, row, term: the spans of disclosing terms in documents that hold what they reveal, for those that have any."""
+
+    def named(kind: str) -> F.Column:
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+
+    every = F.flatten(F.array(*map(named, PROTECTED)))
+    held = _lineage.table(_with_spans(rows).filter(sum((F.size(k) for k in PROTECTED), F.lit(0)) > 0).select("doc_id", "row", "text", every.alias("spans")))
+    found = _lineage.cut(disclosing_terms(rows, _lineage.table(_contexts(held))).select("entity", "term"))
+    entities = F.array_union(F.transform("spans", lambda x: x["kind"]), F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["m"]))))
+    words = held.select("doc_id", "row", "spans", entities.alias("entities"), F.explode(_placed(F.col("text"), TERM, lambda m: F.lit(True))).alias("w"))
+    words = words.withColumn("term", F.lower("w.m")).join(found, "term").filter(F.array_contains("entities", F.col("entity")))
+    words = words.filter(~F.exists("spans", lambda x: (x["s"] < F.col("w.e")) & (F.col("w.s") < x["e"])))
+    return words.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("w.s", "w.e"))).alias("term"))  # at most the words of one document
 
 
-def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, row, term: the spans of disclosing terms near the values they reveal, for documents that have any."""
-    contexts = _lineage.table(_contexts(rows))
-    found = disclosing_terms(docs, contexts)
-    placed = _placed(F.lower("side"), TERM, lambda m: F.lit(True))
-    near = contexts.join(found.select("value").distinct(), "value", "left_semi")
-    near = near.select("doc_id", "row", "value", "at", F.explode(placed).alias("w")).select("doc_id", "row", "value", F.col("w.m").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e"))
-    near = near.join(found.select("value", "term"), ["value", "term"])
-    return near.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("term"))  # at most the words of one document
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """user (a struct of all columns), text (null as empty), and the spans of every kind, term last."""
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("user"), F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    terms = term_spans(plain.select("doc_id", "row", "text"))
+    joined = _with_spans(plain).alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.row") == F.col("t.row")), "left")
+    return joined.select("user", "text", *PROTECTED, F.coalesce("term", F.array().cast(_PLACES)).alias("term"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, and email, ip, card, phone, term: arrays of spans (s, e: code points, end exclusive).
+    """All columns of `docs`, and email, ip, card, phone, secret, term: arrays of spans (s, e: code points, end exclusive).
 
     Columns of these names are replaced. Null and empty texts have no spans. Repeated rows, and rows
     with a null id, are told apart by their text and each get their spans. An empty table gives no rows.
     """
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in (*KINDS, "term")))
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    terms = term_spans(plain, base_spans(plain)).select(F.col("doc_id").alias("_term_id"), F.col("row").alias("_term_row"), "term")
-    found = base_spans(docs, text_col).withColumns({"_id": F.col(id_col).cast("bigint"), "_row": F.xxhash64(text_col)})
-    joined = found.join(terms, F.col("_id").eqNullSafe(F.col("_term_id")) & (F.col("_row") == F.col("_term_row")), "left")
-    return joined.drop("_id", "_row", "_term_id", "_term_row").withColumn("term", F.coalesce("term", F.array().cast("array<struct<s:int,e:int>>")))
+    own = [c for c in docs.columns if c.lower() not in (*PROTECTED, "term")]
+    return _found(docs, id_col, text_col).select(*(F.col("user").getField(c).alias(c) for c in own), *PROTECTED, "term")
 
 
 def listed(kinds: list[str]) -> F.Column:
@@ -151,31 +173,35 @@ def listed(kinds: list[str]) -> F.Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term of every row."""
     found = find(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(list(KINDS)), 256).alias("base_sha256"), listed([*KINDS, "term"]).alias("spans"))
+    more = [F.size(k).cast("bigint").alias(f"n_{k}") for k in ("secret", "term")]
+    return found.select("doc_id", *counts, F.sha2(listed(list(KINDS)), 256).alias("base_sha256"), listed([*PROTECTED, "term"]).alias("spans"), *more)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the same columns, every span of the text replaced by its kind in brackets; a null text stays null.
 
-    Spans that overlap are replaced as one, by the kind of the one that starts first (then by kind as listed).
+    Spans that overlap are replaced as one, by the kind of the one that starts first (then by kind
+    as listed). No other column changes, whatever its name.
     """
-    found = find(docs, id_col, text_col)
-    kinds = [*KINDS, "term"]
+    found = _found(docs, id_col, text_col)
+    kinds = [*PROTECTED, "term"]
 
     def one(n: int, kind: str) -> F.Column:
         return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("n"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
     spans = F.array_sort(F.flatten(F.array(*(one(n, k) for n, k in enumerate(kinds)))))
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("t"))
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("t"))
 
     def step(a: F.Column, x: F.Column) -> F.Column:
-        more = F.concat(a["t"], F.substring(text, a["p"] + 1, x["s"] - a["p"]), x["k"])
+        more = F.concat(a["t"], F.array(F.substring(text, a["p"] + 1, x["s"] - a["p"]), x["k"]))
         return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.when(x["s"] >= a["p"], more).otherwise(a["t"]).alias("t"))
 
-    masked = F.aggregate(spans, start, step, lambda a: F.concat(a["t"], F.substring(text, a["p"] + 1, F.length(text))))
+    masked = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["t"], ""), F.substring(text, a["p"] + 1, F.length(text))))
+    old = F.col("user").getField(text_col)
     any_span = sum((F.size(k) for k in kinds), F.lit(0)) > 0
-    return found.withColumn(text_col, F.when(any_span & text.isNotNull(), masked).otherwise(text)).select(docs.columns)
+    clean = F.when(any_span & old.isNotNull(), masked).otherwise(old)
+    return found.select(*((clean if c == text_col else F.col("user").getField(c)).alias(c) for c in docs.columns))

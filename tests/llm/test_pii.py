@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -48,19 +49,82 @@ def test_base_spans_as_python(spark):
         listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert rows[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), (t or "")[:200]
         assert (rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone) == tuple(sum(k == x for k, _, _ in want) for x in PATTERNS)
-        assert ",".join(s for s in rows[i].spans.split(",") if not s.startswith("term")) == listed
+        assert ",".join(s for s in rows[i].spans.split(",") if not s.startswith(("term", "secret"))) == listed
+
+
+SECRET = re.compile(r"(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]{0,2}[:=]{1,2}[ \t]{0,2}[\"']?)((?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,})")
+WORD = re.compile(r"[^\W\d_][\w'-]+")
+
+
+def brute_terms(rows):
+    """The term spans of (doc_id, text) rows by plain counting."""
+    held, near, contexts = {}, {}, {}
+    spans = {}
+    for d, t in rows:
+        own = brute(t) + [("secret", m.start(1), m.end(1)) for m in SECRET.finditer(t)]
+        spans[d] = own
+        for kind, s, e in own:
+            lo = max(0, s - 60)
+            left, right = t[lo:s], t[e : e + 60]
+            words = re.sub(r"^[\w'-]+", "", left) if lo else left
+            words += " " + (re.sub(r"[\w'-]+$", "", right) if len(t) > e + 60 else right)
+            for entity in (kind, f"{kind}:{t[s:e].lower()}"):
+                held.setdefault(entity, set()).add(d)
+                for w in {x.lower() for x in WORD.findall(words)}:
+                    near.setdefault((entity, w), set()).add(d)
+                    contexts.setdefault((entity, w), set()).add((left, right))
+    holds = {d: {x.lower() for x in WORD.findall(t)} for d, t in rows}
+    found = set()
+    for (entity, w), docs in near.items():
+        c, p = len(contexts[entity, w]), len(held[entity]) / len(rows)
+        given = (c * len(docs) / sum(w in h for h in holds.values()) + 3 * p) / (c + 3)
+        if c >= 2 and p < 1 and math.log2(given / p) / math.log2(1 / p) >= 0.8:
+            found.add((entity, w))
+    out = {}
+    for d, t in rows:
+        entities = {k for k, _, _ in spans[d]} | {f"{k}:{t[s:e].lower()}" for k, s, e in spans[d]}
+        out[d] = sorted({m.span() for m in WORD.finditer(t) if any((x, m[0].lower()) in found for x in entities) and not any(s < m.end() and m.start() < e for _, s, e in spans[d])})
+    return out
+
+
+def test_terms_as_by_plain_counting(spark):
+    r = random.Random(8)
+    common, rare = [f"w{c}ord" for c in "abcdefghijklmnop"], [f"rare{c}" for c in "abcdefgh"]
+    values = ["a.b@c.de", "x@mail.org", "12.13.14.15", "+49 30 1234567", 'token = "0123abcdef0123abcdef"', "api-key: zzzz1111zzzz1111"]
+    rows = []
+    for i in range(220):
+        words = [r.choice(common) for _ in range(r.randint(1, 60))]
+        if r.random() < 0.3:
+            n = r.randrange(len(values))
+            words[r.randrange(len(words))] = values[n] + " " + (rare[n] if r.random() < 0.9 else r.choice(rare))
+            words.append(r.choice([rare[n], "Rare" + rare[n][4:].upper(), "end"]))
+        elif r.random() < 0.1:
+            words.append(r.choice(rare))
+        rows.append((i, r.choice([" ", ", ", "\n"]).join(words)))
+    rows += [(300 + i, rows[i][1]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_terms(rows)
+    got = {x.doc_id: [(y.s, y.e) for y in x.term] for x in pii.find(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
 
 
 def test_terms_that_reveal_a_value(spark):
-    texts = [f"note {'abcdefgh'[i]} from Zorblax at zz@corp.org number {'ijklmnop'[i]}" for i in range(6)] + ["note from someone at home, number of days"] * 40 + ["mail other@corp.org now"] * 5
+    texts = [f"note {'abcdefgh'[i]} from Zorblax at zz@corp.org number {'ijklmnop'[i]}, and far from there, after a good many other words of no weight, {'Zorblax' if i else 'nobody'} again" for i in range(6)]
+    texts += ["note from someone at home, number of days"] * 40 + ["mail other@corp.org now"] * 5 + ['the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" is set']
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {x.doc_id: x for x in pii.find(docs).collect()}
     for i in range(6):
-        spans = {texts[i][s.s : s.e] for s in rows[i].term}
-        assert "Zorblax" in spans and not spans & {"note", "from", "number", "at"}
+        spans = [texts[i][s.s : s.e] for s in rows[i].term]
+        assert spans.count("Zorblax") == (2 if i else 1) and not set(spans) & {"note", "from", "number", "at"}
     assert all(not rows[i].term for i in range(6, len(texts)))
     clean = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
-    assert clean[0] == "note a from [TERM] at [EMAIL] number i" and clean[10] == texts[10] and clean[47] == "mail [EMAIL] now"
+    assert clean[0].startswith("note a from [TERM] at [EMAIL] number i") and clean[10] == texts[10] and clean[47] == "mail [EMAIL] now" and clean[51] == 'the token = "[SECRET]" is set'
+
+
+def test_columns_with_names_of_the_operator(spark):
+    docs = spark.createDataFrame([(1, "a@b.cd x", "mine", 7, "r", 5, "t", "s")], "doc_id long, text string, email string, _id int, _row string, row int, term string, spans string")
+    assert [tuple(x) for x in pii.sanitise(docs).collect()] == [(1, "[EMAIL] x", "mine", 7, "r", 5, "t", "s")]
+    assert pii.find(docs).columns == ["doc_id", "text", "_id", "_row", "row", "spans", "email", "ip", "card", "phone", "secret", "term"]
 
 
 def test_edge_rows(spark):

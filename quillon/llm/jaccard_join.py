@@ -1,17 +1,21 @@
 """Exact n-gram Jaccard join by count vectors in R-trees.
 
 A document is the set of its distinct word n-grams, hashed to 64 bits. Two documents link when
-their Jaccard similarity reaches num/den. The shingles of a set are hashed into GROUPS groups, and
+their Jaccard similarity reaches num/den. The shingles of a set are hashed into groups, and
 the counts of the groups are the set's point. The sum of coordinate minima of two points bounds the
 overlap of their sets; with the upper corner of an R-tree node it bounds the overlap with every set
-below the node. Candidates are what the tree finds by this bound, and only they are verified.
+below the node. Candidates are what the tree finds by this bound, and only they are verified. Long
+sets have more groups, as the bound tells little where a group holds many shingles; sets of several
+lengths are compared by the groups of the shortest, into which those of the longer ones are added up.
 
 Points are dealt to trees in two ways, both exact at every threshold:
 
 Buckets. Shingles are ordered by how often they occur in the corpus, rarest first. Of two sets that
 link, each holds the other's overlap, so the first n - ceil(n num/den) + 1 shingles of each have
-one in common. Distinct sets (copies are one) send these shingles, those that no other set sends
-are dropped, and the points of each remaining shingle are searched through a tree. Pairs that pass
+one in common. Distinct sets (copies are one) send these shingles. Those that no other set sends
+are dropped, and of shingles that the same sets send one is enough (as a rule a passage has many);
+sender lists are told apart by count, smallest sender and a 64-bit hash. The points of each
+remaining shingle are searched through a tree. Pairs that pass
 the bound tie sets into clusters, which no link leaves. As common shingles come last, a passage that
 a third of all documents hold opens a bucket only where a document has hardly anything else; such
 shingles tie all their sets by partial aggregation, without a bucket.
@@ -36,16 +40,18 @@ from pyspark.sql import functions as F
 from quillon.llm import _batches, _components, _lineage
 
 CACHE_WORDS = 300_000
-#: Coordinates of a point, and entries of an R-tree node.
-GROUPS, NODE = 64, 16
+#: Groups of a set of at most GROUPS * FILL shingles; longer sets have 4, 16, ... times as many.
+GROUPS, FILL = 64, 16
+#: Entries of an R-tree node.
+NODE = 16
 #: Counters of the shingle frequencies (a power of two), and those in one row of the aggregation.
 COUNTERS, CHUNK = 1 << 20, 4096
 #: Sets of a shingle that are searched in one task; more are tied without a search.
 BUCKET = 2_000
 #: At most so many frequent shingles are broadcast, 24 bytes each; more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
-#: Pairs of points that a search looks at together.
-PAIRS = 60_000
+#: Coordinates that a search looks at together.
+CELLS = 4_000_000
 #: Shingles that a task holds at once; larger clusters are split.
 BLOCK_SHINGLES = 1_500_000
 PIVOTS = 8
@@ -143,17 +149,25 @@ def prefix(s: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarr
     return s[np.argsort(frequency[_counter(s)], kind="stable")[:n]]
 
 
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """0 for sets of at most GROUPS * FILL shingles, 1 up to four times as many, and so on."""
+    return np.searchsorted(GROUPS * FILL * 4 ** np.arange(20), sizes)
+
+
 def point(s: np.ndarray) -> bytes:
     """Counts of a set's groups, packed in one, two or four bytes each."""
-    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    groups = GROUPS * 4 ** int(length_class(np.array(len(s))))
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     top = counts.max()
     return counts.astype("<u4" if top > 0xFFFF else "<u2" if top > 0xFF else "u1").tobytes()
 
 
-def _points(packed: list[bytes]) -> np.ndarray:
-    if all(len(p) == GROUPS for p in packed):
-        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    return np.array([_unpacked(p, GROUPS) for p in packed], np.int32)
+def _points(packed: list[bytes], classes: np.ndarray, to: int) -> np.ndarray:
+    """Counts in the groups of class `to`, at most the class of each."""
+    groups = GROUPS * 4**to
+    if not classes.any() and all(len(p) == groups for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, groups).astype(np.int32)
+    return np.array([_unpacked(p, GROUPS * 4 ** int(c)).astype(np.int32).reshape(-1, groups).sum(0) for p, c in zip(packed, classes, strict=True)], np.int32)
 
 
 def _describe(ngram: int, num: int, den: int, frequency: np.ndarray):
@@ -225,32 +239,35 @@ class RTree:
         return query, self.order[entry]
 
 
-def connect(counts: np.ndarray, sizes: np.ndarray, num: int, den: int, verify: Callable[[int, np.ndarray], np.ndarray] | None = None, probes: np.ndarray | None = None) -> np.ndarray:
-    """A label per point, equal for those that pairs connect; with `probes`, only their pairs are sought.
+def connect(packed: list[bytes], sizes: np.ndarray, num: int, den: int, verify: Callable[[int, np.ndarray], np.ndarray] | None = None, probes: np.ndarray | None = None) -> np.ndarray:
+    """A label per point, equal for those that pairs connect; with `probes` (a mask), only their pairs are sought.
 
-    Pairs are the tree's, or of these the ones that `verify` (row, others -> linked) confirms.
+    Pairs are those of the trees, or of these the ones that `verify` (row, others -> linked) confirms.
+    There is a tree for each class of lengths, with the longer sets that can link with one of the class.
     """
-    label, tree = np.arange(len(sizes)), RTree(counts, sizes)
-    asked, at, step = np.arange(len(sizes)) if probes is None else probes, 0, 1
-    most = max(1, PAIRS // len(sizes))
-    while at < len(asked):
-        rows = asked[at : at + step]
-        query, found = tree.search(counts[rows], sizes[rows], num, den)
-        for k in np.unique(query).tolist():
-            i, others = rows[k], found[query == k]
-            others = others[label[others] != label[i]]
-            if len(others) and verify is not None:
-                others = others[verify(i, others)]
-            if len(others):
-                label[np.isin(label, label[others])] = label[i]
-        at, step = at + step, min(most, 2 * step)
-        if (label == label[0]).all():
-            break
+    label, classes = np.arange(len(sizes)), length_class(sizes)
+    for c in np.unique(classes).tolist():
+        part = np.flatnonzero((classes == c) | ((classes > c) & (num * sizes <= den * GROUPS * FILL * 4**c)))
+        counts, n = _points([packed[i] for i in part], classes[part], c), sizes[part]
+        tree, at, step = RTree(counts, n), 0, 1
+        asked = np.arange(len(part)) if probes is None else np.flatnonzero(probes[part])
+        most = max(1, CELLS // counts.size)
+        while at < len(asked) and not (label[part] == label[part[0]]).all():
+            rows = asked[at : at + step]
+            query, found = tree.search(counts[rows], n[rows], num, den)
+            for k in np.unique(query).tolist():
+                i, others = part[rows[k]], part[found[query == k]]
+                others = others[label[others] != label[i]]
+                if len(others) and verify is not None:
+                    others = others[verify(i, others)]
+                if len(others):
+                    label[np.isin(label, label[others])] = label[i]
+            at, step = at + step, min(most, 2 * step)
     return label
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, probes: np.ndarray | None = None) -> np.ndarray:
-    """A label per set, equal for sets that links connect; with `probes`, only their links are sought."""
+    """A label per set, equal for sets that links connect; with `probes` (a mask), only their links are sought."""
     sizes = np.array([len(s) for s in sets])
     flat, starts = np.concatenate(sets), np.append(0, np.cumsum(sizes))
 
@@ -260,7 +277,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, probes: np.ndarray | None
         shared = np.add.reduceat(sets[i][at] == pick, np.append(0, np.cumsum(sizes[rows])[:-1]), dtype=np.int64)
         return (num + den) * shared >= num * (sizes[i] + sizes[rows])
 
-    return connect(_points([point(s) for s in sets]), sizes, num, den, verify, probes)
+    return connect([point(s) for s in sets], sizes, num, den, verify, probes)
 
 
 def _bounds(key: np.ndarray) -> np.ndarray:
@@ -272,16 +289,21 @@ def _tied(num: int, den: int):
     """Pairs (a, b) that tie the sets of each shingle by the bound; the rows come sorted by shingle."""
 
     def edges(token: np.ndarray, ids: np.ndarray, n: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
-        counts, at = _points(packed), _bounds(token)
+        at, classes = _bounds(token), length_class(n)
         first = np.repeat(at[:-1], np.diff(at))
+        # All short sets are compared with the first of their shingle at once.
+        short = np.maximum.reduceat(classes, at[:-1]) == 0
+        rows = np.flatnonzero(np.repeat(short, np.diff(at)))
+        counts = np.zeros((len(n), GROUPS), np.int32)
+        counts[rows] = _points([packed[i] for i in rows], classes[rows], 0)
         fits = (num + den) * np.minimum(counts, counts[first]).sum(1, dtype=np.int64) >= num * (n + n[first])
         a, b = [ids[first[fits]]], [ids[fits]]
         failed = np.add.reduceat(~fits, at[:-1])
-        for k in np.flatnonzero((failed > 0) & (np.diff(at) > 2)).tolist():
-            rows = slice(at[k], at[k + 1])
-            label = connect(counts[rows], n[rows], num, den)
-            a.append(ids[rows][label])
-            b.append(ids[rows])
+        for k in np.flatnonzero((failed > 0) & ((np.diff(at) > 2) | ~short)).tolist():
+            start, end = at[k : k + 2].tolist()
+            label = connect(packed[start:end], n[start:end], num, den)
+            a.append(ids[start:end][label])
+            b.append(ids[start:end])
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -312,8 +334,8 @@ def _linker(ngram: int, num: int, den: int):
         a, b = [], []
         for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             sets = list(shingler.sets([t.encode("utf-8", "surrogatepass") for t in texts[start:end]]))
-            probes = np.flatnonzero(probe[start:end])
-            label = linked(sets, num, den, probes if len(probes) else None)
+            probes = probe[start:end].astype(bool)
+            label = linked(sets, num, den, probes if probes.any() else None)
             a.append(names[start:end])
             b.append(names[start:end][label])
         links = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -329,7 +351,8 @@ def _compare(rows: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
 def _clusters(nodes: DataFrame, num: int, den: int, bucket: int) -> DataFrame:
     """node, root of the sets that the bound ties to another one."""
     sent = nodes.select("set_id", F.explode("prefix").alias("token"))
-    stats = _lineage.table(sent.groupBy("token").agg(F.count("*").alias("m"), F.min("set_id").alias("first")).filter("m > 1"))
+    stats = sent.groupBy("token").agg(F.count("*").alias("m"), F.min("set_id").alias("first"), F.bit_xor(F.xxhash64("set_id")).alias("senders")).filter("m > 1")
+    stats = _lineage.table(stats.groupBy("m", "first", "senders").agg(F.min("token").alias("token")))
     heavy = _lineage.cut(stats.filter(F.col("m") > bucket).select("token", "first"))
     few = heavy.count() <= BROADCAST_SHINGLES
     side = F.broadcast(heavy) if few else heavy

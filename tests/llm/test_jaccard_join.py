@@ -101,6 +101,22 @@ def test_tree_finds_what_the_bound_lets_through():
         assert got == set(zip(*(x.tolist() for x in np.nonzero(want))))
 
 
+@pytest.mark.parametrize(("num", "bucket"), [(80, 2_000), (90, 3)])
+def test_long_sets_link_over_the_classes_of_lengths(spark, num, bucket):
+    r = random.Random(num)
+    top = jaccard_join.GROUPS * jaccard_join.FILL
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, common = [], [word() for _ in range(300)]
+    for n in (top - 60, top + 50, 4 * top + 20, 4 * top + 900):
+        base = [word() for _ in range(n)]
+        texts += [base] + [base[: n - r.randint(0, 200)] for _ in range(3)] + [[w if r.random() > 0.02 else word() for w in base]]
+        texts += [common + [word() for _ in range(n)] for _ in range(3)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.components(docs, 3, num, 100, bucket=bucket).collect()}
+    assert got == brute(rows, 3, num)
+
+
 def test_looked_up_with_heavy_keys(spark, monkeypatch):
     monkeypatch.setattr(_components, "HEAVY", 2)
     rows = spark.createDataFrame([(i, k) for i, k in enumerate([1, 1, 1, 1, 2, 3, None, None])], "i int, k long")

@@ -16,14 +16,16 @@ from quillon.llm import _lineage, decontaminate, jaccard_join, packing, pii, qua
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels, does not reject; a null text is scored as an empty one."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
+    scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return scored.filter(F.col("quality_score") >= quality.THRESHOLD).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group (five words, similarity 0.8).
 
     Texts without words are in no group and stay. Rows with one id are one document, of which the
-    row with the smallest text hash stays; rows with a null id stay.
+    row with the smallest text hash stays, then that with the smallest hash of all columns; rows
+    with a null id stay.
     """
     found = _lineage.cut(jaccard_join.components(docs, ngram=5, num=80, den=100))
     ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
@@ -32,7 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     many = _lineage.cut(ids.filter("n > 1").select("doc_id"))
     if many.isEmpty():
         return kept
-    row = F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")
+    row = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row")
     single = kept.join(many, "doc_id", "left_anti").select(docs.columns)
     return single.unionByName(kept.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*"))
 

@@ -10,8 +10,9 @@ by document and position, stays, and the sentences that any later place covers a
 A run whose two parts, without its last and without its first sentence, are runs too is not hashed:
 where it repeats, both parts repeat and cover it. That leaves a few runs a sentence. Only DataFrame
 functions are used. Hashes are counted with partial aggregation before the shuffle, and only hashes
-seen twice are joined back, so a passage that a third of all documents share is one row on the small
-side of that join. A stretch that is cut inside sentences is found by the whole sentences in it only.
+seen twice are joined back. Frequent ones, as of a passage that a third of all documents share, are
+broadcast, so that their places stay where they are; the others meet by a shuffle. A stretch that is
+cut inside sentences is found by the whole sentences in it only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import _lineage
+from quillon.llm import _components, _lineage
 
 #: Least words of a run of four sentences and more.
 WORDS = 20
@@ -85,16 +86,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no sentences and stay empty. Other columns are not read.
     """
     seen = _lineage.table(places(docs, id_col, text_col))
-    again = seen.groupBy("hash").count().filter("count > 1").select("hash")
-    again = _lineage.table(seen.join(again, "hash", "left_semi").withColumn("last", F.col("doc_id").isNull()))
+    counts = _lineage.table(seen.groupBy("hash").count().filter("count > 1"))
+    again = _components.looked_up(seen, "hash", counts.withColumn("times", F.col("count")), "times", "count").filter("times is not null")
+    again = _lineage.table(again.withColumn("last", F.col("doc_id").isNull()))
     place = F.struct("last", "doc_id", "row", "at")
-    first = again.groupBy("hash").agg(F.min(place).alias("first"))
-    later = again.join(first, "hash").filter(~F.col("first").eqNullSafe(place))
+    first = _lineage.table(again.groupBy("hash").agg(F.min(place).alias("first"), F.first("times").alias("times")))
+    later = _components.looked_up(again.drop("times"), "hash", first, "first", "times").filter(~F.col("first").eqNullSafe(place))
     cut = later.select("doc_id", "row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("i")).distinct()
     cut = cut.groupBy("doc_id", "row").agg(F.collect_set("i").alias("removed"))  # at most the sentences of one document
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
     marked = rows.alias("r").join(cut.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.row") == F.col("c.row")), "left")
     marked = marked.select("r.doc_id", "text", F.coalesce(F.array_sort("removed"), F.array().cast("array<int>")).alias("removed"))
-    s = sentences(F.col("text"))
-    kept = F.when(F.size("removed") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(s, lambda x, i: ~F.array_contains("removed", i)), ""))
+    marked = marked.withColumn("s", sentences(F.col("text")))
+    s = F.col("s")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "removed")
+    kept = F.when(F.size("removed") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(s, i)), ""))
     return marked.select("doc_id", F.size(s).cast("bigint").alias("n_sentences"), F.size("removed").cast("bigint").alias("n_removed"), "removed", kept.alias("text"))

@@ -14,7 +14,6 @@ that neither a cell that holds a third of all rows nor one that most queries vis
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +44,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(v.isNotNull() & finite & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull())
 
 
+def _of_each_id(vectors: DataFrame) -> DataFrame:
+    """The smallest vector of each id, so that every step sees the same one."""
+    return vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def _matrix(column, width: int | None = None) -> np.ndarray:
     rows = [np.asarray(x, np.float64) for x in column]
     return np.stack(rows) if rows else np.zeros((0, width or 0))
@@ -192,25 +196,25 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "ve
 
     Nearest first, ties to the smaller vec_id. Fewer candidates than `k` give all. Vectors that are
     null, zero, hold null or non-finite components, or have no id take no part; of repeated ids one
-    row counts. All vectors must have one length. Other columns are not read.
+    row counts, that with the smallest vector. Vectors of another length than the commonest one take no
+    part. Other columns are not read.
     """
     base = usable(vectors, id_col, vector_col)
     # The sample's bound holds for the driver's table too.
     fitted = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("v").to_pylist()
     if not fitted:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    lengths = Counter(map(len, fitted))
-    dim = max(lengths, key=lambda n: (lengths[n], -n))
+    # The commonest length of all vectors, the smaller of two as common.
+    dim, rows = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     fitted = _matrix([x for x in fitted if len(x) == dim])
     base, queries = base.filter(F.size("v") == dim), queries.filter(F.size(vector_col) == dim)
-    rows = base.count()
     cells = int(max(1, min(2048, len(fitted) // 16, rows**0.5 / 2)))
     index = Index(_unit(fitted), cells)
     probes = int(min(cells, max(PROBE_LEAST, np.ceil(cells * PROBE_SHARE))))
     keep = RERANK * k
 
-    codes = _lineage.cut(base.dropDuplicates(["vec_id"]).mapInArrow(_coder(index), "vec_id bigint, cell int, code binary"))
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]).mapInArrow(_prober(index, probes), "query_id bigint, v array<double>, cells array<int>")
+    codes = _lineage.cut(_of_each_id(base).mapInArrow(_coder(index), "vec_id bigint, cell int, code binary"))
+    asked = _of_each_id(usable(queries, id_col, vector_col)).mapInArrow(_prober(index, probes), "query_id bigint, v array<double>, cells array<int>")
     asked = _lineage.cut(asked)
     visits = asked.select("query_id", F.explode("cells").alias("cell"))
     # Cells are dealt into tasks of bounded chunks of vectors and queries.
@@ -226,8 +230,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "ve
     best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
     found = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= keep).select("query_id", "vec_id")
 
-    ask = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = found.join(base.dropDuplicates(["vec_id"]), "vec_id").join(ask, "query_id").select("query_id", "vec_id", "q", "v")
+    ask = _of_each_id(usable(queries, id_col, vector_col)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = found.join(_of_each_id(base), "vec_id").join(ask, "query_id").select("query_id", "vec_id", "q", "v")
     exact = pairs.mapInArrow(_cosines, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

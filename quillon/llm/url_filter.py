@@ -34,14 +34,19 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumns({"host": host, "path": F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)})
 
 
+def refuse_malformed(rules: Sequence[tuple[str, str, str]]) -> None:
+    for verdict, host, path in rules:
+        if verdict not in ("allow", "block") or not host or not path.startswith("/"):
+            raise ValueError(f"not a rule: {(verdict, host, path)}")
+
+
 class Trie:
     """Nodes are [host children, path children, rule]; a rule is (text, verdict)."""
 
     def __init__(self, rules: Sequence[tuple[str, str, str]]):
         self.root: list = [{}, None, None]
+        refuse_malformed(rules)
         for verdict, host, path in rules:
-            if verdict not in ("allow", "block") or not host or not path.startswith("/"):
-                raise ValueError(f"not a rule: {(verdict, host, path)}")
             node = self.root
             for label in reversed(host.translate(str.maketrans(UPPER, LOWER)).split(".")):
                 node = node[_HOST].setdefault(label, [{}, None, None])
@@ -109,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
 
 def _joined(parts: DataFrame, rules: Sequence[tuple[str, str, str]], default: str) -> DataFrame:
     """The same verdicts by equi-joins, for rules that are too many to broadcast."""
-    Trie(rules[:1000])  # refuses malformed rules
+    refuse_malformed(rules)
     table = parts.sparkSession.createDataFrame([(v, h.translate(str.maketrans(UPPER, LOWER)), p) for v, h, p in rules], "rule_verdict string, rule_host string, rule_path string")
     table = table.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))  # block wins
     lengths = table.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))

@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pytest
 
 from quillon.llm import ann, queries, url_filter
 
@@ -77,3 +78,23 @@ def test_longest_rule_with_open_segments(spark):
         got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, broadcast_rules=limit).collect()}
         assert got == {0: ("a.com/x/y", "allow"), 1: ("a.com/x/yz", "block"), 2: ("b.a.com/", "allow"), 3: ("a.com/", "block"), 4: ("a.com/q/", "block"), 5: (None, "allow"), None: ("a.com/", "block")}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_a_malformed_rule_is_refused_wherever_it_stands(spark):
+    pages = spark.createDataFrame([(1, "u://a.com/")], "page_id long, url string")
+    rules = [("allow", f"h{i}.com", "/") for i in range(1500)] + [("block", "a.com", "no-slash")]
+    for limit in (url_filter.BROADCAST_RULES, 10):
+        with pytest.raises(ValueError):
+            url_filter.judge(pages, rules, broadcast_rules=limit)
+
+
+def test_search_with_repeated_ids_and_other_lengths(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(120)]
+    more = [(50, [9.0] * 6), (50, [-9.0] * 6), (200, [1.0, 2.0]), (250, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>").repartition(3)
+    got = [[tuple(x) for x in ann.search(df.filter("vec_id % 50 = 0"), df, 3).orderBy("query_id", "rank").collect()] for _ in range(2)]
+    assert got[0] == got[1] and {x[0] for x in got[0]} == {0, 50, 100} and not {200, 250} & {x[2] for x in got[0]}
+    first = min([v for i, v in rows + more if i == 50])
+    want = brute([(i, v) for i, v in rows if i != 50] + [(50, first)], [50], 3)[50]
+    assert {x[2]: round(x[3], 9) for x in got[0] if x[0] == 50} == {i: round(s, 9) for i, s in want}

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def chi2_sf(x: float, k: int) -> float:
@@ -72,3 +75,23 @@ def ks_sf(d: float, n: int) -> float:
         if s < 1e-140:
             s, scale = s * 1e140, scale - 140
     return min(1.0, max(0.0, 1 - s * 10.0**scale))
+
+
+def chi2_tail(x: Column, k: Column) -> Column:
+    """`chi2_sf` of columns, in Arrow batches; null where either is null. For rows of test statistics."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else chi2_sf(float(a), int(b)) for a, b in zip(x, k, strict=True)], dtype="float64")
+
+    return tail(x, k)
+
+
+def ks_tail(d: Column, n: Column) -> Column:
+    """`ks_sf` of columns, in Arrow batches; null where either is null. For rows of test statistics."""
+
+    @F.pandas_udf("double")
+    def tail(d: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else ks_sf(float(a), int(b)) for a, b in zip(d, n, strict=True)], dtype="float64")
+
+    return tail(d, n)

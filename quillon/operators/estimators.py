@@ -146,13 +146,21 @@ def nelder_mead(f: Callable[[np.ndarray], float], x: np.ndarray, steps: int = 20
     return points[best], float(values[best])
 
 
+def recursion(x: np.ndarray, a: float, first: float, block: int = 64) -> np.ndarray:
+    """y with y[0] = first and y[t] = a y[t-1] + x[t-1]: a triangular product in each block, a loop over blocks."""
+    steps = np.arange(block)
+    powers = np.tril(a ** np.maximum(steps[:, None] - steps, 0))
+    inside = np.pad(x, (0, -len(x) % block)).reshape(-1, block) @ powers.T
+    carry, last = a ** (steps + 1), first
+    for row in inside:
+        row += carry * last
+        last = row[-1]
+    return np.append(first, inside.ravel()[: len(x)])
+
+
 def _garch_loss(e: np.ndarray, omega: float, alpha: float, beta: float, nu: float | None) -> float:
-    squares, s = e * e, float(e.var()) or 1e-12
-    var = []
-    for news in (omega + alpha * squares).tolist():
-        var.append(s)
-        s = news + beta * s
-    s = np.array(var)
+    squares = e * e
+    s = recursion((omega + alpha * squares)[:-1], beta, float(e.var()) or 1e-12)
     if nu is None:
         return float(0.5 * (np.log(2 * math.pi * s) + squares / s).sum())
     each = 0.5 * np.log(math.pi * (nu - 2) * s) + (nu + 1) / 2 * np.log1p(squares / (s * (nu - 2)))
@@ -178,11 +186,7 @@ def arma_series(r: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
 
     def residuals(p: np.ndarray) -> np.ndarray:
         const, phi, theta = p[0], math.tanh(p[1]), math.tanh(p[2])
-        e, before, out = 0.0, float(r[0]), np.zeros(len(r))
-        for t in range(1, len(r)):
-            e = float(r[t]) - const - phi * before - theta * e
-            before, out[t] = float(r[t]), e
-        return out
+        return recursion(r[1:] - const - phi * r[:-1], -theta, 0.0)
 
     best, _ = nelder_mead(lambda p: float((residuals(p)[1:] ** 2).sum()), np.array([r.mean(), 0.1, -0.1]), 400)
     return {"const": float(best[0]), "phi": math.tanh(best[1]), "theta": math.tanh(best[2])}, residuals(best)[1:]

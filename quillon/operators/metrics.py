@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from quillon.functions import series
+from quillon.functions import distributions, series
 from quillon.operators import stats
 
 #: Half widths and weights of the capture bands.
@@ -78,9 +78,119 @@ def kupiec(days: DataFrame, alpha: float, guarded: bool = False) -> DataFrame:
     return one.select("n", "x", lr.alias("lr"))
 
 
-def es_tail_error(days: DataFrame) -> DataFrame:
-    """Violations and the mean distance of the actual values from the expected shortfall on those days."""
-    return days.filter("hit = 1").agg(F.count("*").alias("x"), F.avg(F.col("a") - F.col("es")).alias("tail_error"))
+def kupiec_test(days: DataFrame, alpha: float, guarded: bool = False) -> DataFrame:
+    """`kupiec` with the p-value of one degree of freedom and the rate of violations."""
+    return kupiec(days, alpha, guarded).withColumns({"p": distributions.chi2_tail(F.col("lr"), F.lit(1)), "rate": F.col("x") / F.nullif(F.col("n"), F.lit(0))})
+
+
+def es_tail_error(days: DataFrame, empty: float | None = None) -> DataFrame:
+    """Violations, their mean actual value and expected shortfall, and the distance of both; `empty` without violations."""
+    one = days.filter("hit = 1").agg(F.count("*").alias("x"), F.avg("a").alias("mean_actual"), F.avg("es").alias("mean_es"), F.avg(F.col("a") - F.col("es")).alias("tail_error"))
+    other = F.lit(empty).cast("double")
+    return one.select("x", *(F.coalesce(c, other).alias(c) for c in ("mean_actual", "mean_es", "tail_error")))
+
+
+def pit_ks_test(u: DataFrame) -> DataFrame:
+    """`ks_uniform` with its p-value (exact up to 2,000 steps)."""
+    return ks_uniform(u).withColumn("p", distributions.ks_tail(F.col("d"), F.col("n").cast("int")))
+
+
+def statistical_tests(paths: DataFrame, actual: DataFrame, alpha: float = 0.05, guarded: bool = False, level: float = 0.05) -> DataFrame:
+    """One row: uniformity of the PIT, coverage of the VaR, the shortfall on violation days, and is_valid (both p-values above `level`).
+
+    `guarded` is the variant with a ratio of 0 and a tail error of 0 where nothing is violated.
+    """
+    days = value_at_risk(paths, actual, alpha)
+    ks = pit_ks_test(pit(paths, actual)).select(F.col("d").alias("ks"), F.col("p").alias("ks_p"))
+    cover = kupiec_test(days, alpha, guarded).select("n", F.col("x").alias("violations"), "rate", "lr", F.col("p").alias("lr_p"))
+    tail = es_tail_error(days, 0.0 if guarded else None).drop("x")
+    one = ks.crossJoin(F.broadcast(cover)).crossJoin(F.broadcast(tail))  # one row each
+    return one.withColumn("is_valid", (F.col("ks_p") > level) & (F.col("lr_p") > level))
+
+
+def var_es_comparison(x: DataFrame, y: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """VaR and ES at `alpha` of both samples (x: actual), and how near those of y come."""
+    one = tail_risk(x, alpha).select(F.col("var").alias("actual_var"), F.col("cvar").alias("actual_es"))
+    two = tail_risk(y, alpha).select(F.col("var").alias("sim_var"), F.col("cvar").alias("sim_es"))
+    both = one.crossJoin(F.broadcast(two))  # one row each
+    return both.withColumns({"var_proximity": proximity(F.col("actual_var"), F.col("sim_var")), "es_proximity": proximity(F.col("actual_es"), F.col("sim_es"))})
+
+
+def volatility_scores(paths: DataFrame, actual: DataFrame) -> DataFrame:
+    """vvs, vpr: how near the deviation of absolute changes is (0 to 1), and the ratio of the autocovariances; means over paths of full length.
+
+    Both are of the series given, as a rule realised volatilities; without a scale they are 0.
+    """
+    a = volatility_of_changes(actual.withColumn("_one", F.lit(1)), "a", ["_one"]).select(F.col("vv").alias("_va"), F.col("persistence").alias("_pa"))  # one series
+    steps = actual.agg(F.count("*").alias("_t"))
+    size = paths.groupBy("sim_id").agg(F.count("*").alias("_n"))
+    p = volatility_of_changes(paths, "v", ["sim_id"]).join(size, "sim_id").crossJoin(F.broadcast(steps))  # one row
+    p = p.agg(F.avg("vv").alias("_vs"), F.avg(F.when(F.col("_n") == F.col("_t"), F.col("persistence"))).alias("_ps"))
+    one = p.crossJoin(F.broadcast(a))
+    vvs = 1 - F.abs(F.col("_vs") - F.col("_va")) / F.nullif(F.col("_vs") + F.col("_va"), F.lit(0.0))
+    return one.select(F.greatest(F.lit(0.0), F.coalesce(vvs, F.lit(0.0))).alias("vvs"), F.coalesce(F.col("_ps") / F.nullif(F.col("_pa"), F.lit(0.0)), F.lit(0.0)).alias("vpr"))
+
+
+def legacy_capture(pair: DataFrame, window: int | None = None, share: float = 0.6, by: Sequence[str] = ()) -> DataFrame:
+    """Mean rolling correlation of a and v (t, a, v), later windows weighing more, minus `share` of the mean autocorrelation of a.
+
+    Windows of a tenth of the steps, at least 10, or as given; those without variation are left
+    out, and without any the score is 0. Autocorrelations are of lags 1 to 5 (to n / 4 at most).
+    """
+    by = list(by)
+    keyed = pair if by else pair.withColumn("_one", F.lit(1))  # one short series
+    keys = by or ["_one"]
+    w = Window.partitionBy(*keys)
+    rows = keyed.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("t"))})
+    size = F.lit(window) if window else F.greatest(F.lit(10), F.floor(F.col("_n") / 10))
+    rows = rows.withColumn("_w", size.cast("bigint"))
+    # Windowed sums of n, v, a, vv, aa, va as differences of running sums of centred values.
+    c = {k: F.col(k) - F.avg(k).over(w) for k in ("v", "a")}
+    rows = rows.withColumns({"_v": c["v"], "_a": c["a"]})
+    o = w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"v": F.col("_v"), "a": F.col("_a"), "vv": F.col("_v") ** 2, "aa": F.col("_a") ** 2, "va": F.col("_v") * F.col("_a")}
+    rows = rows.withColumn("_c", F.struct(*(F.sum(x).over(o).alias(k) for k, x in parts.items())))
+    before = rows.select(*keys, (F.col("_i") + F.col("_w")).alias("_i"), F.col("_c").alias("_b"))
+    rows = rows.join(before, [*keys, "_i"], "left").filter(F.col("_i") >= F.col("_w"))
+    s = {k: (F.col("_c")[k] - F.coalesce(F.col("_b")[k], F.lit(0.0))) / F.col("_w") for k in parts}
+    var_v, var_a = s["vv"] - s["v"] ** 2, s["aa"] - s["a"] ** 2
+    corr = F.when((var_v > 1e-12) & (var_a > 1e-12), (s["va"] - s["v"] * s["a"]) / F.sqrt(var_v * var_a))
+    rows = rows.withColumns({"_corr": corr, "_k": F.col("_i") - F.col("_w") + 1}).filter("_corr is not null")
+    mean = rows.groupBy(*keys).agg((F.sum(F.col("_corr") * F.col("_k")) / F.sum("_k")).alias("_mean"))
+    acf = stats.autocorrelation(keyed, "a", 5, keys, ["t"]).join(keyed.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    acf = acf.filter((F.col("lag") > 0) & (F.col("lag") <= F.floor(F.col("_n") / 4))).groupBy(*keys).agg(F.avg("acf").alias("_acf"))
+    out = keyed.select(*keys).distinct().join(mean, keys, "left").join(acf, keys, "left")
+    score = F.when(F.col("_mean").isNull(), 0.0).otherwise(F.col("_mean") - share * F.coalesce("_acf", F.lit(0.5)))
+    return out.select(*by, score.alias("wmcr"))
+
+
+def all_metrics(levels: DataFrame, level: DataFrame, returns: DataFrame, actual: DataFrame, sim_id: int = 0, n: int = 20) -> DataFrame:
+    """Every comparison of simulated paths (levels, returns: sim_id, t, v) with the actual ones (level, actual: t, a), as (metric, value).
+
+    Path measures are of the representative path `sim_id`, the others of all paths.
+    """
+    one_level, one = levels.filter(F.col("sim_id") == sim_id), returns.filter(F.col("sim_id") == sim_id)
+    vols = realised_volatility(returns, "v", ["sim_id"], n=n).select("sim_id", "t", F.col("rv").alias("v"))
+    vol = realised_volatility(actual.withColumn("_one", F.lit(1)), "a", ["_one"], n=n).select("t", F.col("rv").alias("a"))
+    sample = lambda d, c: d.select(F.col(c).alias("v"))
+    x, y = sample(actual, "a"), sample(one, "v")
+    rows = [
+        wmcr(levels, level).select(F.col("wmcr").alias("wmcr_price")),
+        wmcr(vols, vol).select(F.col("wmcr").alias("wmcr_vol")),
+        path_match(one_level, level).select("pmc"),
+        volatility_regression(one, actual, n).select(F.col("r2").alias("rvr_r2"), F.col("beta").alias("rvr_beta"), F.col("beta_gap").alias("rvr_beta_gap")),
+        volatility_scores(vols, vol),
+        jump_coincidence(vols, vol).agg(F.coalesce(F.avg("vjc"), F.lit(0.0)).alias("vjc")),
+        tail_weighted_distance(x, y),
+        ks_two_sample(x, y).select(F.col("d").alias("ks"), F.col("p").alias("ks_p")),
+        moments_proximity(x, y).select(*(F.col(c).alias(f"{c}_proximity") for c in ("mean", "median", "std"))),
+        var_es_comparison(x, y).select("var_proximity", "es_proximity"),
+    ]
+    out = None
+    for row in rows:
+        cells = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("m")).select("m.*")
+        out = cells if out is None else out.unionByName(cells)
+    return out
 
 
 def wmcr(paths: DataFrame, actual: DataFrame, bands: Sequence[tuple[float, float]] = BANDS) -> DataFrame:
@@ -92,11 +202,11 @@ def wmcr(paths: DataFrame, actual: DataFrame, bands: Sequence[tuple[float, float
 
 
 def path_match(paths: DataFrame, actual: DataFrame) -> DataFrame:
-    """Per path: half the sign agreement of changes, half the correlation of levels moved to 0..1."""
+    """Per path: half the sign agreement of changes, half their correlation (0 without one) moved to 0..1."""
     rows = paths.join(actual, "t")
     rows = rows.withColumns({"_dv": series.diff(F.col("v"), _path()), "_da": series.diff(F.col("a"), _path())})
     agree = F.avg(F.when(F.col("_dv").isNotNull() & F.col("_da").isNotNull(), (F.signum("_dv") == F.signum("_da")).cast("double")))
-    return rows.groupBy("sim_id").agg((0.5 * agree + 0.5 * (F.corr("v", "a") + 1) / 2).alias("pmc"))
+    return rows.groupBy("sim_id").agg((0.5 * agree + 0.5 * (F.coalesce(F.nanvl(F.corr("_dv", "_da"), F.lit(0.0)), F.lit(0.0)) + 1) / 2).alias("pmc"))
 
 
 def volatility_of_changes(df: DataFrame, value: str, by: Sequence[str], order: str = "t") -> DataFrame:
@@ -117,7 +227,9 @@ def jump_coincidence(paths: DataFrame, actual: DataFrame, level: float = 0.95) -
 
 
 def cumulative_shares(x: DataFrame, y: DataFrame) -> DataFrame:
-    """v, f1, f2, i, n: both empirical distribution functions at every distinct value of the two samples (column v).
+    """v, f1, f2, i, n, same, n1, n2: both empirical distribution functions at every distinct value of the two samples (column v).
+
+    i is the number of values up to v, `same` of those that equal it, n1 and n2 the sample sizes.
 
     Counts per distinct value are aggregated first; the running sums are then over distinct values.
     """
@@ -126,17 +238,32 @@ def cumulative_shares(x: DataFrame, y: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("_x").alias("_nx"), F.sum("_y").alias("_ny"))
     run = stats.running_sums(counts, "v", ["_x", "_y"]).crossJoin(F.broadcast(total))  # one row
     i = F.col("run__x") + F.col("run__y")
-    return run.select("v", (F.col("run__x") / F.col("_nx")).alias("f1"), (F.col("run__y") / F.col("_ny")).alias("f2"), i.alias("i"), (F.col("_nx") + F.col("_ny")).alias("n"))
+    return run.select("v", (F.col("run__x") / F.col("_nx")).alias("f1"), (F.col("run__y") / F.col("_ny")).alias("f2"), i.alias("i"), (F.col("_nx") + F.col("_ny")).alias("n"), (F.col("_x") + F.col("_y")).alias("same"), F.col("_nx").alias("n1"), F.col("_ny").alias("n2"))
 
 
 def ks_two_sample(x: DataFrame, y: DataFrame) -> DataFrame:
-    return cumulative_shares(x, y).agg(F.max(F.abs(F.col("f1") - F.col("f2"))).alias("d"))
+    """d, n1, n2 and p: the p-value is that of one sample of round(n1 n2 / (n1 + n2)) values."""
+    one = cumulative_shares(x, y).agg(F.max(F.abs(F.col("f1") - F.col("f2"))).alias("d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    n = F.round(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))).cast("int")
+    return one.withColumn("p", distributions.ks_tail(F.col("d"), n))
 
 
-def tail_weighted_distance(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Sum over the values inside of the squared distance of both distribution functions over i (n - i)."""
-    inside = cumulative_shares(x, y).filter("i < n")
-    return inside.agg(F.sum(F.pow(F.col("f1") - F.col("f2"), 2) / (F.col("i") * (F.col("n") - F.col("i")))).alias("twad"))
+def tail_weighted_distance(x: DataFrame, y: DataFrame, tail: float = 0.1) -> DataFrame:
+    """How far the tails of y are from those of x (actual): values up to the `tail` quantile of x or from the opposite one on.
+
+    The sum over all sorted tail values but the first and the last, with i from 0, of the squared
+    distance of both distribution functions over i (n - i); infinite with fewer than 5 values of
+    either. Equal values share their distance, and their weights are added up.
+    """
+    cut = F.broadcast(x.agg(F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q")))  # one row
+    ends = lambda d: d.crossJoin(cut).filter((F.col("v") <= F.col("_q")[0]) | (F.col("v") >= F.col("_q")[1])).select("v")
+    steps = cumulative_shares(ends(x), ends(y))
+    last, n = F.col("i") - 1, F.col("n")
+    lo, hi = F.greatest(F.lit(1), last - F.col("same") + 1), F.least(n - 2, last)
+    weight = F.when(lo <= hi, F.aggregate(F.sequence(lo.cast("bigint"), hi.cast("bigint")), F.lit(0.0), lambda a, i: a + 1.0 / (i * (n - i)))).otherwise(0.0)
+    few = F.least(F.max("n1"), F.max("n2")) < 5
+    total = F.sum(F.pow(F.col("f1") - F.col("f2"), 2) * weight)
+    return steps.agg(F.when(F.coalesce(few, F.lit(True)), float("inf")).otherwise(total).alias("twad"))
 
 
 def proximity(a: Column, s: Column) -> Column:

@@ -99,74 +99,57 @@ def _log_density(y: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
     return -0.5 * (np.log(2 * np.pi * var) + (y[:, None] - mu) ** 2 / var)
 
 
-def _forward(density: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Scaled forward probabilities, scales, and the log likelihood."""
-    top = density.max(1)
-    b = np.exp(density - top[:, None])
-    alpha, scale = np.zeros_like(b), np.zeros(len(b))
-    if b.shape[1] == 2:  # plain numbers are some times faster than arrays of two
-        (m00, m01), (m10, m11) = move.tolist()
-        rows, scales, (x0, x1) = [], [], start.tolist()
-        for t, (b0, b1) in enumerate(b.tolist()):
-            x0, x1 = ((x0 * m00 + x1 * m10) * b0, (x0 * m01 + x1 * m11) * b1) if t else (x0 * b0, x1 * b1)
-            s = x0 + x1 or 1e-300
-            x0, x1 = x0 / s, x1 / s
-            rows.append((x0, x1))
-            scales.append(s)
-        alpha, scale = np.array(rows), np.array(scales)
-        return alpha, scale, float(np.log(scale).sum() + top.sum())
+def _expected(y: np.ndarray, mu: np.ndarray, var: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a batch of series (batch, time) and models: log likelihoods, state weights (time, batch, k) and transition counts.
+
+    One loop over time does for the whole batch.
+    """
+    density = -0.5 * (np.log(2 * np.pi * var)[:, None] + (y[:, :, None] - mu[:, None]) ** 2 / var[:, None])
+    top = density.max(2)
+    b = np.ascontiguousarray(np.exp(density - top[:, :, None]).transpose(1, 0, 2))
+    alpha, scale = np.empty_like(b), np.empty(b.shape[:2])
     row = start * b[0]
     for t in range(len(b)):
         if t:
-            row = (alpha[t - 1] @ move) * b[t]
-        scale[t] = row.sum() or 1e-300
-        alpha[t] = row / scale[t]
-    return alpha, scale, float(np.log(scale).sum() + top.sum())
-
-
-def _backward(b: np.ndarray, scale: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Backward probabilities by the scales of the forward ones."""
-    if b.shape[1] == 2:
-        (m00, m01), (m10, m11) = move.tolist()
-        rows, x0, x1 = [(1.0, 1.0)], 1.0, 1.0
-        for (b0, b1), s in zip(b[:0:-1].tolist(), scale[:0:-1].tolist(), strict=True):
-            x0, x1 = b0 * x0 / s, b1 * x1 / s
-            x0, x1 = m00 * x0 + m01 * x1, m10 * x0 + m11 * x1
-            rows.append((x0, x1))
-        return np.array(rows[::-1])
+            row = np.matmul(row[:, None], move)[:, 0] * b[t]
+        scale[t] = np.maximum(row.sum(1), 1e-300)
+        alpha[t] = row = row / scale[t][:, None]
     beta = np.ones_like(b)
     for t in range(len(b) - 2, -1, -1):
-        beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-    return beta
-
-
-def hmm_fit(y: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-4) -> dict:
-    """Baum-Welch from one start; states in the order of their means."""
-    r = np.random.default_rng(seed)
-    floor = max(1e-8, 1e-3 * y.var())
-    mu = np.sort(np.quantile(y, (np.arange(k) + r.uniform(0.25, 0.75, k)) / k))
-    var, start = np.full(k, max(y.var(), floor)), np.full(k, 1 / k)
-    move = np.full((k, k), 0.1 / max(1, k - 1))
-    np.fill_diagonal(move, 0.9 if k > 1 else 1.0)
-    before = -np.inf
+        beta[t] = np.matmul(move, (b[t + 1] * beta[t + 1] / scale[t + 1][:, None])[:, :, None])[:, :, 0]
+    gamma = alpha * beta
+    gamma /= gamma.sum(2, keepdims=True)
+    pair = np.einsum("tbi,tbj->bij", alpha[:-1], b[1:] * beta[1:] / scale[1:, :, None]) * move
+    return np.log(scale).sum(0) + top.sum(1), gamma, pair
+
+
+def hmm_fits(y: np.ndarray, k: int, seeds: Sequence[int], rounds: int = 300, tol: float = 1e-4) -> dict[str, np.ndarray]:
+    """Baum-Welch on every row of `y` (batch, time) from the start of its seed; states in the order of their means."""
+    n, spread = len(y), y.var(1)
+    floor = np.maximum(1e-8, 1e-3 * spread)[:, None]
+    levels = np.stack([(np.arange(k) + np.random.default_rng(seed).uniform(0.25, 0.75, k)) / k for seed in seeds])
+    mu = np.sort(np.stack([np.quantile(row, q) for row, q in zip(y, levels, strict=True)]), 1)
+    var, start = np.maximum(np.repeat(spread[:, None], k, 1), floor), np.full((n, k), 1 / k)
+    move = np.full((n, k, k), 0.1 / max(1, k - 1))
+    move[:, np.arange(k), np.arange(k)] = 0.9 if k > 1 else 1.0
+    ll, open_ = np.full(n, -np.inf), np.arange(n)
     for _ in range(rounds):
-        density = _log_density(y, mu, var)
-        alpha, scale, ll = _forward(density, start, move)
-        b = np.exp(density - density.max(1, keepdims=True))
-        beta = _backward(b, scale, move)
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        pair = (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None])) * move
-        if ll - before < tol:
+        now, gamma, pair = _expected(y[open_], mu[open_], var[open_], start[open_], move[open_])
+        more = now - ll[open_] >= tol
+        ll[open_] = now
+        open_, gamma, pair = open_[more], gamma[:, more], pair[more]
+        if not len(open_):
             break
-        before = ll
-        start, move = gamma[0] + 1e-12, pair + 1e-12
-        start, move = start / start.sum(), move / move.sum(1, keepdims=True)
+        first, pair = gamma[0] + 1e-12, pair + 1e-12
+        start[open_], move[open_] = first / first.sum(1, keepdims=True), pair / pair.sum(2, keepdims=True)
         weight = gamma.sum(0) + 1e-12
-        mu = gamma.T @ y / weight
-        var = np.maximum((gamma * (y[:, None] - mu) ** 2).sum(0) / weight, floor)
-    order = np.argsort(mu, kind="stable")
-    return {"mu": mu[order], "var": var[order], "start": start[order], "move": move[np.ix_(order, order)], "ll": ll, "gamma": gamma[:, order]}
+        mean = np.einsum("tbk,bt->bk", gamma, y[open_]) / weight
+        mu[open_] = mean
+        var[open_] = np.maximum(np.einsum("tbk,tbk->bk", gamma, (y[open_].T[:, :, None] - mean) ** 2) / weight, floor[open_])
+    order = np.argsort(mu, axis=1, kind="stable")
+    across = lambda x: np.take_along_axis(x, order, 1)
+    moved = np.take_along_axis(np.take_along_axis(move, order[:, :, None], 1), order[:, None], 2)
+    return {"mu": across(mu), "var": across(var), "start": across(start), "move": moved, "ll": ll}
 
 
 def viterbi(y: np.ndarray, fit: dict) -> np.ndarray:
@@ -183,8 +166,29 @@ def viterbi(y: np.ndarray, fit: dict) -> np.ndarray:
     return path
 
 
+def hmm_fit(y: np.ndarray, k: int, seed: int, rounds: int = 300, tol: float = 1e-4) -> dict[str, np.ndarray]:
+    """The fit of one series from one start."""
+    return {name: x[0] for name, x in hmm_fits(y[None], k, [seed], rounds, tol).items()}
+
+
 def hmm_best(y: np.ndarray, k: int, starts: int, seed: int) -> dict:
-    return max((hmm_fit(y, k, seed + i) for i in range(starts)), key=lambda f: f["ll"])
+    """The likeliest of the fits from `starts` starts, with the weights of its states."""
+    fits = hmm_fits(np.repeat(y[None], starts, 0), k, range(seed, seed + starts))
+    one = {name: x[[int(fits["ll"].argmax())]] for name, x in fits.items()}
+    gamma = _expected(y[None], one["mu"], one["var"], one["start"], one["move"])[1]
+    return {name: x[0] for name, x in one.items()} | {"gamma": gamma[:, 0]}
+
+
+def _likelihoods(y: np.ndarray, k: int, starts: int, seed: int) -> np.ndarray:
+    """The log likelihood of the best fit of every row of `y`."""
+    fits = hmm_fits(np.repeat(y, starts, 0), k, list(range(seed, seed + starts)) * len(y))
+    return fits["ll"].reshape(len(y), starts).max(1)
+
+
+def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by their keys into a fixed number of partitions: groups that are small but slow to fit are not put together again."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def n_parameters(k: int) -> int:
@@ -192,7 +196,7 @@ def n_parameters(k: int) -> int:
 
 
 def hmm_regimes(df: DataFrame, value: str, states: Sequence[int] = (1, 2, 3), starts: int = 5, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
-    """Per series and state count k: log likelihood, aic, bic, least occupancy, means, deviations and the Viterbi states.
+    """Per series and state count k: log likelihood, aic, bic, least occupancy, means, deviations, the Viterbi states and the posteriors (k a step).
 
     Each (series, k) is its own group, so that they run as separate tasks.
     """
@@ -206,38 +210,55 @@ def hmm_regimes(df: DataFrame, value: str, states: Sequence[int] = (1, 2, 3), st
         path, p = viterbi(y, fit), n_parameters(k)
         occupancy = np.bincount(path, minlength=k).min() / len(y)
         row = {"k": k, "n": len(y), "loglik": fit["ll"], "aic": 2 * p - 2 * fit["ll"], "bic": p * math.log(len(y)) - 2 * fit["ll"], "occupancy": occupancy}
-        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | row | {"mu": fit["mu"].tolist(), "sigma": np.sqrt(fit["var"]).tolist(), "move": fit["move"].ravel().tolist(), "states": path.tolist()}])[[*by, *names]]
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | row | {"mu": fit["mu"].tolist(), "sigma": np.sqrt(fit["var"]).tolist(), "move": fit["move"].ravel().tolist(), "states": path.tolist(), "posterior": fit["gamma"].ravel().tolist()}])[[*by, *names]]
 
-    names = ["k", "n", "loglik", "aic", "bic", "occupancy", "mu", "sigma", "move", "states"]
+    names = ["k", "n", "loglik", "aic", "bic", "occupancy", "mu", "sigma", "move", "states", "posterior"]
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-    schema = f"{keys}, k int, n bigint, loglik double, aic double, bic double, occupancy double, mu array<double>, sigma array<double>, move array<double>, states array<int>"
+    schema = f"{keys}, k int, n bigint, loglik double, aic double, bic double, occupancy double, mu array<double>, sigma array<double>, move array<double>, states array<int>, posterior array<double>"
     rows = df.select(*by, order, value).dropna().withColumn("k", F.explode(F.array(*map(F.lit, states))))
-    return rows.groupBy(*by, "k").applyInPandas(run, schema)
+    return _spread(rows, [*by, "k"]).groupBy(*by, "k").applyInPandas(run, schema)
+
+
+#: Replicates that one task generates and fits together.
+REPLICATES = 25
 
 
 def bootstrap_lrt(df: DataFrame, value: str, k0: int = 1, replicates: int = 100, starts: int = 3, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
     """observed statistic and p: k0 states against k0 + 1, by simulating from the smaller model and refitting both.
 
-    A row per (series, replicate) is grouped on its own, so replicates spread over the cluster; replicate -1 is the data.
+    The series is fitted once; its parameters go to the tasks, each of which generates and fits
+    REPLICATES replicates. Every replicate has a stream of its own.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y, b = pdf[value].to_numpy(float), int(pdf["b"].iloc[0])
-        if b >= 0:
-            fit, r = hmm_best(y, k0, starts, seed), np.random.default_rng([seed, b])
-            path = [r.choice(k0, p=fit["start"] / fit["start"].sum())]
-            for _ in range(len(y) - 1):
-                path.append(r.choice(k0, p=fit["move"][path[-1]]))
-            y = r.normal(fit["mu"][path], np.sqrt(fit["var"][path]))
-        stat = 2 * (hmm_best(y, k0 + 1, starts, seed)["ll"] - hmm_best(y, k0, starts, seed)["ll"])
-        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | {"b": b, "stat": stat}])
+    def statistic(y: np.ndarray) -> np.ndarray:
+        return 2 * (_likelihoods(y, k0 + 1, starts, seed) - _likelihoods(y, k0, starts, seed))
+
+    def observe(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(order)[value].to_numpy(float)
+        fit = hmm_best(y, k0, starts, seed)
+        row = {"n": len(y), "observed": statistic(y[None])[0]} | {c: fit[c].ravel().tolist() for c in ("mu", "var", "start", "move")}
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | row])
+
+    def replicate(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        mu, sd, n = np.array(one["mu"]), np.sqrt(one["var"]), int(one["n"])
+        start, move = np.cumsum(one["start"]), np.cumsum(np.array(one["move"]).reshape(k0, k0), 1)
+        numbers = range(int(one["chunk"]) * REPLICATES, min(replicates, (int(one["chunk"]) + 1) * REPLICATES))
+        streams = [np.random.default_rng([seed, b]) for b in numbers]
+        u, z = np.stack([r.random(n) for r in streams]), np.stack([r.standard_normal(n) for r in streams])
+        state = np.minimum((start < u[:, :1]).sum(1), k0 - 1)
+        y = np.empty_like(z)
+        for t in range(n):
+            if t:
+                state = np.minimum((move[state] < u[:, t, None]).sum(1), k0 - 1)
+            y[:, t] = mu[state] + sd[state] * z[:, t]
+        return pd.DataFrame([{c: one[c] for c in by} | {"observed": one["observed"], "stat": x} for x in statistic(y)])
 
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-    rows = df.select(*by, order, value).dropna().withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-    found = rows.groupBy(*by, "b").applyInPandas(run, f"{keys}, b int, stat double")
-    obs = found.filter("b < 0").select(*by, F.col("stat").alias("observed"))
-    return found.filter("b >= 0").join(obs, list(by)).groupBy(*by).agg(F.max("observed").alias("observed"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
+    fits = df.select(*by, order, value).dropna().groupBy(*by).applyInPandas(observe, f"{keys}, n bigint, observed double, mu array<double>, var array<double>, start array<double>, move array<double>")
+    parts = fits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // REPLICATES) - 1))))
+    found = _spread(parts, [*by, "chunk"]).groupBy(*by, "chunk").applyInPandas(replicate, f"{keys}, observed double, stat double")
+    return found.groupBy(*by).agg(F.max("observed").alias("observed"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
 
 
 def select_states(fits: DataFrame, p12: DataFrame, p23: DataFrame, least: float = 0.1, alpha: float = 0.05, by: Sequence[str] = ("s",)) -> DataFrame:

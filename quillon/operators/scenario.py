@@ -27,8 +27,9 @@ def tercile_states(df: DataFrame, value: str, variable: str, by: Sequence[str] =
     return df.join(cuts, list(by)).select(*by, "d", F.lit(variable).alias("variable"), state.alias("state")).filter("state is not null")
 
 
-def lift_grade(lift: Column) -> Column:
-    return F.when(lift >= 1.5, "strong").when(lift >= 1.1, "moderate").when(lift >= 0.9, "neutral").when(lift.isNotNull(), "weak")
+def lift_grade(n_ab: Column, lift: Column) -> Column:
+    """Empirical support of a pair of states: none where they never meet, strong from a lift of 1."""
+    return F.when(n_ab == 0, "none").when(lift.isNull(), "n/a").when(lift >= 1.0, "strong").otherwise("weak")
 
 
 def pairwise_lift(regimes: DataFrame, key: Sequence[str] = ("s", "d")) -> DataFrame:
@@ -45,7 +46,7 @@ def pairwise_lift(regimes: DataFrame, key: Sequence[str] = ("s", "d")) -> DataFr
     every = left.join(right, ["var_a", "var_b"]).join(total, ["var_a", "var_b"])  # states x states of a pair, a few rows
     out = every.join(met, ["var_a", "state_a", "var_b", "state_b"], "left").withColumn("n_ab", F.coalesce("n_ab", F.lit(0)))
     lift = F.col("n_ab") * F.col("t") / (F.col("n_a") * F.col("n_b"))
-    return out.withColumns({"lift": lift, "p_b_a": F.col("n_ab") / F.col("n_a"), "p_a_b": F.col("n_ab") / F.col("n_b")}).withColumn("grade", lift_grade(F.col("lift")))
+    return out.withColumns({"lift": lift, "p_b_a": F.col("n_ab") / F.col("n_a"), "p_a_b": F.col("n_ab") / F.col("n_b")}).withColumn("grade", lift_grade(F.col("n_ab"), F.col("lift")))
 
 
 def wide(regimes: DataFrame, variables: Sequence[str], key: Sequence[str] = ("s", "d")) -> DataFrame:
@@ -76,11 +77,54 @@ def pairs_of(combos: DataFrame, variables: Sequence[str]) -> DataFrame:
     return combos.select(*variables, F.explode(F.array(*cells)).alias("p")).select(*variables, "p.*")
 
 
-def classify(combos: DataFrame, lifts: DataFrame, variables: Sequence[str], least: float = 1.0) -> DataFrame:
-    """mean_lift and class of each combination: Possible if all its pairs reach `least`, a pair without a lift is ambiguous."""
-    judged = lifts.select("var_a", "state_a", "var_b", "state_b", "lift")
-    rows = pairs_of(combos, variables).join(judged, ["var_a", "state_a", "var_b", "state_b"], "left")
-    good = F.bool_and(F.coalesce(F.col("lift") >= least, F.lit(False)))
+def complete_lifts(table: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Lifts of all pairs of observed states on the rows of a wide table, which are complete in all variables.
+
+    One pass: the states of a row are unpivoted into its pairs, and marginals are sums of pair counts.
+    """
+    met = pairs_of(table, variables).groupBy("var_a", "state_a", "var_b", "state_b").agg(F.count("*").alias("n_ab"))
+    left = met.groupBy("var_a", "var_b", "state_a").agg(F.sum("n_ab").alias("n_a"))
+    right = met.groupBy("var_a", "var_b", "state_b").agg(F.sum("n_ab").alias("n_b"))
+    total = met.groupBy("var_a", "var_b").agg(F.sum("n_ab").alias("t"))
+    every = left.join(right, ["var_a", "var_b"]).join(total, ["var_a", "var_b"])  # states x states of a pair, a few rows
+    out = every.join(met, ["var_a", "state_a", "var_b", "state_b"], "left").withColumn("n_ab", F.coalesce("n_ab", F.lit(0)))
+    return out.withColumn("lift", F.col("n_ab") * F.col("t") / (F.col("n_a") * F.col("n_b")))
+
+
+def translated(rows: DataFrame, columns: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """The rows with the labels of `columns` by their names in `names`; a label without one stays."""
+    if not names:
+        return rows
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return rows.withColumns({c: F.coalesce(F.try_element_at(table, F.col(c)), F.col(c)) for c in columns})
+
+
+def combo_label(variables: Sequence[str]) -> Column:
+    """The labels of a combination in one text."""
+    return F.concat_ws("-", *(F.col(v).cast("string") for v in variables))
+
+
+def both_ways(judgements: DataFrame) -> DataFrame:
+    """Judged pairs (var_a, state_a, var_b, state_b, judgement) and the same with both sides changed."""
+    swapped = judgements.select(F.col("var_b").alias("var_a"), F.col("state_b").alias("state_a"), F.col("var_a").alias("var_b"), F.col("state_a").alias("state_b"), "judgement")
+    key = ["var_a", "state_a", "var_b", "state_b"]
+    return judgements.select(*key, "judgement").unionByName(swapped).groupBy(*key).agg(F.min("judgement").alias("judgement"))  # of several, Ambiguity
+
+
+def classify(combos: DataFrame, lifts: DataFrame, variables: Sequence[str], judgements: DataFrame | None = None) -> DataFrame:
+    """mean_lift and class of each combination.
+
+    With judged pairs, in either direction, a combination is Possible if all its pairs are judged
+    so; a pair that is not listed is ambiguous, and the mean lift is for information. Without
+    them, it is Possible from a mean lift of 1 on. Pairs without a lift are left out of the mean.
+    """
+    key = ["var_a", "state_a", "var_b", "state_b"]
+    rows = pairs_of(combos, variables).join(lifts.select(*key, "lift"), key, "left")
+    if judgements is None:
+        good = F.coalesce(F.avg("lift") >= 1.0, F.lit(False))
+    else:
+        rows = rows.join(both_ways(judgements), key, "left")
+        good = F.bool_and(F.coalesce(F.col("judgement") == POSSIBLE, F.lit(False)))
     return rows.groupBy(*variables).agg(F.avg("lift").alias("mean_lift"), F.when(good, POSSIBLE).otherwise(AMBIGUITY).alias("class"))
 
 
@@ -91,8 +135,14 @@ def rank_combos(classified: DataFrame, frequency: DataFrame, variables: Sequence
     return out.withColumn("no", F.row_number().over(w))
 
 
-def greedy_diversity(ranked: DataFrame, variables: Sequence[str], most_shared: int) -> DataFrame:
-    """Scenarios S01, S02, ...: each Possible combination that shares at most `most_shared` states with every one taken before."""
+def greedy_diversity(ranked: DataFrame, variables: Sequence[str], most_shared: int | None = None, least: int = 1) -> DataFrame:
+    """Scenarios S01, S02, ...: Possible combinations seen `least` times at least, the most frequent first.
+
+    With `most_shared`, one is taken if it shares at most so many states with every one taken
+    before; without it, all are. The rows are the combinations of a few labels.
+    """
+    ranked = ranked.filter(F.col("n") >= least)
+    most_shared = len(variables) if most_shared is None else most_shared
     item = F.struct(F.col("no").alias("no"), F.array(*variables).alias("states"))
     rows = ranked.filter(F.col("class") == POSSIBLE).agg(F.array_sort(F.collect_list(item)).alias("all"))
     kind = "array<struct<no:int,states:array<int>>>"

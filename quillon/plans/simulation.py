@@ -31,8 +31,11 @@ na AS (SELECT var_a, var_b, state_a, sum(n_ab) AS n_a FROM met GROUP BY 1, 2, 3)
 lifts AS (SELECT na.var_a, na.state_a, na.var_b, nb.state_b, n_a, n_b, t, coalesce(n_ab, 0) AS n_ab, coalesce(n_ab, 0) * t / (n_a * n_b) AS lift FROM na JOIN nb ON na.var_a = nb.var_a AND na.var_b = nb.var_b JOIN tt ON na.var_a = tt.var_a AND na.var_b = tt.var_b
   LEFT JOIN met m ON m.var_a = na.var_a AND m.var_b = na.var_b AND m.state_a = na.state_a AND m.state_b = nb.state_b)"""
 _WIDE = "wide AS (SELECT s, d, max(CASE WHEN variable = 'vol' THEN state END) AS vol, max(CASE WHEN variable = 'x' THEN state END) AS x, max(CASE WHEN variable = 'y' THEN state END) AS y FROM reg GROUP BY 1, 2)"
-_COMBOS = """combos AS (SELECT * FROM (VALUES (0), (1), (2)) a(vol), (VALUES (0), (1), (2)) b(x), (VALUES (0), (1), (2)) c(y)),
-cls AS (SELECT c.vol, c.x, c.y, (l1.lift + l2.lift + l3.lift) / 3 AS mean_lift, CASE WHEN least(l1.lift, l2.lift, l3.lift) >= 1 THEN 'Possible' ELSE 'Ambiguity' END AS class FROM combos c
+#: Judged pairs of states, some of them listed from the other side; pairs that are not listed are ambiguous.
+_JUDGED = [("vol", i, "x", j, "Possible" if i + j < 4 else "Ambiguity") for i in range(3) for j in range(3)] + [("y", j, "vol", i, "Possible") for i in range(3) for j in range(3) if i <= j + 1] + [("y", j, "x", i, "Possible") for i in range(3) for j in range(3)]
+_COMBOS = "judged(va, sa, vb, sb, j) AS (SELECT * FROM (VALUES " + ", ".join(map(str, _JUDGED)) + ") p(va, sa, vb, sb, j) UNION SELECT vb, sb, va, sa, j FROM (VALUES " + ", ".join(map(str, _JUDGED)) + """) p(va, sa, vb, sb, j)),
+combos AS (SELECT * FROM (VALUES (0), (1), (2)) a(vol), (VALUES (0), (1), (2)) b(x), (VALUES (0), (1), (2)) c(y)),
+cls AS (SELECT c.vol, c.x, c.y, (l1.lift + l2.lift + l3.lift) / 3 AS mean_lift, CASE WHEN EXISTS (FROM judged WHERE j = 'Possible' AND va = 'vol' AND sa = c.vol AND vb = 'x' AND sb = c.x) AND EXISTS (FROM judged WHERE j = 'Possible' AND va = 'vol' AND sa = c.vol AND vb = 'y' AND sb = c.y) AND EXISTS (FROM judged WHERE j = 'Possible' AND va = 'x' AND sa = c.x AND vb = 'y' AND sb = c.y) THEN 'Possible' ELSE 'Ambiguity' END AS class FROM combos c
   JOIN lifts l1 ON l1.var_a = 'vol' AND l1.var_b = 'x' AND l1.state_a = c.vol AND l1.state_b = c.x JOIN lifts l2 ON l2.var_a = 'vol' AND l2.var_b = 'y' AND l2.state_a = c.vol AND l2.state_b = c.y JOIN lifts l3 ON l3.var_a = 'x' AND l3.var_b = 'y' AND l3.state_a = c.x AND l3.state_b = c.y)"""
 
 
@@ -51,7 +54,8 @@ def _wide(spark, sf_dir) -> DataFrame:
 
 def _classified(spark, sf_dir) -> DataFrame:
     combos = scenario.enumerate_combos({v: (0, 1, 2) for v in _VARS}, spark)
-    return scenario.classify(combos, scenario.pairwise_lift(regimes(spark, sf_dir)), _VARS)
+    judged = spark.createDataFrame(_JUDGED, "var_a string, state_a int, var_b string, state_b int, judgement string")
+    return scenario.classify(combos, scenario.complete_lifts(_wide(spark, sf_dir), _VARS), _VARS, judged)
 
 
 @query("threshold_regime", f"WITH {RETURNS} SELECT s, d, CASE WHEN abs(r) <= 0.5 THEN 0 WHEN r > 0.5 THEN 1 WHEN r < -0.5 THEN 2 END AS regime FROM ret")
@@ -71,7 +75,7 @@ def regime_occupancy(spark, sf_dir):
     return n.select("variable", "state", "n", r(F.col("n") / F.sum("n").over(Window.partitionBy("variable"))).alias("share"))
 
 
-@query("pairwise_lift", f"WITH {REGIMES}, {_LIFT} SELECT var_a, state_a, var_b, state_b, n_ab, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(t AS BIGINT) AS t, round(lift, 6) AS lift, CASE WHEN lift >= 1.5 THEN 'strong' WHEN lift >= 1.1 THEN 'moderate' WHEN lift >= 0.9 THEN 'neutral' ELSE 'weak' END AS grade FROM lifts")
+@query("pairwise_lift", f"WITH {REGIMES}, {_LIFT} SELECT var_a, state_a, var_b, state_b, n_ab, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(t AS BIGINT) AS t, round(lift, 6) AS lift, CASE WHEN n_ab = 0 THEN 'none' WHEN lift >= 1 THEN 'strong' ELSE 'weak' END AS grade FROM lifts")
 def pairwise_lift(spark, sf_dir):
     return scenario.pairwise_lift(regimes(spark, sf_dir)).select("var_a", "state_a", "var_b", "state_b", "n_ab", "n_a", "n_b", "t", r("lift").alias("lift"), "grade")
 
@@ -104,7 +108,35 @@ def _ranked(spark, sf_dir) -> DataFrame:
     return scenario.rank_combos(_classified(spark, sf_dir), scenario.joint_frequency(_wide(spark, sf_dir), _VARS), _VARS)
 
 
-@query("greedy_diversity")
+@query(
+    "complete_lifts",
+    f"WITH {REGIMES}, {_WIDE}, full_rows AS (SELECT * FROM wide WHERE vol IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL), "
+    "p AS (SELECT 'vol' AS var_a, vol AS state_a, 'x' AS var_b, x AS state_b FROM full_rows UNION ALL SELECT 'vol', vol, 'y', y FROM full_rows UNION ALL SELECT 'x', x, 'y', y FROM full_rows), "
+    "t AS (SELECT count(*) AS t FROM full_rows), a AS (SELECT var_a, var_b, state_a, count(*) AS n_a FROM p GROUP BY 1, 2, 3), b AS (SELECT var_a, var_b, state_b, count(*) AS n_b FROM p GROUP BY 1, 2, 3) "
+    "SELECT a.var_a, a.state_a, b.var_b, b.state_b, (SELECT count(*) FROM p WHERE p.var_a = a.var_a AND p.var_b = a.var_b AND p.state_a = a.state_a AND p.state_b = b.state_b) AS n_ab, round((SELECT count(*) FROM p WHERE p.var_a = a.var_a AND p.var_b = a.var_b AND p.state_a = a.state_a AND p.state_b = b.state_b) * (SELECT t FROM t) * 1.0 / (n_a * n_b), 6) AS lift FROM a JOIN b ON a.var_a = b.var_a AND a.var_b = b.var_b",
+)
+def complete_lifts(spark, sf_dir):
+    return scenario.complete_lifts(_wide(spark, sf_dir), _VARS).select("var_a", "state_a", "var_b", "state_b", "n_ab", r("lift").alias("lift"))
+
+
+@query(
+    "classified_table",
+    f"WITH {REGIMES}, {_LIFT}, {_WIDE}, {_COMBOS}, f AS (SELECT vol, x, y, count(*) AS n FROM wide GROUP BY 1, 2, 3) SELECT f.vol || '-' || f.x || '-' || f.y AS combo_label, f.vol, f.x, f.y, n, round(n * 1.0 / sum(n) OVER (), 6) AS share, round(mean_lift, 6) AS mean_lift, class FROM f JOIN cls c ON c.vol = f.vol AND c.x = f.x AND c.y = f.y WHERE f.vol IS NOT NULL AND f.x IS NOT NULL AND f.y IS NOT NULL",
+)
+def classified_table(spark, sf_dir):
+    seen = scenario.joint_frequency(_wide(spark, sf_dir), _VARS)
+    return seen.join(_classified(spark, sf_dir), _VARS).select(scenario.combo_label(_VARS).alias("combo_label"), *_VARS, "n", r("share").alias("share"), r("mean_lift").alias("mean_lift"), "class")
+
+
+_GREEDY = f"""WITH RECURSIVE {REGIMES}, {_LIFT}, {_WIDE}, {_COMBOS}, f AS (SELECT vol, x, y, count(*) AS n FROM wide GROUP BY 1, 2, 3),
+ranked AS (SELECT c.vol, c.x, c.y, row_number() OVER (ORDER BY n DESC, c.vol, c.x, c.y) AS no FROM cls c JOIN f ON c.vol = f.vol AND c.x = f.x AND c.y = f.y WHERE class = 'Possible' AND n >= 1),
+walk(no, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(vol INTEGER, x INTEGER, y INTEGER)[]) UNION ALL
+  SELECT r.no, CASE WHEN len(list_filter(taken, lambda o: CAST(o.vol = r.vol AS INTEGER) + CAST(o.x = r.x AS INTEGER) + CAST(o.y = r.y AS INTEGER) > 1)) = 0 THEN list_append(taken, {{'vol': CAST(r.vol AS INTEGER), 'x': CAST(r.x AS INTEGER), 'y': CAST(r.y AS INTEGER)}}) ELSE taken END FROM walk w JOIN ranked r ON r.no = w.no + 1),
+one AS (SELECT taken FROM walk ORDER BY no DESC LIMIT 1), nth AS (SELECT taken, unnest(range(1, len(taken) + 1)) AS i FROM one)
+SELECT 'S' || lpad(CAST(i AS VARCHAR), 2, '0') AS scenario_id, taken[i].vol AS vol, taken[i].x AS x, taken[i].y AS y FROM nth"""
+
+
+@query("greedy_diversity", _GREEDY)
 def greedy_diversity(spark, sf_dir):
     return scenario.greedy_diversity(_ranked(spark, sf_dir), _VARS, 1)
 
@@ -337,6 +369,38 @@ def kupiec_lr(spark, sf_dir):
     return metrics.kupiec(days, 0.05).select("n", "x", r("lr").alias("lr"))
 
 
+#: The upper tail of the chi-square distribution of one degree of freedom, by a series without cancellation.
+_CHI1 = "1 - sqrt(2 * lr / pi()) * exp(-lr / 2) * list_sum(list_transform(range(0, 200), lambda k: exp(k * ln(greatest(lr, 1e-300)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))"
+
+
+@query(
+    "kupiec_p",
+    f"WITH {PATHS}, {_DAYS}, o AS (SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS x FROM days), l AS (SELECT n, x, greatest(0, -2 * (x * ln(0.05) + (n - x) * ln(0.95) - CASE WHEN x > 0 THEN x * ln(x * 1.0 / n) ELSE 0 END - CASE WHEN x < n THEN (n - x) * ln(1 - x * 1.0 / n) ELSE 0 END)) AS lr FROM o) SELECT n, x, round(x * 1.0 / n, 6) AS rate, round(lr, 6) AS lr, round(abs({_CHI1}), 6) AS p FROM l",
+)
+def kupiec_p(spark, sf_dir):
+    days = metrics.value_at_risk(base.paths(spark, sf_dir), base.actual(spark, sf_dir), 0.05)
+    return metrics.kupiec_test(days, 0.05).select("n", "x", r("rate").alias("rate"), r("lr").alias("lr"), r("p").alias("p"))
+
+
+@query("statistical_tests")
+def statistical_tests(spark, sf_dir):
+    return metrics.statistical_tests(base.paths(spark, sf_dir), base.actual(spark, sf_dir))
+
+
+@query("all_metrics")
+def all_metrics(spark, sf_dir):
+    p, a = base.paths(spark, sf_dir), base.actual(spark, sf_dir)
+    return metrics.all_metrics(p, a, p, a, sim_id=1)
+
+
+@query(
+    "volatility_scores",
+    f"WITH {PATHS}, d AS (SELECT sim_id, t, abs(v - lag(v) OVER ({_P})) AS d, v - avg(v) OVER (PARTITION BY sim_id) AS c FROM cells), e AS (SELECT sim_id, d, c * lag(c) OVER ({_P}) AS p FROM d), f AS (SELECT sim_id, count(*) AS n, stddev_pop(d) AS vv, sum(p) / nullif(count(*) - 1, 0) AS pp FROM e GROUP BY 1), a AS (SELECT * FROM f WHERE sim_id = 0), s AS (SELECT avg(vv) AS vv, avg(CASE WHEN n = (SELECT n FROM a) THEN pp END) AS pp FROM f WHERE sim_id <> 0) SELECT round(greatest(0, coalesce(1 - abs(s.vv - a.vv) / nullif(s.vv + a.vv, 0), 0)), 6) AS vvs, round(coalesce(s.pp / nullif(a.pp, 0), 0), 5) AS vpr FROM s, a",
+)
+def volatility_scores(spark, sf_dir):
+    return metrics.volatility_scores(base.paths(spark, sf_dir), base.actual(spark, sf_dir)).select(r("vvs").alias("vvs"), r("vpr", 5).alias("vpr"))
+
+
 @query("es_tail_error", f"WITH {PATHS}, {_DAYS} SELECT count(*) AS x, round(avg(a - es), 6) AS tail_error FROM days WHERE hit = 1")
 def es_tail_error(spark, sf_dir):
     days = metrics.value_at_risk(base.paths(spark, sf_dir), base.actual(spark, sf_dir), 0.05)
@@ -353,7 +417,7 @@ def wmcr_price(spark, sf_dir):
 
 @query(
     "pmc",
-    f"WITH {PATHS}, j AS (SELECT sim_id, p.t, v, a, v - lag(v) OVER (PARTITION BY sim_id ORDER BY p.t) AS dv, a - lag(a) OVER (PARTITION BY sim_id ORDER BY p.t) AS da FROM paths p JOIN actual a ON p.t = a.t) SELECT sim_id, round(0.5 * avg(CASE WHEN dv IS NOT NULL THEN CASE WHEN sign(dv) = sign(da) THEN 1.0 ELSE 0.0 END END) + 0.5 * (corr(v, a) + 1) / 2, 5) AS pmc FROM j GROUP BY 1",
+    f"WITH {PATHS}, j AS (SELECT sim_id, p.t, v, a, v - lag(v) OVER (PARTITION BY sim_id ORDER BY p.t) AS dv, a - lag(a) OVER (PARTITION BY sim_id ORDER BY p.t) AS da FROM paths p JOIN actual a ON p.t = a.t) SELECT sim_id, round(0.5 * avg(CASE WHEN dv IS NOT NULL THEN CASE WHEN sign(dv) = sign(da) THEN 1.0 ELSE 0.0 END END) + 0.5 * (CASE WHEN stddev_pop(dv) > 0 AND stddev_pop(da) > 0 THEN corr(dv, da) ELSE 0 END + 1) / 2, 5) AS pmc FROM j GROUP BY 1",
 )
 def pmc(spark, sf_dir):
     return metrics.path_match(base.paths(spark, sf_dir), base.actual(spark, sf_dir)).select("sim_id", r("pmc", 5).alias("pmc"))
@@ -383,12 +447,24 @@ def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return c.filter("sim_id % 2 = 0").select("v"), c.filter("sim_id % 2 = 1").select("v")
 
 
+@query(
+    "var_es_comparison",
+    f"WITH {PATHS}, {_TWO}, a AS (SELECT quantile_cont(v, 0.05) AS q FROM xs), b AS (SELECT quantile_cont(v, 0.05) AS q FROM ys), e AS (SELECT a.q AS av, b.q AS sv, (SELECT avg(v) FROM xs WHERE v <= a.q) AS ae, (SELECT avg(v) FROM ys WHERE v <= b.q) AS se FROM a, b) SELECT round(av, 6) AS actual_var, round(sv, 6) AS sim_var, round(ae, 6) AS actual_es, round(se, 6) AS sim_es, round(1 - abs(av - sv) / (abs(av) + 1e-10), 6) AS var_proximity, round(1 - abs(ae - se) / (abs(ae) + 1e-10), 6) AS es_proximity FROM e",
+)
+def var_es_comparison(spark, sf_dir):
+    return metrics.var_es_comparison(*_two(spark, sf_dir)).select(*(r(c).alias(c) for c in ("actual_var", "sim_var", "actual_es", "sim_es", "var_proximity", "es_proximity")))
+
+
 @query("ks_two_sample", f"WITH {PATHS}, {_TWO} SELECT round(max(abs(f1 - f2)), 6) AS d FROM c")
 def ks_two_sample(spark, sf_dir):
     return metrics.ks_two_sample(*_two(spark, sf_dir)).select(r("d").alias("d"))
 
 
-@query("twad", f"WITH {PATHS}, {_TWO} SELECT round(sum(pow(f1 - f2, 2) / (i * (n - i))) * 1e6, 4) AS twad FROM c WHERE i < n")
+_TAILS = """q AS (SELECT quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM xs), tails AS (SELECT v, 1 AS x FROM xs, q WHERE v <= lo OR v >= hi UNION ALL SELECT v, 0 FROM ys, q WHERE v <= lo OR v >= hi),
+steps AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n, sum(x) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) * 1.0 / sum(x) OVER () AS f1, sum(1 - x) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) * 1.0 / sum(1 - x) OVER () AS f2 FROM tails)"""
+
+
+@query("twad", f"WITH {PATHS}, {_TWO}, {_TAILS} SELECT round(sum(pow(f1 - f2, 2) / (i * (n - i))) * 1e6, 4) AS twad FROM steps WHERE i > 0 AND i < n - 1")
 def twad(spark, sf_dir):
     return metrics.tail_weighted_distance(*_two(spark, sf_dir)).select(r(F.col("twad") * 1e6, 4).alias("twad"))
 

@@ -99,13 +99,12 @@ def test_regime_queries_use_every_series_and_replicate(spark, monkeypatch):
 
 def test_two_states_as_three_with_one_unused():
     r = np.random.default_rng(8)
-    b, start, move = r.random((40, 2)), np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.2, 0.8]])
-    wide = np.column_stack([np.log(b), np.full(40, -400.0)])
-    start3, move3 = np.append(start, 0.0), np.pad(move, ((0, 1), (0, 1)))
-    alpha, scale, ll = regime._forward(np.log(b), start, move)
-    alpha3, scale3, ll3 = regime._forward(wide, start3, move3)
-    assert ll == pytest.approx(ll3) and np.allclose(alpha, alpha3[:, :2]) and np.allclose(scale, scale3)
-    assert np.allclose(regime._backward(b, scale, move), regime._backward(np.pad(b, ((0, 0), (0, 1))), scale3, move3)[:, :2])
+    y, start, move = r.normal(size=(3, 40)), np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.2, 0.8]])
+    many = lambda x: np.repeat(np.asarray(x, float)[None], 3, 0)
+    ll, gamma, pair = regime._expected(y, many([-1, 1]), many([1, 2]), many(start), many(move))
+    ll3, gamma3, pair3 = regime._expected(y, many([-1, 1, 99]), many([1, 2, 1]), many(np.append(start, 0.0)), many(np.pad(move, ((0, 1), (0, 1)))))
+    assert ll3 == pytest.approx(ll) and gamma3[:, :, :2] == pytest.approx(gamma) and pair3[:, :2, :2] == pytest.approx(pair)
+    assert gamma3[:, :, 2].max() < 1e-12 and pair.sum((1, 2)) == pytest.approx(np.full(3, 39.0))
 
 
 def test_em_likelihood_does_not_fall():
@@ -160,3 +159,73 @@ def test_no_scenario_or_shift_is_dropped(spark):
     assert scenario.scenario_days(spark.createDataFrame([(0, 1)], "d int, a int"), many, ["a"]).count() == 10_500
     shifts = spark.range(100_500).select(F.col("id").alias("b"), F.lit(1).alias("shift"))
     assert wmcr.circular_shifts(spark.createDataFrame([(0, 1.0)], "t int, y double"), shifts, 1).count() == 100_500
+
+
+def test_hidden_markov_batch_as_plain_recursion():
+    r = np.random.default_rng(4)
+    y = np.where(np.arange(160) // 40 % 2, 2.0, -1.0) + r.normal(0, 0.7, 160)
+    fit = regime.hmm_best(y, 2, 4, 42)
+    mu, sd, start, move = fit["mu"], np.sqrt(fit["var"]), fit["start"], fit["move"]
+    density = np.exp(-0.5 * ((y[:, None] - mu) / sd) ** 2) / (sd * math.sqrt(2 * math.pi))
+    row, ll = start * density[0], 0.0
+    for t in range(len(y)):
+        row = (row @ move) * density[t] if t else row
+        ll, row = ll + math.log(row.sum()), row / row.sum()
+    assert fit["ll"] == pytest.approx(ll, rel=1e-9) and mu[0] < mu[1] and fit["gamma"].sum(1) == pytest.approx(np.ones(160))
+    one = regime.hmm_fits(y[None], 2, [42])["ll"][0]
+    both = regime.hmm_fits(np.stack([y, y[::-1]]), 2, [42, 43])["ll"]
+    assert both[0] == pytest.approx(one, rel=1e-9)
+    assert regime.hmm_best(y, 1, 1, 0)["ll"] == pytest.approx(-80 * (math.log(2 * math.pi * y.var()) + 1), rel=1e-6)
+
+
+def test_recursion_in_blocks():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 400):
+        x, want = r.normal(size=n), [0.3]
+        for v in x:
+            want.append(-0.8 * want[-1] + v)
+        assert estimators.recursion(x, -0.8, 0.3) == pytest.approx(want)
+
+
+def test_judged_pairs_count_both_ways_and_unseen_combinations_are_not_taken(spark):
+    combos = spark.createDataFrame([(a, b) for a in range(2) for b in range(2)], "a int, b int")
+    lifts = spark.createDataFrame([("a", 0, "b", 0, 0.5)], "var_a string, state_a int, var_b string, state_b int, lift double")
+    judged = spark.createDataFrame([("b", 0, "a", 0, "Possible"), ("a", 1, "b", 1, "Possible"), ("a", 0, "b", 1, "Ambiguity")], "var_a string, state_a int, var_b string, state_b int, judgement string")
+    got = scenario.classify(combos, lifts, ["a", "b"], judged)
+    assert {(x.a, x.b): x["class"] for x in got.collect()} == {(0, 0): "Possible", (1, 1): "Possible", (0, 1): "Ambiguity", (1, 0): "Ambiguity"}
+    seen = spark.createDataFrame([(0, 0, 4)], "a int, b int, n int")
+    ranked = scenario.rank_combos(got, seen, ["a", "b"])
+    assert [(x.scenario_id, x.a, x.b) for x in scenario.greedy_diversity(ranked, ["a", "b"]).collect()] == [("S01", 0, 0)]
+    assert [(x.a, x.b) for x in scenario.greedy_diversity(ranked, ["a", "b"], 0, least=0).collect()] == [(0, 0), (1, 1)]
+    named = scenario.translated(spark.createDataFrame([("x", "q")], "u string, v string"), ["u", "v"], {"x": "y"})
+    assert named.select(scenario.combo_label(["u", "v"])).first()[0] == "y-q"
+
+
+def test_tails_and_test_tables_as_plain_loops(spark):
+    r = np.random.default_rng(2)
+    x, y = np.round(r.normal(size=90), 1), np.round(r.normal(0.2, 1.3, 70), 1)
+    df = lambda v: spark.createDataFrame([(float(a),) for a in v], "v double")
+    lo, hi = np.quantile(x, 0.1), np.quantile(x, 0.9)
+    a, b = x[(x <= lo) | (x >= hi)], y[(y <= lo) | (y >= hi)]
+    both, want = np.sort(np.concatenate([a, b])), 0.0
+    for i in range(1, len(both) - 1):
+        want += ((a <= both[i]).mean() - (b <= both[i]).mean()) ** 2 / (i * (len(both) - i))
+    assert metrics.tail_weighted_distance(df(x), df(y)).first()[0] == pytest.approx(want)
+    assert metrics.tail_weighted_distance(df(x[:10]), df(y)).first()[0] == math.inf
+    days = spark.createDataFrame([(t, 0.0, int(t < 10), -1.0) for t in range(200)], "t int, a double, hit int, es double")
+    assert metrics.kupiec_test(days, 0.05).first().p == pytest.approx(1.0) and metrics.es_tail_error(days).first().tail_error == 1.0
+    none = days.withColumn("hit", F.lit(0))
+    assert metrics.kupiec_test(none, 0.05, guarded=True).first().p == 1.0 and metrics.kupiec_test(none, 0.05).first().p < 0.001
+    assert metrics.es_tail_error(none).first().tail_error is None and metrics.es_tail_error(none, 0.0).first().tail_error == 0.0
+
+
+def test_legacy_capture_as_plain_windows(spark):
+    r = np.random.default_rng(9)
+    a, v = r.normal(size=60).cumsum(), r.normal(size=60).cumsum()
+    n, w = len(a), 10
+    corr = [np.corrcoef(a[i : i + w], v[i : i + w])[0, 1] for i in range(n - w + 1)]
+    c = a - a.mean()
+    acf = [(c[k:] * c[:-k]).sum() / (c * c).sum() for k in range(1, 6)]
+    want = np.average(corr, weights=np.arange(1, len(corr) + 1)) - 0.6 * np.mean(acf)
+    pair = spark.createDataFrame([(t, float(a[t]), float(v[t])) for t in range(n)], "t int, a double, v double")
+    assert metrics.legacy_capture(pair).first().wmcr == pytest.approx(want, rel=1e-6)

@@ -103,15 +103,24 @@ def heston_moments(df: DataFrame, r: str, by: Sequence[str] = ("s",), order: str
 
 
 def threshold_bic(df: DataFrame, value: str, quantiles: Sequence[float] = (0.7, 0.8, 0.85, 0.9), parameters: int = 18, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
-    """q, tau, n, bic of a threshold autoregression for candidate thresholds: one regression per candidate and regime."""
-    taus = df.groupBy(*by).agg(F.percentile(F.abs(value), F.array(*map(F.lit, quantiles))).alias("_t"))
-    taus = taus.select(*by, F.posexplode("_t").alias("_k", "tau")).withColumn("q", F.element_at(F.array(*map(F.lit, quantiles)), F.col("_k") + 1))
-    rows = _lagged(df, value, by, order).join(taus.drop("_k"), list(by))
-    regime = F.when(F.abs("_l") <= F.col("tau"), 0).when(F.col("_l") > F.col("tau"), 1).otherwise(2)
-    fit = rows.groupBy(*by, "q", "tau", regime.alias("_r")).agg(F.regr_syy("_d", "_l").alias("syy"), F.regr_sxy("_d", "_l").alias("sxy"), F.regr_sxx("_d", "_l").alias("sxx"), F.count("*").alias("n"))
-    ssr = F.greatest(F.lit(0.0), F.col("syy") - F.coalesce(F.col("sxy") * F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0)), F.lit(0.0)))
-    one = fit.groupBy(*by, "q", "tau").agg(F.sum(ssr).alias("ssr"), F.sum("n").alias("n"))
-    return one.select(*by, "q", "tau", "n", (F.col("n") * F.ln(F.col("ssr") / F.col("n")) + parameters * F.ln(F.col("n"))).alias("bic"))
+    """q, tau, n, bic and best (the least bic of a series) of mean reversion in three regimes, for candidate thresholds.
+
+    The regimes of a threshold are fitted by `ou_of_regime`, all thresholds in one pass; the
+    residuals are those of every change by the fit of the regime it starts in. Three parameters and
+    three driver coefficients a regime make 18.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    taus = rows.groupBy(*by).agg(F.percentile(F.abs(value), F.array(*map(F.lit, quantiles))).alias("_t"))
+    taus = taus.select(*by, F.posexplode("_t").alias("_k", "tau")).select(*by, F.element_at(F.array(*map(F.lit, quantiles)), F.col("_k") + 1).alias("q"), "tau")
+    keys = [*by, "q", "tau"]
+    regime = lambda c: F.when(F.abs(c) <= F.col("tau"), 0).when(F.col(c) > F.col("tau"), 1).otherwise(2)
+    fits = ou_of_regime(rows.join(taus, list(by)).withColumn("_r", regime(value)), value, "_r", keys, order).select(*keys, "_r", "kappa", "mu")
+    steps = _lagged(rows, value, by, order).join(taus, list(by)).withColumn("_r", regime("_l")).join(fits, [*keys, "_r"])
+    e = F.col("_d") - F.col("kappa") * (F.col("mu") - F.col("_l"))
+    one = steps.groupBy(*keys).agg(F.sum(e * e).alias("_ssr"), F.count("*").alias("n"))
+    n = F.col("n")
+    one = one.withColumn("bic", F.when(F.col("_ssr") > 0, n * (math.log(2 * math.pi) + F.ln(F.col("_ssr") / n) + 1) + parameters * F.ln(n)))
+    return one.select(*keys, "n", "bic", (F.col("bic") == F.min("bic").over(Window.partitionBy(*by))).alias("best"))
 
 
 # ---- iterative fits: numpy on one series a group -------------------------------------------------

@@ -248,9 +248,22 @@ def heston_moments(spark, sf_dir):
     return estimators.heston_moments(_returns(spark, sf_dir), "r").select("s", r("mu", 4).alias("mu"), r("theta", 4).alias("theta"), r("sigma_v", 3).alias("sigma_v"))
 
 
-@query("threshold_bic")
+_TAUS = " UNION ALL ".join(f"SELECT s, CAST({q} AS DOUBLE) AS q, quantile_cont(abs(r), {q}) AS tau FROM x GROUP BY 1" for q in (0.7, 0.8, 0.85, 0.9))
+
+
+@query(
+    "threshold_bic",
+    f"""WITH {RETURNS}, x AS (SELECT s, d, r FROM ret WHERE r IS NOT NULL), taus AS ({_TAUS}),
+reg AS (SELECT x.s, q, d, r, CASE WHEN abs(r) <= tau THEN 0 WHEN r > tau THEN 1 ELSE 2 END AS g FROM x JOIN taus ON x.s = taus.s),
+f AS (SELECT *, lag(r) OVER (PARTITION BY s, q, g ORDER BY d) AS l FROM reg), h AS (SELECT s, q, g, count(*) AS n, regr_slope(r - l, l) AS b, regr_intercept(r - l, l) AS a, avg(r) AS m FROM f GROUP BY 1, 2, 3),
+p AS (SELECT s, q, g, CASE WHEN n < 5 OR b IS NULL OR b >= 0 THEN 0.1 ELSE -b END AS kappa, CASE WHEN n < 5 OR b IS NULL OR abs(b) < 1e-12 THEN m ELSE -a / b END AS mu FROM h),
+lagged AS (SELECT s, d, r, lag(r) OVER (PARTITION BY s ORDER BY d) AS l FROM x),
+e AS (SELECT k.s, t.q, t.tau, k.r - k.l - kappa * (mu - k.l) AS e FROM lagged k JOIN taus t ON t.s = k.s JOIN p ON p.s = k.s AND p.q = t.q AND p.g = CASE WHEN abs(k.l) <= t.tau THEN 0 WHEN k.l > t.tau THEN 1 ELSE 2 END WHERE k.l IS NOT NULL),
+o AS (SELECT s, q, tau, count(*) AS n, count(*) * (ln(2 * pi()) + ln(sum(e * e) / count(*)) + 1) + 18 * ln(count(*)) AS bic FROM e GROUP BY 1, 2, 3)
+SELECT s, q, round(tau, 6) AS tau, n, round(bic, 4) AS bic, bic = min(bic) OVER (PARTITION BY s) AS best FROM o""",
+)
 def threshold_bic(spark, sf_dir):
-    return estimators.threshold_bic(_returns(spark, sf_dir), "r").select("s", "q", r("tau").alias("tau"), "n", r("bic", 4).alias("bic"))
+    return estimators.threshold_bic(_returns(spark, sf_dir), "r").select("s", "q", r("tau").alias("tau"), "n", r("bic", 4).alias("bic"), "best")
 
 
 @query("garch_fit")

@@ -56,3 +56,13 @@ def kimchi_premium(local: Column, world: Column, fx: Column) -> Column:
 
 def premium_pct(price: Column, nav: Column) -> Column:
     return (price - nav) / (nav + 1e-12) * 100
+
+
+def not_both_zero(x: Column, y: Column) -> Column:
+    """Both values are there, and at least one is not zero."""
+    return x.isNotNull() & y.isNotNull() & ((x != 0) | (y != 0))
+
+
+def turnover(volume: Column, shares: Column) -> Column:
+    """Volume per share outstanding; null without shares."""
+    return volume / F.nullif(shares.cast("double"), F.lit(0.0))

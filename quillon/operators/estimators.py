@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import series
+from quillon.functions import scalar, series
 
 
 def _lagged(df: DataFrame, value: str, by: Sequence[str], order: str) -> DataFrame:
@@ -123,6 +123,71 @@ def threshold_bic(df: DataFrame, value: str, quantiles: Sequence[float] = (0.7,
     return one.select(*keys, "n", "bic", (F.col("bic") == F.min("bic").over(Window.partitionBy(*by))).alias("best"))
 
 
+def least_squares(rows: DataFrame, value: str, terms: Sequence[str], by: Sequence[str] = ("s",)) -> DataFrame:
+    """c0 (constant), c1, c2, ... of `terms`, r2, adj_r2 and n of the regression of `value` on them, per group; incomplete rows go.
+
+    The sums of products are one aggregation; what is solved per group are those few numbers.
+    """
+    k = len(terms) + 1
+    cells = [F.lit(1.0), *map(F.col, terms), F.col(value)]
+    sums = [F.sum(cells[i] * cells[j]).alias(f"m{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in pdf.iterrows():
+            m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
+            scale = np.sqrt(np.diag(m)[:k])
+            scale[scale == 0] = 1
+            c = np.linalg.lstsq(m[:k, :k] / np.outer(scale, scale), m[:k, k] / scale, rcond=None)[0] / scale
+            n, total = m[0, 0], m[k, k] - m[0, k] ** 2 / m[0, 0]
+            share = (m[k, k] - 2 * c @ m[:k, k] + c @ m[:k, :k] @ c) / total if total > 0 else float("nan")
+            adjusted = 1 - share * (n - 1) / (n - k) if n > k else float("nan")
+            out.append({b: row[b] for b in by} | {f"c{i}": c[i] for i in range(k)} | {"r2": 1 - share, "adj_r2": adjusted, "n": int(n)})
+        return pd.DataFrame(out)
+
+    keys = "".join(f"{b} {rows.schema[b].dataType.simpleString()}, " for b in by)
+    names = "".join(f"c{i} double, " for i in range(k))
+    return rows.dropna(subset=[value, *terms]).groupBy(*by).agg(*sums).groupBy(*by).applyInPandas(solve, f"{keys}{names}r2 double, adj_r2 double, n bigint")
+
+
+def threshold_ou(df: DataFrame, value: str, drivers: Sequence[str], tau: str, clip: float = 3.0, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+    """kappa, mu, sigma and one delta a driver, per regime 0 (within +/- column `tau`), 1 (above), 2 (below).
+
+    The regimes are fitted by `ou_of_regime`. Deltas are half the coefficients of the log absolute
+    residuals, of changes that start in the regime, on the clipped z-scores of the drivers the step
+    before, within +/- 2; they are 0 with fewer than five changes.
+    """
+    every = Window.partitionBy(*by)
+    rows = df.dropna(subset=[value, tau, *drivers]).withColumn("regime", scalar.threshold_regime(F.col(value), F.col(tau)))
+    fits = ou_of_regime(rows, value, "regime", by, order)
+    w = every.orderBy(order)
+    rows = rows.withColumns({f"_z{i}": series.zscore_clip(F.col(c), every, clip) for i, c in enumerate(drivers)})
+    lags = {f"_z{i}": F.lag(f"_z{i}").over(w) for i in range(len(drivers))}
+    steps = rows.withColumns(lags | {"regime": F.lag("regime").over(w), "_l": F.lag(value).over(w), "_d": series.diff(F.col(value), w)}).filter("_l is not null")
+    steps = steps.join(fits, [*by, "regime"]).withColumn("_e", F.ln(F.abs(F.col("_d") - F.col("kappa") * (F.col("mu") - F.col("_l"))) + 1e-8))
+    coef = least_squares(steps, "_e", [f"_z{i}" for i in range(len(drivers))], [*by, "regime"]).withColumnRenamed("n", "_n")
+    half = lambda i: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col(f"c{i + 1}") / 2))
+    deltas = [F.when(F.col("_n") >= 5, half(i)).otherwise(0.0).alias(f"delta_{c}") for i, c in enumerate(drivers)]
+    return fits.join(coef, [*by, "regime"], "left").select(*by, "regime", "kappa", "mu", "sigma", *deltas, "n")
+
+
+def jump_garch(df: DataFrame, r: str, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+    """Jumps beyond the 95 % quantile of absolute returns as Poisson counts (rate, mu_j, sigma_j), the other returns by GARCH(1,1) with a constant mean (mu)."""
+    rows = jumps_quantile(df, r, by=by)
+    jumps = merton(rows, r, by).select(*by, F.col("lambda").alias("rate"), "mu_j", "sigma_j", "mu")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[r].to_numpy(float)
+        if len(x) < 30:
+            return pd.DataFrame(columns=[*by, *names])
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in by} | garch_series(x)])[[*by, *names]]
+
+    names = ["omega", "alpha", "beta", "nu"]
+    keys = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in by)
+    rest = rows.filter("not is_jump").select(*by, order, r).groupBy(*by).applyInPandas(fit, keys + ", ".join(f"{c} double" for c in names))
+    return jumps.join(rest, list(by))
+
+
 # ---- iterative fits: numpy on one series a group -------------------------------------------------
 
 
@@ -281,6 +346,12 @@ def lognormal(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(logs).alias("mu"), F.stddev_pop(logs).alias("sigma"))
 
 
+def fixed_volatility(df: DataFrame, z: str, by: Sequence[str] = ("s",)) -> DataFrame:
+    """theta, kappa, sigma_v, rho by the likelihood of a constant variance: it is a function of theta alone, the others stay where a search starts."""
+    theta = F.var_pop(z)
+    return df.groupBy(*by).agg(theta.alias("theta"), F.lit(0.5).alias("kappa"), (theta * 0.5).alias("sigma_v"), F.lit(-0.5).alias("rho"))
+
+
 def stochastic_volatility(df: DataFrame, z: str, by: Sequence[str] = ("s",), order: str = "d", window: int = 20) -> DataFrame:
     """theta, kappa, sigma_v, rho of changes by moments of the rolling mean of their squares: kappa from its first autocorrelation, rho from its correlation with the changes."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -366,3 +366,24 @@ def normal_quantile_points(df: DataFrame, value: str, points: int = 99) -> DataF
     one = df.agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("_q"))
     cells = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical"), F.col("_q")[i].alias("sample")) for i, p in enumerate(levels)))
     return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def order_statistics(df: DataFrame, value: str) -> DataFrame:
+    """(i, n, p, sample) of each distinct value: its last rank i, and the median of the order statistic of that rank (Filliben, 1975).
+
+    Ranks are running counts over distinct values, in buckets.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("sample")).agg(F.count("*").alias("m"))
+    total = counts.agg(F.sum("m").alias("n"))
+    rows = stats.running_sums(counts, "sample", ["m"]).crossJoin(F.broadcast(total))  # one row
+    i, n = F.col("run_m"), F.col("n")
+    end = F.pow(F.lit(0.5), 1.0 / n)
+    p = F.when(i == n, end).when(i == 1, 1 - end).otherwise((i - 0.3175) / (n + 0.365))
+    return rows.select(i.alias("i"), "n", p.alias("p"), "sample")
+
+
+def change_bands(paths: DataFrame, actual: DataFrame, levels: Sequence[float] = (0.05, 0.95)) -> DataFrame:
+    """(t, da, lo, hi, inside): the change of the actual series and the band of the changes of the paths."""
+    d = paths.withColumn("_d", series.diff(F.col("v"), _path())).filter("_d is not null").groupBy("t").agg(F.percentile("_d", F.array(*map(F.lit, levels))).alias("_q"))
+    a = actual.withColumn("da", series.diff(F.col("a"), Window.partitionBy(F.lit(0)).orderBy("t"))).filter("da is not null")  # one short series
+    return a.join(d, "t").select("t", "da", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), F.col("da").between(F.col("_q")[0], F.col("_q")[1]).alias("inside"))

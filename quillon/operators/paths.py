@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Simulations that a task works on at once.
 BATCH = 256
@@ -29,6 +30,75 @@ def _generate(spark: SparkSession, n: int, steps: int, make: Callable[[list[np.r
     return spark.range(0, n, 1, parts).mapInPandas(run, "sim_id bigint, t int, v double")
 
 
+def _generate_rows(params: DataFrame, keys: Sequence[str], n: int, make: Callable[[object, list[np.random.Generator]], dict[str, np.ndarray]], columns: Sequence[str], seed: int) -> DataFrame:
+    """(keys, sim_id, t, columns): n simulations of every row of a small table of parameters, all in one job.
+
+    A task works on batches of simulations of a row. Streams are named by seed, key and simulation.
+    """
+    spark = params.sparkSession
+    rows = params.withColumns({"_stream": F.pmod(F.xxhash64(*keys), F.lit(2**31)), "_from": F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(BATCH)))})
+    kinds = {k: params.schema[k].dataType.simpleString() for k in keys}
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids = np.arange(row[-1], min(n, row[-1] + BATCH))
+                found = make(row, [np.random.default_rng([seed, int(row[-2]), int(i)]) for i in ids])
+                steps = found[columns[0]].shape[1]
+                out = {k: [getattr(row, k)] * (len(ids) * steps) for k in keys}
+                yield pd.DataFrame(out | {"sim_id": np.repeat(ids, steps), "t": np.tile(np.arange(steps, dtype=np.int32), len(ids))} | {c: found[c].ravel() for c in columns})
+
+    parts = 4 * spark.sparkContext.defaultParallelism
+    schema = "".join(f"{k} {kind}, " for k, kind in kinds.items()) + "sim_id bigint, t int" + "".join(f", {c} double" for c in columns)
+    return rows.repartition(parts, *keys, "_from").mapInPandas(run, schema)
+
+
+def ou_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v): mean reversion for every row of (keys, x0, kappa, mu, sigma)."""
+
+    def make(row, streams):
+        z = _normals(streams, steps)
+        v = np.empty_like(z)
+        v[:, 0] = row.x0
+        for t in range(1, steps):
+            v[:, t] = v[:, t - 1] + row.kappa * (row.mu - v[:, t - 1]) + row.sigma * z[:, t]
+        return {"v": v}
+
+    return _generate_rows(params.select(*keys, "x0", "kappa", "mu", "sigma"), keys, n, make, ["v"], seed)
+
+
+def emission_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, z): independent normal draws for every row of (keys, mu, sigma)."""
+    draw = lambda row, streams: {"z": row.mu + row.sigma * _normals(streams, steps)}
+    return _generate_rows(params.select(*keys, "mu", "sigma"), keys, n, draw, ["z"], seed)
+
+
+def driven_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v, x1, x2): a level whose volatility follows two simulated drivers, for every row of parameters.
+
+    The drivers revert to m1, m2 from there at th1, th2 with deviations s1, s2 and shocks of
+    correlation rho; the level reverts from x0 to mu at kappa, with the deviation sigma0
+    exp(delta1 x1 + delta2 x2). t counts the steps after the start.
+    """
+
+    def make(row, streams):
+        z = _normals(streams, 3 * steps).reshape(len(streams), 3, steps)
+        rho, root = max(-0.9999, min(0.9999, row.rho)), np.sqrt(dt)
+        shocks = (z[:, 0], rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1])
+        x, v, level = np.empty((2, len(streams), steps)), np.empty((len(streams), steps)), np.full(len(streams), row.x0)
+        now = [np.full(len(streams), row.m1), np.full(len(streams), row.m2)]
+        for t in range(steps):
+            for k, (th, m, s) in enumerate(((row.th1, row.m1, row.s1), (row.th2, row.m2, row.s2))):
+                now[k] = now[k] + th * (m - now[k]) * dt + s * root * shocks[k][:, t]
+                x[k, :, t] = now[k]
+            level = level + row.kappa * (row.mu - level) * dt + row.sigma0 * np.exp(row.delta1 * now[0] + row.delta2 * now[1]) * root * z[:, 2, t]
+            v[:, t] = level
+        return {"v": v, "x1": x[0], "x2": x[1]}
+
+    names = ["th1", "m1", "s1", "th2", "m2", "s2", "rho", "x0", "kappa", "mu", "sigma0", "delta1", "delta2"]
+    return _generate_rows(params.select(*keys, *(F.col(c).cast("double").alias(c) for c in names)), keys, n, make, ["v", "x1", "x2"], seed)
+
+
 def _normals(streams: list[np.random.Generator], steps: int) -> np.ndarray:
     return np.stack([r.standard_normal(steps) for r in streams])
 
@@ -74,9 +144,18 @@ def ou_driven(spark: SparkSession, n: int, steps: int, x0: float, kappa: float,
     return _generate(spark, n, steps, make, seed)
 
 
-def ou_threshold(spark: SparkSession, n: int, steps: int, x0: float, tau: float, kappa: Sequence[float], mu: Sequence[float], sigma: Sequence[float], seed: int = 42) -> DataFrame:
-    """Mean reversion that switches by the current level: inside +/- tau, above, below."""
+def ou_threshold(spark: SparkSession, n: int, steps: int, x0: float, tau: float, kappa: Sequence[float], mu: Sequence[float], sigma: Sequence[float], seed: int = 42, deltas: Sequence[Sequence[float]] | None = None, drivers: np.ndarray | None = None) -> DataFrame:
+    """Mean reversion that switches by the current level: inside +/- tau, above, below.
+
+    With `deltas` (a row of each regime) the deviation follows `drivers` (steps x drivers, clipped
+    z-scores; the last row is continued) of the step before; none at step 0.
+    """
     k, m, s = (np.asarray(x, float) for x in (kappa, mu, sigma))
+    factor = np.ones((steps, 3))
+    if deltas is not None and drivers is not None and len(drivers):
+        z = np.asarray(drivers, float)[np.minimum(np.arange(steps), len(drivers) - 1)]
+        factor = np.exp(z @ np.asarray(deltas, float).T)
+        factor[0] = 1.0
 
     def make(streams, steps):
         e = _normals(streams, steps)
@@ -85,23 +164,22 @@ def ou_threshold(spark: SparkSession, n: int, steps: int, x0: float, tau: float,
         for t in range(1, steps):
             x = v[:, t - 1]
             r = np.where(np.abs(x) <= tau, 0, np.where(x > tau, 1, 2))
-            v[:, t] = x + k[r] * (m[r] - x) + s[r] * e[:, t]
+            v[:, t] = x + k[r] * (m[r] - x) + s[r] * factor[t - 1, r] * e[:, t]
         return v
 
     return _generate(spark, n, steps, make, seed)
 
 
 def heston(spark: SparkSession, n: int, steps: int, s0: float, mu: float, v0: float, kappa: float, theta: float, sigma_v: float, rho: float, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
-    """Stochastic volatility with full truncation of the variance."""
+    """Stochastic volatility; the variance is floored at zero after every step."""
 
     def make(streams, steps):
         z = _normals(streams, 2 * (steps - 1)).reshape(len(streams), 2, steps - 1)
         x, var = np.full((len(streams), steps), np.log(s0)), np.full(len(streams), v0)
         for t in range(1, steps):
             a, b = z[:, 0, t - 1], rho * z[:, 0, t - 1] + np.sqrt(1 - rho**2) * z[:, 1, t - 1]
-            pos = np.maximum(var, 0)
-            x[:, t] = x[:, t - 1] + (mu - pos / 2) * dt + np.sqrt(pos * dt) * a
-            var = var + kappa * (theta - pos) * dt + sigma_v * np.sqrt(pos * dt) * b
+            x[:, t] = x[:, t - 1] + (mu - var / 2) * dt + np.sqrt(var * dt) * a
+            var = np.maximum(var + kappa * (theta - var) * dt + sigma_v * np.sqrt(var * dt) * b, 0)
         return np.exp(x)
 
     return _generate(spark, n, steps, make, seed)
@@ -167,23 +245,23 @@ def dtw(paths: DataFrame, actual: DataFrame) -> DataFrame:
     return paths.join(actual, "t").groupBy("sim_id").applyInPandas(run, "sim_id bigint, dtw double")
 
 
-def ou_pair(spark: SparkSession, n: int, steps: int, x0: tuple[float, float], theta: tuple[float, float], mu: tuple[float, float], sigma: tuple[float, float], rho: float, dt: float = 1 / 252, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Two mean-reverting series with correlated shocks, as two path tables of the same simulations."""
-    rho = max(-0.9999, min(0.9999, rho))
+def ou_pair(spark: SparkSession, n: int, steps: int, x0: tuple[float, float], theta: tuple[float, float], mu: tuple[float, float], sigma: tuple[float, float], rho: float, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
+    """(sim_id, t, v, w): two mean-reverting series with correlated shocks."""
+    one = spark.createDataFrame([(0, *map(float, (*x0, *theta, *mu, *sigma)))], "pair int, a double, b double, ka double, kb double, ma double, mb double, sa double, sb double")
+    rho, root = max(-0.9999, min(0.9999, rho)), dt**0.5
 
-    def side(k: int) -> Callable:
-        def make(streams, steps):
-            z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
-            e = z[:, 0] if k == 0 else rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1]
-            v = np.empty_like(e)
-            v[:, 0] = x0[k]
+    def make(row, streams):
+        z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
+        out = {}
+        for name, x, th, m, s, e in (("v", row.a, row.ka, row.ma, row.sa, z[:, 0]), ("w", row.b, row.kb, row.mb, row.sb, rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1])):
+            level = np.empty_like(e)
+            level[:, 0] = x
             for t in range(1, steps):
-                v[:, t] = v[:, t - 1] + theta[k] * (mu[k] - v[:, t - 1]) * dt + sigma[k] * np.sqrt(dt) * e[:, t]
-            return v
-
-        return make
+                level[:, t] = level[:, t - 1] + th * (m - level[:, t - 1]) * dt + s * root * e[:, t]
+            out[name] = level
+        return out
 
-    return _generate(spark, n, steps, side(0), seed), _generate(spark, n, steps, side(1), seed)
+    return _generate_rows(one, ["pair"], n, make, ["v", "w"], seed).drop("pair")
 
 
 def state_draws(spark: SparkSession, n: int, steps: int, mu: float, sigma: float, transform: str = "none", seed: int = 42) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import series
+from quillon.functions import scalar, series
+from quillon.operators import estimators
 
 # MacKinnon (2010) response surfaces of the Dickey-Fuller test with a constant, at 1, 5 and 10 %.
 _ADF_CRITICAL = {"1%": (-3.43035, -6.5393, -16.786), "5%": (-2.86154, -2.8903, -4.234), "10%": (-2.56677, -1.5384, -2.809)}
@@ -22,9 +23,11 @@ _ADF_CRITICAL = {"1%": (-3.43035, -6.5393, -16.786), "5%": (-2.86154, -2.8903, -
 _ADF_SPLIT, _ADF_LOW, _ADF_HIGH = -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
 
 
-def har(df: DataFrame, value: str, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+def har(df: DataFrame, value: str, by: Sequence[str] = ("s",), order: str = "d", standardise: bool = True) -> DataFrame:
     """Adds day, week, month lags, and residual and z of the regression on them; rows before the first full month go.
 
+    z is the plain residual without `standardise`.
+
     The normal equations are one aggregation per series; the few coefficients come from a 4 x 4 solve per group.
     """
     w = Window.partitionBy(*by).orderBy(order)
@@ -35,28 +38,12 @@ def har(df: DataFrame, value: str, by: Sequence[str] = ("s",), order: str = "d")
     rows = rows.join(coef, list(by)).withColumn("residual", x - fitted)
     every = Window.partitionBy(*by)
     z = (F.col("residual") - F.avg("residual").over(every)) / F.nullif(F.stddev_samp("residual").over(every), F.lit(0.0))
-    return rows.withColumn("z", z).drop("c0", "c1", "c2", "c3", "r2")
+    return rows.withColumn("z", z if standardise else F.col("residual")).drop("c0", "c1", "c2", "c3", "r2", "adj_r2", "n")
 
 
 def har_coefficients(rows: DataFrame, value: str, by: Sequence[str] = ("s",)) -> DataFrame:
-    """c0..c3 and r2 per series, of rows that hold day, week and month."""
-    terms = [F.lit(1.0), F.col("day"), F.col("week"), F.col("month"), F.col(value)]
-    sums = [F.sum(terms[i] * terms[j]).alias(f"m{i}{j}") for i in range(5) for j in range(i, 5)]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            m = np.array([[row[f"m{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)], float)
-            scale = np.sqrt(np.diag(m)[:4])
-            scale[scale == 0] = 1
-            c = np.linalg.lstsq(m[:4, :4] / np.outer(scale, scale), m[:4, 4] / scale, rcond=None)[0] / scale
-            total = m[4, 4] - m[0, 4] ** 2 / m[0, 0]
-            rest = m[4, 4] - 2 * c @ m[:4, 4] + c @ m[:4, :4] @ c
-            out.append({k: row[k] for k in by} | {f"c{i}": c[i] for i in range(4)} | {"r2": 1 - rest / total if total > 0 else float("nan")})
-        return pd.DataFrame(out)
-
-    keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
-    return rows.groupBy(*by).agg(*sums).groupBy(*by).applyInPandas(solve, f"{keys}, c0 double, c1 double, c2 double, c3 double, r2 double")
+    """c0..c3, r2, adj_r2 and n per series, of rows that hold day, week and month."""
+    return estimators.least_squares(rows, value, ["day", "week", "month"], by)
 
 
 def adf_series(x: np.ndarray) -> dict[str, float]:
@@ -195,10 +182,11 @@ def n_parameters(k: int) -> int:
     return k + k + k * (k - 1) + (k - 1)
 
 
-def hmm_regimes(df: DataFrame, value: str, states: Sequence[int] = (1, 2, 3), starts: int = 5, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+def hmm_regimes(df: DataFrame, value: str, states: Sequence[int] | DataFrame = (1, 2, 3), starts: int = 5, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
     """Per series and state count k: log likelihood, aic, bic, least occupancy, means, deviations, the Viterbi states and the posteriors (k a step).
 
-    Each (series, k) is its own group, so that they run as separate tasks.
+    Each (series, k) is its own group, so that they run as separate tasks. `states` may be a small
+    table (by, k) of the counts to fit for each series, as of `counted_states`.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,10 +203,44 @@ def hmm_regimes(df: DataFrame, value: str, states: Sequence[int] = (1, 2, 3), st
     names = ["k", "n", "loglik", "aic", "bic", "occupancy", "mu", "sigma", "move", "states", "posterior"]
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
     schema = f"{keys}, k int, n bigint, loglik double, aic double, bic double, occupancy double, mu array<double>, sigma array<double>, move array<double>, states array<int>, posterior array<double>"
-    rows = df.select(*by, order, value).dropna().withColumn("k", F.explode(F.array(*map(F.lit, states))))
+    rows = df.select(*by, order, value).dropna()
+    if isinstance(states, DataFrame):
+        rows = rows.join(states.select(*by, F.col("k").cast("int").alias("k")), list(by))
+    else:
+        rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, states))))
     return _spread(rows, [*by, "k"]).groupBy(*by, "k").applyInPandas(run, schema)
 
 
+def comparison_table(fits: DataFrame, by: Sequence[str] = ("s",)) -> DataFrame:
+    """(metric, k1, k2, k3) of each series: log likelihood, criteria and number of parameters side by side."""
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), x.cast("double").alias("v")) for m, x in {"loglik": F.col("loglik"), "aic": F.col("aic"), "bic": F.col("bic"), "n_params": F.col("k") * (F.col("k") + 2) - 1}.items()))
+    rows = fits.select(*by, "k", F.explode(cells).alias("c")).select(*by, "k", "c.*")
+    out = rows.groupBy(*by, "metric").pivot("k", [1, 2, 3]).agg(F.max("v"))
+    return out.select(*by, "metric", *(F.col(str(k)).alias(f"k{k}") for k in (1, 2, 3)))
+
+
+def transformed(value: Column, kind: str = "none") -> Column:
+    """The value, its log or its log1p; a value outside the domain is an error."""
+    return value if kind == "none" else scalar.checked_log(value, kind)
+
+
+def back_transformed(value: Column, kind: Column) -> Column:
+    """The inverse of `transformed` for a column that names the transformation."""
+    return F.when(kind == "log", F.exp(value)).when(kind == "log1p", F.expm1(value)).otherwise(value)
+
+
+def state_series(df: DataFrame, fits: DataFrame, value: str, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+    """(by, order, state) of one fit a series: its n-th state belongs to the n-th row with a value."""
+    rows = df.select(*by, order, value).dropna().withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    states = fits.select(*by, F.posexplode("states").alias("_p", "state")).withColumn("_n", F.col("_p") + 1).drop("_p")
+    return rows.join(states, [*by, "_n"]).select(*by, order, "state")
+
+
+def counted_states(states: DataFrame, by: Sequence[str] = ("s",)) -> DataFrame:
+    """(by, k): the number of distinct states of stored regimes, to fit that many again without a test."""
+    return states.filter("state is not null").groupBy(*by).agg(F.count_distinct("state").cast("int").alias("k"))
+
+
 #: Replicates that one task generates and fits together.
 REPLICATES = 25
 

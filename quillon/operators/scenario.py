@@ -200,6 +200,56 @@ def regime_calendar(calendar: DataFrame, daily_states: DataFrame, weekly_states:
     return out
 
 
+# The names of the states of a variable by their number; residuals have names of their own.
+STATE_NAMES = {2: ("Low", "High"), 3: ("Low", "Mid", "High")}
+RESIDUAL_NAMES = {2: ("Normal", "Extreme"), 3: ("Low", "Normal", "Extreme")}
+
+
+def label_table(states: DataFrame, residuals: Sequence[str] = ()) -> DataFrame:
+    """(variable, state, label) for the number of states that each variable has in long regimes; S0, S1, ... for other numbers."""
+    out = None
+    for kind, names in ((F.col("variable").isin(list(residuals)) if residuals else F.lit(False), RESIDUAL_NAMES), (~F.col("variable").isin(list(residuals)) if residuals else F.lit(True), STATE_NAMES)):
+        k = states.filter(kind & F.col("state").isNotNull()).groupBy("variable").agg(F.count_distinct("state").alias("k"))
+        table = F.create_map(*(x for n, labels in names.items() for x in (F.lit(n).cast("bigint"), F.array(*map(F.lit, labels)))))
+        rows = k.select("variable", F.coalesce(F.try_element_at(table, F.col("k")), F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.concat(F.lit("S"), i.cast("string")))).alias("labels"))
+        part = rows.select("variable", F.posexplode("labels").alias("state", "label"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def labelled(table: DataFrame, labels: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """A wide table of states as labels; rows that lack a state go."""
+    for v in variables:
+        one = labels.filter(F.col("variable") == v).select(F.col("state").alias(v), F.col("label").alias("_label"))
+        table = table.join(F.broadcast(one), v).withColumn(v, F.col("_label")).drop("_label")  # a few states
+    return table.dropna(subset=list(variables))
+
+
+def invalid_scenarios(scenarios: DataFrame, counts: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """(scenario_id, variable, problem) of states that are missing, of an unknown variable, or outside 0 .. k - 1; `counts` is (variable, k)."""
+    cells = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("state")) for v in variables))).alias("p")
+    rows = scenarios.select("scenario_id", cells).select("scenario_id", "p.*").join(F.broadcast(counts), "variable", "full_outer")  # a row a variable
+    problem = F.when(F.col("k").isNull(), "unknown variable").when(F.col("state").isNull(), "missing").when((F.col("state") < 0) | (F.col("state") >= F.col("k")), "out of range")
+    return rows.select("scenario_id", "variable", problem.alias("problem")).filter("problem is not null")
+
+
+def emissions(scenarios: DataFrame, fits: DataFrame, variables: Sequence[str], inverse: Mapping[str, str] | None = None) -> DataFrame:
+    """(scenario_id, variable, mu, sigma, inverse): the emission of the state that a scenario names for each variable; `fits` is (variable, mu, sigma), lists by state."""
+    names = F.create_map(*(F.lit(x) for v in variables for x in (v, (inverse or {}).get(v, "none"))))
+    cells = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("state")) for v in variables))).alias("p")
+    rows = scenarios.select("scenario_id", cells).select("scenario_id", "p.*").filter("state is not null").join(F.broadcast(fits.select("variable", F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))), "variable")
+    at = lambda c: F.try_element_at(F.col(c), F.col("state").cast("int") + 1)
+    return rows.select("scenario_id", "variable", at("_mu").alias("mu"), at("_sigma").alias("sigma"), F.element_at(names, F.col("variable")).alias("inverse")).filter("mu is not null")
+
+
+def comparison_table(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """The results of the scenarios (scenario_id and figures), rounded to 6 digits, with the base on top; position gives the order."""
+    both = base.withColumns({"scenario_id": F.lit("Base"), "_n": F.lit(0)}).unionByName(rows.withColumn("_n", F.lit(1)), allowMissingColumns=True)
+    figures = [c for c, kind in both.dtypes if kind == "double"]
+    w = Window.orderBy("_n", "scenario_id")  # a row a scenario
+    return both.withColumn("position", F.row_number().over(w)).withColumns({c: F.round(c, 6) for c in figures}).drop("_n")
+
+
 def summary_by_scenario(paths: DataFrame) -> DataFrame:
     """Mean and population deviation of every series of every scenario."""
     return paths.groupBy("scenario_id", "series").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))

@@ -47,6 +47,46 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs))).alias("p")).select("p.*")
 
 
+def report(df: DataFrame, top: int = 10) -> DataFrame:
+    """(col, stat, value) of a table: rows and columns; per column its missing values; of numbers the description and correlations; of texts their number and the `top` ones; repeated rows.
+
+    Facts of the table have an empty col. Correlations are of rows that hold both values.
+    """
+    numbers = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
+    texts = [c for c, t in df.dtypes if t == "string"]
+
+    def long(rows: DataFrame, key: Column, stats: dict[str, str]) -> DataFrame:
+        cells = F.array(*(F.struct(F.lit(name).alias("stat"), F.col(c).cast("double").alias("value")) for c, name in stats.items()))
+        return rows.select(key.alias("col"), F.explode(cells).alias("p")).select("col", "p.*")
+
+    repeated = duplicate_rows(df).withColumns({"pct": F.col("n_duplicates") * 100 / F.nullif(F.col("n_rows"), F.lit(0)), "n_columns": F.lit(len(df.columns))})
+    parts = [long(repeated, F.lit(""), {"n_rows": "rows", "n_columns": "columns", "n_duplicates": "duplicates", "pct": "duplicates_pct"}), long(missing_profile(df), F.col("col"), {"n_missing": "missing", "pct": "missing_pct"})]
+    if numbers:
+        parts.append(long(describe(df, numbers), F.col("col"), {"n": "count", "mean": "mean", "std": "std", "lo": "min", "p25": "25%", "p50": "50%", "p75": "75%", "hi": "max"}))
+    if len(numbers) > 1:
+        corr = correlation_matrix(df, numbers)
+        parts.append(corr.select(F.col("a").alias("col"), F.concat(F.lit("corr:"), "b").alias("stat"), F.col("corr").alias("value")))
+        parts.append(corr.filter("a <> b").select(F.col("b").alias("col"), F.concat(F.lit("corr:"), "a").alias("stat"), F.col("corr").alias("value")))
+    if texts:
+        values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in texts))).alias("p")).select("p.*").filter("text is not null").groupBy("col", "text").agg(F.count("*").alias("n"))
+        parts.append(values.groupBy("col").agg(F.count("*").cast("double").alias("value")).select("col", F.lit("unique").alias("stat"), "value"))
+        first = values.withColumn("_i", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "text"))).filter(F.col("_i") <= top)
+        parts.append(first.select("col", F.concat(F.lit("top:"), "text").alias("stat"), F.col("n").cast("double").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def before_after(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Mean, deviation, extremes, adjusted skewness and kurtosis and the share without a value, of each column before and after a transformation."""
+    names = [(a, step, c) for a, b in pairs for step, c in (("before", a), ("after", b))]
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("col"), F.lit(step).alias("step"), F.col(c).cast("double").alias("v")) for a, step, c in names))).alias("p")
+    rows = df.select(cells).select("p.*")
+    v = F.col("v")
+    return rows.groupBy("col", "step").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"), adjusted_skew(v).alias("skew"), adjusted_kurtosis(v).alias("kurt"), ((F.count("*") - F.count(v)) * 100 / F.count("*")).alias("nan_pct"))
+
+
 def adjusted_skew(x: Column) -> Column:
     """Bias-adjusted skewness; null below three values."""
     n = F.count(x)

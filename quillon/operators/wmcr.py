@@ -47,6 +47,21 @@ def p_value(null: DataFrame, observed: float, alternative: str = "two-sided") ->
     return null.agg(((1 + F.sum(extreme.cast("int"))) / (F.count("*") + 1)).alias("p"))
 
 
+def calibration(y: DataFrame, bands: DataFrame, nominal: DataFrame, resampled: DataFrame, alternative: str = "two-sided", mode: str = "linear") -> DataFrame:
+    """wmcr, p and replicates: the observed rate against those of the resampled series (b, t, y) of `circular_shifts` or `block_bootstrap`."""
+    observed = calibrated(capture(y, bands), nominal, mode).withColumnRenamed("wmcr", "_w")
+    null = calibrated(capture(resampled, bands, ["b"]), nominal, mode, ["b"]).crossJoin(F.broadcast(observed))  # one row
+    w, obs = F.col("wmcr"), F.col("_w")
+    extreme = {"two-sided": F.abs(w - 1) >= F.abs(obs - 1), "greater": w >= obs, "less": w <= obs}[alternative]
+    return null.agg(F.max("_w").alias("wmcr"), ((1 + F.sum(extreme.cast("int"))) / (F.count("*") + 1)).alias("p"), F.count("*").alias("replicates"))
+
+
+def random_starts(spark: SparkSession, replicates: int, blocks: int, length: int, seed: int = 42) -> DataFrame:
+    """(b, i, start): the starts of the blocks of every replicate, the same for the same seed however they are partitioned."""
+    pairs = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
+    return pairs.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "b", "i"), F.lit(length)).cast("int"))
+
+
 def binomial_test(spark: SparkSession, n: int, nominal: Sequence[float], captured: Sequence[float], alpha: float = 0.05) -> DataFrame:
     """Standard error, tolerance and verdict of each band."""
     z = NormalDist().inv_cdf(1 - alpha / 2)

@@ -1,9 +1,10 @@
-"""The named flows, end to end: base simulation, regimes to scenarios, scenario-conditioned simulation."""
+"""The named flows, end to end: base simulation, regimes to scenarios, simulation by scenario and regime, model contests."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,51 +13,158 @@ from quillon.operators import estimators, metrics, paths, regime, scenario
 from quillon.settings import Settings
 
 
-def base_simulation(spark: SparkSession, history: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:
-    """NAV, premium and local-premium paths fitted on one history (d, nav, gap, kp), combined and evaluated.
+def _z_scores(history: DataFrame, columns: Sequence[str], steps: int, order: str = "d", clip: float = 3.0) -> np.ndarray:
+    """The first `steps` rows of the drivers as clipped z-scores of their history."""
+    stats = history.agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    rows = history.select(order, *columns).dropna().orderBy(order).limit(steps).collect()  # a row a simulated step
+    mean, sd = (np.array([stats[f"{k}{i}"] for i in range(len(columns))], float) for k in "ms")
+    return np.clip((np.array([[r[c] for c in columns] for r in rows], float) - mean) / (sd + 1e-8), -clip, clip)
 
-    Parameters are a row each; paths are generated once per result, from streams of their own.
+
+def base_simulation(spark: SparkSession, history: DataFrame, settings: Settings | None = None, gap_drivers: Sequence[str] = (), kp_drivers: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """NAV, premium and local-premium paths fitted on one history (d, nav, gap, kp, drivers), combined and evaluated.
+
+    With drivers the volatility of the premium follows them, and the local premium reverts in
+    three regimes, around the threshold of the least BIC, each with a volatility that follows its
+    drivers. Parameters are a row each; paths are generated once per result, from streams of their own.
     """
     settings = settings or Settings()
     one = history.withColumn("s", F.lit("all"))
     rows = one.withColumn("r", series.log_return(F.col("nav"), series.ordered()))
     g = estimators.arma_garch(rows, "r").first()
-    o, k = estimators.ou_ols(one, "gap").first(), estimators.ou_ols(one, "kp").first()
     first = one.orderBy("d").first()
     n, steps, seed = settings.base_paths, settings.base_steps, settings.seed
     nav = paths.arma_garch(spark, n, steps, first.nav, g["const"], g["phi"], g["theta"], g["omega"], g["alpha"], g["beta"], g["nu"], seed=seed)
-    gap = paths.ou(spark, n, steps, first.gap, o["kappa"], o["mu"], o["sigma"], seed=seed + 10_000)
-    kp = paths.ou(spark, n, steps, first.kp, k["kappa"], k["mu"], k["sigma"], seed=seed + 20_000)
+    if gap_drivers:
+        o = estimators.heteroscedastic_ou(one, "gap", gap_drivers).first()
+        gap = paths.ou_driven(spark, n, steps, first.gap, o["kappa"], o["mu"], o["sigma0"], [o[f"delta_{c}"] for c in gap_drivers], _z_scores(history, gap_drivers, steps), seed=seed + 10_000)
+    else:
+        o = estimators.ou_ols(one, "gap").first()
+        gap = paths.ou(spark, n, steps, first.gap, o["kappa"], o["mu"], o["sigma"], seed=seed + 10_000)
+    if kp_drivers:
+        best = estimators.threshold_bic(one, "kp").filter("best").select("s", "tau")
+        found = {x.regime: x for x in estimators.threshold_ou(one.join(best, "s"), "kp", kp_drivers, "tau").collect()}  # three regimes
+        fits = [found.get(i) or found[0] for i in range(3)]
+        kp = paths.ou_threshold(spark, n, steps, first.kp, best.first().tau, *([x[c] for x in fits] for c in ("kappa", "mu", "sigma")), seed=seed + 20_000, deltas=[[x[f"delta_{c}"] for c in kp_drivers] for x in fits], drivers=_z_scores(history, kp_drivers, steps))
+    else:
+        k = estimators.ou_ols(one, "kp").first()
+        kp = paths.ou(spark, n, steps, first.kp, k["kappa"], k["mu"], k["sigma"], seed=seed + 20_000)
     etf = metrics.anchored_product(nav, gap, kp, settings.anchor)
     return {"nav": nav, "gap": gap, "kp": kp, "etf": etf, "fan": metrics.fan_bands(etf), "risk": metrics.scenario_risk(etf)}
 
 
-def regimes_to_scenarios(regimes: DataFrame, variables: Sequence[str], states: Sequence[int] = (0, 1, 2), most_shared: int = 1) -> dict[str, DataFrame]:
+def regimes_to_scenarios(regimes: DataFrame, variables: Sequence[str], states: Sequence[int] = (0, 1, 2), most_shared: int = 1, judgements: DataFrame | None = None) -> dict[str, DataFrame]:
     """Long regimes to lifts, ranked combinations and the selected scenarios with their days."""
     table = scenario.wide(regimes, variables)
     lifts = scenario.pairwise_lift(regimes)
     combos = scenario.enumerate_combos({v: states for v in variables}, regimes.sparkSession)
-    ranked = scenario.rank_combos(scenario.classify(combos, lifts, variables), scenario.joint_frequency(table, variables), variables)
+    ranked = scenario.rank_combos(scenario.classify(combos, lifts, variables, judgements), scenario.joint_frequency(table, variables), variables)
     chosen = scenario.greedy_diversity(ranked, variables, most_shared)
     return {"lifts": lifts, "ranked": ranked, "scenarios": chosen, "days": scenario.scenario_days(table, chosen, variables)}
 
 
 def scenario_simulation(spark: SparkSession, values: DataFrame, days: DataFrame, value: str, settings: Settings | None = None) -> DataFrame:
-    """Fan bands per scenario of a mean-reverting series whose volatility is that of the scenario's days."""
+    """Fan bands per scenario of a mean-reverting series whose volatility is that of the scenario's days; all scenarios in one job."""
     settings = settings or Settings()
-    sigmas = estimators.sigma_per_scenario(days, values, value).groupBy("scenario_id").agg(F.avg("sigma").alias("sigma")).orderBy("scenario_id").collect()  # a row a scenario
-    fit = estimators.ou_ols(values, value).agg(F.avg("kappa").alias("kappa"), F.avg("mu").alias("mu")).first()
-    out = None
-    for i, row in enumerate(sigmas):
-        p = paths.ou(spark, settings.regime_paths, settings.scenario_steps, fit["mu"], min(fit["kappa"], 1.9), fit["mu"], row["sigma"] / 252**0.5, seed=settings.seed + 1000 * i)
-        part = metrics.fan_bands(p).withColumn("scenario_id", F.lit(row["scenario_id"]))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "t int, mean double, p05 double, p25 double, p50 double, p75 double, p95 double, scenario_id string")
+    sigmas = estimators.sigma_per_scenario(days, values, value).groupBy("scenario_id").agg(F.avg("sigma").alias("_s"))
+    fit = estimators.ou_ols(values, value).agg(F.avg("kappa").alias("kappa"), F.avg("mu").alias("mu"))
+    rows = sigmas.crossJoin(F.broadcast(fit))  # one row
+    params = rows.select("scenario_id", F.col("mu").alias("x0"), F.least("kappa", F.lit(1.9)).alias("kappa"), "mu", (F.col("_s") / 252**0.5).alias("sigma"))
+    return metrics.fan_bands(paths.ou_rows(params, ["scenario_id"], settings.regime_paths, settings.scenario_steps, settings.seed), by=("scenario_id", "t"))
+
+
+def scenario_pipeline(scenarios: DataFrame, fits: DataFrame, variables: Sequence[str], inverse: Mapping[str, str] | None = None, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """Draws of every variable of every scenario (z: scale of the model, v: original scale), and their summaries; `fits` as for `scenario.emissions`."""
+    settings = settings or Settings()
+    params = scenario.emissions(scenarios, fits, variables, inverse)
+    draws = paths.emission_rows(params, ["scenario_id", "variable"], settings.base_paths, settings.scenario_steps, settings.seed)
+    kinds = params.select("scenario_id", "variable", "inverse")
+    draws = draws.join(F.broadcast(kinds), ["scenario_id", "variable"]).withColumn("v", regime.back_transformed(F.col("z"), F.col("inverse"))).drop("inverse")  # a row a scenario and variable
+    named = draws.withColumnRenamed("variable", "series")
+    return {"draws": draws, "summary": scenario.summary_by_scenario(named), "summary_model": scenario.summary_by_scenario(named.withColumn("v", F.col("z")))}
+
+
+def regime_simulation(drivers: DataFrame, target: Mapping[str, float], settings: Settings | None = None, by: str = "s") -> dict[str, DataFrame]:
+    """Two driver series (s, d, value, regime) to the paths of a level they drive, per regime, and its risk.
+
+    Mean reversion of each driver and regime comes from the pairs of neighbouring days, the
+    correlation of shocks from their residuals (0 with fewer than three common days); `target` holds
+    x0, kappa, mu, sigma0, delta1, delta2 of the level. Regimes without a fit of both drivers go.
+    """
+    settings = settings or Settings()
+    pairs = estimators.consecutive_pairs(drivers, "value", "regime", [by])
+    fits = estimators.ou_by_regime(pairs, by=[by])
+    order = F.row_number().over(series.ordered(("regime",), (by,)))
+    fits = fits.withColumn("_k", order).groupBy("regime").pivot("_k", [1, 2]).agg(F.max("theta").alias("th"), F.max("mu").alias("m"), F.max("sigma").alias("s")).dropna()
+    e = estimators.regime_residuals(pairs, [by])
+    wide = e.groupBy("d", "regime").agg(F.min_by("e", by).alias("a"), F.max_by("e", by).alias("b"), F.count("*").alias("n")).filter("n = 2")
+    rho = wide.groupBy("regime").agg(F.when(F.count("*") < 3, 0.0).otherwise(F.coalesce(F.corr("a", "b"), F.lit(0.0))).alias("rho"))
+    params = fits.select("regime", *(F.col(f"{k}_{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("th", "m", "s"))).join(rho, "regime", "left").na.fill(0.0, ["rho"])
+    params = params.withColumns({k: F.lit(float(v)) for k, v in target.items()})
+    found = paths.driven_rows(params, ["regime"], settings.regime_paths, settings.scenario_steps, seed=settings.seed)
+    return {"params": params, "paths": found, "risk": metrics.scenario_risk(found.withColumn("v", 1 + F.col("v")), ["regime"])}
 
 
-def detect_regimes(df: DataFrame, value: str, starts: int = 5, replicates: int = 100, by: Sequence[str] = ("s",)) -> DataFrame:
-    """best_k and the fit of that many states of each series."""
-    fits = regime.hmm_regimes(df, value, (1, 2, 3), starts=starts, by=by)
-    p12, p23 = (regime.bootstrap_lrt(df, value, k, replicates, by=by) for k in (1, 2))
+def detect_regimes(df: DataFrame, value: str, starts: int = 5, replicates: int = 100, by: Sequence[str] = ("s",), transform: str = "none", order: str = "d") -> DataFrame:
+    """best_k and the fit of that many states of each series, of the value or its log or log1p."""
+    df = df.withColumn(value, regime.transformed(F.col(value), transform))
+    fits = regime.hmm_regimes(df, value, (1, 2, 3), starts=starts, by=by, order=order)
+    p12, p23 = (regime.bootstrap_lrt(df, value, k, replicates, by=by, order=order) for k in (1, 2))
     best = regime.select_states(fits, p12, p23, by=by)
     return fits.join(best, list(by)).filter("k = best_k")
+
+
+def regime_frame(daily: DataFrame, weekly: DataFrame, day_columns: Mapping[str, str], week_columns: Mapping[str, str], har_column: str, starts: int = 10, replicates: int = 100, counts: DataFrame | None = None, by: Sequence[str] = ("s",)) -> dict[str, DataFrame]:
+    """The states of all variables on the daily calendar, as numbers and as labels.
+
+    Daily and weekly columns are given with their transformation (none, log, log1p); of
+    `har_column` it is the standardised residual of its day, week and month regression that has
+    regimes. All series are fitted in one job each for fits and replicates. `counts` (by,
+    variable, k), as of `regime.counted_states`, fixes the number of states without a test.
+    """
+    keys = [*by, "variable"]
+    long = lambda rows, name, kind: rows.select(*by, "d", F.lit(name).alias("variable"), regime.transformed(F.col(name).cast("double"), kind).alias("value"))
+    residual = f"{har_column}_resid"
+    parts = [long(daily, c, kind) for c, kind in day_columns.items()]
+    parts.append(regime.har(daily, har_column, by).select(*by, "d", F.lit(residual).alias("variable"), F.col("z").alias("value")))
+    parts += [long(weekly, c, kind) for c, kind in week_columns.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.filter("value is not null")
+    fits = detect_regimes(rows, "value", starts, replicates, keys) if counts is None else regime.hmm_regimes(rows, "value", counts, starts, by=keys)
+    states = regime.state_series(rows, fits, "value", keys)
+    of = lambda names: states.filter(F.col("variable").isin(list(names)))
+    variables = [*day_columns, residual, *week_columns]
+    table = scenario.regime_calendar(daily, of([*day_columns, residual]), of(week_columns), variables, by)
+    labels = scenario.label_table(states, [residual])
+    return {"fits": fits, "states": states, "table": table, "labelled": scenario.labelled(table, labels, variables)}
+
+
+def validation_grid(spark: SparkSession, history: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The tests of fund returns of two NAV models times two premium models against the true ones; `history` is (d, nav, gap, etf).
+
+    The fund starts at nav (1 + gap) and follows the simulated product by a step. Each model is
+    fitted and simulated once, whatever it is combined with.
+    """
+    settings = settings or Settings()
+    one = history.withColumn("s", F.lit("all")).withColumn("r", series.log_return(F.col("nav"), series.ordered())).withColumn("z", series.diff(F.col("gap"), series.ordered()))
+    first, n, steps = one.orderBy("d").first(), settings.base_paths, one.count() - 1
+    h, g = estimators.heston_moments(one, "r").first(), estimators.arma_garch(one, "r", student=False).first()
+    v, o = estimators.stochastic_volatility(one, "z").first(), estimators.ou_ols(one, "gap").first()
+    navs = {
+        "heston": paths.heston(spark, n, steps, first.nav, h["mu"], h["v0"], h["kappa"], h["theta"], h["sigma_v"], h["rho"], seed=settings.seed),
+        "arma_garch": paths.arma_garch(spark, n, steps, first.nav, g["const"], g["phi"], g["theta"], g["omega"], g["alpha"], g["beta"], seed=settings.seed),
+    }
+    changes = paths.heston_changes(spark, n, steps, v["theta"], v["kappa"], v["theta"], v["sigma_v"], v["rho"], seed=settings.seed + 10_000)
+    level = first.gap + F.sum("v").over(series.ordered(("sim_id",), ("t",)))
+    gaps = {"heston_sv": changes.withColumn("v", level), "ou": paths.ou(spark, n, steps, first.gap, o["kappa"], o["mu"], o["sigma"], seed=settings.seed + 20_000)}
+    w = series.ordered()
+    actual = one.select((F.row_number().over(w) - 1).alias("t"), series.log_return(F.col("etf"), w).alias("a")).filter("a is not null")
+    out = None
+    for nav_model, nav in navs.items():
+        for gap_model, gap in gaps.items():
+            r = metrics.delayed_product(nav, gap, first.nav, first.gap).filter("r is not null").select("sim_id", "t", F.col("r").alias("v"))
+            tests = metrics.statistical_tests(r, actual).select(F.lit(nav_model).alias("nav_model"), F.lit(gap_model).alias("gap_model"), "*")
+            out = tests if out is None else out.unionByName(tests)
+    return out

@@ -276,11 +276,6 @@ def ou_driven_fit(spark, sf_dir):
     return estimators.heteroscedastic_ou(_returns(spark, sf_dir), "r", ["y"])
 
 
-@query("har_z")
-def har_z(spark, sf_dir):
-    return regime.har(daily(spark, sf_dir), "y").select("s", "d", r("residual").alias("residual"), r("z").alias("z"))
-
-
 @query("adf_test")
 def adf_test(spark, sf_dir):
     return regime.adf(daily(spark, sf_dir), "y")
@@ -497,11 +492,11 @@ def closest_path(spark, sf_dir):
 
 @query(
     "acf_squares",
-    f"WITH {PATHS}, c AS (SELECT sim_id, t, v * v - avg(v * v) OVER (PARTITION BY sim_id) AS c FROM paths), l AS (" + " UNION ALL ".join(f"SELECT sim_id, {k} AS lag, c, lag(c, {k}) OVER ({_P}) AS l FROM c" for k in range(6)) + ") SELECT sim_id, lag, round(coalesce(sum(c * l), 0) / nullif(sum(c * c), 0), 5) AS acf FROM l GROUP BY 1, 2",
+    f"WITH {PATHS}, c AS (SELECT sim_id, t, v * v - avg(v * v) OVER (PARTITION BY sim_id) AS c FROM paths), l AS (" + " UNION ALL ".join(f"SELECT sim_id, {k} AS lag, c, lag(c, {k}) OVER ({_P}) AS l FROM c" for k in range(21)) + ") SELECT sim_id, lag, round(coalesce(sum(c * l), 0) / nullif(sum(c * c), 0), 5) AS acf FROM l GROUP BY 1, 2",
 )
 def acf_squares(spark, sf_dir):
     rows = base.paths(spark, sf_dir).withColumn("v", F.col("v") * F.col("v"))
-    return stats.autocorrelation(rows, "v", 5, ["sim_id"], ["t"]).select("sim_id", "lag", r("acf", 5).alias("acf"))
+    return stats.autocorrelation(rows, "v", 20, ["sim_id"], ["t"]).select("sim_id", "lag", r("acf", 5).alias("acf"))
 
 
 @query(
@@ -684,16 +679,9 @@ def qq_points(spark, sf_dir):
     return metrics.normal_quantile_points(base.paths(spark, sf_dir), "v")
 
 
-@query("har_r2")
-def har_r2(spark, sf_dir):
-    rows = daily(spark, sf_dir).withColumns({"day": F.lag("y").over(W()), "week": series.rolling_mean(F.col("y"), W(), 5, 1), "month": series.rolling_mean(F.col("y"), W(), 22, 1)})
-    return regime.har_coefficients(rows.dropna(), "y")
-
-
 @query("mc_ou_pair")
 def mc_ou_pair(spark, sf_dir):
-    a, b = paths.ou_pair(spark, 500, 60, (0.01, 0.02), (30.0, 20.0), (0.01, 0.02), (0.1, 0.2), 0.6)
-    j = a.join(b.withColumnRenamed("v", "w"), ["sim_id", "t"]).filter("t > 0")
+    j = paths.ou_pair(spark, 500, 60, (0.01, 0.02), (30.0, 20.0), (0.01, 0.02), (0.1, 0.2), 0.6).filter("t > 0")
     return j.groupBy("t").agg(F.corr("v", "w").alias("c"), F.avg("v").alias("a"), F.avg("w").alias("b"))
 
 

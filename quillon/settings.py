@@ -25,3 +25,14 @@ class Settings:
 
     def path(self, *parts: str) -> str:
         return "/".join([self.result_folder, *parts])
+
+    def source(self, *parts: str) -> str:
+        return "/".join([self.data_folder, *parts])
+
+    def ensure_directories(self, spark, names: tuple[str, ...] = ("eda", "eda_train", "variables", "simulator", "scenario")) -> list[str]:
+        """Result folders in the file system that their address names, made where they are not there."""
+        made = [self.path(name) for name in names]
+        for folder in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+        return made

@@ -161,3 +161,37 @@ def validation_view(truth: DataFrame, variables: DataFrame, percent: bool, date:
     w = Window.partitionBy(F.lit(0)).orderBy(date)  # one daily series
     gap = F.col("etf_premium") / 100 if percent else F.col("etf_premium")
     return j.select(date, "nav_true", "etf_true", gap.alias("gap")).withColumns({"r": F.ln(F.col("nav_true") / F.lag("nav_true").over(w)), "dgap": F.col("gap") - F.lag("gap").over(w)})
+
+
+def positional_csv(spark: SparkSession, path: str, columns: Sequence[str], date: str, value: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(d, value) of an export whose header is localised: columns are named by position, blanks in dates go, rows without both go."""
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).option("enforceSchema", True).csv(path)
+    rows = rows.select(F.regexp_replace(date, r"\s", "").try_cast("date").alias("d"), scalar.to_number(F.col(value)).alias(value)).dropna()
+    return rows.filter(F.col("d").between(F.lit(start or "0001-01-01").cast("date"), F.lit(end or "9999-12-31").cast("date")))
+
+
+def csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> dict[str, DataFrame]:
+    """Every file of a folder as a table of its own schema, by file name; the file list is what the driver holds."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{folder}/{pattern}")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return {f.getPath().getName(): spark.read.option("header", True).option("inferSchema", True).csv(f.getPath().toString()) for f in sorted(found or [], key=lambda f: f.getPath().getName())}
+
+
+def base_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored results of a base run: validation (a JSON document) and, where they are there, gap and kp (CSV); nothing without the document."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    there = lambda name: (p := hadoop.Path(f"{folder}/{name}")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    if not there("validation_results.json"):
+        return {}
+    out = {"validation": spark.read.option("multiLine", True).json(f"{folder}/validation_results.json")}
+    for key, name in (("gap", "gap_simulation_results.csv"), ("kp", "kp_simulation_results.csv")):
+        if there(name):
+            out[key] = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{name}")
+    return out
+
+
+def raw_view(tables: Sequence[tuple[DataFrame, str]], start: str | None = None, end: str | None = None) -> DataFrame:
+    """All dates of all tables (d, value column) between two days, with what each has; no row is dropped for a gap."""
+    rows = align.outer_merge(tables, ["d"])
+    return rows.filter(F.col("d").between(F.lit(start or "0001-01-01").cast("date"), F.lit(end or "9999-12-31").cast("date")))

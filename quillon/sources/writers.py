@@ -26,6 +26,12 @@ def scenario_paths(df: DataFrame, path: str) -> None:
     df.repartition("scenario_id").write.mode("overwrite").partitionBy("scenario_id").parquet(path)
 
 
+def workbook(tables: Mapping[str, DataFrame], path: str, kind: str = "parquet") -> None:
+    """Several result tables under one folder, a sheet each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").format(kind).option("header", True).save(f"{path}/{name}")
+
+
 def cache_key(params: Mapping[str, object], inputs: Mapping[str, str] | None = None) -> str:
     """A content key of parameters and input fingerprints."""
     return hashlib.sha256(json.dumps([dict(params), dict(inputs or {})], sort_keys=True, default=str).encode()).hexdigest()[:32]

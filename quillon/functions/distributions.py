@@ -40,11 +40,16 @@ def chi2_sf(x: float, k: int) -> float:
 
 
 def ks_sf(d: float, n: int) -> float:
-    """P(D >= d) of the one-sample Kolmogorov-Smirnov statistic: the exact matrix power, or the limit series for large n."""
+    """P(D >= d) of the one-sample Kolmogorov-Smirnov statistic: the exact matrix power, or the limit series for large n.
+
+    Below 1e-15 it is the first term of that series.
+    """
     if d <= 0:
         return 1.0
     if d >= 1:
         return 0.0
+    if n * d * d > 18:
+        return 2 * math.exp(-2 * n * d * d)
     if n > 2000:
         t = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
         return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * t) ** 2) for k in range(1, 101))))
@@ -57,7 +62,8 @@ def ks_sf(d: float, n: int) -> float:
     H[m - 1, :] -= powers[::-1]
     H[m - 1, 0] += max(0.0, 2 * h - 1) ** m
     gap = i - j + 1
-    H = np.where(gap > 0, H / np.vectorize(math.factorial, otypes=[float])(np.maximum(gap, 0)), H)
+    inverse_factorial = np.exp([-math.lgamma(g + 1) for g in range(m + 1)])
+    H = np.where(gap > 0, H * inverse_factorial[np.maximum(gap, 0)], H)
     Q, scale, e = np.eye(m), 0, n
     base, bscale = H, 0
     while e:

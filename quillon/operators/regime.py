@@ -175,7 +175,7 @@ def _likelihoods(y: np.ndarray, k: int, starts: int, seed: int) -> np.ndarray:
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows dealt by their keys into a fixed number of partitions: groups that are small but slow to fit are not put together again."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def n_parameters(k: int) -> int:

@@ -119,7 +119,7 @@ def regime_frame(daily: DataFrame, weekly: DataFrame, day_columns: Mapping[str,
 
     Daily and weekly columns are given with their transformation (none, log, log1p); of
     `har_column` it is the standardised residual of its day, week and month regression that has
-    regimes. All series are fitted in one job each for fits and replicates. `counts` (by,
+    regimes. All series are fitted in one job each for fits and replicates; the fits stay persisted. `counts` (by,
     variable, k), as of `regime.counted_states`, fixes the number of states without a test.
     """
     keys = [*by, "variable"]
@@ -133,6 +133,7 @@ def regime_frame(daily: DataFrame, weekly: DataFrame, day_columns: Mapping[str,
         rows = rows.unionByName(part)
     rows = rows.filter("value is not null")
     fits = detect_regimes(rows, "value", starts, replicates, keys) if counts is None else regime.hmm_regimes(rows, "value", counts, starts, by=keys)
+    fits = fits.persist()  # a row a series, slow to make, and read by all that follows
     states = regime.state_series(rows, fits, "value", keys)
     of = lambda names: states.filter(F.col("variable").isin(list(names)))
     variables = [*day_columns, residual, *week_columns]

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import paths, scenario
+from quillon.operators import estimators, paths, regime, scenario
 from quillon.plans import flows, simulation
 from quillon.settings import Settings
 
@@ -53,3 +53,72 @@ def test_pair_of_series_is_correlated(spark):
     pair = paths.ou_pair(spark, 300, 30, (0.0, 0.0), (5.0, 5.0), (0.0, 0.0), (0.2, 0.3), 0.8)
     c = pair.filter("t = 29").agg(F.corr("v", "w")).first()[0]
     assert 0.6 < c < 0.95
+
+
+def test_kolmogorov_tail_of_long_samples():
+    from quillon.functions import distributions
+
+    assert abs((1 - distributions.ks_sf(0.274, 10)) - 0.6284796154565) < 1e-9  # the value published with the method
+    assert distributions.ks_sf(0.8, 1700) < 1e-300 and 0 <= distributions.ks_sf(0.1, 1700) < 1e-13
+    tails = [distributions.ks_sf(d / 1000, 1700) for d in range(20, 120, 5)]
+    assert all(a > b or max(a, b) < 1e-14 for a, b in zip(tails, tails[1:]))  # a difference from 1 has no more digits
+
+
+def test_fits_with_drivers_and_paths_per_row(spark):
+    r = np.random.default_rng(5)
+    n, x, z = 4000, [0.0], r.normal(0, 1, 4000)
+    for t in range(1, n):
+        x.append(x[-1] + 0.3 * (0.0 - x[-1]) + 0.05 * np.exp(0.4 * z[t - 1]) * r.normal())
+    rows = spark.createDataFrame([("a", t, float(x[t]), float(z[t]), 0.5) for t in range(n)], "s string, d int, v double, z double, tau double")
+    fit = estimators.threshold_ou(rows, "v", ["z"], "tau").filter("regime = 0").first()
+    # Half of the coefficient of the log residual is reported, as the method defines it.
+    assert abs(fit.kappa - 0.3) < 0.05 and abs(fit.delta_z - 0.2) < 0.03
+    params = spark.createDataFrame([("S01", 1.0, 0.5, 2.0, 0.0), ("S02", 0.0, 0.1, 0.0, 1.0)], "scenario_id string, x0 double, kappa double, mu double, sigma double")
+    p = paths.ou_rows(params, ["scenario_id"], 300, 5, seed=3)
+    got = {(q.scenario_id, q.t): q for q in p.groupBy("scenario_id", "t").agg(F.avg("v").alias("m"), F.count_distinct("sim_id").alias("n"), F.stddev("v").alias("s")).collect()}
+    assert len(got) == 10 and all(q.n == 300 for q in got.values())
+    assert got["S01", 2].m == 1.75 and abs(got["S02", 1].s - 1) < 0.15
+    again = paths.ou_rows(params.repartition(3), ["scenario_id"], 300, 5, seed=3)
+    assert p.exceptAll(again).isEmpty()
+
+
+def test_driven_level(spark):
+    base = {"th1": 5.0, "m1": 0.0, "s1": 0.0, "th2": 5.0, "m2": 0.0, "s2": 0.0, "rho": 0.5, "x0": 1.0, "kappa": 252.0, "mu": 3.0, "sigma0": 0.0, "delta1": 1.0, "delta2": 1.0}
+    params = spark.createDataFrame([tuple([0, *base.values()])], "regime int, " + ", ".join(f"{k} double" for k in base))
+    got = [x.v for x in paths.driven_rows(params, ["regime"], 2, 3).filter("sim_id = 0").orderBy("t").collect()]
+    assert got == [3.0, 3.0, 3.0]  # reverts at once, without noise
+
+
+def test_model_contest(spark):
+    r = np.random.default_rng(2)
+    nav, gap = 50 * np.exp(np.cumsum(r.normal(0, 0.02, 150))), r.normal(0, 0.004, 150)
+    rows = [(i, float(a), float(g), float(a * (1 + g))) for i, (a, g) in enumerate(zip(nav, gap))]
+    out = flows.validation_grid(spark, spark.createDataFrame(rows, "d int, nav double, gap double, etf double"), SMALL).collect()
+    assert {(x.nav_model, x.gap_model) for x in out} == {(a, b) for a in ("heston", "arma_garch") for b in ("heston_sv", "ou")}
+    assert all(x.n == 149 and 0 <= x.ks_p <= 1 for x in out)
+
+
+def test_regime_table(spark):
+    r = np.random.default_rng(4)
+    rows = [("a", i, float(np.exp(r.normal(1 + 2 * ((i // 40) % 2), 0.2))), float(r.normal(5, 1))) for i in range(240)]
+    daily = spark.createDataFrame(rows, "s string, d int, x double, y double")
+    weekly = daily.filter("d % 7 = 0").select("s", "d", F.col("x").alias("w"))
+    counts = spark.createDataFrame([("a", "x", 2), ("a", "y_resid", 2), ("a", "w", 2)], "s string, variable string, k int")
+    out = flows.regime_frame(daily, weekly, {"x": "log"}, {"w": "log"}, "y", starts=2, counts=counts)
+    table = {q.d: q for q in out["table"].collect()}
+    assert [table[10].x, table[50].x, table[90].x] == [0, 1, 0] and table[21].y_resid is None and table[22].y_resid is not None
+    assert table[48].w == table[42].w and table[41].w == table[35].w
+    seen = out["labelled"].collect()
+    assert len(seen) == 218 and {q.y_resid for q in seen} == {"Normal", "Extreme"} and {q.x for q in seen} == {"Low", "High"}
+    table = regime.comparison_table(regime.hmm_regimes(daily.withColumn("x", F.ln("x")), "x", (1, 2, 3), starts=1)).collect()
+    rows = {q.metric: q for q in table}
+    assert rows["n_params"].k1 == 2 and rows["n_params"].k3 == 14 and rows["bic"].k2 < rows["bic"].k1
+
+
+def test_scenario_draws_on_both_scales(spark):
+    fits = spark.createDataFrame([("x", [0.0, 2.0], [0.0, 0.0]), ("y", [1.0, 5.0], [0.1, 0.1])], "variable string, mu array<double>, sigma array<double>")
+    s = spark.createDataFrame([("S01", 1, 0)], "scenario_id string, x int, y int")
+    out = flows.scenario_pipeline(s, fits, ["x", "y"], {"x": "log"}, SMALL)
+    got = {q.series: q for q in out["summary"].collect()}
+    assert abs(got["x"]["mean"] - np.exp(2.0)) < 1e-9 and abs(got["y"]["mean"] - 1) < 0.05
+    assert {q.series: q["mean"] for q in out["summary_model"].collect()}["x"] == 2.0

@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.settings import Settings
 from quillon.sources import readers, writers
 from quillon.streaming import features
 
@@ -71,3 +73,25 @@ def test_streaming_features(spark, tmp_path):
     got = {r.value: r.asvi for r in spark.sql("select * from asvi").collect() if r.asvi is not None}
     assert got[10.0] == pytest.approx((10 - 2.5) / 1.2909944487358056)
     assert features.windowed_volatility(df).first().n == 6
+
+
+def test_folders_and_localised_headers(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("날짜,종가,시가\n2024- 01- 02,\"1,5.5\",1\n2024- 01- 03,x,1\n2025- 01- 01,7,1\n", encoding="utf-8")
+    (tmp_path / "a.csv").write_text("k,v\n1,2.5\n")
+    got = readers.positional_csv(spark, str(tmp_path / "b.csv"), ["Date", "close", "open"], "Date", "close", end="2024-12-31").collect()
+    assert [(str(q.d), q.close) for q in got] == [("2024-01-02", 15.5)]
+    tables = readers.csv_folder(spark, str(tmp_path))
+    assert list(tables) == ["a.csv", "b.csv"] and dict(tables["a.csv"].dtypes) == {"k": "int", "v": "double"}
+    assert readers.csv_folder(spark, str(tmp_path), "*.none") == {}
+    assert readers.base_results(spark, str(tmp_path)) == {}
+    (tmp_path / "validation_results.json").write_text(json.dumps({"gap": {"kappa": 0.5}}, indent=1))
+    (tmp_path / "kp_simulation_results.csv").write_text("t,v\n0,1.0\n")
+    found = readers.base_results(spark, str(tmp_path))
+    assert set(found) == {"validation", "kp"} and found["validation"].first().gap.kappa == 0.5
+    writers.workbook(tables, str(tmp_path / "book"))
+    assert spark.read.parquet(str(tmp_path / "book" / "a.csv")).count() == 1
+    one = spark.createDataFrame([("2024-01-01", 1.0)], "d string, a double").withColumn("d", F.to_date("d"))
+    two = spark.createDataFrame([("2024-01-02", 2.0)], "d string, b double").withColumn("d", F.to_date("d"))
+    assert readers.raw_view([(one, "a"), (two, "b")]).count() == 2
+    made = Settings(result_folder=str(tmp_path / "r")).ensure_directories(spark)
+    assert all(os.path.isdir(p) for p in made)

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Simulations that a task works on at once.
-BATCH = 256
+#: Simulations that a task works on at once, and how many make a task worth its start.
+BATCH, SHARE = 256, 32
 
 
 def _generate(spark: SparkSession, n: int, steps: int, make: Callable[[list[np.random.Generator], int], np.ndarray], seed: int) -> DataFrame:
@@ -26,7 +26,7 @@ def _generate(spark: SparkSession, n: int, steps: int, make: Callable[[list[np.r
                 v = make([np.random.default_rng([seed, int(i)]) for i in part], steps)
                 yield pd.DataFrame({"sim_id": np.repeat(part, v.shape[1]), "t": np.tile(np.arange(v.shape[1], dtype=np.int32), len(part)), "v": v.ravel()})
 
-    parts = max(1, min(-(-n // BATCH), 4 * spark.sparkContext.defaultParallelism))
+    parts = max(1, min(-(-n // SHARE), 4 * spark.sparkContext.defaultParallelism))
     return spark.range(0, n, 1, parts).mapInPandas(run, "sim_id bigint, t int, v double")
 
 
@@ -36,13 +36,13 @@ def _generate_rows(params: DataFrame, keys: Sequence[str], n: int, make: Callabl
     A task works on batches of simulations of a row. Streams are named by seed, key and simulation.
     """
     spark = params.sparkSession
-    rows = params.withColumns({"_stream": F.pmod(F.xxhash64(*keys), F.lit(2**31)), "_from": F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(BATCH)))})
+    rows = params.withColumns({"_stream": F.pmod(F.xxhash64(*keys), F.lit(2**31)), "_from": F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(SHARE)))})
     kinds = {k: params.schema[k].dataType.simpleString() for k in keys}
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                ids = np.arange(row[-1], min(n, row[-1] + BATCH))
+                ids = np.arange(row[-1], min(n, row[-1] + SHARE))
                 found = make(row, [np.random.default_rng([seed, int(row[-2]), int(i)]) for i in ids])
                 steps = found[columns[0]].shape[1]
                 out = {k: [getattr(row, k)] * (len(ids) * steps) for k in keys}

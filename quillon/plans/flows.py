@@ -165,7 +165,7 @@ def validation_grid(spark: SparkSession, history: DataFrame, settings: Settings
     out = None
     for nav_model, nav in navs.items():
         for gap_model, gap in gaps.items():
-            r = metrics.delayed_product(nav, gap, first.nav, first.gap).filter("r is not null").select("sim_id", "t", F.col("r").alias("v"))
+            r = metrics.delayed_product(nav, gap, first.nav, first.gap).filter("r is not null").select("sim_id", "t", F.col("r").alias("v")).persist()  # read by each test
             tests = metrics.statistical_tests(r, actual).select(F.lit(nav_model).alias("nav_model"), F.lit(gap_model).alias("gap_model"), "*")
             out = tests if out is None else out.unionByName(tests)
     return out

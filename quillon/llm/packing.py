@@ -34,8 +34,8 @@ CACHE_WORDS = 300_000
 BLOCK_PIECES = 16_000
 #: Groups of equal cardinality that large lengths are rounded up in.
 GROUPS = 40
-#: Lengths above such a share of the capacity are large; a block keeps the share that needs the fewest sequences.
-LARGE = (1 / 4, 1 / 3, 1 / 2)
+#: Lengths above such a share of the capacity are large; a block keeps the share that needs the fewest sequences. With 1 none is.
+LARGE = (1 / 4, 1 / 3, 1 / 2, 1)
 MAX_PIVOTS = 400
 
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -190,8 +190,8 @@ def _pack(lengths: np.ndarray, capacity: int, share: float) -> tuple[np.ndarray,
     filled = [capacity] * len(full)
     order = np.argsort(-lengths, kind="stable")
     large = order[(lengths[order] > capacity * share) & (lengths[order] < capacity)]
-    if len(large) >= 4 * GROUPS:
-        groups = [g.tolist() for g in np.array_split(large, GROUPS)]
+    if len(large):
+        groups = [g.tolist() for g in np.array_split(large, min(GROUPS, len(large)))]
         tops: dict[int, list[int]] = {}
         for g in groups:  # groups with the same largest length are one size
             tops.setdefault(int(lengths[g[0]]), []).extend(g)

@@ -157,13 +157,14 @@ def fit(docs: DataFrame, labels: DataFrame, training_documents: int = TRAINING_D
     """Learn from at most `training_documents` labelled documents, those with the smallest id hashes.
 
     Rows held out, without an id, or with a quality other than 0 and 1 are not learnt from; of
-    several labels of one id the largest counts. Labels, lang, source and doc_id are no inputs.
+    several labels of one id the largest counts, of several texts the smallest. Labels, lang, source
+    and doc_id are no inputs.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_documents)  # a bounded table
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).mapInArrow(_encoded, "doc_id bigint, x array<float>, quality int")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).mapInArrow(_encoded, "doc_id bigint, x array<float>, quality int")
     table = rows.toArrow().sort_by("doc_id")
     x = table.column("x").combine_chunks()
     bags = np.diff(np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))) // FEATURES if len(x) else np.zeros(0, np.int64)

@@ -57,6 +57,22 @@ def test_round_trip(spark):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in some)
 
 
+def test_small_blocks():
+    """The grouping serves blocks of any size, and never needs more sequences than best fit alone."""
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 30, 100):
+        for capacity in (10, 64, 4096):
+            lengths = r.integers(1, capacity + 1, n)
+            sequence, offset = packing.pack(lengths, capacity)
+            used = np.bincount(sequence, lengths)
+            assert used.min() > 0 and used.max() <= capacity
+            for s in range(len(used)):
+                own = np.flatnonzero(sequence == s)
+                own = own[np.argsort(offset[own])]
+                assert offset[own].tolist() == np.append(0, np.cumsum(lengths[own]))[:-1].tolist()
+            assert len(used) <= packing._pack(lengths, capacity, 1)[0].max() + 1
+
+
 def test_few_sequences():
     r = np.random.default_rng(0)
     for make in (lambda: r.integers(1, 4097, 3000), lambda: np.full(1000, 1500), lambda: r.integers(1300, 1400, 2000), lambda: np.minimum(4096, r.lognormal(6, 1, 5000).astype(int) + 1), lambda: np.array([4096, 4096, 1])):

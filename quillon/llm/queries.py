@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, decontaminate, jaccard_join, license_scan, packing, pii, quality, substring_dedup, token_counts, url_filter
+from quillon.llm import ann, decontaminate, jaccard_join, license_scan, packing, pii, quality, substring_dedup, token_counts, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,6 +181,18 @@ FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id
 """
 
 
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = lambda c: F.floor(F.lit(64.0) * c.cast("double")).cast("bigint") + F.lit(1_000_000).cast("bigint")
+    vectors = whitening.usable(_read(spark, sf_dir, "embeddings"), "embedding").select("vec_id", F.transform("embedding", entry).alias("x"))
+    rows, fit, error = whitening.whiten(vectors, "x", 32)
+    n = F.lit(fit.n).cast("bigint")
+    apart = F.aggregate(F.zip_with("row.x", F.array(*map(F.lit, fit.sums)), lambda x, s: n * x - s), F.lit(0).cast("bigint"), lambda total, x: total + x * x)
+    out = rows.select(F.col("row.vec_id").alias("vec_id"), n.alias("n"), apart.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, fit.explained or [0.0])), F.col("at") + 1)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it uses the operators of this subpackage

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, decontaminate, importance, jaccard_join, license_scan, packing, pii, quality, substring_dedup, token_counts, url_filter, whitening
+from quillon.llm import ann, decontaminate, importance, jaccard_join, language_model, license_scan, packing, pii, quality, substring_dedup, token_counts, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,6 +181,13 @@ FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id
 """
 
 
+@_query
+def op11_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    scored, v = language_model.log_likelihood(docs, ~language_model.held_out())
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 @_query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Simulations that a task works on at once, and how many make a task worth its start.
@@ -99,6 +99,64 @@ def driven_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, dt:
     return _generate_rows(params.select(*keys, *(F.col(c).cast("double").alias(c) for c in names)), keys, n, make, ["v", "x1", "x2"], seed)
 
 
+def arma_garch_rows(fits: DataFrame, keys: Sequence[str], n: int, steps: int, future: DataFrame | None = None, drivers: Sequence[str] = (), order: str = "d", intercept: bool = False, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, r, v): returns and levels that go on from the end of every row of `arma.fits` (d of 0 or 1), all rows in one job.
+
+    The first step takes the state that the fit expects next, its last error and variance equation;
+    its mean is the one-step forecast. Innovations are standardised, Student's where nu is given. Future values of
+    the drivers come from `future` (keys, order, drivers), in its order; where it ends, or without
+    it, the last ones stay. v starts at s0, a column of `fits` (100 if there is none), before step 0.
+    With `intercept` const is added to the autoregression of the values themselves, not of their
+    deviations from the level.
+    """
+    rows = fits if "s0" in fits.columns else fits.withColumn("s0", F.lit(100.0))
+    if future is not None:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        cells = F.struct(F.col("_n"), F.array(*(F.col(c).cast("double") for c in drivers)).alias("x"))
+        known = future.dropna(subset=list(drivers)).withColumn("_n", nth).filter(F.col("_n") <= steps).groupBy(*keys).agg(F.array_sort(F.collect_list(cells)).alias("_c"))
+        rows = rows.join(known.select(*keys, F.flatten(F.transform("_c", lambda c: c["x"])).alias("ahead")), list(keys), "left")
+    else:
+        rows = rows.withColumn("ahead", F.lit(None).cast("array<double>"))
+
+    def make(row, streams):
+        beta, phi, theta = (np.asarray(x, float) for x in (row.beta, row.phi, row.theta))
+        last = np.asarray(row.last_x, float)[None]
+        ahead = last if row.ahead is None or not len(beta) else np.asarray(row.ahead, float).reshape(-1, len(beta))
+        x = np.concatenate([last, ahead[np.minimum(np.arange(steps), len(ahead) - 1)]])
+        level = row.const + (np.diff(x, axis=0) if row.d else x[1:]) @ beta
+        student = row.nu is not None and row.nu > 2
+        z = np.stack([r.standard_t(row.nu, steps) for r in streams]) * np.sqrt((row.nu - 2) / row.nu) if student else _normals(streams, steps)
+        r, v = np.empty_like(z), np.empty_like(z)
+        past = [np.full(len(z), k) for k in row.last_y] if intercept else []
+        e = [np.full(len(z), k) for k in row.last_e]
+        state = np.repeat(np.asarray(row.state, float)[None], len(z), 0)
+        move, load = np.zeros((state.shape[1],) * 2), np.append(1.0, np.zeros(state.shape[1] - 1))
+        move[: len(phi), 0], load[1 : 1 + len(theta)] = phi, theta
+        move += np.eye(len(move), k=1)
+        s2 = row.omega / (1 - row.alpha - row.garch_beta) if row.alpha + row.garch_beta < 1 else row.omega
+        now, value = np.log(np.full(len(z), float(row.s0))), np.full(len(z), row.last_y[0])
+        s2 = np.full(len(z), s2)
+        for t in range(steps):
+            s2 = np.maximum(row.omega + row.alpha * (100 * e[0]) ** 2 + row.garch_beta * s2, 1e-12)
+            new = np.sqrt(s2) / 100 * z[:, t]
+            if intercept:
+                step = level[t] + sum((a * b for a, b in zip(phi, past, strict=False)), 0.0) + sum((a * b for a, b in zip(theta, e, strict=False)), 0.0) + new
+                past = [step, *past[:-1]]
+            else:
+                state = state + new[:, None] * load
+                step = level[t] + state[:, 0]
+                state = state @ move.T
+            e = [new, *e[:-1]]
+            value = value + step if row.d else step
+            r[:, t] = value
+            now = now + value
+            v[:, t] = np.exp(now)
+        return {"r": r, "v": v}
+
+    names = ["d", "const", "beta", "phi", "theta", "omega", "alpha", "garch_beta", "nu", "state", "last_e", "last_x", "last_y", "s0", "ahead"]
+    return _generate_rows(rows.select(*keys, *names), keys, n, make, ["r", "v"], seed)
+
+
 def _normals(streams: list[np.random.Generator], steps: int) -> np.ndarray:
     return np.stack([r.standard_normal(steps) for r in streams])
 

@@ -25,42 +25,73 @@ import heapq
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import _batches, _lineage
+from quillon.llm import _lineage
 
-#: Words of the factored softmax, words whose counts are sent to the tasks (at most), classes of the head.
-HEAD, KNOWN, CLASSES = 1_024, 300_000, 32
-STATE, WINDOW, LANES, RATE = 16, 16, 512, 0.01
+#: Words of the factored softmax, words whose counts are sent to the tasks (at most), classes of the head; then
+#: numbers of a state, steps of a window at full width (LONGEST times as many at most where few lanes run), lanes.
+HEAD, KNOWN, CLASSES = 1_024, 300_000, 16
+STATE, WINDOW, LONGEST, LANES, RATE = 16, 16, 8, 1_024, 0.01
+#: Tokens of a text that are learnt from in one go.
+PIECE = 2_048
 #: Rounds as upper ends of the sixteenths of the documents that they learn from: each document is in one.
 ROUNDS, SIXTEENTHS = (1, 3, 8, 16), 16
-#: Tokens that are dealt into lanes together, and at most where a document is longer than a lane's share; distinct words a task counts before it passes them on.
-BUFFER, BUFFER_MOST, COUNTED = 1_000_000, 4_000_000, 400_000
+#: Tokens that are dealt into lanes together, and at most where a document is longer than a lane's share; words a task counts together.
+BUFFER, BUFFER_MOST, COUNTED, PIECE_BYTES = 1_000_000, 4_000_000, 4_000_000, 8_000_000
 #: Models averaged into one on the way to the driver.
 AVERAGES = 32
 FORMS = 8
 END = b""  # the token after the last word of a text; no word is empty
 _WORD_BYTE = np.zeros(256, bool)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return raw.lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts (null: none), A-Z in lower case, as bytes; and the text that each stands in.
+
+    Words stand between ASCII white space.
+    """
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words = cut.flatten().cast(pa.binary())
+    of = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    real = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word
+    return (words, of) if real.all() else (words.filter(pa.array(real)), of[real])
+
+
+def forms(words: pa.Array) -> np.ndarray:
+    """Which of the FORMS each word (bytes, none empty) belongs to when it is outside the head."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    high = np.add.reduceat(data[: offsets[-1]] > 127, offsets[:-1], dtype=np.int64) > 0
+    return 4 * (np.diff(offsets) > 8) + 2 * high + ~_WORD_BYTE[data[offsets[1:] - 1]]
 
 
 def form(word: bytes) -> int:
-    """Which of the FORMS a word outside the head belongs to."""
-    return 4 * (len(word) > 8) + 2 * (not word.isascii()) + (not _WORD_BYTE[word[-1]])
+    return int(forms(pa.array([word], pa.binary()))[0])
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of a piece have about PIECE_BYTES bytes, or it is one row."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        nth = np.cumsum(size) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z > a:
+                yield batch.slice(a, z - a)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -72,16 +103,22 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    batch_of = lambda: pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-    for batch in _batches.slices(batches):
-        for raw in _batches.raw(batch, "text"):
-            held.update(words_of(raw))
-        held[END] += batch.num_rows
-        if len(held) > COUNTED:
-            yield batch_of()
-            held.clear()
-    yield batch_of()
+    held, texts = [], 0
+
+    def counted() -> pa.RecordBatch:
+        found = pa.chunked_array([*held, pa.array([END], pa.binary())]).value_counts()
+        n = found.field("counts").to_numpy().copy()
+        n[-1] += texts - 1  # the end, which came last
+        return pa.record_batch([found.field("values"), pa.array(n)], names=["word", "n"])
+
+    for piece in pieces(batches, "text"):
+        held.append(words_of(piece.column("text"))[0])
+        texts += piece.num_rows
+        if sum(map(len, held)) > COUNTED:
+            yield counted()
+            held, texts = [], 0
+    if texts:
+        yield counted()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -93,16 +130,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Vocabulary:
     """Known words by falling count, the first `head` of them in the softmax; what is counted of the tail's forms, and of all words."""
 
-    words: list[bytes]
+    words: list[bytes]  # the end first
     counts: np.ndarray
     head: int
     form_sizes: np.ndarray  # sum of n + 1 over the tail words of a form, and one for all unknown ones
     tokens: int
     distinct: int
-
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
     def classes(self) -> np.ndarray:
         """First word of each class of the head, and the head's end: about the same sum of roots of counts in each."""
         share = np.sqrt(np.maximum(self.counts[: self.head], 1)).cumsum()
@@ -113,8 +146,7 @@ class Vocabulary:
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(FORMS, np.int64)
     for batch in batches:
-        which = np.array([form(w) for w in batch.column("word").to_pylist()], np.int64)
-        total += np.bincount(which, batch.column("n").to_numpy() + 1, FORMS).astype(np.int64)
+        total += np.bincount(forms(batch.column("word")), batch.column("n").to_numpy() + 1, FORMS).astype(np.int64)
     yield pa.record_batch([pa.array(np.arange(FORMS)), pa.array(total)], names=["form", "n"])
 
 
@@ -152,15 +184,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Model:
     """A gated recurrent unit over tokens 0 .. head + FORMS - 1 (head words, then tail forms).
 
-    `w` holds X (what an input adds to the update, reset and candidate gates; the last row is the
+    `w` holds X (what an input adds to the update, reset and candidate gates; the last column is the
     start of a text), U (the same for the state), C, c (state to classes) and W, b (state to words of
-    their class). `starts` are the first words of the classes.
+    their class). `starts` are the first words of the classes. Numbers of a state or gate are rows,
+    tokens columns, so that every step works on whole rows.
     """
 
     def __init__(self, starts: np.ndarray, w: dict[str, np.ndarray]):
         self.starts, self.w = starts, w
         self.head, self.n = int(starts[-1]), len(starts) - 1
-        self.class_of = np.append(np.repeat(np.arange(self.n), np.diff(starts)), self.n + np.arange(FORMS)).astype(np.int64)
+        self.class_of = np.append(np.repeat(np.arange(self.n), np.diff(starts)), self.n + np.arange(FORMS)).astype(np.uint8)
 
     @classmethod
     def of(cls, v: Vocabulary, seed: int = 11) -> Model:
@@ -170,89 +203,114 @@ class Model:
         mass = np.append(np.add.reduceat(n, starts[:-1]), v.form_sizes)
         f = np.float32
         w = {
-            "X": r.normal(0, 0.1, (v.head + FORMS + 1, 3 * STATE)).astype(f), "U": r.normal(0, STATE**-0.5, (STATE, 3 * STATE)).astype(f),
-            "C": np.zeros((STATE, len(mass)), f), "c": np.log(mass / mass.sum()).astype(f), "W": np.zeros((v.head, STATE), f), "b": np.log(n).astype(f),
+            "X": r.normal(0, 0.1, (3 * STATE, v.head + FORMS + 1)).astype(f), "U": r.normal(0, STATE**-0.5, (3 * STATE, STATE)).astype(f),
+            "C": np.zeros((len(mass), STATE), f), "c": np.log(mass / mass.sum()).astype(f), "W": np.zeros((v.head, STATE), f), "b": np.log(n).astype(f),
         }
         return cls(starts, w)
 
-    def run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States after each step of inputs (steps x lanes); `keep` is 0 where a text starts."""
-        steps, lanes = x.shape
-        s, u, gates = STATE, self.w["U"], self.w["X"][x]
-        before, out, cand, pre, zr = (np.empty((steps, lanes, k), np.float32) for k in (s, s, s, s, 2 * s))
+    def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """States (steps, numbers, lanes) after each step of inputs (steps, lanes); `fresh` marks where a text starts."""
+        (steps, lanes), s, u, table = x.shape, STATE, self.w["U"], self.w["X"]
+        gates = np.empty((steps, 3 * s, lanes), np.float32)
+        before, out, pre = (np.empty((steps, s, lanes), np.float32) for _ in range(3))
+        anew = [np.flatnonzero(row) for row in fresh]
         for t in range(steps):
-            np.multiply(h, keep[t, :, None], out=before[t])
-            a = before[t] @ u
-            np.add(gates[t, :, : 2 * s], a[:, : 2 * s], out=zr[t])
-            _sigmoid(zr[t])
-            pre[t] = a[:, 2 * s :]
-            n = np.multiply(zr[t, :, s:], pre[t], out=cand[t])
-            n += gates[t, :, 2 * s :]
+            old, now = before[t], gates[t]
+            old[:] = h
+            if len(anew[t]):
+                old[:, anew[t]] = 0
+            table.take(x[t], axis=1, out=now, mode="clip")
+            a = u @ old
+            zr, n = now[: 2 * s], now[2 * s :]
+            zr += a[: 2 * s]
+            _sigmoid(zr)
+            pre[t] = a[2 * s :]
+            n += np.multiply(zr[s:], a[2 * s :], out=a[: s])
             np.tanh(n, out=n)
-            h = np.subtract(before[t], n, out=out[t])
-            h *= zr[t, :, :s]
+            h = np.subtract(old, n, out=out[t])
+            h *= zr[:s]
             h += n
-        return out, (before, cand, pre, zr)
+        return out, (before, gates, pre)
 
     def output(self, h: np.ndarray, y: np.ndarray, gradient: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray | None]:
-        """ln of the probability of each target from its state, and the gradients of minus their sum if asked for."""
+        """ln of the probability of each target from its state (a column), and the gradients of minus their sum if asked for."""
         w, which = self.w, self.class_of[y]
-        score = h @ w["C"] + w["c"]
-        score -= score.max(1, keepdims=True)
-        p = np.exp(score)
-        total = p.sum(1)
-        rows = np.arange(len(y))
-        found = (score[rows, which] - np.log(total)).astype(np.float64)
+        order = np.argsort(which, kind="stable")
+        h, y, which = h.take(order, axis=1), y[order], which[order]  # class by class
+        ends = np.searchsorted(which, np.arange(self.n + 1))
+        score = w["C"] @ h
+        score += w["c"][:, None]
+        found, p, total = _log_share(score, which)
         grads, dh = {}, None
         if gradient:
-            p /= total[:, None]
-            p[rows, which] -= 1
-            dh = p @ w["C"].T
-            grads = {"C": h.T @ p, "c": p.sum(0), "W": np.zeros_like(w["W"]), "b": np.zeros_like(w["b"])}
-        order = np.argsort(which.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(which[order], np.arange(self.n + 1))
+            p /= total
+            p[which, np.arange(len(y))] -= 1
+            dh = w["C"].T @ p
+            grads = {"C": p @ h.T, "c": p.sum(1), "W": np.zeros_like(w["W"]), "b": np.zeros_like(w["b"])}
         for k in range(self.n):
-            a, z = self.starts[k], self.starts[k + 1]
-            at = order[ends[k] : ends[k + 1]]
-            if z - a < 2 or not len(at):
+            a, z, at = self.starts[k], self.starts[k + 1], slice(ends[k], ends[k + 1])
+            if z - a < 2 or at.start == at.stop:
                 continue
-            hk, right = h[at], y[at] - a
-            score = hk @ w["W"][a:z].T + w["b"][a:z]
-            score -= score.max(1, keepdims=True)
-            p = np.exp(score)
-            total = p.sum(1)
-            rows = np.arange(len(at))
-            found[at] += score[rows, right] - np.log(total)
+            right = y[at] - a
+            score = w["W"][a:z] @ h[:, at]
+            score += w["b"][a:z, None]
+            more, p, total = _log_share(score, right)
+            found[at] += more
             if gradient:
-                p /= total[:, None]
-                p[rows, right] -= 1
-                dh[at] += p @ w["W"][a:z]
-                grads["W"][a:z], grads["b"][a:z] = p.T @ hk, p.sum(0)
-        return found, grads, dh
-
-    def back(self, x: np.ndarray, keep: np.ndarray, kept: tuple, dout: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of X and U from those of the states, back to the start of the window."""
-        before, cand, pre, zr = kept
-        steps, lanes = x.shape
-        s, u = STATE, self.w["U"]
-        da, dx = np.empty((steps, lanes, 3 * s), np.float32), np.empty((steps, lanes, 3 * s), np.float32)
-        dh = np.zeros((lanes, s), np.float32)
+                p /= total
+                p[right, np.arange(len(right))] -= 1
+                dh[:, at] += w["W"][a:z].T @ p
+                grads["W"][a:z], grads["b"][a:z] = p @ h[:, at].T, p.sum(1)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return found[back].astype(np.float64), grads, None if dh is None else dh.take(back, axis=1)
+
+    def back(self, x: np.ndarray, fresh: np.ndarray, kept: tuple, dout: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of X and U from those of the states (steps, numbers, lanes), back to the start of the window."""
+        before, gates, pre = kept
+        (steps, lanes), s, ut = x.shape, STATE, np.ascontiguousarray(self.w["U"].T)
+        dx, da = np.empty((3 * s, steps, lanes), np.float32), np.empty((3 * s, lanes), np.float32)
+        du, dh = np.zeros_like(self.w["U"]), np.zeros((s, lanes), np.float32)
+        anew = [np.flatnonzero(row) for row in fresh]
         for t in range(steps - 1, -1, -1):
             dh += dout[t]
-            z, r, n = zr[t, :, :s], zr[t, :, s:], cand[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dx[t, :, :s] = dh * (before[t] - n) * z * (1 - z)
-            dx[t, :, s : 2 * s] = dn * pre[t] * r * (1 - r)
-            dx[t, :, 2 * s :] = dn
-            da[t, :, : 2 * s] = dx[t, :, : 2 * s]
-            da[t, :, 2 * s :] = dn * r
-            dh = (dh * z + da[t] @ u.T) * keep[t, :, None]
-        flat = x.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
+            z, r, n = gates[t, :s], gates[t, s : 2 * s], gates[t, 2 * s :]
+            rest = 1 - z
+            dn = dh * rest
+            dn *= 1 - n * n
+            np.multiply(dn, r, out=da[2 * s :])
+            np.multiply(dh, before[t] - n, out=da[:s])
+            da[:s] *= z
+            da[:s] *= rest
+            np.multiply(da[2 * s :], pre[t], out=da[s : 2 * s])
+            da[s : 2 * s] *= 1 - r
+            dx[: 2 * s, t], dx[2 * s :, t] = da[: 2 * s], dn
+            du += da @ before[t].T
+            dh *= z
+            dh += ut @ da
+            if len(anew[t]):
+                dh[:, anew[t]] = 0
+        flat = x.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
         ids, first = np.unique(flat[order], return_index=True)
         inputs = np.zeros_like(self.w["X"])
-        inputs[ids] = np.add.reduceat(dx.reshape(-1, 3 * s)[order], first)
-        return {"X": inputs, "U": before.reshape(-1, s).T @ da.reshape(-1, 3 * s)}
+        for row, values in zip(inputs, dx.reshape(3 * s, -1), strict=True):
+            row[ids] = np.add.reduceat(values[order], first)
+        return {"X": inputs, "U": du}
+
+
+def columns(x: np.ndarray) -> np.ndarray:
+    """(steps, numbers, lanes) as (numbers, steps x lanes)."""
+    return np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(x.shape[1], -1)
+
+
+def _log_share(score: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln of the share of row `which` of each column in the exponentials, which are left in the place of the scores, and their sums."""
+    score -= score.max(0)
+    found = score[which, np.arange(len(which))]
+    np.exp(score, out=score)
+    total = score.sum(0)
+    return found - np.log(total), score, total
 
 
 class Lanes:
@@ -277,16 +335,22 @@ class Lanes:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.x = np.append(start, self.y[:-1])
         self.x[self.first] = start
-        self.keep = np.ones(len(self.y), np.float32)
-        self.keep[self.first] = 0
+        self.fresh = np.zeros(len(self.y), bool)
+        self.fresh[self.first] = True
 
     def windows(self) -> Iterator[np.ndarray]:
-        """Places of the tokens of each window (steps x lanes still running), -1 behind a lane's end."""
-        steps = np.arange(WINDOW)[:, None]
-        for at in range(0, int(self.lengths[0]), WINDOW):
+        """Places of the tokens of each window (steps x lanes still running), -1 behind a lane's end.
+
+        Where few lanes still run, a window has more steps, so that it holds about as many tokens.
+        """
+        at = 0
+        while at < self.lengths[0]:
             running = int((self.lengths > at).sum())
+            steps = min(LONGEST * WINDOW, max(WINDOW, WINDOW * LANES // running))
             left = self.lengths[:running] - at
-            yield np.where(steps < left, self.starts[:running] + at + steps, -1)
+            place = np.arange(steps)[:, None]
+            yield np.where(place < left, self.starts[:running] + at + place, -1)
+            at += steps
 
     def by_text(self, per_token: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.order))
@@ -296,29 +360,34 @@ class Lanes:
 
 def score_texts(model: Model, texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """ln of the probability of each text (tokens of the model, none empty); the state goes on through all windows of a text."""
-    dealt = Lanes(texts, len(model.w["X"]) - 1, lanes)
-    found, h = np.zeros(len(dealt.y)), np.zeros((len(dealt.lengths), STATE), np.float32)
+    dealt = Lanes(texts, model.w["X"].shape[1] - 1, lanes)
+    found, h = np.zeros(len(dealt.y)), np.zeros((STATE, len(dealt.lengths)), np.float32)
     for places in dealt.windows():
-        real = places >= 0
-        out, _ = model.run(dealt.x[places], dealt.keep[places], h[: places.shape[1]])
+        real = (places >= 0).ravel()
+        out, _ = model.run(dealt.x[places], dealt.fresh[places], h[:, : places.shape[1]])
         h = out[-1]
-        found[places[real]] = model.output(out[real], dealt.y[places[real]])[0]
+        at = places.ravel()[real]
+        found[at] = model.output(columns(out)[:, real], dealt.y[at])[0]
     return dealt.by_text(found)
 
 
 def learn_texts(model: Model, texts: list[np.ndarray], moments: dict, rate: float = RATE, lanes: int = LANES) -> None:
-    """One pass of truncated backpropagation over the texts, a step of Adam a window; changes the model and its moments."""
-    dealt = Lanes(texts, len(model.w["X"]) - 1, lanes)
-    h = np.zeros((len(dealt.lengths), STATE), np.float32)
+    """One pass of truncated backpropagation over the texts, a step of Adam a window; changes the model and its moments.
+
+    Here a text of more than PIECE tokens is learnt from as several, so that lanes end together; scores are of whole texts.
+    """
+    pieces = [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
+    dealt = Lanes(pieces, model.w["X"].shape[1] - 1, lanes)
+    h = np.zeros((STATE, len(dealt.lengths)), np.float32)
     for places in dealt.windows():
-        real = places >= 0
-        x, keep = dealt.x[places], dealt.keep[places]
-        out, kept = model.run(x, keep, h[: places.shape[1]])
+        real = (places >= 0).ravel()
+        x, fresh = dealt.x[places], dealt.fresh[places]
+        out, kept = model.run(x, fresh, h[:, : places.shape[1]])
         h = out[-1]
-        _, grads, dh = model.output(out[real], dealt.y[places[real]], gradient=True)
-        dout = np.zeros_like(out)
-        dout[real] = dh
-        grads |= model.back(x, keep, kept, dout)
+        _, grads, dh = model.output(columns(out)[:, real], dealt.y[places.ravel()[real]], gradient=True)
+        dout = np.zeros((STATE, places.size), np.float32)
+        dout[:, real] = dh
+        grads |= model.back(x, fresh, kept, dout.reshape(STATE, *x.shape).transpose(1, 0, 2))
         n = int(real.sum())
         moments["steps"] = step = moments.get("steps", 0) + 1
         fix = math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -328,56 +397,43 @@ def learn_texts(model: Model, texts: list[np.ndarray], moments: dict, rate: floa
             m += 0.1 * (g - m)
             g *= g
             s += 0.001 * (g - s)
-            model.w[name] -= rate * fix * m / (np.sqrt(s) + 1e-6)
+            np.sqrt(s, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= rate * fix
+            model.w[name] -= g
 
 
 # ---- tasks ---------------------------------------------------------------------------------------
 
 
-class _Reader:
-    """Turns texts into tokens of the model, with the counts of known words and the words whose counts are elsewhere."""
+class Reader:
+    """Turns texts into tokens of the model, and gives the counts of their known words."""
 
-    def __init__(self, v: Vocabulary):
-        self.index, self.head = v.index(), v.head
-        forms = np.array([form(w) if w else 0 for w in v.words])
-        ids = np.arange(len(v.words))
-        self.token = np.where(ids < v.head, ids, v.head + forms).astype(np.int32)  # of a known word
-        self.log_count = np.log10(v.counts + 1.0)
-        self.seen = v.counts > 0
+    def __init__(self, v: Vocabulary, known: int | None = None):
+        self.words, self.head = pa.array(v.words[:known], pa.binary()), v.head
+        self.log_count, self.seen = np.log10(v.counts + 1.0), v.counts > 0
         self.log_size = np.log10(v.form_sizes.astype(float))
 
-    def tokens(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Tokens of a text and its end; the numbers of its known words, and the others."""
-        words = words_of(raw)
-        words.append(END)
-        ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        other = np.flatnonzero(ids < 0).tolist()
-        out = self.token[ids]
-        rest = [words[i] for i in other]
-        out[other] = [self.head + form(w) for w in rest]
-        return out, ids[ids >= 0], rest
-
-
-@lru_cache(maxsize=1)
-def _reader(shared) -> _Reader:
-    return _Reader(pickle.loads(zlib.decompress(shared.value)))  # our own vocabulary, see `log_likelihood`
-
-
-def _buffered(batches: Iterator[pa.RecordBatch], columns: list[str], reader: _Reader) -> Iterator[tuple[list, list]]:
-    """Rows of texts read together: values of `columns`, and what the reader gives; enough that the longest text is no longer than a lane."""
-    rows, found, total, longest = [], [], 0, 0
-    for batch in _batches.slices(batches):
-        values = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
-        for value, raw in zip(values, _batches.raw(batch, "text"), strict=True):
-            rows.append(value)
-            found.append(reader.tokens(raw))
-            n = len(found[-1][0])
-            total, longest = total + n, max(longest, n)
-            if total >= min(BUFFER_MOST, max(BUFFER, longest * LANES)):
-                yield rows, found
-                rows, found, total, longest = [], [], 0, 0
-    if rows:
-        yield rows, found
+    def read(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, pa.Array]:
+        """The tokens of each text with its end; the number of each known word (-1 for others) and the text it stands in; and all words."""
+        words, of = words_of(texts)
+        ids = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        out = np.zeros(len(words) + len(texts), np.int32)  # token 0 is the end
+        out[np.arange(len(words)) + of] = np.where((ids >= 0) & (ids < self.head), ids, self.head + forms(words))
+        ends = np.bincount(of, minlength=len(texts)).cumsum() + np.arange(1, len(texts) + 1)
+        return np.split(out, ends[:-1]), ids, of, words
+
+
+@lru_cache(maxsize=2)
+def _reader(shared, known: int | None = None) -> Reader:
+    return Reader(pickle.loads(zlib.decompress(shared.value)), known)  # our own vocabulary, see `log_likelihood`
+
+
+def _full(texts: list[np.ndarray]) -> bool:
+    """Whether texts are enough to be dealt into lanes: a lane's share is as long as the longest, or the bound is reached."""
+    total = sum(map(len, texts))
+    return total >= min(BUFFER_MOST, max(BUFFER, max(map(len, texts)) * LANES))
 
 
 def _packed(w: dict[str, np.ndarray]) -> bytes:
@@ -395,9 +451,19 @@ def _unpacked(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]
 def _trainer(shared, starts: np.ndarray, weights: dict[str, np.ndarray], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, moments, tokens = Model(starts, {k: x.copy() for k, x in weights.items()}), {}, 0
-        for _, found in _buffered(batches, ["text"], _reader(shared)):
-            learn_texts(model, [t for t, _, _ in found], moments, rate)
-            tokens += sum(len(t) for t, _, _ in found)
+        reader, held = _reader(shared, int(starts[-1])), []
+
+        def learn() -> int:
+            learn_texts(model, held, moments, rate)
+            return sum(map(len, held))
+
+        for piece in pieces(batches, "text"):
+            held += reader.read(piece.column("text"))[0]
+            if _full(held):
+                tokens += learn()
+                held = []
+        if held:
+            tokens += learn()
         if tokens:
             yield pa.record_batch([pa.array([_packed(model.w)], pa.binary()), pa.array([float(tokens)])], names=["w", "n"])
 
@@ -433,34 +499,46 @@ def train(texts: DataFrame, v: Vocabulary, shared) -> Model:
     return model
 
 
-def _scorer(shared, starts: np.ndarray, weights: dict[str, np.ndarray]):
-    names = ["row", "id", "learn", "n_tokens", "n_known", "base", "score", "word", "n"]
+_SCORED = ["row", "id", "learn", "n_tokens", "n_known", "base", "score", "word", "n"]
+
 
+def _scorer(shared, starts: np.ndarray, weights: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, reader, kinds = Model(starts, weights), _reader(shared), None
-
-        def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal kinds
-            for batch in batches:
-                kinds = [*(batch.schema.field(c).type for c in names[:3]), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-                yield batch
-
-        for rows, found in _buffered(typed(batches), names[:3], reader):
-            scores = score_texts(model, [t for t, _, _ in found]) / math.log(10)
-            out: list[list] = [[] for _ in names]
-            for row, (tokens, ids, rest), score in zip(rows, found, scores.tolist(), strict=True):
-                tail = tokens[tokens >= reader.head] - reader.head
-                score += float(reader.log_count[ids[ids >= reader.head]].sum()) - float(reader.log_size[tail].sum())
-                own = b" %d" % row[0]  # no word holds a space, so this meets no count and spreads over the join's partitions
-                for column, value in zip(out, (*row, len(tokens), int(reader.seen[ids].sum()), float(reader.log_count[ids].sum()), score, own, None), strict=True):
-                    column.append(value)
-                others = Counter(rest)
-                for column, values in zip(out, (repeat(row[0]), *[repeat(None)] * 6, others, others.values()), strict=True):
-                    column.extend(v for v, _ in zip(values, others, strict=False))
-                if len(out[0]) > 50_000:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-                    out = [[] for _ in names]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        model, reader, texts, rows = Model(starts, weights), _reader(shared), [], []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            score = score_texts(model, texts) / math.log(10)
+            at = 0
+            for piece, known, base, tail in rows:
+                n = piece.num_rows
+                part = slice(at, at + n)
+                sizes = np.array([len(t) for t in texts[part]], np.int64)
+                own = [b" %d" % r for r in piece.column("row").to_pylist()]  # no word holds a space: this meets no count and spreads over the join
+                yield pa.record_batch([*(piece.column(c) for c in _SCORED[:3]), *map(pa.array, (sizes, known, base, score[part] + tail)), pa.array(own, pa.binary()), pa.nulls(n, pa.int64())], names=_SCORED)
+                at += n
+
+        for piece in pieces(batches, "text"):
+            found, ids, of, words = reader.read(piece.column("text"))
+            n, is_known = piece.num_rows, ids >= 0
+            log_count = np.where(is_known, reader.log_count[ids], 0.0)
+            tail = (ids < 0) | (ids >= reader.head)
+            inside = np.where(tail, log_count, 0.0)
+            inside[tail] -= reader.log_size[forms(words)[tail]]
+            by_text = lambda x: np.bincount(of, x, n)
+            seen = by_text(is_known & reader.seen[ids]).astype(np.int64) + int(reader.seen[0])
+            rows.append((piece.select(_SCORED[:3]), seen, by_text(log_count) + reader.log_count[0], by_text(inside)))
+            texts += found
+            # Words whose counts are elsewhere, once a text.
+            other = ~is_known
+            pairs = pa.table({"of": of[other], "word": words.filter(pa.array(other))}).group_by(["of", "word"]).aggregate([([], "count_all")])
+            at = pairs.column("of").combine_chunks()
+            none = [pa.nulls(len(at), k) for k in (piece.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.record_batch([piece.column("row").take(at), *none, pairs.column("word").combine_chunks(), pairs.column("count_all").combine_chunks()], names=_SCORED)
+            if _full(texts):
+                yield from scored()
+                texts, rows = [], []
+        if texts:
+            yield from scored()
 
     return run
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,17 +40,17 @@ def plain(model: L.Model, tokens: list[int]) -> float:
     """ln of the probability of a text, a number at a time."""
     w, s = model.w, L.STATE
     sigma = lambda x: 1 / (1 + math.exp(-x))
-    h, total, x = [0.0] * s, 0.0, len(w["X"]) - 1
+    h, total, x = [0.0] * s, 0.0, w["X"].shape[1] - 1
     for y in tokens:
-        a = [sum(h[i] * float(w["U"][i, j]) for i in range(s)) for j in range(3 * s)]
-        g = [float(v) for v in w["X"][x]]
+        a = [sum(h[i] * float(w["U"][j, i]) for i in range(s)) for j in range(3 * s)]
+        g = [float(v) for v in w["X"][:, x]]
         new = []
         for i in range(s):
             z, r = sigma(g[i] + a[i]), sigma(g[s + i] + a[s + i])
             n = math.tanh(g[2 * s + i] + r * a[2 * s + i])
             new.append((1 - z) * n + z * h[i])
         h = new
-        scores = [sum(h[i] * float(w["C"][i, k]) for i in range(s)) + float(w["c"][k]) for k in range(w["C"].shape[1])]
+        scores = [sum(h[i] * float(w["C"][k, i]) for i in range(s)) + float(w["c"][k]) for k in range(len(w["c"]))]
         total += scores[model.class_of[y]] - math.log(sum(map(math.exp, scores)))
         k = model.class_of[y]
         if k < model.n:
@@ -71,12 +72,12 @@ def test_scores_are_those_of_whole_texts_one_number_at_a_time():
 
 def test_probabilities_add_up_to_one():
     model = _random_model(3)
-    h = np.random.default_rng(2).normal(size=(1, L.STATE)).astype(np.float32)
+    h = np.random.default_rng(2).normal(size=(L.STATE, 1)).astype(np.float32)
     each = [float(model.output(h, np.array([y]))[0][0]) for y in range(6 + L.FORMS)]
     assert sum(map(math.exp, each)) == pytest.approx(1, abs=1e-5)
     v = _small()
     start = L.Model.of(v)
-    zero = np.zeros((1, L.STATE), np.float32)
+    zero = np.zeros((L.STATE, 1), np.float32)
     n = np.append(v.counts[:6] + 1, v.form_sizes)
     np.testing.assert_allclose([math.exp(start.output(zero, np.array([y]))[0][0]) for y in range(len(n))], n / n.sum(), rtol=1e-5)  # it starts from the counts
 
@@ -85,12 +86,12 @@ def test_gradients_are_those_of_the_loss():
     model, r = _random_model(5), np.random.default_rng(7)
     model.w = {k: x.astype(np.float64) for k, x in model.w.items()}
     x, y = r.integers(0, 6 + L.FORMS, (4, 3)), r.integers(0, 6 + L.FORMS, (4, 3))
-    keep, h = np.ones((4, 3), np.float32), r.normal(size=(3, L.STATE)).astype(np.float32)
-    keep[2, 1] = 0
-    loss = lambda: -model.output(model.run(x, keep, h)[0].reshape(-1, L.STATE), y.ravel())[0].sum()
-    out, kept = model.run(x, keep, h)
-    _, grads, dh = model.output(out.reshape(-1, L.STATE), y.ravel(), gradient=True)
-    grads |= model.back(x, keep, kept, dh.reshape(out.shape))
+    fresh, h = np.zeros((4, 3), bool), r.normal(size=(L.STATE, 3)).astype(np.float32)
+    fresh[2, 1] = True
+    loss = lambda: -model.output(L.columns(model.run(x, fresh, h)[0]), y.ravel())[0].sum()
+    out, kept = model.run(x, fresh, h)
+    _, grads, dh = model.output(L.columns(out), y.ravel(), gradient=True)
+    grads |= model.back(x, fresh, kept, dh.reshape(L.STATE, *x.shape).transpose(1, 0, 2))
     for name, g in grads.items():
         flat, found = model.w[name].ravel(), np.asarray(g).ravel()
         for at in np.argsort(-np.abs(found))[:4]:
@@ -122,6 +123,20 @@ def test_query_against_counts_by_hand(spark):
         assert sum(r.score for r in of) > sum(r.base_score for r in of)  # contexts were learnt from
 
 
+def test_words_and_tokens_of_odd_texts():
+    texts = ["", " ", None, "The of\ta\n\nEN  x ", "rare. Zeta unknown, \u00fcn\u00efcode verylongword! \x0b\x0c", "\u00c9", "\U0001f600!", "a" * 9, "\x00 \x1f\u00a0\u2003z"]
+    words, of = L.words_of(pa.array(texts))
+    assert [[w.decode() for w, k in zip(words.to_pylist(), of, strict=True) if k == i] for i in range(len(texts))] == [_words(t)[:-1] for t in texts]
+    v = _small()
+    tokens, ids, of, words = L.Reader(v).read(pa.array(texts))
+    for i, t in enumerate(texts):
+        want = [v.words.index(w) if w in v.words[: v.head] else v.head + L.form(w) for w in (x.encode() for x in _words(t))]
+        assert tokens[i].tolist() == want
+    assert [i >= 0 for i in ids] == [w in v.words for w in words.to_pylist()]
+    assert [t.tolist() for t in L.Reader(v, v.head).read(pa.array(texts))[0]] == [t.tolist() for t in tokens]
+    assert [L.form(w) for w in (b"ab", b"ab.", "\u00e9a".encode(), "\u00e9".encode() + b"!", b"123456789", b"12345678.")] == [0, 1, 2, 3, 4, 5]
+
+
 def test_words_beyond_the_known_ones_meet_their_counts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     few, v = L.log_likelihood(docs, ~L.held_out(), head=50, known=400)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -108,6 +109,45 @@ def statistical_tests(paths: DataFrame, actual: DataFrame, alpha: float = 0.05,
     return one.withColumn("is_valid", (F.col("ks_p") > level) & (F.col("lr_p") > level))
 
 
+def step_tests(paths: DataFrame, actual: DataFrame, alpha: float = 0.05, by: Sequence[str] = (), actual_by: Sequence[str] = ()) -> DataFrame:
+    """(by, t, a, u, var, es, hit) of each step: what `pit` and `value_at_risk` give, for many models at once and in one pass over the paths.
+
+    A group is the simulations of one step of one model, sorted. `actual` is (actual_by, t, a), `actual_by` being some of `by`.
+    """
+    rows = paths.groupBy(*by, "t").agg(F.sort_array(F.collect_list("v")).alias("_s")).join(actual, [*actual_by, "t"])
+    s, a = F.col("_s"), F.col("a")
+    at = (F.size(s) - 1) * F.lit(alpha)
+    lo = F.floor(at).cast("int")
+    var = s[lo] + (at - lo) * (s[F.least(lo + 1, F.size(s) - 1)] - s[lo])
+    rows = rows.withColumn("var", var)
+    tail = F.filter(s, lambda x: x <= F.col("var"))
+    es = F.aggregate(tail, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(tail), F.lit(0))
+    u = F.size(F.filter(s, lambda x: x <= a)) / F.size(s)
+    return rows.select(*by, "t", "a", u.alias("u"), "var", F.coalesce(es, s[0]).alias("es"), (a < F.col("var")).cast("int").alias("hit"))
+
+
+def tests_of_steps(steps: DataFrame, by: Sequence[str], alpha: float = 0.05, guarded: bool = False, level: float = 0.05) -> DataFrame:
+    """`statistical_tests` of each model from the rows of `step_tests`, all models in one job; the window of a model is its steps."""
+    w = Window.partitionBy(*by)
+    i, n = F.row_number().over(w.orderBy("u", "t")), F.count("*").over(w)
+    d = F.greatest(F.col("_i") / F.col("_n") - F.col("u"), F.col("u") - (F.col("_i") - 1) / F.col("_n"))
+    hit = F.col("hit") == 1
+    rows = steps.withColumns({"_i": i, "_n": n}).groupBy(*by).agg(
+        F.max(d).alias("ks"), F.count("*").alias("n"), F.sum("hit").alias("violations"),
+        *(F.avg(F.when(hit, x)).alias(name) for name, x in (("mean_actual", F.col("a")), ("mean_es", F.col("es")), ("tail_error", F.col("a") - F.col("es")))),
+    )
+    x, n = F.col("violations"), F.col("n")
+    p = x / n
+    part = lambda k, q: F.when(k > 0, k * F.ln(q)).otherwise(0.0)
+    lr = F.greatest(F.lit(0.0), -2 * (x * math.log(alpha) + (n - x) * math.log(1 - alpha) - part(x, p) - part(n - x, 1 - p)))
+    if guarded:
+        lr = F.when(x == 0, 0.0).when(x == n, float("inf")).otherwise(lr)
+        rows = rows.na.fill(0.0, ["mean_actual", "mean_es", "tail_error"])
+    rows = rows.withColumns({"rate": p, "lr": lr}).withColumns({"ks_p": distributions.ks_tail(F.col("ks"), F.col("n").cast("int")), "lr_p": distributions.chi2_tail(F.col("lr"), F.lit(1))})
+    names = ["ks", "ks_p", "n", "violations", "rate", "lr", "lr_p", "mean_actual", "mean_es", "tail_error"]
+    return rows.select(*by, *names, ((F.col("ks_p") > level) & (F.col("lr_p") > level)).alias("is_valid"))
+
+
 def var_es_comparison(x: DataFrame, y: DataFrame, alpha: float = 0.05) -> DataFrame:
     """VaR and ES at `alpha` of both samples (x: actual), and how near those of y come."""
     one = tail_risk(x, alpha).select(F.col("var").alias("actual_var"), F.col("cvar").alias("actual_es"))
@@ -288,12 +328,14 @@ def tail_quantiles(df: DataFrame, value: str, levels: Sequence[float] = (0.95, 0
     return out.select(*by, *(F.col("_q")[i].alias(f"q{str(p)[2:]}") for i, p in enumerate(levels)))
 
 
-def anchored_product(nav: DataFrame, gap: DataFrame, premium: DataFrame, start: float = 10_000.0) -> DataFrame:
+def anchored_product(nav: DataFrame, gap: DataFrame, premium: DataFrame, start: float = 10_000.0, by: Sequence[str] = ()) -> DataFrame:
     """nav * (1 + gap) * (1 + premium) of each path, scaled to `start` at its first step."""
-    j = nav.select("sim_id", "t", F.col("v").alias("_n")).join(gap.select("sim_id", "t", F.col("v").alias("_g")), ["sim_id", "t"]).join(premium.select("sim_id", "t", F.col("v").alias("_p")), ["sim_id", "t"])
+    keys = [*by, "sim_id", "t"]
+    j = nav.select(*keys, F.col("v").alias("_n")).join(gap.select(*keys, F.col("v").alias("_g")), keys).join(premium.select(*keys, F.col("v").alias("_p")), keys)
     level = F.col("_n") * (1 + F.col("_g")) * (1 + F.col("_p"))
-    first = F.first(level).over(_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return j.select("sim_id", "t", (level * F.lit(start) / F.nullif(first, F.lit(0.0))).alias("v"))
+    w = Window.partitionBy(*by, "sim_id").orderBy("t")
+    first = F.first(level).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return j.select(*keys, (level * F.lit(start) / F.nullif(first, F.lit(0.0))).alias("v"))
 
 
 def realised_volatility(df: DataFrame, value: str, by: Sequence[str], order: str = "t", n: int = 20, scale: float = 252**0.5) -> DataFrame:

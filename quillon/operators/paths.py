@@ -7,6 +7,7 @@ they are partitioned or recomputed. Output is long: (sim_id, t, v), t from 0.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -99,6 +100,43 @@ def driven_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, dt:
     return _generate_rows(params.select(*keys, *(F.col(c).cast("double").alias(c) for c in names)), keys, n, make, ["v", "x1", "x2"], seed)
 
 
+def _arma_garch_steps(row, streams, steps: int, intercept: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Returns and levels after a row of `arma.fits`."""
+    beta, phi, theta = (np.asarray(x, float) for x in (row.beta, row.phi, row.theta))
+    last = np.asarray(row.last_x, float)[None]
+    ahead = last if row.ahead is None or not len(beta) else np.asarray(row.ahead, float).reshape(-1, len(beta))
+    x = np.concatenate([last, ahead[np.minimum(np.arange(steps), len(ahead) - 1)]])
+    level = row.const + (np.diff(x, axis=0) if row.d else x[1:]) @ beta
+    student = row.nu is not None and row.nu > 2
+    z = np.stack([r.standard_t(row.nu, steps) for r in streams]) * np.sqrt((row.nu - 2) / row.nu) if student else _normals(streams, steps)
+    r, v = np.empty_like(z), np.empty_like(z)
+    past = [np.full(len(z), k) for k in row.last_y] if intercept else []
+    e = [np.full(len(z), k) for k in row.last_e]
+    state = np.repeat(np.asarray(row.state, float)[None], len(z), 0)
+    move, load = np.zeros((state.shape[1],) * 2), np.append(1.0, np.zeros(state.shape[1] - 1))
+    move[: len(phi), 0], load[1 : 1 + len(theta)] = phi, theta
+    move += np.eye(len(move), k=1)
+    s2 = row.omega / (1 - row.alpha - row.garch_beta) if row.alpha + row.garch_beta < 1 else row.omega
+    now, value = np.log(np.full(len(z), float(row.s0))), np.full(len(z), row.last_y[0])
+    s2 = np.full(len(z), s2)
+    for t in range(steps):
+        s2 = np.maximum(row.omega + row.alpha * (100 * e[0]) ** 2 + row.garch_beta * s2, 1e-12)
+        new = np.sqrt(s2) / 100 * z[:, t]
+        if intercept:
+            step = level[t] + sum((a * b for a, b in zip(phi, past, strict=False)), 0.0) + sum((a * b for a, b in zip(theta, e, strict=False)), 0.0) + new
+            past = [step, *past[:-1]]
+        else:
+            state = state + new[:, None] * load
+            step = level[t] + state[:, 0]
+            state = state @ move.T
+        e = [new, *e[:-1]]
+        value = value + step if row.d else step
+        r[:, t] = value
+        now = now + value
+        v[:, t] = np.exp(now)
+    return r, v
+
+
 def arma_garch_rows(fits: DataFrame, keys: Sequence[str], n: int, steps: int, future: DataFrame | None = None, drivers: Sequence[str] = (), order: str = "d", intercept: bool = False, seed: int = 42) -> DataFrame:
     """(keys, sim_id, t, r, v): returns and levels that go on from the end of every row of `arma.fits` (d of 0 or 1), all rows in one job.
 
@@ -119,38 +157,7 @@ def arma_garch_rows(fits: DataFrame, keys: Sequence[str], n: int, steps: int, fu
         rows = rows.withColumn("ahead", F.lit(None).cast("array<double>"))
 
     def make(row, streams):
-        beta, phi, theta = (np.asarray(x, float) for x in (row.beta, row.phi, row.theta))
-        last = np.asarray(row.last_x, float)[None]
-        ahead = last if row.ahead is None or not len(beta) else np.asarray(row.ahead, float).reshape(-1, len(beta))
-        x = np.concatenate([last, ahead[np.minimum(np.arange(steps), len(ahead) - 1)]])
-        level = row.const + (np.diff(x, axis=0) if row.d else x[1:]) @ beta
-        student = row.nu is not None and row.nu > 2
-        z = np.stack([r.standard_t(row.nu, steps) for r in streams]) * np.sqrt((row.nu - 2) / row.nu) if student else _normals(streams, steps)
-        r, v = np.empty_like(z), np.empty_like(z)
-        past = [np.full(len(z), k) for k in row.last_y] if intercept else []
-        e = [np.full(len(z), k) for k in row.last_e]
-        state = np.repeat(np.asarray(row.state, float)[None], len(z), 0)
-        move, load = np.zeros((state.shape[1],) * 2), np.append(1.0, np.zeros(state.shape[1] - 1))
-        move[: len(phi), 0], load[1 : 1 + len(theta)] = phi, theta
-        move += np.eye(len(move), k=1)
-        s2 = row.omega / (1 - row.alpha - row.garch_beta) if row.alpha + row.garch_beta < 1 else row.omega
-        now, value = np.log(np.full(len(z), float(row.s0))), np.full(len(z), row.last_y[0])
-        s2 = np.full(len(z), s2)
-        for t in range(steps):
-            s2 = np.maximum(row.omega + row.alpha * (100 * e[0]) ** 2 + row.garch_beta * s2, 1e-12)
-            new = np.sqrt(s2) / 100 * z[:, t]
-            if intercept:
-                step = level[t] + sum((a * b for a, b in zip(phi, past, strict=False)), 0.0) + sum((a * b for a, b in zip(theta, e, strict=False)), 0.0) + new
-                past = [step, *past[:-1]]
-            else:
-                state = state + new[:, None] * load
-                step = level[t] + state[:, 0]
-                state = state @ move.T
-            e = [new, *e[:-1]]
-            value = value + step if row.d else step
-            r[:, t] = value
-            now = now + value
-            v[:, t] = np.exp(now)
+        r, v = _arma_garch_steps(row, streams, steps, intercept)
         return {"r": r, "v": v}
 
     names = ["d", "const", "beta", "phi", "theta", "omega", "alpha", "garch_beta", "nu", "state", "last_e", "last_x", "last_y", "s0", "ahead"]
@@ -161,45 +168,134 @@ def _normals(streams: list[np.random.Generator], steps: int) -> np.ndarray:
     return np.stack([r.standard_normal(steps) for r in streams])
 
 
+# Kernels: a row of parameters, the streams of some simulations, and the number of steps give their paths.
+
+
+def _gbm(row, streams, steps: int, dt: float) -> np.ndarray:
+    r = (row.mu - row.sigma**2 / 2) * dt + row.sigma * dt**0.5 * _normals(streams, steps - 1)
+    return row.s0 * np.exp(np.concatenate([np.zeros((len(r), 1)), r.cumsum(1)], 1))
+
+
+def _ou(row, streams, steps: int, exact: bool = False) -> np.ndarray:
+    a = np.exp(-row.kappa) if exact else 1 - row.kappa
+    s = row.sigma * np.sqrt((1 - np.exp(-2 * row.kappa)) / (2 * row.kappa)) if exact else row.sigma
+    z = _normals(streams, steps)
+    v = np.empty_like(z)
+    v[:, 0] = row.x0
+    for t in range(1, steps):
+        v[:, t] = row.mu + a * (v[:, t - 1] - row.mu) + s * z[:, t]
+    return v
+
+
+def _ou_driven(row, streams, steps: int) -> np.ndarray:
+    deltas = np.asarray(row.deltas, float)
+    z = np.asarray(row.drivers, float).reshape(-1, len(deltas))
+    z = (z - z.mean(0)) / (z.std(0) + 1e-8)
+    vol = row.sigma0 * np.exp(np.vstack([np.zeros(len(deltas)), z])[:-1] @ deltas)
+    e = _normals(streams, steps)
+    v = np.empty_like(e)
+    v[:, 0] = row.x0
+    for t in range(1, steps):
+        v[:, t] = v[:, t - 1] + row.kappa * (row.mu - v[:, t - 1]) + vol[min(t, len(vol) - 1)] * e[:, t]
+    return v
+
+
+def _ou_threshold(row, streams, steps: int) -> np.ndarray:
+    k, m, s = (np.asarray(x, float) for x in (row.kappa, row.mu, row.sigma))
+    factor = np.ones((steps, 3))
+    if row.drivers is not None and len(row.drivers):
+        deltas = np.asarray(row.deltas, float).reshape(3, -1)
+        z = np.asarray(row.drivers, float).reshape(-1, deltas.shape[1])
+        factor = np.exp(z[np.minimum(np.arange(steps), len(z) - 1)] @ deltas.T)
+        factor[0] = 1.0
+    e = _normals(streams, steps)
+    v = np.empty_like(e)
+    v[:, 0] = row.x0
+    for t in range(1, steps):
+        x = v[:, t - 1]
+        r = np.where(np.abs(x) <= row.tau, 0, np.where(x > row.tau, 1, 2))
+        v[:, t] = x + k[r] * (m[r] - x) + s[r] * factor[t - 1, r] * e[:, t]
+    return v
+
+
+def _heston(row, streams, steps: int, dt: float) -> np.ndarray:
+    z = _normals(streams, 2 * (steps - 1)).reshape(len(streams), 2, steps - 1)
+    x, var = np.full((len(streams), steps), np.log(row.s0)), np.full(len(streams), row.v0)
+    for t in range(1, steps):
+        a, b = z[:, 0, t - 1], row.rho * z[:, 0, t - 1] + np.sqrt(1 - row.rho**2) * z[:, 1, t - 1]
+        x[:, t] = x[:, t - 1] + (row.mu - var / 2) * dt + np.sqrt(var * dt) * a
+        var = np.maximum(var + row.kappa * (row.theta - var) * dt + row.sigma_v * np.sqrt(var * dt) * b, 0)
+    return np.exp(x)
+
+
+def _merton(row, streams, steps: int) -> np.ndarray:
+    comp = row.rate * (np.exp(row.mu_j + row.sigma_j**2 / 2) - 1)
+    count = np.stack([r.poisson(row.rate, steps - 1) for r in streams])
+    z, j = _normals(streams, steps - 1), _normals(streams, steps - 1)
+    r = row.mu - row.sigma**2 / 2 - comp + row.sigma * z + count * row.mu_j + np.sqrt(count) * row.sigma_j * j
+    return row.s0 * np.exp(np.concatenate([np.zeros((len(r), 1)), r.cumsum(1)], 1))
+
+
+def _heston_changes(row, streams, steps: int) -> np.ndarray:
+    z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
+    out, var = np.empty((len(streams), steps)), np.full(len(streams), row.v0)
+    for t in range(steps):
+        pos = np.maximum(var, 0)
+        out[:, t] = np.sqrt(pos) * z[:, 0, t]
+        var = var + row.kappa * (row.theta - pos) + row.sigma_v * np.sqrt(pos) * (row.rho * z[:, 0, t] + np.sqrt(1 - row.rho**2) * z[:, 1, t])
+    return out
+
+
+def _jump_volatility(row, streams, steps: int) -> np.ndarray:
+    z, j = _normals(streams, steps), _normals(streams, steps)
+    count = np.stack([r.poisson(row.rate, steps) for r in streams])
+    level, e = np.full((len(streams), steps), float(row.s0)), np.zeros(len(streams))
+    s2 = np.full(len(streams), row.omega / max(1e-6, 1 - row.alpha - row.beta))
+    for t in range(1, steps):
+        s2 = row.omega + row.alpha * e**2 + row.beta * s2
+        e = np.sqrt(s2) * z[:, t]
+        level[:, t] = level[:, t - 1] * np.exp(row.mu + e / 100 + count[:, t] * row.mu_j + np.sqrt(count[:, t]) * row.sigma_j * j[:, t])
+    return level
+
+
+def _one(**values):
+    return SimpleNamespace(**values)
+
+
+def _of_rows(params: DataFrame, keys: Sequence[str], names: Sequence[str], n: int, kernel: Callable, seed: int) -> DataFrame:
+    return _generate_rows(params.select(*keys, *names), keys, n, lambda row, streams: {"v": kernel(row, streams)}, ["v"], seed)
+
+
 def gbm(spark: SparkSession, n: int, steps: int, s0: float, mu: float, sigma: float, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
-    def make(streams, steps):
-        r = (mu - sigma**2 / 2) * dt + sigma * dt**0.5 * _normals(streams, steps - 1)
-        return s0 * np.exp(np.concatenate([np.zeros((len(r), 1)), r.cumsum(1)], 1))
+    row = _one(s0=s0, mu=mu, sigma=sigma)
+    return _generate(spark, n, steps, lambda streams, k: _gbm(row, streams, k, dt), seed)
 
-    return _generate(spark, n, steps, make, seed)
+
+def gbm_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v) for every row of (keys, s0, mu, sigma)."""
+    return _of_rows(params, keys, ["s0", "mu", "sigma"], n, lambda row, streams: _gbm(row, streams, steps, dt), seed)
 
 
 def ou(spark: SparkSession, n: int, steps: int, x0: float, kappa: float, mu: float, sigma: float, seed: int = 42, exact: bool = False) -> DataFrame:
     """Per-step mean reversion; `exact` uses the exact discretisation of the continuous process."""
-    a = np.exp(-kappa) if exact else 1 - kappa
-    s = sigma * np.sqrt((1 - np.exp(-2 * kappa)) / (2 * kappa)) if exact else sigma
+    row = _one(x0=x0, kappa=kappa, mu=mu, sigma=sigma)
+    return _generate(spark, n, steps, lambda streams, k: _ou(row, streams, k, exact), seed)
 
-    def make(streams, steps):
-        z = _normals(streams, steps)
-        v = np.empty_like(z)
-        v[:, 0] = x0
-        for t in range(1, steps):
-            v[:, t] = mu + a * (v[:, t - 1] - mu) + s * z[:, t]
-        return v
 
-    return _generate(spark, n, steps, make, seed)
+def exact_ou_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v) by the exact discretisation, for every row of (keys, x0, kappa, mu, sigma)."""
+    return _of_rows(params, keys, ["x0", "kappa", "mu", "sigma"], n, lambda row, streams: _ou(row, streams, steps, True), seed)
 
 
 def ou_driven(spark: SparkSession, n: int, steps: int, x0: float, kappa: float, mu: float, sigma0: float, deltas: Sequence[float], drivers: np.ndarray, seed: int = 42) -> DataFrame:
     """Mean reversion whose volatility follows standardised drivers (steps x drivers) of the step before; none at step 0."""
-    z = np.asarray(drivers, float)
-    z = (z - z.mean(0)) / (z.std(0) + 1e-8)
-    vol = sigma0 * np.exp(np.vstack([np.zeros(z.shape[1]), z])[:-1] @ np.asarray(deltas, float))
+    row = _one(x0=x0, kappa=kappa, mu=mu, sigma0=sigma0, deltas=deltas, drivers=np.asarray(drivers, float).ravel())
+    return _generate(spark, n, steps, lambda streams, k: _ou_driven(row, streams, k), seed)
 
-    def make(streams, steps):
-        e = _normals(streams, steps)
-        v = np.empty_like(e)
-        v[:, 0] = x0
-        for t in range(1, steps):
-            v[:, t] = v[:, t - 1] + kappa * (mu - v[:, t - 1]) + vol[min(t, len(vol) - 1)] * e[:, t]
-        return v
 
-    return _generate(spark, n, steps, make, seed)
+def ou_driven_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """As `ou_driven` for every row of (keys, x0, kappa, mu, sigma0, deltas, drivers): drivers one step after the other in one array."""
+    return _of_rows(params, keys, ["x0", "kappa", "mu", "sigma0", "deltas", "drivers"], n, lambda row, streams: _ou_driven(row, streams, steps), seed)
 
 
 def ou_threshold(spark: SparkSession, n: int, steps: int, x0: float, tau: float, kappa: Sequence[float], mu: Sequence[float], sigma: Sequence[float], seed: int = 42, deltas: Sequence[Sequence[float]] | None = None, drivers: np.ndarray | None = None) -> DataFrame:
@@ -208,52 +304,35 @@ def ou_threshold(spark: SparkSession, n: int, steps: int, x0: float, tau: float,
     With `deltas` (a row of each regime) the deviation follows `drivers` (steps x drivers, clipped
     z-scores; the last row is continued) of the step before; none at step 0.
     """
-    k, m, s = (np.asarray(x, float) for x in (kappa, mu, sigma))
-    factor = np.ones((steps, 3))
-    if deltas is not None and drivers is not None and len(drivers):
-        z = np.asarray(drivers, float)[np.minimum(np.arange(steps), len(drivers) - 1)]
-        factor = np.exp(z @ np.asarray(deltas, float).T)
-        factor[0] = 1.0
+    row = _one(x0=x0, tau=tau, kappa=kappa, mu=mu, sigma=sigma, deltas=None if deltas is None else np.asarray(deltas, float).ravel(), drivers=None if deltas is None or drivers is None else np.asarray(drivers, float).ravel())
+    return _generate(spark, n, steps, lambda streams, k: _ou_threshold(row, streams, k), seed)
 
-    def make(streams, steps):
-        e = _normals(streams, steps)
-        v = np.empty_like(e)
-        v[:, 0] = x0
-        for t in range(1, steps):
-            x = v[:, t - 1]
-            r = np.where(np.abs(x) <= tau, 0, np.where(x > tau, 1, 2))
-            v[:, t] = x + k[r] * (m[r] - x) + s[r] * factor[t - 1, r] * e[:, t]
-        return v
 
-    return _generate(spark, n, steps, make, seed)
+def ou_threshold_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """As `ou_threshold` for every row of (keys, x0, tau; kappa, mu, sigma: an entry a regime; deltas: regime by regime; drivers: step by step, or null)."""
+    return _of_rows(params, keys, ["x0", "tau", "kappa", "mu", "sigma", "deltas", "drivers"], n, lambda row, streams: _ou_threshold(row, streams, steps), seed)
 
 
 def heston(spark: SparkSession, n: int, steps: int, s0: float, mu: float, v0: float, kappa: float, theta: float, sigma_v: float, rho: float, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
     """Stochastic volatility; the variance is floored at zero after every step."""
+    row = _one(s0=s0, mu=mu, v0=v0, kappa=kappa, theta=theta, sigma_v=sigma_v, rho=rho)
+    return _generate(spark, n, steps, lambda streams, k: _heston(row, streams, k, dt), seed)
 
-    def make(streams, steps):
-        z = _normals(streams, 2 * (steps - 1)).reshape(len(streams), 2, steps - 1)
-        x, var = np.full((len(streams), steps), np.log(s0)), np.full(len(streams), v0)
-        for t in range(1, steps):
-            a, b = z[:, 0, t - 1], rho * z[:, 0, t - 1] + np.sqrt(1 - rho**2) * z[:, 1, t - 1]
-            x[:, t] = x[:, t - 1] + (mu - var / 2) * dt + np.sqrt(var * dt) * a
-            var = np.maximum(var + kappa * (theta - var) * dt + sigma_v * np.sqrt(var * dt) * b, 0)
-        return np.exp(x)
 
-    return _generate(spark, n, steps, make, seed)
+def heston_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v) for every row of (keys, s0, mu, v0, kappa, theta, sigma_v, rho)."""
+    return _of_rows(params, keys, ["s0", "mu", "v0", "kappa", "theta", "sigma_v", "rho"], n, lambda row, streams: _heston(row, streams, steps, dt), seed)
 
 
 def merton(spark: SparkSession, n: int, steps: int, s0: float, mu: float, sigma: float, rate: float, mu_j: float, sigma_j: float, seed: int = 42) -> DataFrame:
     """Jump diffusion per step with a compensated drift."""
-    comp = rate * (np.exp(mu_j + sigma_j**2 / 2) - 1)
+    row = _one(s0=s0, mu=mu, sigma=sigma, rate=rate, mu_j=mu_j, sigma_j=sigma_j)
+    return _generate(spark, n, steps, lambda streams, k: _merton(row, streams, k), seed)
 
-    def make(streams, steps):
-        count = np.stack([r.poisson(rate, steps - 1) for r in streams])
-        z, j = _normals(streams, steps - 1), _normals(streams, steps - 1)
-        r = mu - sigma**2 / 2 - comp + sigma * z + count * mu_j + np.sqrt(count) * sigma_j * j
-        return s0 * np.exp(np.concatenate([np.zeros((len(r), 1)), r.cumsum(1)], 1))
 
-    return _generate(spark, n, steps, make, seed)
+def merton_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v) for every row of (keys, s0, mu, sigma, rate, mu_j, sigma_j)."""
+    return _of_rows(params, keys, ["s0", "mu", "sigma", "rate", "mu_j", "sigma_j"], n, lambda row, streams: _merton(row, streams, steps), seed)
 
 
 def arma_garch(spark: SparkSession, n: int, steps: int, s0: float, const: float, phi: float, theta: float, omega: float, alpha: float, beta: float, nu: float | None = None, seed: int = 42) -> DataFrame:
@@ -305,10 +384,16 @@ def dtw(paths: DataFrame, actual: DataFrame) -> DataFrame:
 
 def ou_pair(spark: SparkSession, n: int, steps: int, x0: tuple[float, float], theta: tuple[float, float], mu: tuple[float, float], sigma: tuple[float, float], rho: float, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
     """(sim_id, t, v, w): two mean-reverting series with correlated shocks."""
-    one = spark.createDataFrame([(0, *map(float, (*x0, *theta, *mu, *sigma)))], "pair int, a double, b double, ka double, kb double, ma double, mb double, sa double, sb double")
-    rho, root = max(-0.9999, min(0.9999, rho)), dt**0.5
+    one = spark.createDataFrame([(0, *map(float, (*x0, *theta, *mu, *sigma, rho)))], "pair int, a double, b double, ka double, kb double, ma double, mb double, sa double, sb double, rho double")
+    return ou_pair_rows(one, ["pair"], n, steps, dt, seed).drop("pair")
+
+
+def ou_pair_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, dt: float = 1 / 252, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v, w) for every row of (keys, a, b: starts; ka, kb: reversion; ma, mb: levels; sa, sb: deviations; rho)."""
+    root = dt**0.5
 
     def make(row, streams):
+        rho = max(-0.9999, min(0.9999, row.rho))
         z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
         out = {}
         for name, x, th, m, s, e in (("v", row.a, row.ka, row.ma, row.sa, z[:, 0]), ("w", row.b, row.kb, row.mb, row.sb, rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1])):
@@ -319,7 +404,7 @@ def ou_pair(spark: SparkSession, n: int, steps: int, x0: tuple[float, float], th
             out[name] = level
         return out
 
-    return _generate_rows(one, ["pair"], n, make, ["v", "w"], seed).drop("pair")
+    return _generate_rows(params.select(*keys, "a", "b", "ka", "kb", "ma", "mb", "sa", "sb", "rho"), keys, n, make, ["v", "w"], seed)
 
 
 def state_draws(spark: SparkSession, n: int, steps: int, mu: float, sigma: float, transform: str = "none", seed: int = 42) -> DataFrame:
@@ -330,32 +415,61 @@ def state_draws(spark: SparkSession, n: int, steps: int, mu: float, sigma: float
 
 def heston_changes(spark: SparkSession, n: int, steps: int, v0: float, kappa: float, theta: float, sigma_v: float, rho: float, seed: int = 42) -> DataFrame:
     """Changes with stochastic variance per step, the variance truncated at zero."""
+    row = _one(v0=v0, kappa=kappa, theta=theta, sigma_v=sigma_v, rho=rho)
+    return _generate(spark, n, steps, lambda streams, k: _heston_changes(row, streams, k), seed)
 
-    def make(streams, steps):
-        z = _normals(streams, 2 * steps).reshape(len(streams), 2, steps)
-        out, var = np.empty((len(streams), steps)), np.full(len(streams), v0)
-        for t in range(steps):
-            pos = np.maximum(var, 0)
-            out[:, t] = np.sqrt(pos) * z[:, 0, t]
-            var = var + kappa * (theta - pos) + sigma_v * np.sqrt(pos) * (rho * z[:, 0, t] + np.sqrt(1 - rho**2) * z[:, 1, t])
-        return out
 
-    return _generate(spark, n, steps, make, seed)
+def heston_changes_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v) for every row of (keys, v0, kappa, theta, sigma_v, rho)."""
+    return _of_rows(params, keys, ["v0", "kappa", "theta", "sigma_v", "rho"], n, lambda row, streams: _heston_changes(row, streams, steps), seed)
 
 
 def jump_volatility(spark: SparkSession, n: int, steps: int, s0: float, garch: dict[str, float], rate: float, mu_j: float, sigma_j: float, seed: int = 42) -> DataFrame:
     """Levels of GARCH(1,1) returns (variance in squared percent) with normal jumps at Poisson counts."""
+    row = _one(s0=s0, rate=rate, mu_j=mu_j, sigma_j=sigma_j, omega=garch["omega"], alpha=garch["alpha"], beta=garch["beta"], mu=garch.get("mu", 0.0))
+    return _generate(spark, n, steps, lambda streams, k: _jump_volatility(row, streams, k), seed)
 
-    def make(streams, steps):
-        z, j = _normals(streams, steps), _normals(streams, steps)
-        count = np.stack([r.poisson(rate, steps) for r in streams])
-        level = np.full((len(streams), steps), float(s0))
-        e = np.zeros(len(streams))
-        s2 = np.full(len(streams), garch["omega"] / max(1e-6, 1 - garch["alpha"] - garch["beta"]))
-        for t in range(1, steps):
-            s2 = garch["omega"] + garch["alpha"] * e**2 + garch["beta"] * s2
-            e = np.sqrt(s2) * z[:, t]
-            level[:, t] = level[:, t - 1] * np.exp(garch.get("mu", 0.0) + e / 100 + count[:, t] * mu_j + np.sqrt(count[:, t]) * sigma_j * j[:, t])
-        return level
 
-    return _generate(spark, n, steps, make, seed)
+def jump_volatility_rows(params: DataFrame, keys: Sequence[str], n: int, steps: int, seed: int = 42) -> DataFrame:
+    """(keys, sim_id, t, v) for every row of (keys, s0, mu, omega, alpha, beta, rate, mu_j, sigma_j), as `estimators.jump_garch` fits them."""
+    return _of_rows(params, keys, ["s0", "mu", "omega", "alpha", "beta", "rate", "mu_j", "sigma_j"], n, lambda row, streams: _jump_volatility(row, streams, steps), seed)
+
+
+#: The parts of a row of `delayed_grid_rows`: prefix, and the columns of that model's fit.
+GRID = {
+    "h_": ("s0", "mu", "v0", "kappa", "theta", "sigma_v", "rho"),
+    "g_": ("d", "const", "beta", "phi", "theta", "omega", "alpha", "garch_beta", "nu", "state", "last_e", "last_x", "last_y", "s0", "ahead"),
+    "c_": ("v0", "kappa", "theta", "sigma_v", "rho"),
+    "o_": ("x0", "kappa", "mu", "sigma"),
+}
+
+
+def delayed_grid_rows(params: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """(keys, nav_model, gap_model, sim_id, t, v): log changes of a fund that follows two NAV models times two premium models, for every row of fits.
+
+    The fund starts at nav0 (1 + gap0) and follows the product by a step, over `steps` steps. The
+    four paths of a simulation are made together, each model once, from a stream of its own, so that
+    nothing is joined. `params` holds steps, nav0, gap0 and the columns of GRID: Heston, ARMA-GARCH,
+    changes of stochastic variance, mean reversion. A change from or to a level that is not positive is left out.
+    """
+    pairs = [(a, b) for a in ("heston", "arma_garch") for b in ("heston_sv", "ou")]
+
+    def make(row, streams):
+        own = [[np.random.default_rng([seed + k, *r.integers(0, 2**31, 2).tolist()]) for r in streams] for k in range(4)]
+        h, g, c, o = (SimpleNamespace(**{x: getattr(row, prefix + x) for x in fields}) for prefix, fields in GRID.items())
+        steps = int(row.steps)
+        navs = {"heston": _heston(h, own[0], steps, 1 / 252), "arma_garch": _arma_garch_steps(g, own[1], steps)[1]}
+        gaps = {"heston_sv": row.gap0 + _heston_changes(c, own[2], steps).cumsum(1), "ou": _ou(o, own[3], steps)}
+        out = {}
+        for a, b in pairs:
+            level = np.concatenate([np.full((len(streams), 1), row.nav0 * (1 + row.gap0)), navs[a] * (1 + gaps[b])], 1)
+            usable = (level[:, 1:] > 0) & (level[:, :-1] > 0)
+            change = np.log(np.where(usable, level[:, 1:] / level[:, :-1], 1.0))
+            out[f"{a}_{b}"] = np.where(usable, change, np.nan)
+        return out
+
+    names = [f"{a}_{b}" for a, b in pairs]
+    columns = [prefix + x for prefix, fields in GRID.items() for x in fields]
+    rows = _generate_rows(params.select(*keys, "steps", "nav0", "gap0", *columns), keys, n, make, names, seed)
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("nav_model"), F.lit(b).alias("gap_model"), F.col(f"{a}_{b}").alias("v")) for a, b in pairs)))
+    return rows.select(*keys, "sim_id", (F.col("t") + 1).alias("t"), cells.alias("_c")).select(*keys, "_c.nav_model", "_c.gap_model", "sim_id", "t", "_c.v").filter(~F.isnan("v"))

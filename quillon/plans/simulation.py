@@ -550,44 +550,6 @@ def wmcr_binomial(spark, sf_dir):
     return wmcr.binomial_test(spark, 343, (0.5, 0.8, 0.95), (0.3965, 0.8163, 0.8950)).select("k", "p", "c", r("se").alias("se"), r("tol").alias("tol"), "verdict")
 
 
-# ---- generators ----------------------------------------------------------------------------------
-
-
-def _bands_of(p: DataFrame) -> DataFrame:
-    return metrics.fan_bands(p)
-
-
-@query("mc_gbm")
-def mc_gbm(spark, sf_dir):
-    return _bands_of(paths.gbm(spark, 1000, 60, 100.0, 0.1, 0.5))
-
-
-@query("mc_gap_ou")
-def mc_gap_ou(spark, sf_dir):
-    days = np.cos(np.arange(60) / 5)[:, None]
-    return _bands_of(paths.ou_driven(spark, 1000, 60, 0.01, 0.9, 0.0004, 0.004, [0.2], days))
-
-
-@query("mc_kp_threshold")
-def mc_kp_threshold(spark, sf_dir):
-    return _bands_of(paths.ou_threshold(spark, 1000, 60, 0.02, 0.03, (0.1, 0.2, 0.3), (0.02, 0.03, -0.03), (0.005, 0.01, 0.01)))
-
-
-@query("mc_heston")
-def mc_heston(spark, sf_dir):
-    return _bands_of(paths.heston(spark, 1000, 60, 100.0, 0.1, 0.25, 2.0, 0.25, 0.5, -0.5))
-
-
-@query("mc_merton")
-def mc_merton(spark, sf_dir):
-    return _bands_of(paths.merton(spark, 1000, 60, 100.0, 0.0005, 0.02, 0.03, -0.01, 0.05))
-
-
-@query("mc_arma_garch_t")
-def mc_arma_garch_t(spark, sf_dir):
-    return _bands_of(paths.arma_garch(spark, 1000, 60, 100.0, 0.0005, 0.1, -0.1, 0.2, 0.1, 0.85, 6.0))
-
-
 @query("dtw")
 def dtw(spark, sf_dir):
     return paths.dtw(base.paths(spark, sf_dir), base.actual(spark, sf_dir))
@@ -677,24 +639,3 @@ def rvr(spark, sf_dir):
 @query("qq_points")
 def qq_points(spark, sf_dir):
     return metrics.normal_quantile_points(base.paths(spark, sf_dir), "v")
-
-
-@query("mc_ou_pair")
-def mc_ou_pair(spark, sf_dir):
-    j = paths.ou_pair(spark, 500, 60, (0.01, 0.02), (30.0, 20.0), (0.01, 0.02), (0.1, 0.2), 0.6).filter("t > 0")
-    return j.groupBy("t").agg(F.corr("v", "w").alias("c"), F.avg("v").alias("a"), F.avg("w").alias("b"))
-
-
-@query("mc_state_draws")
-def mc_state_draws(spark, sf_dir):
-    return _bands_of(paths.state_draws(spark, 500, 60, 1.0, 0.2, "log1p"))
-
-
-@query("mc_heston_changes")
-def mc_heston_changes(spark, sf_dir):
-    return _bands_of(paths.heston_changes(spark, 500, 60, 0.04, 0.1, 0.04, 0.05, -0.5))
-
-
-@query("mc_jump_volatility")
-def mc_jump_volatility(spark, sf_dir):
-    return _bands_of(paths.jump_volatility(spark, 500, 60, 100.0, {"omega": 0.1, "alpha": 0.1, "beta": 0.85}, 0.05, -0.02, 0.04))

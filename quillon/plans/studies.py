@@ -250,12 +250,12 @@ def legacy_capture(spark, sf_dir):
 
 # ---- contests and simulations from fits ----------------------------------------------------------
 
-_STUDY = Settings(base_paths=500, regime_paths=500, scenario_steps=60)
+_STUDY = Settings()  # the sizes of the reference's own runs
 
 
 def _history(spark, sf_dir) -> DataFrame:
-    """A fund of one series of orders: value as NAV, its smoothed interest as premium."""
-    rows = daily(spark, sf_dir).filter("s = '1-URGENT'")
+    """A fund of each series of orders: smoothed value as NAV, interest about its mean as premium."""
+    rows = daily(spark, sf_dir)
     gap = (F.col("y") - F.avg("y").over(Window.partitionBy("s"))) / 100
     nav = F.avg("x").over(W().rowsBetween(-19, 0))
     return rows.select("s", "d", nav.alias("nav"), gap.alias("gap"), (nav * (1 + gap)).alias("etf"), (gap * 2).alias("kp"), F.col("x").alias("driver"))
@@ -263,20 +263,23 @@ def _history(spark, sf_dir) -> DataFrame:
 
 @query("validation_grid")
 def validation_grid(spark, sf_dir):
-    return flows.validation_grid(spark, _history(spark, sf_dir).drop("s"), _STUDY)
+    return flows.validation_grid(_history(spark, sf_dir), _STUDY, ["s"])
 
 
 @query("base_simulation")
 def base_simulation(spark, sf_dir):
-    return flows.base_simulation(spark, _history(spark, sf_dir).drop("s"), _STUDY, ["driver"], ["driver"])["fan"]
+    return flows.base_simulation(spark, _history(spark, sf_dir), _STUDY, ["driver"], ["driver"], ["driver"], ["s"])["fan"]
 
 
 @query("regime_monte_carlo")
 def regime_monte_carlo(spark, sf_dir):
-    rows = daily(spark, sf_dir).filter("s in ('1-URGENT', '5-LOW')").withColumn("value", series.log_return(F.col("x"), W()))
+    """Every series with the next one as the two drivers of a level."""
+    rows = daily(spark, sf_dir).withColumn("value", series.log_return(F.col("x"), W()))
     rows = rows.withColumn("regime", scalar.threshold_regime(F.col("value"), 0.5))
+    number = F.substring("s", 1, 1).cast("int")  # series are named 1-URGENT to 5-LOW
+    rows = rows.withColumn("pair", F.explode(F.array(number - 1, number))).filter("pair between 1 and 4")
     target = {"x0": 0.0, "kappa": 5.0, "mu": 0.001, "sigma0": 0.05, "delta1": 0.2, "delta2": -0.1}
-    return flows.regime_simulation(rows, target, _STUDY)["risk"]
+    return flows.regime_simulation(rows, target, _STUDY, group=["pair"])["risk"]
 
 
 @query("scenario_simulation")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import estimators, paths, regime, scenario
+from quillon.operators import estimators, metrics, paths, regime, scenario
 from quillon.plans import flows, simulation
 from quillon.settings import Settings
 
@@ -93,11 +93,33 @@ def test_model_contest(spark):
     r = np.random.default_rng(2)
     nav, gap = 50 * np.exp(np.cumsum(r.normal(0, 0.02, 150))), r.normal(0, 0.004, 150)
     rows = [(i, float(a), float(g), float(a * (1 + g))) for i, (a, g) in enumerate(zip(nav, gap))]
-    out = flows.validation_grid(spark, spark.createDataFrame(rows, "d int, nav double, gap double, etf double"), SMALL).collect()
+    out = flows.validation_grid(spark.createDataFrame(rows, "d int, nav double, gap double, etf double"), SMALL).collect()
     assert {(x.nav_model, x.gap_model) for x in out} == {(a, b) for a in ("heston", "arma_garch") for b in ("heston_sv", "ou")}
     assert all(x.n == 149 and 0 <= x.ks_p <= 1 for x in out)
 
 
+def test_tests_of_many_models_are_those_of_each(spark):
+    r = np.random.default_rng(8)
+    rows = [(m, i, t, float(r.normal(0, 1 + m))) for m in range(2) for i in range(60) for t in range(40)]
+    p = spark.createDataFrame(rows, "m int, sim_id int, t int, v double")
+    a = spark.createDataFrame([(t, float(r.normal())) for t in range(40)], "t int, a double")
+    for guarded in (False, True):
+        got = {x.m: x for x in metrics.tests_of_steps(metrics.step_tests(p, a, by=["m"]), ["m"], guarded=guarded).collect()}
+        for m in range(2):
+            want = metrics.statistical_tests(p.filter(F.col("m") == m).drop("m"), a, guarded=guarded).first()
+            for name in want.asDict():
+                assert got[m][name] == (want[name] if not isinstance(want[name], float) else __import__("pytest").approx(want[name], abs=1e-9)), name
+
+
+def test_base_simulation_of_several_series_with_drivers(spark):
+    r = np.random.default_rng(1)
+    rows = [(s, i, float(n), float(g), float(k), float(x)) for s in "ab" for i, (n, g, k, x) in enumerate(zip(50 * np.exp(np.cumsum(r.normal(0, 0.02, 120))), r.normal(0, 0.004, 120), 0.02 + r.normal(0, 0.01, 120), r.normal(0, 1, 120)))]
+    out = flows.base_simulation(spark, spark.createDataFrame(rows, "s string, d int, nav double, gap double, kp double, x double"), SMALL, ["x"], ["x"], ["x"], ["s"])
+    fan = out["fan"].collect()
+    assert len(fan) == 50 and all(abs(f.p50 - 10_000) < 1e-6 for f in fan if f.t == 0) and {f.s for f in fan} == {"a", "b"}
+    assert all(np.isfinite(f.mean) and f.p05 <= f.p95 for f in fan)
+
+
 def test_regime_table(spark):
     r = np.random.default_rng(4)
     rows = [("a", i, float(np.exp(r.normal(1 + 2 * ((i // 40) % 2), 0.2))), float(r.normal(5, 1))) for i in range(240)]

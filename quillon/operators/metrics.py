@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions import distributions, series
-from quillon.operators import stats
+from quillon.operators import paths, stats
 
 #: Half widths and weights of the capture bands.
 BANDS = ((0.2, 5.0), (0.3, 4.0), (0.4, 3.0), (0.5, 2.0), (0.6, 1.0))
@@ -204,23 +204,32 @@ def legacy_capture(pair: DataFrame, window: int | None = None, share: float = 0.
     return out.select(*by, score.alias("wmcr"))
 
 
-def all_metrics(levels: DataFrame, level: DataFrame, returns: DataFrame, actual: DataFrame, sim_id: int = 0, n: int = 20) -> DataFrame:
+def all_metrics(levels: DataFrame, level: DataFrame, returns: DataFrame, actual: DataFrame, sim_id: int = 0, n: int = 20, single: bool = False) -> DataFrame:
     """Every comparison of simulated paths (levels, returns: sim_id, t, v) with the actual ones (level, actual: t, a), as (metric, value).
 
-    Path measures are of the representative path `sim_id`, the others of all paths.
+    Path measures are of the representative path `sim_id`, the others of all paths. With `single`
+    only that path is looked at: capture rates are the legacy ones, and the scores of volatilities
+    are those of the returns themselves, as the method without simulations has them.
     """
     one_level, one = levels.filter(F.col("sim_id") == sim_id), returns.filter(F.col("sim_id") == sim_id)
-    vols = realised_volatility(returns, "v", ["sim_id"], n=n).select("sim_id", "t", F.col("rv").alias("v"))
+    used = one if single else returns
+    vols = realised_volatility(used, "v", ["sim_id"], n=n).select("sim_id", "t", F.col("rv").alias("v"))
     vol = realised_volatility(actual.withColumn("_one", F.lit(1)), "a", ["_one"], n=n).select("t", F.col("rv").alias("a"))
+    one_vol = vols.filter(F.col("sim_id") == sim_id)
     sample = lambda d, c: d.select(F.col(c).alias("v"))
     x, y = sample(actual, "a"), sample(one, "v")
+    pair = lambda p, a: p.join(a, "t").select("t", "a", "v")
+    capture = lambda p, a: legacy_capture(pair(p, a)) if single else wmcr(p, a)
+    scored = (one, actual) if single else (vols, vol)
     rows = [
-        wmcr(levels, level).select(F.col("wmcr").alias("wmcr_price")),
-        wmcr(vols, vol).select(F.col("wmcr").alias("wmcr_vol")),
+        paths.dtw(one_level, level).select(F.col("dtw").alias("dtw_price")),
+        capture(one_level if single else levels, level).select(F.col("wmcr").alias("wmcr_price")),
+        paths.dtw(one_vol, vol).select(F.col("dtw").alias("dtw_vol")),
+        capture(vols, vol).select(F.col("wmcr").alias("wmcr_vol")),
         path_match(one_level, level).select("pmc"),
         volatility_regression(one, actual, n).select(F.col("r2").alias("rvr_r2"), F.col("beta").alias("rvr_beta"), F.col("beta_gap").alias("rvr_beta_gap")),
-        volatility_scores(vols, vol),
-        jump_coincidence(vols, vol).agg(F.coalesce(F.avg("vjc"), F.lit(0.0)).alias("vjc")),
+        volatility_scores(*scored),
+        jump_coincidence(*scored).agg(F.coalesce(F.avg("vjc"), F.lit(0.0)).alias("vjc")),
         tail_weighted_distance(x, y),
         ks_two_sample(x, y).select(F.col("d").alias("ks"), F.col("p").alias("ks_p")),
         moments_proximity(x, y).select(*(F.col(c).alias(f"{c}_proximity") for c in ("mean", "median", "std"))),
@@ -233,6 +242,22 @@ def all_metrics(levels: DataFrame, level: DataFrame, returns: DataFrame, actual:
     return out
 
 
+def pit_ljung_box(u: DataFrame, lags: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """n, lags, q and p of the portmanteau test of u (by, t, u), clipped to stay off 0 and 1.
+
+    The lags are at most `lags` and n / 2 - 1, at least one; steps of a model are one short window.
+    """
+    keyed = u if by else u.withColumn("_one", F.lit(1))
+    keys = list(by) or ["_one"]
+    rows = keyed.withColumn("_u", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("u"))))
+    n = rows.groupBy(*keys).agg(F.count("_u").alias("n"))
+    h = F.greatest(F.lit(1), F.least(F.lit(lags), F.floor(F.col("n") / 2).cast("int") - 1))
+    acf = stats.autocorrelation(rows, "_u", lags, keys, ["t"]).join(n.withColumn("lags", h), keys).filter((F.col("lag") > 0) & (F.col("lag") <= F.col("lags")))
+    q = acf.groupBy(*keys, "n", "lags").agg(F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).alias("_q"))
+    q = q.withColumn("q", F.col("n") * (F.col("n") + 2) * F.col("_q"))
+    return q.select(*by, "n", "lags", "q", distributions.chi2_tail(F.col("q"), F.col("lags")).alias("p"))
+
+
 def wmcr(paths: DataFrame, actual: DataFrame, bands: Sequence[tuple[float, float]] = BANDS) -> DataFrame:
     """Weighted multi-band capture rate: bands around the middle of the simulated range of each step."""
     mid = paths.groupBy("t").agg(((F.min("v") + F.max("v")) / 2).alias("mid")).join(actual, "t")

@@ -371,15 +371,41 @@ def dtw_series(a: np.ndarray, b: np.ndarray) -> float:
     return float(row[-1]) / max(len(a), len(b))
 
 
-def dtw(paths: DataFrame, actual: DataFrame) -> DataFrame:
-    """dtw per path against the actual series (t, a)."""
+def dtw_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`dtw_series` of every row of a with the same row of b: one loop over the steps of a for the whole batch."""
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        low, spread = x.min(1, keepdims=True), np.ptp(x, axis=1, keepdims=True)
+        return (x - low) / np.where(spread == 0, 1, spread)
+
+    a, b = scaled(a), scaled(b)
+    n, m = b.shape
+    row = np.full((n, m + 1), np.inf)
+    row[:, 0] = 0
+    for t in range(a.shape[1]):
+        cost = np.abs(a[:, t, None] - b)
+        total = np.cumsum(cost, axis=1)
+        reach = np.minimum(row[:, :-1], row[:, 1:]) + cost - total
+        row = np.concatenate([np.full((n, 1), np.inf), np.minimum.accumulate(reach, axis=1) + total], 1)
+    return row[:, -1] / max(a.shape[1], m)
+
+
+def dtw(paths: DataFrame, actual: DataFrame, by: Sequence[str] = ("sim_id",)) -> DataFrame:
+    """dtw per path against the actual series (t, a). A path is a row; those of one length are a batch of a task. Steps without a value of either go."""
+    cells = F.array_sort(F.collect_list(F.struct("t", F.col("a").cast("double").alias("a"), F.col("v").cast("double").alias("v"))))
+    rows = paths.join(actual, "t").filter("a is not null and v is not null").groupBy(*by).agg(cells.alias("c"))
+    rows = rows.select(*by, F.transform("c", lambda c: c["a"]).alias("a"), F.transform("c", lambda c: c["v"]).alias("v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        d = dtw_series(pdf["a"].to_numpy(float), pdf["v"].to_numpy(float)) if len(pdf) else float("nan")
-        return pd.DataFrame({"sim_id": [pdf["sim_id"].iloc[0]], "dtw": [d]})
-
-    return paths.join(actual, "t").groupBy("sim_id").applyInPandas(run, "sim_id bigint, dtw double")
+    def run(batches):
+        for pdf in batches:
+            for _, same in pdf.groupby(pdf["a"].map(len)):
+                for at in range(0, len(same), BATCH):
+                    part = same.iloc[at : at + BATCH]
+                    d = dtw_batch(np.stack(part["a"].to_numpy()), np.stack(part["v"].to_numpy()))
+                    yield part[list(by)].assign(dtw=d)
+
+    keys = "".join(f"{k} {paths.schema[k].dataType.simpleString()}, " for k in by)
+    return rows.mapInPandas(run, keys + "dtw double")
 
 
 def ou_pair(spark: SparkSession, n: int, steps: int, x0: tuple[float, float], theta: tuple[float, float], mu: tuple[float, float], sigma: tuple[float, float], rho: float, dt: float = 1 / 252, seed: int = 42) -> DataFrame:

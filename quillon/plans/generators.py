@@ -42,21 +42,18 @@ def _against(p: DataFrame, params: DataFrame, mean, digits: int = 3, value: str
     return rows.select("s", F.col("t").cast("bigint").alias("t"), r("_m", digits).alias("mean"), near.alias("within"))
 
 
-_T = F.col("t")
-
-
 @query("mc_gbm", f"WITH {_NAV}, f AS (SELECT s, avg(r) AS m FROM nr GROUP BY 1) SELECT f.s, t, round(s0 * exp(m * t), 3) AS mean, TRUE AS within FROM f JOIN last ON f.s = last.s, steps")
 def mc_gbm(spark, sf_dir):
     rows = nav(spark, sf_dir)
     params = estimators.gbm(rows, "r").join(_last(rows), "s")
-    return _against(paths.gbm_rows(params, ["s"], N, STEPS), params, F.col("s0") * F.exp(F.col("mu") / 252 * _T))
+    return _against(paths.gbm_rows(params, ["s"], N, STEPS), params, F.col("s0") * F.exp(F.col("mu") / 252 * F.col("t")))
 
 
 @query("mc_heston", f"WITH {_NAV}, f AS (SELECT s, avg(r) AS m FROM nr GROUP BY 1) SELECT f.s, t, round(s0 * exp(m * t), 3) AS mean, TRUE AS within FROM f JOIN last ON f.s = last.s, steps")
 def mc_heston(spark, sf_dir):
     rows = nav(spark, sf_dir)
     params = estimators.heston_moments(rows, "r").join(_last(rows), "s")
-    return _against(paths.heston_rows(params, ["s"], N, STEPS), params, F.col("s0") * F.exp(F.col("mu") / 252 * _T))
+    return _against(paths.heston_rows(params, ["s"], N, STEPS), params, F.col("s0") * F.exp(F.col("mu") / 252 * F.col("t")))
 
 
 @query(
@@ -66,7 +63,7 @@ def mc_heston(spark, sf_dir):
 def mc_merton(spark, sf_dir):
     rows = nav(spark, sf_dir)
     params = estimators.merton(estimators.jumps_quantile(rows, "r"), "r").withColumnRenamed("lambda", "rate").join(_last(rows), "s")
-    return _against(paths.merton_rows(params, ["s"], N, STEPS), params, F.col("s0") * F.exp(F.col("mu") * _T))
+    return _against(paths.merton_rows(params, ["s"], N, STEPS), params, F.col("s0") * F.exp(F.col("mu") * F.col("t")))
 
 
 _OLS = "f AS (SELECT s, CASE WHEN regr_slope(z, l) < 0 THEN -regr_slope(z, l) ELSE 0.1 END AS k, regr_intercept(z, l) / -regr_slope(z, l) AS m FROM nr GROUP BY 1)"
@@ -76,7 +73,7 @@ _OLS = "f AS (SELECT s, CASE WHEN regr_slope(z, l) < 0 THEN -regr_slope(z, l) EL
 def mc_ou(spark, sf_dir):
     rows = nav(spark, sf_dir)
     params = estimators.ou_ols(rows, "y").join(_last(rows), "s")
-    return _against(paths.ou_rows(params, ["s"], N, STEPS), params, F.col("mu") + F.pow(1 - F.col("kappa"), _T) * (F.col("x0") - F.col("mu")), 5)
+    return _against(paths.ou_rows(params, ["s"], N, STEPS), params, F.col("mu") + F.pow(1 - F.col("kappa"), F.col("t")) * (F.col("x0") - F.col("mu")), 5)
 
 
 @query(
@@ -86,7 +83,7 @@ def mc_ou(spark, sf_dir):
 def mc_ou_exact(spark, sf_dir):
     rows = nav(spark, sf_dir)
     params = estimators.ou_exact(rows, "y").withColumnRenamed("theta", "mu").join(_last(rows), "s")
-    return _against(paths.exact_ou_rows(params, ["s"], N, STEPS), params, F.col("mu") + F.exp(-F.col("kappa") * _T) * (F.col("x0") - F.col("mu")), 5)
+    return _against(paths.exact_ou_rows(params, ["s"], N, STEPS), params, F.col("mu") + F.exp(-F.col("kappa") * F.col("t")) * (F.col("x0") - F.col("mu")), 5)
 
 
 @query(
@@ -104,7 +101,7 @@ def mc_ou_pair(spark, sf_dir):
     rho = one.join(rows.select((number - 1).alias("k"), "d", F.col("z").alias("_b")), ["k", "d"]).groupBy("k").agg(F.coalesce(F.corr("_a", "_b"), F.lit(0.0)).alias("rho"))
     params = a.join(b, "k").join(rho, "k")
     p = paths.ou_pair_rows(params, ["s"], N, STEPS)
-    mean = lambda m, k, x: F.col(m) + F.pow(1 - F.col(k) / 252, _T) * (F.col(x) - F.col(m))
+    mean = lambda m, k, x: F.col(m) + F.pow(1 - F.col(k) / 252, F.col("t")) * (F.col(x) - F.col(m))
     other = _against(p, params, mean("mb", "kb", "b"), 5, "w").select("s", "t", F.col("mean").alias("other_mean"), F.col("within").alias("other_within"))
     return _against(p, params, mean("ma", "ka", "a"), 5).join(other, ["s", "t"])
 

@@ -550,9 +550,18 @@ def wmcr_binomial(spark, sf_dir):
     return wmcr.binomial_test(spark, 343, (0.5, 0.8, 0.95), (0.3965, 0.8163, 0.8950)).select("k", "p", "c", r("se").alias("se"), r("tol").alias("tol"), "verdict")
 
 
-@query("dtw")
+#: Row by row of the cost matrix: a cell is the least of what reaches its row at or before it, and the costs from there.
+_SCALED = "CASE WHEN list_max({c}) = list_min({c}) THEN list_transform({c}, lambda x: x - list_min({c})) ELSE list_transform({c}, lambda x: (x - list_min({c})) / (list_max({c}) - list_min({c}))) END"
+
+
+@query(
+    "dtw",
+    f"WITH RECURSIVE {PATHS}, j AS (SELECT sim_id, list(a ORDER BY p.t) AS a, list(v ORDER BY p.t) AS b FROM paths p JOIN actual ON actual.t = p.t GROUP BY 1), n AS (SELECT sim_id, {_SCALED.format(c='a')} AS a, {_SCALED.format(c='b')} AS b FROM j), "
+    "w(sim_id, i, a, b, costs) AS (SELECT sim_id, 0, a, b, list_concat([0.0::DOUBLE], list_transform(b, lambda x: 'inf'::DOUBLE)) FROM n UNION ALL SELECT sim_id, i + 1, a, b, list_concat(['inf'::DOUBLE], list_transform(range(1, len(b) + 1), lambda k: list_min(list_transform(range(1, k + 1), lambda m: least(costs[m], costs[m + 1]) + list_sum(list_transform(range(m, k + 1), lambda x: abs(a[i + 1] - b[x]))))))) FROM w WHERE i < len(a)) "
+    "SELECT sim_id, round(costs[len(b) + 1] / len(b), 7) AS dtw FROM w WHERE i = len(a)",
+)
 def dtw(spark, sf_dir):
-    return paths.dtw(base.paths(spark, sf_dir), base.actual(spark, sf_dir))
+    return paths.dtw(base.paths(spark, sf_dir), base.actual(spark, sf_dir)).select("sim_id", r("dtw", 7).alias("dtw"))
 
 
 # ---- more fits, risk tables and flows ------------------------------------------------------------

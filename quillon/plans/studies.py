@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar, series
-from quillon.operators import align, estimators, metrics, paths, regime, scenario, stats, wmcr
+from quillon.operators import align, estimators, metrics, paths, regime, scenario, stats, validation, wmcr
 from quillon.plans import base, flows, simulation
 from quillon.plans.base import DAILY, PATHS, RETURNS, daily, query, r
 from quillon.plans.relational import _full, _wfn
@@ -298,3 +298,67 @@ def scenario_pipeline(spark, sf_dir):
     fits = fits.select("variable", F.col("a.m").alias("mu"), F.col("a.s").alias("sigma"))
     s = spark.createDataFrame([("S01", 0, 2), ("S02", 1, 1)], "scenario_id string, x int, y int")
     return flows.scenario_pipeline(s, fits, ["x", "y"], {"x": "log", "y": "log"}, _STUDY)["summary"]
+
+
+# ---- validation of regime simulations ------------------------------------------------------------
+
+#: Log changes by day with three regimes around +/- 0.5, and the fits of neighbouring days of one regime.
+_REGIME_VALUES = f"{RETURNS}, g AS (SELECT s, d, r AS v, CASE WHEN abs(r) <= 0.5 THEN 0 WHEN r > 0.5 THEN 1 ELSE 2 END AS regime FROM ret WHERE r IS NOT NULL)"
+_REGIME_FITS = (
+    f"{_REGIME_VALUES}, k AS (SELECT s, d, v AS x1, lag(v) OVER ({_OVER}) AS x0, regime, lag(regime) OVER ({_OVER}) AS before FROM g), "
+    "f AS (SELECT s, regime, regr_slope(x1 - x0, x0) AS b, regr_intercept(x1 - x0, x0) AS a, regr_r2(x1 - x0, x0) AS r2, regr_syy(x1 - x0, x0) - regr_slope(x1 - x0, x0) * regr_sxy(x1 - x0, x0) AS ssr, count(*) AS n FROM k WHERE before = regime AND x0 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5)"
+)
+
+
+def _regime_values(spark, sf_dir) -> DataFrame:
+    rows = daily(spark, sf_dir).withColumn("value", series.log_return(F.col("x"), W())).filter("value is not null")
+    return rows.select("s", "d", "value", scalar.threshold_regime(F.col("value"), 0.5).alias("regime"))
+
+
+@query(
+    "regime_validation",
+    f"WITH {_REGIME_FITS}, o AS (SELECT s, regime, avg(v) AS m, stddev_samp(v) AS sd, count(*) AS c FROM g GROUP BY 1, 2) SELECT f.s, f.regime, round(-b * 252, 4) AS theta, round(-a / b, 6) AS mu, round(sqrt(greatest(0, ssr) / (n - 1)) * sqrt(252), 5) AS sigma, round(r2, 6) AS r2, n, round(m, 6) AS orig_mean, round(sd, 6) AS orig_std, c AS n_values FROM f JOIN o ON f.s = o.s AND f.regime = o.regime",
+)
+def regime_validation(spark, sf_dir):
+    out = validation.parameter_check(_regime_values(spark, sf_dir))
+    return out.select("s", "regime", r("theta", 4).alias("theta"), r("mu").alias("mu"), r("sigma", 5).alias("sigma"), r("r2").alias("r2"), "n", r("orig_mean").alias("orig_mean"), r("orig_std").alias("orig_std"), "n_values")
+
+
+_REGIME_ACF = " UNION ALL ".join(f"SELECT s, regime, {k} AS lag, coalesce(sum(c * l), 0) / nullif(sum(c * c), 0) AS acf FROM (SELECT s, regime, c, lag(c, {k}) OVER (PARTITION BY s, regime ORDER BY d) AS l FROM c) GROUP BY 1, 2" for k in range(21))
+
+
+@query(
+    "regime_acf",
+    f"WITH {_REGIME_FITS}, c AS (SELECT s, regime, d, v - avg(v) OVER (PARTITION BY s, regime) AS c, count(*) OVER (PARTITION BY s, regime) AS m FROM g), a AS ({_REGIME_ACF}), m AS (SELECT DISTINCT s, regime FROM c WHERE m > 22) SELECT a.s, a.regime, a.lag, round(acf, 6) AS acf, round(exp(-greatest(-b * 252, 1e-6) * a.lag / 252), 8) AS theory FROM a JOIN m ON a.s = m.s AND a.regime = m.regime JOIN f ON a.s = f.s AND a.regime = f.regime",
+)
+def regime_acf(spark, sf_dir):
+    rows = _regime_values(spark, sf_dir)
+    out = validation.autocorrelations(rows, validation.parameter_check(rows))
+    return out.select("s", "regime", "lag", r("acf").alias("acf"), r("theory", 8).alias("theory"))
+
+
+@query("regime_reestimation")
+def regime_reestimation(spark, sf_dir):
+    return validation.validate(_regime_values(spark, sf_dir))["table"]
+
+
+# ---- composed metrics ----------------------------------------------------------------------------
+
+
+@query("single_metrics")
+def single_metrics(spark, sf_dir):
+    p, a = base.paths(spark, sf_dir), base.actual(spark, sf_dir)
+    return metrics.all_metrics(p, a, p, a, sim_id=1, single=True)
+
+
+_PIT = f"{PATHS}, u AS (SELECT p.t, greatest(1e-6, least(1 - 1e-6, avg(CASE WHEN v <= a THEN 1.0::DOUBLE ELSE 0 END))) AS u FROM paths p JOIN actual ON actual.t = p.t GROUP BY 1), c AS (SELECT t, u - avg(u) OVER () AS c FROM u), k AS (SELECT count(*) AS n, sum(c * c) AS v, greatest(1, least(10, count(*) // 2 - 1)) AS h FROM c)"
+_PIT_LAGS = " UNION ALL ".join(f"SELECT {k} AS lag, sum(c * l) AS s FROM (SELECT c, lag(c, {k}) OVER (ORDER BY t) AS l FROM c)" for k in range(1, 11))
+
+
+@query(
+    "pit_ljung_box",
+    f"WITH {_PIT}, l AS ({_PIT_LAGS}), q AS (SELECT n, h, n * (n + 2) * sum(pow(coalesce(s, 0) / v, 2) / (n - lag)) AS q FROM k, l WHERE lag <= h GROUP BY n, h) SELECT n, CAST(h AS INTEGER) AS lags, round(q, 5) AS q, CASE WHEN h = 10 THEN round(exp(-q / 2) * (1 + q / 2 + pow(q / 2, 2) / 2 + pow(q / 2, 3) / 6 + pow(q / 2, 4) / 24), 7) END AS p FROM q",
+)
+def pit_ljung_box(spark, sf_dir):
+    out = metrics.pit_ljung_box(metrics.pit(base.paths(spark, sf_dir), base.actual(spark, sf_dir)))
+    return out.select("n", "lags", r("q", 5).alias("q"), r("p", 7).alias("p"))

@@ -72,6 +72,38 @@ def test_dtw_as_plain_recursion():
         assert paths.dtw_series(a, b) == pytest.approx(d[n, m] / max(n, m), abs=1e-12)
 
 
+def test_batched_warping_is_that_of_each_pair(spark):
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(7, 12)), r.normal(size=(7, 12))
+    b[2] = 3.0  # a series that does not vary
+    np.testing.assert_allclose(paths.dtw_batch(a, b), [paths.dtw_series(x, y) for x, y in zip(a, b)], atol=1e-12)
+    rows = [(i, t, float(b[i, t])) for i in range(7) for t in range(12) if not (i == 5 and t > 8)] + [(6, 99, None)]
+    p = spark.createDataFrame(rows, "sim_id int, t int, v double")
+    actual = spark.createDataFrame([(t, float(a[0, t])) for t in range(12)], "t int, a double")
+    got = {x.sim_id: x.dtw for x in paths.dtw(p, actual).collect()}
+    assert got == {i: pytest.approx(paths.dtw_series(a[0, : 9 if i == 5 else 12], b[i, : 9 if i == 5 else 12])) for i in range(7)}
+
+
+def test_what_a_fit_finds_again(spark):
+    from quillon.operators import validation
+
+    r = np.random.default_rng(6)
+    x = [0.0]
+    for _ in range(900):
+        x.append(x[-1] + 0.2 * (1.0 - x[-1]) + 0.1 * r.normal())
+    values = spark.createDataFrame([("a", t, v, int(t >= 880)) for t, v in enumerate(x)] + [("b", 0, 1.0, 0)], "s string, d int, value double, regime int")
+    out = validation.validate(values, n=200, steps=400)
+    table = {(q.s, q.regime, q.parameter): q for q in out["table"].collect()}
+    assert set(table) == {("a", g, p) for g in (0, 1) for p in ("theta", "mu", "sigma")}  # too few values have no fit
+    for p in ("theta", "mu", "sigma"):
+        q = table["a", 0, p]
+        assert q.n_paths == 200 and abs(q.again - q.fitted) < 0.1 * abs(q.fitted) and q.stationary
+    assert table["a", 0, "mu"].observed == pytest.approx(np.mean(x[:880])) and table["a", 0, "sigma"].observed == pytest.approx(np.std(x[:880], ddof=1))
+    assert {(q.s, q.regime, q.stationary) for q in out["adf"].collect()} >= {("a", 0, True), ("b", 0, None)}
+    acf = {(q.regime, q.lag): q for q in out["acf"].collect()}
+    assert {g for g, _ in acf} == {0} and acf[0, 0].acf == 1 and abs(acf[0, 3].acf - acf[0, 3].theory) < 0.15
+
+
 def test_hmm_finds_two_regimes(spark):
     r = np.random.default_rng(5)
     state = np.repeat([0, 1, 0, 1], 60)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import scalar, series
+from quillon.functions import lineage, scalar, series
 from quillon.operators import estimators
 
 # MacKinnon (2010) response surfaces of the Dickey-Fuller test with a constant, at 1, 5 and 10 %.
@@ -110,8 +110,8 @@ def _expected(y: np.ndarray, mu: np.ndarray, var: np.ndarray, start: np.ndarray,
     return np.log(scale).sum(0) + top.sum(1), gamma, pair
 
 
-def hmm_fits(y: np.ndarray, k: int, seeds: Sequence[int], rounds: int = 300, tol: float = 1e-4) -> dict[str, np.ndarray]:
-    """Baum-Welch on every row of `y` (batch, time) from the start of its seed; states in the order of their means."""
+def hmm_fits(y: np.ndarray, k: int, seeds: Sequence[int], rounds: int = 300, tol: float = 1e-4, begin: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Baum-Welch on every row of `y` (batch, time) from the start of its seed, or from the fits `begin`; states in the order of their means."""
     n, spread = len(y), y.var(1)
     floor = np.maximum(1e-8, 1e-3 * spread)[:, None]
     levels = np.stack([(np.arange(k) + np.random.default_rng(seed).uniform(0.25, 0.75, k)) / k for seed in seeds])
@@ -119,6 +119,8 @@ def hmm_fits(y: np.ndarray, k: int, seeds: Sequence[int], rounds: int = 300, tol
     var, start = np.maximum(np.repeat(spread[:, None], k, 1), floor), np.full((n, k), 1 / k)
     move = np.full((n, k, k), 0.1 / max(1, k - 1))
     move[:, np.arange(k), np.arange(k)] = 0.9 if k > 1 else 1.0
+    if begin is not None:
+        mu, var, start, move = (begin[c].copy() for c in ("mu", "var", "start", "move"))
     ll, open_ = np.full(n, -np.inf), np.arange(n)
     for _ in range(rounds):
         now, gamma, pair = _expected(y[open_], mu[open_], var[open_], start[open_], move[open_])
@@ -166,10 +168,15 @@ def hmm_best(y: np.ndarray, k: int, starts: int, seed: int) -> dict:
     return {name: x[0] for name, x in one.items()} | {"gamma": gamma[:, 0]}
 
 
+#: Rounds after which only the likeliest start of a simulated series goes on.
+SHORT = 30
+
+
 def _likelihoods(y: np.ndarray, k: int, starts: int, seed: int) -> np.ndarray:
-    """The log likelihood of the best fit of every row of `y`."""
-    fits = hmm_fits(np.repeat(y, starts, 0), k, list(range(seed, seed + starts)) * len(y))
-    return fits["ll"].reshape(len(y), starts).max(1)
+    """The log likelihood of the fit of every row of `y`: that of its starts which is likeliest after SHORT rounds, to its end."""
+    fits = hmm_fits(np.repeat(y, starts, 0), k, list(range(seed, seed + starts)) * len(y), SHORT)
+    best = np.arange(len(y)) * starts + fits["ll"].reshape(len(y), starts).argmax(1)
+    return hmm_fits(y, k, [seed] * len(y), begin={c: fits[c][best] for c in ("mu", "var", "start", "move")})["ll"]
 
 
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -242,31 +249,36 @@ def counted_states(states: DataFrame, by: Sequence[str] = ("s",)) -> DataFrame:
 
 
 #: Replicates that one task generates and fits together.
-REPLICATES = 25
-
-
-def bootstrap_lrt(df: DataFrame, value: str, k0: int = 1, replicates: int = 100, starts: int = 3, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
-    """observed statistic and p: k0 states against k0 + 1, by simulating from the smaller model and refitting both.
+REPLICATES = 100
+#: A sequential test looks whether it is decided after so many replicates at first, and then after twice as many each time.
+FIRST_LOOK = 100
 
-    The series is fitted once; its parameters go to the tasks, each of which generates and fits
-    REPLICATES replicates. Every replicate has a stream of its own.
-    """
 
-    def statistic(y: np.ndarray) -> np.ndarray:
-        return 2 * (_likelihoods(y, k0 + 1, starts, seed) - _likelihoods(y, k0, starts, seed))
+def _smaller_models(df: DataFrame, value: str, k0: int, starts: int, seed: int, by: Sequence[str], order: str) -> DataFrame:
+    """(by, n, observed, mu, var, start, move): the statistic of each series and its model of k0 states."""
 
     def observe(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(order)[value].to_numpy(float)
         fit = hmm_best(y, k0, starts, seed)
-        row = {"n": len(y), "observed": statistic(y[None])[0]} | {c: fit[c].ravel().tolist() for c in ("mu", "var", "start", "move")}
+        row = {"n": len(y), "observed": _statistic(y[None], k0, starts, seed)[0]} | {c: fit[c].ravel().tolist() for c in ("mu", "var", "start", "move")}
         return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | row])
 
+    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+    return _spread(df.select(*by, order, value).dropna(), by).groupBy(*by).applyInPandas(observe, f"{keys}, n bigint, observed double, mu array<double>, var array<double>, start array<double>, move array<double>")
+
+
+def _statistic(y: np.ndarray, k0: int, starts: int, seed: int) -> np.ndarray:
+    return 2 * (_likelihoods(y, k0 + 1, starts, seed) - _likelihoods(y, k0, starts, seed))
+
+
+def _replicates(models: DataFrame, k0: int, first: int, last: int, starts: int, seed: int, by: Sequence[str]) -> DataFrame:
+    """(by, m, x): the replicates first .. last - 1 of each model, and how many reach its observed statistic. Every replicate has a stream of its own."""
+
     def replicate(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
         mu, sd, n = np.array(one["mu"]), np.sqrt(one["var"]), int(one["n"])
         start, move = np.cumsum(one["start"]), np.cumsum(np.array(one["move"]).reshape(k0, k0), 1)
-        numbers = range(int(one["chunk"]) * REPLICATES, min(replicates, (int(one["chunk"]) + 1) * REPLICATES))
-        streams = [np.random.default_rng([seed, b]) for b in numbers]
+        streams = [np.random.default_rng([seed, b]) for b in range(int(one["chunk"]), min(last, int(one["chunk"]) + REPLICATES))]
         u, z = np.stack([r.random(n) for r in streams]), np.stack([r.standard_normal(n) for r in streams])
         state = np.minimum((start < u[:, :1]).sum(1), k0 - 1)
         y = np.empty_like(z)
@@ -274,13 +286,79 @@ def bootstrap_lrt(df: DataFrame, value: str, k0: int = 1, replicates: int = 100,
             if t:
                 state = np.minimum((move[state] < u[:, t, None]).sum(1), k0 - 1)
             y[:, t] = mu[state] + sd[state] * z[:, t]
-        return pd.DataFrame([{c: one[c] for c in by} | {"observed": one["observed"], "stat": x} for x in statistic(y)])
+        reached = int((_statistic(y, k0, starts, seed) >= one["observed"]).sum())
+        return pd.DataFrame([{c: one[c] for c in by} | {"m": len(streams), "x": reached}])
 
-    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-    fits = df.select(*by, order, value).dropna().groupBy(*by).applyInPandas(observe, f"{keys}, n bigint, observed double, mu array<double>, var array<double>, start array<double>, move array<double>")
-    parts = fits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // REPLICATES) - 1))))
-    found = _spread(parts, [*by, "chunk"]).groupBy(*by, "chunk").applyInPandas(replicate, f"{keys}, observed double, stat double")
-    return found.groupBy(*by).agg(F.max("observed").alias("observed"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
+    keys = ", ".join(f"{k} {models.schema[k].dataType.simpleString()}" for k in by)
+    parts = models.withColumn("chunk", F.explode(F.sequence(F.lit(first), F.lit(last - 1), F.lit(REPLICATES))))
+    found = _spread(parts, [*by, "chunk"]).groupBy(*by, "chunk").applyInPandas(replicate, f"{keys}, m bigint, x bigint")
+    return found.groupBy(*by).agg(F.sum("m").alias("m"), F.sum("x").alias("x"))
+
+
+def bootstrap_lrt(df: DataFrame, value: str, k0: int = 1, replicates: int = 100, starts: int = 3, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+    """observed statistic and p: k0 states against k0 + 1, by simulating from the smaller model and refitting both.
+
+    The series is fitted once; its parameters go to the tasks, each of which generates and fits
+    REPLICATES replicates.
+    """
+    models = _smaller_models(df, value, k0, starts, seed, by, order)
+    counts = _replicates(models, k0, 0, replicates, starts, seed, by)
+    return models.select(*by, "observed").join(counts, list(by)).select(*by, "observed", (F.col("x") / F.col("m")).alias("p"))
+
+
+def sequential_lrt(df: DataFrame, value: str, k0: int = 1, replicates: int = 1_000, starts: int = 3, alpha: float = 0.05, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> DataFrame:
+    """(by, observed, m, p, rejects): the bootstrap test that ends for a series once all `replicates` could not change its outcome.
+
+    rejects says whether fewer than alpha times `replicates` of them reach the observed statistic.
+    It is decided when so many do already, or when the rest are too few to get there; series that
+    are decided leave the later rounds. p is the share among the m replicates that were made.
+    """
+    models = lineage.cut(_smaller_models(df, value, k0, starts, seed, by, order))
+    bound, done, first, left = alpha * replicates, None, 0, models
+    while first < replicates:
+        last = min(replicates, max(FIRST_LOOK, 2 * first))
+        more = _replicates(left, k0, first, last, starts, seed, by)
+        if done is not None:
+            more = more.unionByName(done.join(left.select(*by), list(by), "left_semi")).groupBy(*by).agg(F.sum("m").alias("m"), F.sum("x").alias("x"))
+            more = more.unionByName(done.join(left.select(*by), list(by), "left_anti"))
+        done = lineage.cut(more)
+        decided = (F.col("x") >= bound) | (F.col("x") + replicates - F.col("m") < bound)
+        left = left.join(done.filter(decided), list(by), "left_anti")
+        first = last
+        if left.isEmpty():
+            break
+    return models.select(*by, "observed").join(done, list(by)).select(*by, "observed", "m", (F.col("x") / F.col("m")).alias("p"), (F.col("x") < bound).alias("rejects"))
+
+
+def choose_states(df: DataFrame, value: str, starts: int = 10, replicates: int = 1_000, least: float = 0.1, alpha: float = 0.05, test_starts: int = 3, seed: int = 42, by: Sequence[str] = ("s",), order: str = "d") -> tuple[DataFrame, DataFrame]:
+    """The fits of 1 to 3 states, and (by, bic1 .. bic3, occ2, occ3, p12, m12, p23, m23, best_k, reason).
+
+    Two states are chosen over one, and three over two, if each is occupied enough, has the smaller
+    BIC, and a sequential bootstrap rejects the smaller model. The second test is made only where two
+    states are chosen over one. The fits are kept.
+    """
+    fits = lineage.cut(hmm_regimes(df, value, (1, 2, 3), starts, seed, by, order))
+    wide = fits.groupBy(*by).pivot("k", [1, 2, 3]).agg(F.max("bic").alias("bic"), F.max("occupancy").alias("occ"))
+    wide = wide.select(*by, *(F.col(f"{k}_bic").alias(f"bic{k}") for k in (1, 2, 3)), F.col("2_occ").alias("occ2"), F.col("3_occ").alias("occ3"))
+    rows = df.select(*by, order, value).dropna().join(wide.select(*by), list(by), "left_semi")
+    one = sequential_lrt(rows, value, 1, replicates, test_starts, alpha, seed + 3, by, order).select(*by, F.col("p").alias("p12"), F.col("m").alias("m12"), F.col("rejects").alias("_r12"))
+    table = lineage.cut(wide.join(one, list(by)).withColumn("_two", (F.col("occ2") >= least) & (F.col("bic2") < F.col("bic1")) & F.col("_r12")))
+    two = sequential_lrt(rows.join(table.filter("_two").select(*by), list(by), "left_semi"), value, 2, replicates, test_starts, alpha, seed + 4, by, order)
+    two = two.select(*by, F.col("p").alias("p23"), F.col("m").alias("m23"), F.col("rejects").alias("_r23"))
+    fewer, enough = F.col("bic3") < F.col("bic2"), F.col("occ3") >= least
+    reason = (
+        F.when(F.col("occ2") < least, "one state: a state of two is occupied too little")
+        .when(~(F.col("bic2") < F.col("bic1")), "one state: its BIC is not above that of two")
+        .when(~F.col("_r12"), "one state: the test does not reject it")
+        .when(~enough, "two states: a state of three is occupied too little")
+        .when(fewer & F.col("_r23"), "three states: smaller BIC and the test rejects two")
+        .when(fewer, "two states: the test does not reject them")
+        .when(F.col("_r23"), "two states: their BIC is smaller although the test rejects them")
+        .otherwise("two states: smaller BIC and the test does not reject them")
+    )
+    best = F.when(~F.col("_two"), 1).when(enough & fewer & F.col("_r23"), 3).otherwise(2)
+    names = ["bic1", "bic2", "bic3", "occ2", "occ3", "p12", "m12", "p23", "m23"]
+    return fits, table.join(two, list(by), "left").select(*by, *names, best.alias("best_k"), reason.alias("reason"))
 
 
 def select_states(fits: DataFrame, p12: DataFrame, p23: DataFrame, least: float = 0.1, alpha: float = 0.05, by: Sequence[str] = ("s",)) -> DataFrame:

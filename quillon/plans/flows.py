@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import series
+from quillon.functions import lineage, series
 from quillon.operators import arma, estimators, metrics, paths, regime, scenario
 from quillon.settings import Settings
 
@@ -118,21 +118,19 @@ def regime_simulation(drivers: DataFrame, target: Mapping[str, float], settings:
     return {"params": params, "paths": found, "risk": metrics.scenario_risk(found.withColumn("v", 1 + F.col("v")), keys)}
 
 
-def detect_regimes(df: DataFrame, value: str, starts: int = 5, replicates: int = 100, by: Sequence[str] = ("s",), transform: str = "none", order: str = "d") -> DataFrame:
+def detect_regimes(df: DataFrame, value: str, starts: int = 10, replicates: int = 1_000, by: Sequence[str] = ("s",), transform: str = "none", order: str = "d") -> DataFrame:
     """best_k and the fit of that many states of each series, of the value or its log or log1p."""
     df = df.withColumn(value, regime.transformed(F.col(value), transform))
-    fits = regime.hmm_regimes(df, value, (1, 2, 3), starts=starts, by=by, order=order)
-    p12, p23 = (regime.bootstrap_lrt(df, value, k, replicates, by=by, order=order) for k in (1, 2))
-    best = regime.select_states(fits, p12, p23, by=by)
-    return fits.join(best, list(by)).filter("k = best_k")
+    fits, chosen = regime.choose_states(df, value, starts, replicates, by=by, order=order)
+    return fits.join(chosen.select(*by, "best_k"), list(by)).filter("k = best_k")
 
 
-def regime_frame(daily: DataFrame, weekly: DataFrame, day_columns: Mapping[str, str], week_columns: Mapping[str, str], har_column: str, starts: int = 10, replicates: int = 100, counts: DataFrame | None = None, by: Sequence[str] = ("s",)) -> dict[str, DataFrame]:
+def regime_frame(daily: DataFrame, weekly: DataFrame, day_columns: Mapping[str, str], week_columns: Mapping[str, str], har_column: str, starts: int = 10, replicates: int = 1_000, counts: DataFrame | None = None, by: Sequence[str] = ("s",)) -> dict[str, DataFrame]:
     """The states of all variables on the daily calendar, as numbers and as labels.
 
     Daily and weekly columns are given with their transformation (none, log, log1p); of
     `har_column` it is the standardised residual of its day, week and month regression that has
-    regimes. All series are fitted in one job each for fits and replicates; the fits stay persisted. `counts` (by,
+    regimes. All series are fitted together; the fits are kept in the checkpoint folder. `counts` (by,
     variable, k), as of `regime.counted_states`, fixes the number of states without a test.
     """
     keys = [*by, "variable"]
@@ -146,7 +144,7 @@ def regime_frame(daily: DataFrame, weekly: DataFrame, day_columns: Mapping[str,
         rows = rows.unionByName(part)
     rows = rows.filter("value is not null")
     fits = detect_regimes(rows, "value", starts, replicates, keys) if counts is None else regime.hmm_regimes(rows, "value", counts, starts, by=keys)
-    fits = fits.persist()  # a row a series, slow to make, and read by all that follows
+    fits = lineage.cut(fits)  # a row a series, slow to make, and read by all that follows
     states = regime.state_series(rows, fits, "value", keys)
     of = lambda names: states.filter(F.col("variable").isin(list(names)))
     variables = [*day_columns, residual, *week_columns]

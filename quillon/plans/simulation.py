@@ -297,8 +297,9 @@ def hmm_regimes(spark, sf_dir):
 
 @query("bootstrap_lrt")
 def bootstrap_lrt(spark, sf_dir):
+    """One state against two of every weekly series, with 1,000 replicates unless it is decided before; `hmm_selection` makes both tests."""
     weeks = align.resample_monday(daily(spark, sf_dir), last=["y"]).withColumnRenamed("week", "d")
-    return regime.bootstrap_lrt(weeks, "y", 1)
+    return regime.sequential_lrt(weeks, "y", 1, 1_000)
 
 
 # ---- paths and metrics ---------------------------------------------------------------------------

@@ -15,6 +15,9 @@ from quillon.settings import Settings
 
 _ASVI = _full(f"(y - {_wfn('avg(y)', 4, 1)}) / nullif({_wfn('stddev_samp(y)', 4, 1)}, 0)", "y", 4, 1)
 
+#: The sizes of the reference's own runs.
+_STUDY = Settings()
+
 # ---- reports -------------------------------------------------------------------------------------
 
 
@@ -125,13 +128,25 @@ def hmm_comparison(spark, sf_dir):
     return regime.comparison_table(regime.hmm_regimes(_weeks(spark, sf_dir), "y", (1, 2, 3), starts=10))
 
 
+def _weekly_states(spark, sf_dir):
+    return regime.choose_states(_weeks(spark, sf_dir), "y", starts=10, replicates=_STUDY.bootstrap_replicates)
+
+
+@query("hmm_selection")
+def hmm_selection(spark, sf_dir):
+    """Fits of one to three states of every series, both tests, and the number of states that they choose."""
+    return _weekly_states(spark, sf_dir)[1]
+
+
 @query("regime_pipeline")
 def regime_pipeline(spark, sf_dir):
-    """The number of states of each variable is that of its terciles, as a stored study would give it."""
+    """The number of states of each weekly variable is chosen by the tests, that of each daily one is that of its terciles, as a stored study gives it."""
     rows = daily(spark, sf_dir)
-    counts = rows.select("s").distinct().select("s", F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(k).alias("k")) for v, k in (("x", 3), ("y_resid", 2), ("wy", 2))))).alias("p")).select("s", "p.*")
+    given = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(k).alias("k")) for v, k in (("x", 3), ("y_resid", 2))))).alias("p")
+    counts = rows.select("s").distinct().select("s", given).select("s", "p.*")
+    chosen = _weekly_states(spark, sf_dir)[1].select("s", F.lit("wy").alias("variable"), F.col("best_k").alias("k"))
     weeks = _weeks(spark, sf_dir).withColumnRenamed("y", "wy")
-    return flows.regime_frame(rows, weeks, {"x": "log"}, {"wy": "log1p"}, "y", starts=5, counts=counts)["labelled"]
+    return flows.regime_frame(rows, weeks, {"x": "log"}, {"wy": "log1p"}, "y", starts=10, counts=counts.unionByName(chosen))["labelled"]
 
 
 # ---- fits ----------------------------------------------------------------------------------------
@@ -250,9 +265,6 @@ def legacy_capture(spark, sf_dir):
 
 # ---- contests and simulations from fits ----------------------------------------------------------
 
-_STUDY = Settings()  # the sizes of the reference's own runs
-
-
 def _history(spark, sf_dir) -> DataFrame:
     """A fund of each series of orders: smoothed value as NAV, interest about its mean as premium."""
     rows = daily(spark, sf_dir)

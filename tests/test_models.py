@@ -117,16 +117,46 @@ def test_hmm_finds_two_regimes(spark):
 
 
 def test_regime_queries_use_every_series_and_replicate(spark, monkeypatch):
+    from quillon.plans import studies
+
     seen = {}
-    for name in ("bootstrap_lrt", "hmm_regimes"):
-        monkeypatch.setattr(regime, name, lambda *a, f=getattr(regime, name), **b: seen.update({f.__name__: (a[0].select("s").distinct().count(), inspect.signature(f).bind(*a, **b))}))
+    for name in ("sequential_lrt", "hmm_regimes", "choose_states"):
+        monkeypatch.setattr(regime, name, lambda *a, f=getattr(regime, name), **b: seen.update({f.__name__: (a[0].select("s").distinct().count(), inspect.signature(f).bind(*a, **b))}) or [None, None])
     simulation.bootstrap_lrt(spark, "/root/testdata/sf0.001")
     simulation.hmm_regimes(spark, "/root/testdata/sf0.001")
-    assert {k: n for k, (n, _) in seen.items()} == {"bootstrap_lrt": 5, "hmm_regimes": 5}
+    studies.hmm_selection(spark, "/root/testdata/sf0.001")
+    assert {k: n for k, (n, _) in seen.items()} == {"sequential_lrt": 5, "hmm_regimes": 5, "choose_states": 5}
     for _, bound in seen.values():
         bound.apply_defaults()
-    assert seen["bootstrap_lrt"][1].arguments["replicates"] >= 100 and seen["bootstrap_lrt"][1].arguments["starts"] >= 3
-    assert seen["hmm_regimes"][1].arguments["starts"] >= 10
+    assert all(seen[n][1].arguments["replicates"] >= 1000 for n in ("sequential_lrt", "choose_states")) and seen["sequential_lrt"][1].arguments["starts"] >= 3
+    assert seen["hmm_regimes"][1].arguments["starts"] >= 10 and seen["choose_states"][1].arguments["starts"] >= 10
+
+
+def _two_kinds(spark):
+    """Series of two clear states, of none, and one too short for three."""
+    r = np.random.default_rng(7)
+    two = np.where(np.repeat([0, 1, 0], 40) == 1, 4.0, 0.0) + r.normal(0, 0.5, 120)
+    rows = [("two", i, float(v)) for i, v in enumerate(two)] + [("none", i, float(v)) for i, v in enumerate(r.normal(size=90))] + [("short", i, float(i % 3)) for i in range(12)]
+    return spark.createDataFrame(rows, "s string, d int, y double")
+
+
+def test_sequential_test_decides_as_all_replicates_do(spark, monkeypatch):
+    monkeypatch.setattr(regime, "FIRST_LOOK", 10)
+    monkeypatch.setattr(regime, "REPLICATES", 7)
+    df = _two_kinds(spark).filter("s <> 'short'")
+    got = {x.s: x for x in regime.sequential_lrt(df, "y", 1, 60, starts=1, alpha=0.2).collect()}
+    whole = {x.s: x for x in regime.bootstrap_lrt(df, "y", 1, 60, starts=1).collect()}
+    for s in ("two", "none"):
+        assert got[s].rejects == (whole[s].p < 0.2) and got[s].observed == pytest.approx(whole[s].observed)
+    assert got["two"].rejects and not got["none"].rejects
+    assert got["none"].m < 60 and got["two"].m >= 49  # decided early; nearly all are needed to reject
+
+
+def test_number_of_states_end_to_end(spark):
+    fits, chosen = regime.choose_states(_two_kinds(spark), "y", starts=3, replicates=40, test_starts=1)
+    got = {x.s: x for x in chosen.collect()}
+    assert got["two"].best_k >= 2 and got["none"].best_k == 1 and got["none"].p23 is None and got["none"].reason.startswith("one state")
+    assert (got["two"].p23 is not None) and {x.k for x in fits.filter("s = 'two'").collect()} == {1, 2, 3}
 
 
 def test_two_states_as_three_with_one_unused():

@@ -159,15 +159,32 @@ def greedy_diversity(ranked: DataFrame, variables: Sequence[str], most_shared: i
 
 
 def scenario_days(table: DataFrame, scenarios: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Rows of the wide table with the scenarios they match; a null state in a scenario is no constraint."""
+    """Rows of the wide table with the scenarios they match; a null state in a scenario is no constraint.
+
+    A selection is broadcast. Of more scenarios, a row is sent once for each set of variables that
+    any scenario constrains (at most two to the number of variables), and meets them by its states there.
+    """
     s = scenarios.select("scenario_id", *(F.col(v).alias(f"_{v}") for v in variables))
+    if s.limit(BROADCAST_SCENARIOS + 1).count() > BROADCAST_SCENARIOS:
+        return _days_by_constraint(table, s, variables)
     on = None
     for v in variables:
         one = F.col(f"_{v}").isNull() | (F.col(f"_{v}") == F.col(v))
         on = one if on is None else on & one
-    # The wildcard makes this no equi-join. A selection is broadcast; of more scenarios, Spark plans the join.
-    few = s.limit(BROADCAST_SCENARIOS + 1).count() <= BROADCAST_SCENARIOS
-    return table.join(F.broadcast(s) if few else s, on).select(*table.columns, "scenario_id")
+    return table.join(F.broadcast(s), on).select(*table.columns, "scenario_id")
+
+
+def _days_by_constraint(table: DataFrame, s: DataFrame, variables: Sequence[str]) -> DataFrame:
+    bits = [F.when(F.col(f"_{v}").isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(variables)]
+    s = s.withColumn("_set", sum(bits[1:], bits[0]))
+    sets = sorted(r["_set"] for r in s.select("_set").distinct().collect())  # at most two to the number of variables
+    held = lambda i: F.col("_set").bitwiseAND(F.lit(1 << i)) != 0
+    named = [f"_k{i}" for i in range(len(variables))]
+    given = s.select("scenario_id", "_set", *(F.coalesce(F.col(f"_{v}"), F.lit(0)).alias(k) for v, k in zip(variables, named, strict=True)))
+    rows = table.withColumn("_set", F.explode(F.array(*map(F.lit, sets))))
+    for i, v in enumerate(variables):  # a day without a state matches no scenario that constrains it
+        rows = rows.filter(~held(i) | F.col(v).isNotNull()).withColumn(named[i], F.when(held(i), F.col(v)).otherwise(0))
+    return rows.join(given, ["_set", *named]).select(*table.columns, "scenario_id")
 
 
 def scenario_diff(current: DataFrame, previous: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

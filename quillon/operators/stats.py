@@ -123,6 +123,41 @@ def autocorrelation(df: DataFrame, value: str, lags: int, by: Sequence[str], ord
     return total.select(*by, "lag", (F.coalesce("_s", F.lit(0.0)) / F.nullif(F.col("_v"), F.lit(0.0))).alias("acf"))
 
 
+def rolling_moments(df: DataFrame, x: str, y: str, width: Column, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds mean_x, mean_y, var_x, var_y and cov_xy (divisor: the width) and vary (both take several values) of the `width` rows up to each, null before there are as many.
+
+    The width may differ from row to row, as windows of Spark cannot: sums are differences of running
+    sums of values centred on their series, so that they lose no digits to its level. Rows without a
+    value of either go.
+    """
+    every = Window.partitionBy(*by)
+    w = every.orderBy(*order)
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.withColumns({"_mx": F.avg(x).over(every), "_my": F.avg(y).over(every), "_i": F.row_number().over(w), "_n": F.count("*").over(every)}).withColumn("_w", width.cast("bigint"))
+    cx, cy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    # Whether the next row has another value: exact, where a variance from sums is not.
+    turns = {f"_t{c}": F.coalesce((F.lead(v).over(w) != F.col(v)).cast("double"), F.lit(0.0)) for c, v in (("x", x), ("y", y))}
+    rows = rows.withColumns(turns)
+    parts = {"x": cx, "y": cy, "xx": cx * cx, "yy": cy * cy, "xy": cx * cy, "tx": F.col("_tx"), "ty": F.col("_ty")}
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_c", F.struct(*(F.sum(v).over(running).alias(k) for k, v in parts.items()))).withColumn("_from", F.col("_i") - F.col("_w"))
+    before = rows.select(*by, F.col("_i").alias("_from"), F.col("_c").alias("_b"))
+    rows = rows.join(before, [*by, "_from"], "left")
+    m = {k: (F.col("_c")[k] - F.coalesce(F.col("_b")[k], F.lit(0.0))) / F.nullif(F.col("_w"), F.lit(0)) for k in parts}
+    vary = [F.col("_c")[f"t{c}"] - F.col(f"_t{c}") - F.coalesce(F.col("_b")[f"t{c}"], F.lit(0.0)) > 0 for c in "xy"]
+    full = lambda v: F.when((F.col("_w") > 0) & (F.col("_i") >= F.col("_w")), v)
+    found = {"mean_x": full(F.col("_mx") + m["x"]), "mean_y": full(F.col("_my") + m["y"]), "var_x": full(F.greatest(F.lit(0.0), m["xx"] - m["x"] * m["x"])), "var_y": full(F.greatest(F.lit(0.0), m["yy"] - m["y"] * m["y"])), "cov_xy": full(m["xy"] - m["x"] * m["y"]), "vary": full(vary[0] & vary[1])}
+    return rows.select(*df.columns, *(v.alias(k) for k, v in found.items()))
+
+
+def rolling_pearson(df: DataFrame, x: str, y: str, by: Sequence[str], order: Sequence[str], most: int = 30, share: int = 3) -> DataFrame:
+    """Adds corr: that of the rows of a window of min(most, n / share) rows, n being the complete rows of a series; null where the window is not full or one of both does not vary in it."""
+    n = F.col("_n")
+    rows = rolling_moments(df, x, y, F.least(F.lit(most), F.floor(n / share)), by, order)
+    found = F.col("cov_xy") / F.nullif(F.sqrt(F.col("var_x") * F.col("var_y")), F.lit(0.0))
+    return rows.withColumn("corr", F.when(F.col("vary"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), found)))).drop("mean_x", "mean_y", "var_x", "var_y", "cov_xy", "vary")
+
+
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Density of equal bins between the extremes of each group; the last bin is closed."""
     ends = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))

@@ -27,10 +27,15 @@ def calibrated(capture_rates: DataFrame, nominal: DataFrame, mode: str = "linear
 
 
 def circular_shifts(y: DataFrame, shifts: DataFrame, length: int) -> DataFrame:
-    """(b, t, y): y rolled by each shift (b, shift)."""
-    few = shifts.limit(BROADCAST_SHIFTS + 1).count() <= BROADCAST_SHIFTS
-    moved = y.crossJoin(F.broadcast(shifts) if few else shifts)
-    return moved.select("b", F.pmod(F.col("t") + F.col("shift"), F.lit(length)).cast("int").alias("t"), "y")
+    """(b, t, y): y rolled by each shift (b, shift).
+
+    A few shifts are broadcast; more of them list the steps that each of theirs comes from and meet y there.
+    """
+    if shifts.limit(BROADCAST_SHIFTS + 1).count() <= BROADCAST_SHIFTS:
+        moved = y.crossJoin(F.broadcast(shifts))
+        return moved.select("b", F.pmod(F.col("t") + F.col("shift"), F.lit(length)).cast("int").alias("t"), "y")
+    steps = shifts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_t", F.pmod(F.col("t") - F.col("shift"), F.lit(length)).cast("int"))
+    return steps.join(y.select(F.pmod(F.col("t"), F.lit(length)).cast("int").alias("_t"), "y"), "_t").select("b", F.col("t").cast("int").alias("t"), "y")
 
 
 def block_bootstrap(y: DataFrame, starts: DataFrame, block: int, length: int) -> DataFrame:

@@ -374,3 +374,34 @@ _PIT_LAGS = " UNION ALL ".join(f"SELECT {k} AS lag, sum(c * l) AS s FROM (SELECT
 def pit_ljung_box(spark, sf_dir):
     out = metrics.pit_ljung_box(metrics.pit(base.paths(spark, sf_dir), base.actual(spark, sf_dir)))
     return out.select("n", "lags", r("q", 5).alias("q"), r("p", 7).alias("p"))
+
+
+# ---- windows as long as the data give, and all modes of the calibrated capture rate --------------
+
+_STATUS = "o AS (SELECT o_orderpriority AS s, o_orderstatus AS g, CAST(o_orderdate AS DATE) AS d, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS x, CAST(COUNT(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2, 3)"
+
+
+@query(
+    "rolling_pearson",
+    f"WITH {_STATUS}, n AS (SELECT *, row_number() OVER w AS i, least(30, count(*) OVER (PARTITION BY s, g) // 3) AS k FROM o WINDOW w AS (PARTITION BY s, g ORDER BY d)), c AS (SELECT a.s, a.g, a.d, corr(b.x, b.y) AS c, var_pop(b.x) AS vx, var_pop(b.y) AS vy, count(*) AS m, max(a.k) AS k FROM n a JOIN n b ON a.s = b.s AND a.g = b.g AND b.i BETWEEN a.i - a.k + 1 AND a.i GROUP BY 1, 2, 3) "
+    "SELECT n.s, n.g, n.d, round(CASE WHEN m = c.k AND vx > 0 AND vy > 0 THEN c END, 5) AS corr FROM n LEFT JOIN c ON n.s = c.s AND n.g = c.g AND n.d = c.d",
+)
+def rolling_pearson(spark, sf_dir):
+    """Series of each priority and status, from a few days to all of them."""
+    rows = base.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("s"), F.col("o_orderstatus").alias("g"), F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    rows = rows.groupBy("s", "g", "d").agg(F.sum("p").cast("double").alias("x"), F.count("*").cast("double").alias("y"))
+    return stats.rolling_pearson(rows, "x", "y", ["s", "g"], ["d"]).select("s", "g", "d", r("corr", 5).alias("corr"))
+
+
+@query(
+    "wmcr_modes",
+    f"WITH {PATHS}, {_BANDSQL}, c AS (SELECT k, avg(CASE WHEN a BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS c FROM bands b JOIN actual a ON a.t = b.t GROUP BY 1), n(k, p, w) AS (VALUES (0, 0.5, 2.0), (1, 0.8, 1.0)), e AS (SELECT CAST(w AS DOUBLE) AS w, abs(CAST(c AS DOUBLE) - CAST(p AS DOUBLE)) AS d, greatest(CAST(p AS DOUBLE), 1 - CAST(p AS DOUBLE)) AS m FROM c JOIN n ON c.k = n.k) "
+    "SELECT 'linear' AS mode, round(sum(w * (1 - d)) / sum(w), 6) AS wmcr FROM e UNION ALL SELECT 'quadratic', round(sum(w * (1 - d * d / (m * m))) / sum(w), 6) FROM e UNION ALL SELECT 'normalised', round(sum(w * (1 - d / m)) / sum(w), 6) FROM e",
+)
+def wmcr_modes(spark, sf_dir):
+    rates = wmcr.capture(base.actual(spark, sf_dir).withColumnRenamed("a", "y"), simulation._bands(spark, sf_dir))
+    out = None
+    for mode in ("linear", "quadratic", "normalised"):
+        one = wmcr.calibrated(rates, simulation._nominal(spark), mode).select(F.lit(mode).alias("mode"), r("wmcr").alias("wmcr"))
+        out = one if out is None else out.unionByName(one)
+    return out

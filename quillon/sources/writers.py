@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files of a scenario, each written by a task of its own.
+SCENARIO_FILES = 16
+
+
 def csv_table(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header; `one_file` is for small result tables only."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
@@ -22,8 +26,9 @@ def json_documents(df: DataFrame, path: str) -> None:
 
 
 def scenario_paths(df: DataFrame, path: str) -> None:
-    """A folder per scenario: a reader that picks scenarios reads theirs only."""
-    df.repartition("scenario_id").write.mode("overwrite").partitionBy("scenario_id").parquet(path)
+    """A folder per scenario: a reader that picks scenarios reads theirs only. The simulations of one are dealt over SCENARIO_FILES tasks, a file each."""
+    part = F.pmod(F.xxhash64("sim_id"), F.lit(SCENARIO_FILES)) if "sim_id" in df.columns else F.lit(0)
+    df.repartition(F.col("scenario_id"), part).write.mode("overwrite").partitionBy("scenario_id").parquet(path)
 
 
 def workbook(tables: Mapping[str, DataFrame], path: str, kind: str = "parquet") -> None:

@@ -84,6 +84,11 @@ def bfill(x: Column, w: WindowSpec) -> Column:
     return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
 
+def fill_mean(x: Column, w: WindowSpec) -> Column:
+    """The value, or the mean of the partition of `w` where there is none."""
+    return F.coalesce(x, F.avg(x).over(w))
+
+
 def min_max(x: Column, w: WindowSpec) -> Column:
     """0 to 100 over the partition of `w`."""
     return (x - F.min(x).over(w)) / (F.max(x).over(w) - F.min(x).over(w) + 1e-9) * 100

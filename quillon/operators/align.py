@@ -81,6 +81,14 @@ def split_by_position(df: DataFrame, ratio: float, by: Sequence[str] = ("s",), o
     return df.withColumn("is_train", F.row_number().over(w.orderBy(*order)) <= F.floor(n * ratio))
 
 
+def split_levels(df: DataFrame, ratio: float, by: Sequence[str] = ("s",), order: Sequence[str] = ("d",)) -> DataFrame:
+    """Adds train and valid to levels of which n - 1 changes are split at int((n - 1) * ratio): the level between both parts is in both."""
+    w = Window.partitionBy(*by)
+    cut = F.floor((F.count("*").over(w) - 1) * ratio)
+    i = F.row_number().over(w.orderBy(*order)) - 1
+    return df.withColumns({"train": i <= cut, "valid": i >= cut})
+
+
 def date_chunks(start: Column, end: Column, months: int) -> Column:
     """Array of (from, to): a date range in pieces of `months` months, the last one cut at the end."""
     starts = F.sequence(start, end, F.make_interval(F.lit(0), F.lit(months)))

@@ -363,6 +363,16 @@ def anchored_product(nav: DataFrame, gap: DataFrame, premium: DataFrame, start:
     return j.select(*keys, (level * F.lit(start) / F.nullif(first, F.lit(0.0))).alias("v"))
 
 
+def premium_product(gap: DataFrame, premium: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """s0 (1 + gap) (1 + premium) / ((1 + g0) (1 + k0)) of each path; `starts` holds s0, g0, k0 for each `by` (one row without keys). A divisor of 0 counts as 1."""
+    keys = [*by, "sim_id", "t"]
+    j = gap.select(*keys, F.col("v").alias("_g")).join(premium.select(*keys, F.col("v").alias("_p")), keys)
+    j = j.join(starts.select(*by, "s0", "g0", "k0"), list(by)) if by else j.crossJoin(F.broadcast(starts.select("s0", "g0", "k0")))  # one row
+    at_start = (1 + F.col("g0")) * (1 + F.col("k0"))
+    level = F.col("s0") * (1 + F.col("_g")) * (1 + F.col("_p")) / F.when(at_start == 0, 1.0).otherwise(at_start)
+    return j.select(*keys, level.alias("v"))
+
+
 def realised_volatility(df: DataFrame, value: str, by: Sequence[str], order: str = "t", n: int = 20, scale: float = 252**0.5) -> DataFrame:
     """Adds rv: the rolling deviation of `value`, its first gap filled backward, zero if there is none."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -12,6 +12,7 @@ from quillon.plans.base import DAILY, PATHS, RETURNS, daily, query, r
 from quillon.plans.relational import _full, _wfn
 from quillon.plans.simulation import _BANDSQL, _LIFT, _OVER, _P, _SCENARIOS, _VARS, REGIMES, W, regimes
 from quillon.settings import Settings
+from quillon.sources import views
 
 _ASVI = _full(f"(y - {_wfn('avg(y)', 4, 1)}) / nullif({_wfn('stddev_samp(y)', 4, 1)}, 0)", "y", 4, 1)
 
@@ -405,3 +406,26 @@ def wmcr_modes(spark, sf_dir):
         one = wmcr.calibrated(rates, simulation._nominal(spark), mode).select(F.lit(mode).alias("mode"), r("wmcr").alias("wmcr"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---- levels and changes, filled means, fund from premiums ----------------------------------------
+
+
+@query("split_levels", f"WITH {DAILY}, i AS (SELECT s, d, y, row_number() OVER ({_OVER}) - 1 AS i, CAST(floor((count(*) OVER (PARTITION BY s) - 1) * 0.8) AS BIGINT) AS c FROM daily) SELECT s, d, y, y - lag(y) OVER ({_OVER}) AS z, i <= c AS train, i >= c AS valid FROM i")
+def split_levels(spark, sf_dir):
+    return align.split_levels(views.level_and_change(daily(spark, sf_dir), "y"), _STUDY.train_ratio)
+
+
+@query("fill_mean", f"WITH {RETURNS}, g AS (SELECT s, d, CASE WHEN r > 0 THEN r END AS r FROM ret) SELECT s, d, round(coalesce(r, avg(r) OVER (PARTITION BY s)), 9) AS r FROM g")
+def fill_mean(spark, sf_dir):
+    rows = daily(spark, sf_dir).withColumn("r", series.log_return(F.col("x"), W()))
+    up = F.when(F.col("r") > 0, F.col("r"))
+    return rows.select("s", "d", r(series.fill_mean(up, Window.partitionBy("s")), 9).alias("r"))
+
+
+@query("premium_product", f"WITH {PATHS}, f AS (SELECT sim_id, min_by(v, t) AS s0 FROM paths GROUP BY 1) SELECT p.sim_id, t, round(s0 * (1 + v / 1000) * (1 + v / 500) / (1.01 * 1.02), 7) AS v FROM paths p JOIN f ON f.sim_id = p.sim_id")
+def premium_product(spark, sf_dir):
+    p = base.paths(spark, sf_dir).withColumn("path", F.col("sim_id"))
+    starts = p.groupBy("path").agg(F.min_by("v", "t").alias("s0")).withColumns({"g0": F.lit(0.01), "k0": F.lit(0.02)})
+    out = metrics.premium_product(p.withColumn("v", F.col("v") / 1000), p.withColumn("v", F.col("v") / 500), starts, ["path"])
+    return out.select("sim_id", "t", r("v", 7).alias("v"))

@@ -37,9 +37,12 @@ def trend_export(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("d is not null")
 
 
-def trend_merged(spark: SparkSession, path: str) -> DataFrame:
-    """Exports of one region as one series: of overlapping days the row of the first file by name stays."""
-    return align.keep_first(trend_export(spark, path), ["d"], [F.col("file"), F.col("value")]).select("d", "value")
+def trend_merged(spark: SparkSession, path: str, mean: bool = False) -> DataFrame:
+    """Exports of one region as one series: of overlapping days the row of the first file by name stays, or with `mean` their mean."""
+    rows = trend_export(spark, path)
+    if mean:
+        return rows.groupBy("d").agg(F.avg("value").alias("value"))
+    return align.keep_first(rows, ["d"], [F.col("file"), F.col("value")]).select("d", "value")
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.settings import Settings
-from quillon.sources import readers, writers
+from quillon.sources import readers, views, writers
 from quillon.streaming import features
 
 
@@ -14,6 +14,7 @@ def test_trend_exports_with_preamble(spark, tmp_path):
     (tmp_path / "a_2.csv").write_text("﻿Day,word\n2024-01-02,99\n2024-01-03,30\n", encoding="utf-8")
     got = readers.trend_merged(spark, str(tmp_path / "a_*.csv")).orderBy("d").collect()
     assert [r.value for r in got] == [10, 20, 30]
+    assert [r.value for r in readers.trend_merged(spark, str(tmp_path / "a_*.csv"), mean=True).orderBy("d").collect()] == [10, 59.5, 30]
 
 
 def test_json_shapes(spark, tmp_path):
@@ -95,3 +96,25 @@ def test_folders_and_localised_headers(spark, tmp_path):
     assert readers.raw_view([(one, "a"), (two, "b")]).count() == 2
     made = Settings(result_folder=str(tmp_path / "r")).ensure_directories(spark)
     assert all(os.path.isdir(p) for p in made)
+
+
+def test_named_views(spark, tmp_path):
+    days = [f"2024-01-{d:02d}" for d in range(1, 16)]
+
+    def put(name, columns):
+        lines = [",".join(["Date", *columns]), *(",".join([d, *(str(f(i)) for f in columns.values())]) for i, d in enumerate(days))]
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+    put("nav_train.csv", {"Hash Rate (TH/s)": lambda i: i, "Unique Addresses": lambda i: "" if i == 3 else 2 * i})
+    put("gap_train.csv", {"value": lambda i: i, "btc_volatility": lambda i: 0.1})
+    put("kp_train.csv", {"volume_btc": lambda i: 10, "KOSPI_Volatility": lambda i: "" if i == 0 else 1, "bitcoin_kr": lambda i: 5 * i})
+    put("y_variables.csv", {"Log Return": lambda i: 0.01, "etf_premium": lambda i: i, "Kimchi Premium": lambda i: 0.5})
+    put("y_true_variables.csv", {"etf_true": lambda i: 100 + i, "nav_true": lambda i: 99})
+    found = views.model_views(spark, str(tmp_path), str(tmp_path), {"etf_premium": 0.01})
+    assert found["nav"].count() == 14 and found["nav"].columns == ["Date", "Log Return", "Hash Rate (TH/s)", "Unique Addresses"]
+    assert found["gap"].orderBy("Date").collect()[14].etf_premium == pytest.approx(0.14) and found["kp"].count() == 14
+    assert views.true_fund(spark, str(tmp_path)).agg(F.max("etf_true")).first()[0] == 114
+    daily, weekly = views.daily_and_weekly(spark, str(tmp_path))
+    assert daily.count() == 14 and [(str(w.d), w.global_btc_svi, w.btc_volume_btc) for w in weekly.orderBy("d").collect()] == [("2024-01-08", 7.0, 70.0), ("2024-01-15", 14.0, 70.0)]
+    with pytest.raises(ValueError):
+        views.numbers(spark, str(tmp_path / "nav_train.csv"), ["nothing"])

@@ -1,21 +1,24 @@
 """License scans by an exact set-similarity join; DataFrame functions only.
 
-Text blocks and license templates are sets of words. Blocks are windows over the words of a text, so
-that line wraps, comment marks and layout do not matter: a block of step c holds the words
-[ic, ic + 2c), and every run of c words lies inside one. Short templates (one-sentence notices) are
+Text blocks and license templates are sets of pairs of neighbouring words, so that the order of the
+words counts; no pair goes over the end of a sentence. Blocks are windows over the pairs of a text,
+so that line wraps, comment marks and layout do not matter: a block of step c holds the pairs
+[ic, ic + 2c), and every run of c pairs lies inside one. Short templates (one-sentence notices) are
 met in blocks of step SHORT, long ones (whole licenses and headers) in blocks of step LONG. A block
-matches a template of whose words it holds the threshold.
-
-Words of the templates are ordered by how many documents of the corpus hold them, rarest first; a
-block that reaches the threshold must hold one of the first |T| - need + 1 words of a template, so
-only blocks with such a word are candidates (prefix filter); the words that can still follow, at
-either position, must suffice (positional filter); and the block must hold enough words at all
+matches a template of whose pairs it holds the threshold, and all that tell it from its relatives:
+those with a number or one of the words DISTINGUISHING. So a text under CC BY-NC 4.0 does not match
+the template of CC BY 4.0, nor that of the other version.
+
+Pairs of the templates are ordered by how many documents of the corpus hold them, rarest first; a
+block that reaches the threshold must hold one of the first |T| - need + 1 pairs of a template, so
+only blocks with such a pair are candidates (prefix filter); the pairs that can still follow, at
+either position, must suffice (positional filter); and the block must hold enough pairs at all
 (length filter). Candidates are verified by the intersection itself. No block that meets the
 threshold is missed.
 
-A text is cut into words once. What later steps need of it is written as a small table: the words
+A text is cut into words once. What later steps need of it is written as a small table: the pairs
 of templates that it holds, from which the corpus counts come, and, where these suffice for a
-template (the length filter for the whole text), the template words of its blocks.
+template (the length filter for the whole text), the template pairs of its blocks.
 
 On top of the join, fixed phrases are counted wherever their words stand consecutively.
 """
@@ -31,9 +34,13 @@ from quillon.llm import _lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-#: Share of a template's words that a block must hold, in percent, and the words it must hold of short ones (or all).
+#: Share of a template's pairs that a block must hold, in percent, and the pairs it must hold of short ones (or all).
 CONTAINMENT, LEAST = 80, 7
-#: Steps of the blocks in words; a template of at most SHORT words is a short one, none has more than LONG.
+#: What a license is told from its relatives by, besides numbers.
+DISTINGUISHING = ("affero", "apache", "general", "isc", "lesser", "library", "mit", "mozilla", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike", "version", "zero")
+#: Stands for the end of a sentence; no pair with it is one of a template.
+MARK = "\ue000"
+#: Steps of the blocks in pairs; a template of at most SHORT words is a short one, none has more than LONG.
 SHORT, LONG = 24, 256
 #: The phrases of the base labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -76,39 +83,54 @@ TEMPLATES = (
         WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
         governing permissions and limitations under the License."""),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "under the terms of the GNU General Public License"),
     ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
         License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
         version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
         implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
         details."""),
     ("lgpl", "under the terms of the GNU Lesser General Public License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
     ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
         liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
         any purpose, including commercial applications, and to alter it and redistribute it freely"""),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "This work is dedicated to the public domain under Creative Commons Zero CC0"),
 )
 
 
+#: The parts of the Creative Commons labels and their words.
+_PARTS = {"nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+
+
+def templates() -> list[tuple[str, str]]:
+    """TEMPLATES, and both names of every Creative Commons license with attribution in its last two versions."""
+    out = list(TEMPLATES)
+    for parts in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        label = "-".join(("cc", "by", *parts))
+        for version in ("3.0", "4.0"):
+            out.append((label, f"CC BY{''.join('-' + p.upper() for p in parts)} {version}"))
+            out.append((label, f"Creative Commons Attribution{''.join('-' + _PARTS[p] for p in parts)} {version}"))
+    return out
+
+
 def need(n: int) -> int:
-    """Words of a template of n distinct words that a block must hold."""
+    """Pairs of a template of n distinct ones that a block must hold."""
     return max(-(-n * CONTAINMENT // 100), min(n, LEAST))
 
 
-def template_sets() -> list[tuple[str, int, list[str]]]:
-    """(label, step, sorted distinct words) of every template."""
+def template_sets() -> list[tuple[str, int, list[str], list[str]]]:
+    """(label, step, sorted distinct pairs, those of them that must be there) of every template."""
     out = []
-    for label, text in TEMPLATES:
-        words = re.findall("[a-z0-9]+", text.lower())
+    for label, text in templates():
+        words = re.findall(f"[a-z0-9{MARK}]+", re.sub(r"[.!?]\s+([A-Z])", rf" {MARK} \1", text).lower())
         if len(words) > LONG:
             raise ValueError(f"a template of {len(words)} words: {text[:60]}")
-        out.append((label, SHORT if len(words) <= SHORT else LONG, sorted(set(words))))
+        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if MARK not in (a, b)})
+        out.append((label, SHORT if len(words) <= SHORT else LONG, pairs, [p for p in pairs if any(w in DISTINGUISHING or any(map(str.isdigit, w)) for w in p.split())]))
     return out
 
 
@@ -127,26 +149,34 @@ def _places(phrase: str, label: str) -> F.Column:
 
     none = F.array().cast("array<struct<start:int,label:string>>")
     starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)
-    there = F.size(F.array_intersect(F.col("held"), _strings(sorted(set(parts))))) == len(set(parts))
+    there = F.forall(_strings(sorted(set(parts))), lambda w: F.array_contains("words", w))
     return F.when(there, F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))).otherwise(none)
 
 
 def _blocks(step: int, least: int) -> F.Column:
-    """The template words of each block that holds `least` of them at least."""
-    block = lambda c: F.array_intersect(F.col("held"), F.slice("words", c * step + 1, F.lit(2 * step)))
-    every = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / step).cast("int")), block)
+    """The template pairs of each block that holds `least` of them at least."""
+    block = lambda c: F.array_intersect(F.col("held"), F.slice("pairs", c * step + 1, F.lit(2 * step)))
+    every = F.transform(F.sequence(F.lit(0), F.floor((F.size("pairs") - 1) / step).cast("int")), block)
     return F.filter(every, lambda b: F.size(b) >= least)
 
 
+def _words(text: F.Column) -> F.Column:
+    low = F.translate(text, UPPER + _BETWEEN, LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(low, " "), "")
+
+
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, n_words, places (start, label) of the phrases, held (template words), and short and long: blocks, null if none can match."""
-    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + _BETWEEN, LOWER + " " * len(_BETWEEN))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.array_remove(F.split(low, " "), "").alias("words"))
-    vocabulary = sorted({w for _, _, t in template_sets() for w in t} | {w for p, _ in PHRASES for w in p.split()})
-    rows = rows.withColumn("held", F.array_intersect(_strings(vocabulary), F.col("words")))
+    """doc_id, row, n_words, places (start, label) of the phrases, held (template pairs), and short and long: blocks, null if none can match."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = F.regexp_replace(text, r"[.!?][ \t\n\x0B\f\r]+([A-Z])", f" {MARK} $1")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("row"), _words(text).alias("words"), _words(marked).alias("marked"))
+    n = F.greatest(F.size("marked") - 1, F.lit(0))
+    rows = rows.withColumn("pairs", F.zip_with(F.slice("marked", F.lit(1), n), F.slice("marked", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    vocabulary = sorted({x for _, _, t, _ in template_sets() for x in t})
+    rows = rows.withColumn("held", F.array_intersect(_strings(vocabulary), F.col("pairs")))
     kinds = {}
-    for _, step, words in template_sets():
-        kinds.setdefault(step, []).append(words)
+    for _, step, pairs, _ in template_sets():
+        kinds.setdefault(step, []).append(pairs)
     columns = {}
     for name, step in (("short", SHORT), ("long", LONG)):
         able = F.exists(F.array(*(F.size(F.array_intersect(F.col("held"), _strings(t))) >= need(len(t)) for t in kinds[step])), lambda x: x)
@@ -156,9 +186,9 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _ordered(rows: DataFrame) -> list[str]:
-    """The words of the templates, rarest in the corpus first: a row per template word reaches the driver."""
-    vocabulary = sorted({w for _, _, t in template_sets() for w in t})
-    count = {r["word"]: r["count"] for r in rows.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
+    """The pairs of the templates, rarest in the corpus first: a row per template pair reaches the driver."""
+    vocabulary = sorted({w for _, _, t, _ in template_sets() for w in t})
+    count = {r["pair"]: r["count"] for r in rows.select(F.explode("held").alias("pair")).groupBy("pair").count().collect()}
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
@@ -166,17 +196,18 @@ def similar_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
     """doc_id, row, label, containment of the templates that a block of a document holds to the threshold."""
     place = {w: i for i, w in enumerate(order)}
     prefix = []
-    for n, (label, step, t) in enumerate(template_sets()):
-        words, least = sorted(t, key=place.get), need(len(t))
-        prefix += [(w, step, n, label, words, i, least) for i, w in enumerate(words[: len(words) - least + 1])]
-    keys = rows.sparkSession.createDataFrame(prefix, "word string, step int, template int, label string, tokens array<string>, i int, need int")
+    for n, (label, step, t, must) in enumerate(template_sets()):
+        pairs, least = sorted(t, key=place.get), need(len(t))
+        prefix += [(w, step, n, label, pairs, must, i, least) for i, w in enumerate(pairs[: len(pairs) - least + 1])]
+    keys = rows.sparkSession.createDataFrame(prefix, "pair string, step int, template int, label string, tokens array<string>, must array<string>, i int, need int")
     blocks = [rows.filter(F.size(c) > 0).select("doc_id", "row", F.lit(step).alias("step"), F.posexplode(c).alias("block", "part")) for c, step in (("short", SHORT), ("long", LONG))]
-    # The block's template words, in the order of the corpus.
+    # The block's template pairs, in the order of the corpus.
     candidates = blocks[0].union(blocks[1]).select("doc_id", "row", "step", "block", F.array_intersect(_strings(order), F.col("part")).alias("part"))
-    tried = candidates.select("doc_id", "row", "step", "block", "part", F.posexplode("part").alias("j", "word")).join(F.broadcast(keys), ["word", "step"])  # the templates are fixed
+    tried = candidates.select("doc_id", "row", "step", "block", "part", F.posexplode("part").alias("j", "pair")).join(F.broadcast(keys), ["pair", "step"])  # the templates are fixed
     tried = tried.filter((F.size("part") >= F.col("need")) & (1 + F.least(F.size("tokens") - F.col("i") - 1, F.size("part") - F.col("j") - 1) >= F.col("need")))
     shared = F.size(F.array_intersect("part", "tokens"))
-    return tried.filter(shared >= F.col("need")).select("doc_id", "row", "label", (shared / F.size("tokens")).alias("containment"))
+    right = F.size(F.array_intersect("part", "must")) == F.size("must")
+    return tried.filter((shared >= F.col("need")) & right).select("doc_id", "row", "label", (shared / F.size("tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,7 +78,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
-_TEMPLATE_ROWS = ", ".join(f"({n}, '{label}', {step}, {license_scan.need(len(words))}, {words})" for n, (label, step, words) in enumerate(license_scan.template_sets()))
+_TEMPLATE_ROWS = ", ".join(f"({n}, '{label}', {step}, {license_scan.need(len(pairs))}, {pairs}, {must or [' ']}, {len(must)})" for n, (label, step, pairs, must) in enumerate(license_scan.template_sets()))
+#: The ends of sentences as a word of their own.
+_MARKED = rf"translate(regexp_replace(coalesce(text, ''), '[.!?][ \t\n\x0B\f\r]+([A-Z])', ' {license_scan.MARK} \1', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PHRASE_ROWS = ", ".join(f"('{label}', string_split('{words}', ' '))" for words, label in license_scan.PHRASES)
 
 ORACLE_SQL["op5_license_scan"] = rf"""
@@ -88,13 +90,14 @@ places AS (
   SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS start FROM w, phrases
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY 1
-), templates(nth, label, step, need, t) AS (VALUES {_TEMPLATE_ROWS}),
-word_of AS (SELECT nth, label, step, need, len(t) AS size, unnest(t) AS word FROM templates),
-spot AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM w),
-hit AS (SELECT doc_id, nth, label, need, size, word, i // step AS block FROM spot JOIN word_of USING (word)),
-pair AS (SELECT * FROM hit UNION ALL SELECT doc_id, nth, label, need, size, word, block - 1 FROM hit WHERE block > 0),
-held AS (SELECT doc_id, nth, label, need, size, block, count(DISTINCT word) AS n FROM pair GROUP BY ALL),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n * 1.0 / size) AS share FROM held WHERE n >= need GROUP BY 1)
+), templates(nth, label, step, need, t, must, musts) AS (VALUES {_TEMPLATE_ROWS}),
+pair_of AS (SELECT nth, label, step, need, musts, len(t) AS size, unnest(t) AS pair, must FROM templates),
+marked AS (SELECT doc_id, regexp_extract_all({_MARKED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS m FROM documents),
+spot AS (SELECT doc_id, m[i + 1] || ' ' || m[i + 2] AS pair, i FROM (SELECT doc_id, m, unnest(range(0, len(m) - 1)) AS i FROM marked)),
+hit AS (SELECT doc_id, nth, label, need, musts, size, pair, list_contains(must, pair) AS is_must, i // step AS block FROM spot JOIN pair_of USING (pair)),
+near AS (SELECT * FROM hit UNION ALL SELECT doc_id, nth, label, need, musts, size, pair, is_must, block - 1 FROM hit WHERE block > 0),
+held AS (SELECT doc_id, nth, label, need, musts, size, block, count(DISTINCT pair) AS n, count(DISTINCT pair) FILTER (is_must) AS m FROM near GROUP BY ALL),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n * 1.0 / size) AS share FROM held WHERE n >= need AND m = musts GROUP BY 1)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,

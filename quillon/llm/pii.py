@@ -15,7 +15,8 @@ with N documents, n(e) that hold the entity, n(t) that hold the term anywhere, n
 term near the entity, and c distinct contexts that hold both: the estimate is shrunk to P(e) by the
 evidence there is, so that copies of a document are no evidence and a word seen once tells nothing.
 Terms of SUPPORT contexts that reach DISCLOSURE are spans of kind "term", wherever they stand in a
-document that holds the entity.
+document that holds the entity. A word that the pattern of secrets itself asks for is no term: it
+stands beside each of them by construction.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_SECRET_NAME = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\x22']?[\x20\t]{0,2}[:=]"
+_TRIGGER = r"token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key"
+_SECRET_NAME = rf"(?i:{_TRIGGER})[\x22']?[\x20\t]{{0,2}}[:=]"
 SECRET = rf"(?<={_SECRET_NAME}{{1,2}}[\x20\t]{{0,2}}[\x22']?)(?=[A-Za-z+/_=-]{{0,64}}[0-9])[A-Za-z0-9+/_=-]{{16,}}+"
 #: All kinds that are protected, and what the method adds to the base.
 PROTECTED = (*KINDS, "secret")
@@ -42,6 +44,8 @@ TERM = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}_'-]++"
 CONTEXT = 60
 #: Share of an entity's information from which a term discloses it, the least distinct contexts, and the weight of P(e).
 DISCLOSURE, SUPPORT, PRIOR = 0.8, 2, 3.0
+#: A text is cut into parts of about so many code points, at white space, to look for terms in it.
+PART = 4_000
 #: At most so many terms are broadcast, about 100 bytes each; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 _SPANS, _PLACES = "array<struct<s:int,e:int,m:string>>", "array<struct<s:int,e:int>>"
@@ -69,12 +73,18 @@ def _placed(text: F.Column, pattern: str, valid) -> F.Column:
     """Array of (s, e, m): code-point spans of the matches of a pattern that are valid, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    # Where each match starts: lengths of what lies before and of the matches, summed once.
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(steps, begin, lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")), lambda a: a["starts"])
-    spans = F.zip_with(found, starts, lambda m, s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.filter(spans, lambda x: valid(x["m"]))).otherwise(F.array().cast(_SPANS))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def step(a: F.Column, x: F.Column) -> F.Column:
+        # Only valid matches are put into the list, which is copied each time: long runs of numbers that are nothing cost a sum each.
+        start = a["at"] + x["g"]
+        end = start + F.length(x["m"])
+        more = F.concat(a["spans"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))))
+        return F.struct(end.alias("at"), F.when(valid(x["m"]), more).otherwise(a["spans"]).alias("spans"))
+
+    spans = F.aggregate(steps, begin, step, lambda a: a["spans"])
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPANS))
 
 
 def _with_spans(rows: DataFrame) -> DataFrame:
@@ -101,6 +111,7 @@ def _contexts(held: DataFrame) -> DataFrame:
     near = F.when(lo > 0, F.regexp_replace(left, r"^[\p{L}\p{M}\p{N}_'-]+", "")).otherwise(left)
     after = F.when(F.length("text") > F.col("x.e") + CONTEXT, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}_'-]+$", "")).otherwise(right)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat(near, F.lit(" "), after)), F.lit(TERM), F.lit(0)))
+    words = F.filter(words, lambda w: ~w.rlike(f"^(?:{_TRIGGER})$"))
     return rows.select("doc_id", "row", "x.kind", F.lower("x.m").alias("value"), F.xxhash64(left, right).alias("context"), words.alias("words"))
 
 
@@ -108,11 +119,12 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, disclosure: float = D
     """entity, term, disclosure of the terms that reveal an entity (kind, or kind:value), counted over all documents."""
     flat = contexts.select("doc_id", "row", "context", "words", F.explode(F.array("kind", F.concat_ws(":", "kind", "value"))).alias("entity"))
     terms = flat.select("entity", "doc_id", "row", "context", F.explode("words").alias("term"))
-    seen = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
-    seen = _lineage.table(seen.filter(F.col("c") >= support))
+    # Each count is of distinct rows, which are dealt by all they are; a term's own group then gets one partial count a task.
+    seen = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).filter(F.col("c") >= support)
+    near = terms.select("entity", "term", "doc_id", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    both = seen.join(near, ["entity", "term"])
     n_docs = docs.count()
     n_entity = flat.select("entity", "doc_id", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = terms.join(seen, ["entity", "term"]).select("entity", "term", "c", "doc_id", "row").distinct().groupBy("entity", "term", "c").agg(F.count("*").alias("n_both"))
     before = F.least(F.col("n_entity") / n_docs, F.lit(1.0))
 
     def reached(share: F.Column) -> F.Column:
@@ -122,13 +134,23 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, disclosure: float = D
     # A term is in as many documents at least as it is near the entity in; what cannot reach the threshold needs no count.
     pairs = _lineage.table(both.join(n_entity, "entity").filter(reached(F.lit(1.0)) >= disclosure))
     asked = _lineage.cut(pairs.select("term").distinct())
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(side, "term")
-    held = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    if asked.count() <= BROADCAST_TERMS:
+        held = every.join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    else:  # counted first, so that a common word is a count a task and not a row a document
+        held = every.groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term", "left_semi")
     both = pairs.join(held, "term").withColumn("disclosure", reached(F.col("n_both") / F.col("n_term")))
     return both.filter(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
 
 
+def _parts(text: F.Column) -> F.Column:
+    """Array of (at, part): a text in parts of about PART code points that end at white space, and where each starts."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}(?=\s|$)|.{{1,{PART}}}"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("parts"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["parts"], F.array(F.struct(a["at"].alias("at"), p.alias("part")))).alias("parts"))
+    return F.aggregate(cut, begin, step, lambda a: a["parts"])
+
+
 def term_spans(rows: DataFrame) -> DataFrame:
     """doc_id, row, term: the spans of disclosing terms in documents that hold what they reveal, for those that have any."""
 
@@ -139,7 +161,9 @@ def term_spans(rows: DataFrame) -> DataFrame:
     held = _lineage.table(_with_spans(rows).filter(sum((F.size(k) for k in PROTECTED), F.lit(0)) > 0).select("doc_id", "row", "text", every.alias("spans")))
     found = _lineage.cut(disclosing_terms(rows, _lineage.table(_contexts(held))).select("entity", "term"))
     entities = F.array_union(F.transform("spans", lambda x: x["kind"]), F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["m"]))))
-    words = held.select("doc_id", "row", "spans", entities.alias("entities"), F.explode(_placed(F.col("text"), TERM, lambda m: F.lit(True))).alias("w"))
+    parts = held.select("doc_id", "row", "spans", entities.alias("entities"), F.explode(_parts(F.col("text"))).alias("p"))
+    placed = F.transform(_placed(F.col("p.part"), TERM, lambda m: F.lit(True)), lambda x: F.struct((x["s"] + F.col("p.at")).alias("s"), (x["e"] + F.col("p.at")).alias("e"), x["m"].alias("m")))
+    words = parts.select("doc_id", "row", "spans", "entities", F.explode(placed).alias("w"))
     words = words.withColumn("term", F.lower("w.m")).join(found, "term").filter(F.array_contains("entities", F.col("entity")))
     words = words.filter(~F.exists("spans", lambda x: (x["s"] < F.col("w.e")) & (F.col("w.s") < x["e"])))
     return words.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("w.s", "w.e"))).alias("term"))  # at most the words of one document

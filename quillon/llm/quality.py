@@ -24,7 +24,7 @@ from quillon.llm import _batches
 TRAINING_DOCUMENTS = 6_000
 #: Bytes of a passage, and of the texts encoded at once.
 PASSAGE_BYTES = 600
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 128, 0.01, 1e-4
 THRESHOLD = 0.3
 

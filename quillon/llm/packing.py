@@ -56,8 +56,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok, self.bare = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
-        # For parts, which are normalised and cut already.
+        self.tok = Tokenizer.from_file(tokenizer_file)
+        # For parts, which are normalised and cut already; both share the model in memory.
+        self.bare = Tokenizer(self.tok.model)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab(with_added_tokens=False)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -646,6 +647,10 @@ def rvr(spark, sf_dir):
     return out.select("sim_id", r("r2", 5).alias("r2"), r("beta", 5).alias("beta"))
 
 
-@query("qq_points")
+_QQ = ", ".join(f"({(i + 1) / 100}, {NormalDist().inv_cdf((i + 1) / 100)!r})" for i in range(99))
+
+
+@query("qq_points", f"WITH {PATHS}, q(p, z) AS (VALUES {_QQ}), s AS (SELECT quantile_cont(v, [(i + 1) / 100.0::DOUBLE for i in range(0, 99)]) AS a FROM paths) SELECT CAST(p AS DOUBLE) AS p, round(CAST(z AS DOUBLE), 8) AS theoretical, round(a[CAST(round(p * 100) AS INTEGER)], 6) AS sample FROM q, s")
 def qq_points(spark, sf_dir):
-    return metrics.normal_quantile_points(base.paths(spark, sf_dir), "v")
+    out = metrics.normal_quantile_points(base.paths(spark, sf_dir), "v")
+    return out.select("p", r("theoretical", 8).alias("theoretical"), r("sample").alias("sample"))

@@ -4,12 +4,15 @@ Vectors are normalised, so that the largest cosine is the largest inner product.
 (fitted on a bounded sample) deals them into cells. The residual to the cell's centre is coded with
 four bits for each block of dimensions; codes minimise the anisotropic loss, in which the part of
 the quantisation error that is parallel to the vector weighs more than the orthogonal part, since
-it is the parallel part that shifts large inner products. A query visits its best cells; there a
-table of its products with the sixteen code words of each block is looked up for every code. The
-best approximate candidates are joined with the original vectors and ranked by the exact cosine.
+it is the parallel part that shifts large inner products. For a query, a table of its products with
+the sixteen code words of each block is looked up for every code.
 
-Every vector is indexed. Cells are dealt into tasks by bounded chunks of vectors and of queries, so
-that neither a cell that holds a third of all rows nor one that most queries visit lands in one task.
+Every vector is indexed, with both parts of its error: they bound its product with a query from the
+approximate one. The exact cosines of the best approximate candidates give a threshold, and what the
+bound leaves above it is ranked exactly as well. So the nearest are found whatever the rows are like;
+rows that the codes tell apart badly only cost more exact products.
+
+Vectors and queries are dealt into tasks by bounded chunks.
 """
 
 from __future__ import annotations
@@ -21,19 +24,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from quillon.llm import _lineage
+from pyspark.sql.types import FloatType
 
 #: Vectors that the index is fitted on, those with the smallest id hashes.
 SAMPLE = 8_000
 BLOCK_DIMENSIONS = 2
 #: Weight of the parallel error over the orthogonal error.
 ANISOTROPY = 4.0
-#: Share of the cells that a query visits, and the fewest.
-PROBE_SHARE, PROBE_LEAST = 0.75, 8
-#: Approximate candidates that are ranked exactly, for each result asked for.
+#: Approximate candidates of a chunk that are ranked exactly first, for each result asked for.
 RERANK = 30
-CHUNK_VECTORS, CHUNK_QUERIES = 20_000, 2_000
+#: Components of the vectors, and of the queries, of one chunk; small tables have up to LEAST_PARTS chunks of 1,000 vectors.
+CHUNK_VALUES, LEAST_PARTS = 1_280_000, 16
+#: What rounding may add to a bound: of single precision for each block, and of double precision.
+SINGLE, DOUBLE = 2.5e-7, 1e-9
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -54,6 +57,10 @@ def _matrix(column, width: int | None = None) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, width or 0))
 
 
+def _rows(column, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -124,6 +131,13 @@ class Index:
                     right = t.sum(0) + (ANISOTROPY - 1) * ((rest[own] + (t * u).sum(1))[:, None] * u).sum(0)
                     self.words[b, w] = np.linalg.solve(left, right)
 
+    def errors(self, x: np.ndarray, cell: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parallel part of each error and the length of the orthogonal one."""
+        words = self.words[np.arange(self.blocks), code].reshape(len(x), -1)[:, : self.dim]
+        error = x - self.centres[cell] - words
+        along = (error * x).sum(1)
+        return along, np.linalg.norm(error - along[:, None] * x, axis=1)
+
     def packed(self, code: np.ndarray) -> np.ndarray:
         """Two codes a byte."""
         if code.shape[1] % 2:
@@ -138,61 +152,76 @@ class Index:
         return (one[:, ::2, None, :] + one[:, 1::2, :, None]).reshape(len(queries), -1, 256)
 
 
-def _coder(index: Index):
+def _coder(index: Index, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                x = _unit(_matrix(part.column("v").to_pylist(), index.dim)) if part.num_rows else np.zeros((0, index.dim))
+                given = _rows(part.column("v"), index.dim)
+                x = _unit(given)
                 cell = index.cell(x)
-                code = index.packed(index.codes(x, cell))
-                yield pa.record_batch([part.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "cell", "code"])
+                code = index.codes(x, cell)
+                along, across = index.errors(x, cell, code)
+                cells = [pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in index.packed(code)], pa.binary()), pa.array(along), pa.array(across)]
+                yield pa.record_batch([part.column("vec_id"), *cells, pa.array([v.tobytes() for v in given.astype(kind)], pa.binary())], names=["vec_id", "cell", "code", "along", "across", "v"])
 
     return run
 
 
-def _prober(index: Index, probes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _unit(_matrix(batch.column("v").to_pylist(), index.dim)) if batch.num_rows else np.zeros((0, index.dim))
-            best = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(list(best), pa.list_(pa.int32()))], names=["query_id", "v", "cells"])
-
-    return run
+def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision; powers of two keep squares in range and change no result."""
+    q, v = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (q, v))
+    return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 
-def _scanner(index: Index, keep: int):
-    """The best `keep` codes of a chunk for each of its queries, ties to the smaller id."""
+def _scanner(index: Index, kind: str, k: int):
+    """The `k` nearest of a chunk for each of its queries, ties to the smaller id."""
+    slack = SINGLE * (index.blocks + 8)
 
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(codes):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "approx": []}).astype({"query_id": "int64", "vec_id": "int64", "approx": "float32"})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         codes = codes.sort_values("vec_id")
         ids, cell = codes["vec_id"].to_numpy(), codes["cell"].to_numpy()
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(ids), -1)
-        asked, q = queries["query_id"].to_numpy(), _unit(_matrix(queries["v"]))
-        base = (q @ index.centres.T).astype(np.float32)
+        along, across = codes["along"].to_numpy(), codes["across"].to_numpy()
+        given = np.frombuffer(b"".join(codes["v"]), kind).reshape(len(ids), -1)
+        unit = _unit(given.astype(np.float64))
+        asked, raw = queries["query_id"].to_numpy(), _matrix(queries["v"])
+        q = _unit(raw)
+        place = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+        own = ids[place] == asked
+        first = min(RERANK * k, len(ids))
         out = []
         for at in range(0, len(q), 64):
             tables = index.tables(q[at : at + 64])
-            score = base[at : at + 64][:, cell]
+            score = (q[at : at + 64] @ index.centres.T).astype(np.float32)[:, cell]
             for b in range(code.shape[1]):
                 score += np.take(tables[:, b], code[:, b], axis=1)
-            score[asked[at : at + 64, None] == ids[None]] = -np.inf
-            n = min(keep, len(ids))
-            for row, one in enumerate(score):
-                least = np.partition(one, len(one) - n)[len(one) - n]
-                best = np.flatnonzero(one > least)
-                best = np.append(best, np.flatnonzero(one == least)[: n - len(best)])
-                best = best[one[best] > -np.inf]
-                out.append(pd.DataFrame({"query_id": asked[at + row], "vec_id": ids[best], "approx": one[best]}))
-        return pd.concat(out)
+            for row, one in enumerate(score, at):
+                if own[row]:
+                    one[place[row]] = -np.inf
+                best = np.argpartition(one, len(one) - first)[len(one) - first :]
+                exact = unit[best[one[best] > -np.inf]] @ q[row]
+                if len(exact) > k:
+                    # The error e of x has parts p = <e, x> and g: s (1 - p) <= approximate s + g sqrt(1 - s^2).
+                    least = np.partition(exact, -k)[-k] - DOUBLE
+                    spread = np.sqrt(max(0.0, 1 - least * least)) if least > 0 else 1.0
+                    best = np.flatnonzero(one + spread * across + slack >= np.minimum(least * (1 - along), 1 - along))
+                    exact = unit[best] @ q[row]
+                    best = best[exact >= np.partition(exact, -k)[-k] - DOUBLE]
+                else:
+                    best = best[one[best] > -np.inf]
+                cosine = _cosines(raw[row : row + 1], given[best].astype(np.float64))
+                order = np.lexsort((ids[best], -cosine))[:k]
+                out.append((np.full(len(order), asked[row]), ids[best][order], cosine[order]))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     return run
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's `k` nearest others found, by cosine in double precision.
+    """query_id, rank, vec_id, score: each query's `k` nearest others, by cosine in double precision.
 
     Nearest first, ties to the smaller vec_id. Fewer candidates than `k` give all. Vectors that are
     null, zero, hold null or non-finite components, or have no id take no part; of repeated ids one
@@ -206,43 +235,23 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "ve
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     # The commonest length of all vectors, the smaller of two as common.
     dim, rows = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    fitted = _matrix([x for x in fitted if len(x) == dim])
-    base, queries = base.filter(F.size("v") == dim), queries.filter(F.size(vector_col) == dim)
-    cells = int(max(1, min(2048, len(fitted) // 16, rows**0.5 / 2)))
-    index = Index(_unit(fitted), cells)
-    probes = int(min(cells, max(PROBE_LEAST, np.ceil(cells * PROBE_SHARE))))
-    keep = RERANK * k
-
-    codes = _lineage.cut(_of_each_id(base).mapInArrow(_coder(index), "vec_id bigint, cell int, code binary"))
-    asked = _of_each_id(usable(queries, id_col, vector_col)).mapInArrow(_prober(index, probes), "query_id bigint, v array<double>, cells array<int>")
-    asked = _lineage.cut(asked)
-    visits = asked.select("query_id", F.explode("cells").alias("cell"))
-    # Cells are dealt into tasks of bounded chunks of vectors and queries.
-    held = codes.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_VECTORS).alias("parts"))
-    comes = visits.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_QUERIES).alias("turns"))
-    plan = held.join(comes, "cell")  # at most a row per cell
-    data = codes.join(F.broadcast(plan), "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns").cast("int") - 1)))
-    data = data.select("vec_id", "cell", "code", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "turn")
-    visit = asked.select("query_id", "v", F.explode("cells").alias("cell")).join(F.broadcast(plan), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    visit = visit.select("query_id", "v", "cell", "part", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"))
-    key = ["cell", "part", "turn"]
-    found = visit.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(_scanner(index, keep), "query_id bigint, vec_id bigint, approx float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    found = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= keep).select("query_id", "vec_id")
-
-    ask = _of_each_id(usable(queries, id_col, vector_col)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = found.join(_of_each_id(base), "vec_id").join(ask, "query_id").select("query_id", "vec_id", "q", "v")
-    exact = pairs.mapInArrow(_cosines, "query_id bigint, vec_id bigint, score double")
+    fitted = _matrix([x for x in fitted if len(x) == dim], dim)
+    base = base.filter(F.size("v") == dim)
+    asked = usable(queries.filter(F.size(vector_col) == dim), id_col, vector_col)
+    if not len(fitted):  # none of the sample has the commonest length
+        fitted = _matrix(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("v").to_pylist())
+    index = Index(_unit(fitted), int(max(1, min(2048, len(fitted) // 16, rows**0.5 / 2))))
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType == FloatType() else "<f8"
+
+    # Chunks of vectors meet chunks of queries, both bounded.
+    parts = max(-(-rows * dim // CHUNK_VALUES), min(LEAST_PARTS, rows // 1000), 1)
+    turns = max(-(-asked.count() * dim // CHUNK_VALUES), 1)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    codes = _of_each_id(base).mapInArrow(_coder(index, kind), "vec_id bigint, cell int, code binary, along double, across double, v binary")
+    codes = codes.withColumn("part", dealt("vec_id", parts)).withColumn("turn", every(turns))
+    ask = _of_each_id(asked).select(F.col("vec_id").alias("query_id"), "v")
+    ask = ask.withColumn("turn", dealt("query_id", turns)).withColumn("part", every(parts))
+    found = ask.groupBy("part", "turn").cogroup(codes.groupBy("part", "turn")).applyInPandas(_scanner(index, kind, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cosines of pairs in double precision; powers of two keep squares in range and change no result."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 4096):
-            part = batch.slice(start, 4096)
-            q, v = _matrix(part.column("q").to_pylist()), _matrix(part.column("v").to_pylist())
-            q, v = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (q, v))
-            score = (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
-            yield pa.record_batch([part.column("query_id"), part.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

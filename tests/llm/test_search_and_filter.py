@@ -98,3 +98,25 @@ def test_search_with_repeated_ids_and_other_lengths(spark):
     first = min([v for i, v in rows + more if i == 50])
     want = brute([(i, v) for i, v in rows if i != 50] + [(50, first)], [50], 3)[50]
     assert {x[2]: round(x[3], 9) for x in got[0] if x[0] == 50} == {i: round(s, 9) for i, s in want}
+
+
+@pytest.mark.parametrize("kind", ["close to one direction", "close groups beside others", "many components", "opposite and of many sizes"])
+def test_search_misses_none_whatever_the_rows(spark, kind):
+    r = np.random.default_rng(8)
+    if kind == "close to one direction":
+        x = 10 + r.normal(size=(2000, 16))
+    elif kind == "close groups beside others":
+        x = np.where(r.random((2000, 1)) < 0.5, r.normal(size=(4, 16))[r.integers(0, 4, 2000)] + 1e-3 * r.normal(size=(2000, 16)), r.normal(size=(2000, 16)))
+    elif kind == "many components":
+        x = r.normal(size=(1500, 129))
+    else:
+        one = np.r_[np.ones((1, 8)), -np.ones((7, 8))]  # the query's own side is nearly empty
+        x = (one[r.integers(0, 8, 1500)] + 0.1 * r.normal(size=(1500, 8))) * 10.0 ** r.integers(-30, 30, (1500, 1))
+        x[0] = [2.0, 1, 1, 1, 1, 1, 1, 1]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for row in ann.search(df.filter("vec_id % 50 = 0"), df, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    want = brute(rows, range(0, len(rows), 50), 5)
+    assert got == {q: [i for i, _ in best] for q, best in want.items()}

@@ -102,3 +102,27 @@ def test_empty_tables(spark):
     assert align.interpolate_linear(e, "x").count() == 0
     assert stats.duplicate_rows(e).first().n_rows == 0
     assert stats.describe(e, ["x"]).count() in (0, 1)
+
+
+def test_quantiles_are_those_of_one_buffer(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.where(r.random(3000) < 0.3, 7.0, np.round(r.normal(0, 50, 3000), 1)) * 10.0 ** r.integers(0, 4, 3000)
+    rows = [(float(v), float(i % 3), None if i % 5 else float("nan") if i < 40 else float(-i), float("inf") if i % 2 else 1.0, i, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e int, f double").repartition(4)
+    levels = (0.0, 0.05, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1.0)
+    for n in (1, 2, 7, 3000):
+        part = df.filter(F.col("e") < n)
+        want = part.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, levels))).alias(c) for c in "abcdef")).first().asDict()
+        for margin in (stats.MARGIN, 0.0):  # also where the cuts miss the level
+            monkeypatch.setattr(stats, "MARGIN", margin)
+            got = {x.col: x.q for x in stats.quantiles(part, list("abcdef"), levels).collect()}
+            assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items() if v is not None}
+        monkeypatch.undo()
+
+
+def test_no_task_of_a_description_holds_all_values(spark):
+    df = spark.range(200_000).select((F.xxhash64("id") / 1e9).alias("x")).repartition(4)
+    plan = stats.describe(df, ["x"])
+    assert "percentile(" not in plan._jdf.queryExecution().toString()
+    got, want = plan.first(), df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first().q
+    assert [got.p25, got.p50, got.p75] == want and got.n == 200_000
